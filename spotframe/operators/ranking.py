@@ -39,13 +39,18 @@ def avg_rank(df: DataFrame, by: list[str], col: str, out: str = "avg_rank") -> D
     return df.withColumn(out, F.rank().over(w) + (F.count("*").over(wt) - 1) / F.lit(2.0))
 
 
-def bh_adjust(df: DataFrame, p: str = "p", by: list[str] | None = None, out: str = "p_adj") -> DataFrame:
+def bh_adjust(df: DataFrame, p: str = "p", by: list[str] | None = None, out: str = "p_adj",
+              m_col: str | None = None) -> DataFrame:
     """Benjamini-Hochberg within each ``by`` group:
-    p_adj(i) = min(1, min over j with rank >= rank(i) of p_j * m / rank_j)."""
+    p_adj(i) = min(1, min over j with rank >= rank(i) of p_j * m / rank_j).
+
+    ``m`` is the number of rows in the group, or ``m_col`` when untested hypotheses (p = 1)
+    are not materialised; they rank last and cannot lower any adjusted value."""
     by = by or []
     w_rank = Window.partitionBy(*by).orderBy(F.col(p))
     wm = Window.partitionBy(*by)
-    d = (df.withColumn("_m", F.count("*").over(wm))
+    m = F.col(m_col) if m_col else F.count("*").over(wm)
+    d = (df.withColumn("_m", m)
            .withColumn("_r", F.row_number().over(w_rank))
            .withColumn("_q", F.col(p) * F.col("_m") / F.col("_r")))
     w_suffix = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)

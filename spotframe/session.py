@@ -55,3 +55,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), used inside fixed-iteration loops."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Materialise a hub table of a multi-step flow (reliable checkpoint) so later steps
+    reuse it instead of re-planning and re-running its whole lineage."""
+    return cut_lineage(df)
