@@ -57,6 +57,22 @@ def gene_moments(expr: DataFrame, n_cells: int, unlog: bool = False) -> DataFram
     return g.select("gene", "nnz", mean.alias("mean"), F.greatest(var, F.lit(0.0)).alias("var"), "s1", "s2")
 
 
+def _det3(m):
+    return (m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1])
+            - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0])
+            + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0]))
+
+
+def solve3(a, b):
+    """3 x 3 linear solve by Cramer's rule (the normal equations of a quadratic fit)."""
+    d = _det3(a)
+    out = []
+    for k in range(3):
+        m = [[b[i] if j == k else a[i][j] for j in range(3)] for i in range(3)]
+        out.append(_det3(m) / d)
+    return out
+
+
 def hvg_vst(expr: DataFrame, n_cells: int, n: int = 3000) -> DataFrame:
     """Standardised variance after a quadratic mean-variance trend in log10 space.
 
@@ -66,12 +82,12 @@ def hvg_vst(expr: DataFrame, n_cells: int, n: int = 3000) -> DataFrame:
     """
     mom = gene_moments(expr, n_cells)
     fit = mom.filter(F.col("var") > 0).select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
-    sums = fit.agg(*[F.sum(F.pow("x", k)).alias(f"x{k}") for k in range(5)],
-                   *[F.sum(F.col("y") * F.pow("x", k)).alias(f"y{k}") for k in range(3)]).first()
-    import numpy as np
-    A = np.array([[sums[f"x{i + j}"] for j in range(3)] for i in range(3)], dtype=float)
-    b = np.array([sums[f"y{i}"] for i in range(3)], dtype=float)
-    c0, c1, c2 = np.linalg.solve(A, b)
+    sums = fit.agg(F.count("*").alias("x0"), F.sum("x").alias("x1"), F.sum(F.col("x") * F.col("x")).alias("x2"),
+                   F.sum(F.col("x") * F.col("x") * F.col("x")).alias("x3"),
+                   F.sum(F.col("x") * F.col("x") * F.col("x") * F.col("x")).alias("x4"),
+                   F.sum("y").alias("y0"), F.sum(F.col("y") * F.col("x")).alias("y1"),
+                   F.sum(F.col("y") * F.col("x") * F.col("x")).alias("y2")).first()
+    c0, c1, c2 = solve3([[sums[f"x{i + j}"] for j in range(3)] for i in range(3)], [sums[f"y{i}"] for i in range(3)])
     lx = F.log10("mean")
     sd_hat = F.sqrt(F.pow(F.lit(10.0), F.lit(float(c0)) + F.lit(float(c1)) * lx + F.lit(float(c2)) * lx * lx))
     clip = math.sqrt(n_cells)
