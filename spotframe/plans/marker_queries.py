@@ -50,40 +50,46 @@ norm AS (SELECT e2.sample, e2.barcode, e2.gene, ln(1 + e2.value / dep.depth * me
          FROM e2 JOIN dep USING (sample, barcode) CROSS JOIN med),
 lab AS (SELECT sample, barcode, cluster FROM spots SEMI JOIN raw_cells USING (sample, barcode))"""
 
-MARKERS_SQL = PREP_SQL + f""",
-sizes AS (SELECT cluster, count(*)::DOUBLE AS n1 FROM lab GROUP BY cluster),
-tot AS (SELECT count(*)::DOUBLE AS nn FROM lab),
-ng AS (SELECT count(DISTINCT gene)::DOUBLE AS g FROM norm),
-nz AS (SELECT n.gene, n.value, l.cluster,
+def marker_ctes(p: str = "", lab: str = "lab") -> str:
+    """Oracle CTE chain of the zero-aware rank-sum test on ``norm`` with labels ``lab``
+    (columns sample, barcode, cluster); CTE names carry the prefix ``p``; the last is ``{p}mk2``."""
+    return f"""
+{p}sizes AS (SELECT cluster, count(*)::DOUBLE AS n1 FROM {lab} GROUP BY cluster),
+{p}tot AS (SELECT count(*)::DOUBLE AS nn FROM {lab}),
+{p}ng AS (SELECT count(DISTINCT gene)::DOUBLE AS g FROM norm),
+{p}nz AS (SELECT n.gene, n.value, l.cluster,
               rank() OVER (PARTITION BY n.gene ORDER BY n.value)
               + (count(*) OVER (PARTITION BY n.gene, n.value) - 1) / 2.0::DOUBLE AS rk
-       FROM norm n JOIN lab l USING (sample, barcode)),
-gs AS (SELECT gene, count(*)::DOUBLE AS nnz, sum(exp(value) - 1) AS s_all FROM nz GROUP BY gene),
-tie AS (SELECT gene, sum(t * t * t - t) AS ties_nz
-        FROM (SELECT gene, value, count(*)::DOUBLE AS t FROM nz GROUP BY 1, 2) GROUP BY gene),
-per AS (SELECT gene, cluster, count(*)::DOUBLE AS nnz1, sum(rk) AS r_nz1, sum(exp(value) - 1) AS s1
-        FROM nz GROUP BY 1, 2),
-st AS (SELECT gs.gene, s.cluster, s.n1, tot.nn - s.n1 AS n2, tot.nn AS nn, gs.nnz, gs.s_all, tie.ties_nz,
-              coalesce(p.nnz1, 0) AS nnz1, coalesce(p.r_nz1, 0) AS r_nz1, coalesce(p.s1, 0) AS s1
-       FROM gs JOIN tie USING (gene) CROSS JOIN sizes s CROSS JOIN tot
-       LEFT JOIN per p ON p.gene = gs.gene AND p.cluster = s.cluster),
-calc AS (SELECT *,
+       FROM norm n JOIN {lab} l USING (sample, barcode)),
+{p}gs AS (SELECT gene, count(*)::DOUBLE AS nnz, sum(exp(value) - 1) AS s_all FROM {p}nz GROUP BY gene),
+{p}tie AS (SELECT gene, sum(t * t * t - t) AS ties_nz
+        FROM (SELECT gene, value, count(*)::DOUBLE AS t FROM {p}nz GROUP BY 1, 2) GROUP BY gene),
+{p}per AS (SELECT gene, cluster, count(*)::DOUBLE AS nnz1, sum(rk) AS r_nz1, sum(exp(value) - 1) AS s1
+        FROM {p}nz GROUP BY 1, 2),
+{p}st AS (SELECT gs.gene, s.cluster, s.n1, tot.nn - s.n1 AS n2, tot.nn AS nn, gs.nnz, gs.s_all, tie.ties_nz,
+              coalesce(pp.nnz1, 0) AS nnz1, coalesce(pp.r_nz1, 0) AS r_nz1, coalesce(pp.s1, 0) AS s1
+       FROM {p}gs gs JOIN {p}tie tie USING (gene) CROSS JOIN {p}sizes s CROSS JOIN {p}tot tot
+       LEFT JOIN {p}per pp ON pp.gene = gs.gene AND pp.cluster = s.cluster),
+{p}calc AS (SELECT *,
            r_nz1 + nnz1 * (nn - nnz) + (n1 - nnz1) * ((nn - nnz) + 1.0) / 2.0 - n1 * (n1 + 1.0) / 2.0 AS u,
            n1 * n2 / 2.0 AS mu,
            n1 * n2 / 12.0 * ((nn + 1.0) - (ties_nz + ((nn - nnz) * (nn - nnz) * (nn - nnz) - (nn - nnz)))
                                           / (nn * (nn - 1.0))) AS var
-         FROM st),
-zz AS (SELECT *, CASE WHEN sqrt(greatest(var, 0)) > 0
+         FROM {p}st),
+{p}zz AS (SELECT *, CASE WHEN sqrt(greatest(var, 0)) > 0
                       THEN greatest(abs(u - mu) - 0.5, 0) / sqrt(greatest(var, 0)) ELSE 0.0 END AS zabs
-       FROM calc),
-mk AS (SELECT cluster, gene,
+       FROM {p}calc),
+{p}mk AS (SELECT cluster, gene,
          log2(s1 / n1 + 1.0) - log2(CASE WHEN n2 > 0 THEN (s_all - s1) / n2 ELSE 0.0 END + 1.0) AS avg_log2fc,
          {round_half_up_sql('nnz1 / n1', 3)} AS pct_1,
          CASE WHEN n2 > 0 THEN {round_half_up_sql('(nnz - nnz1) / n2', 3)} ELSE 0.0 END AS pct_2,
          CASE WHEN u < mu THEN -zabs ELSE zabs END AS z,
          CASE WHEN sqrt(greatest(var, 0)) > 0 THEN {erfc_sql('zabs / 1.4142135623730951')} ELSE 1.0 END AS p_val
-       FROM zz),
-mk2 AS (SELECT mk.*, least(1.0, p_val * ng.g) AS p_val_adj FROM mk CROSS JOIN ng)"""
+       FROM {p}zz),
+{p}mk2 AS (SELECT m.*, least(1.0, m.p_val * n.g) AS p_val_adj FROM {p}mk m CROSS JOIN {p}ng n)"""
+
+
+MARKERS_SQL = PREP_SQL + "," + marker_ctes()
 
 MARKER_COLS = "cluster, gene, round(avg_log2fc, 6) AS avg_log2fc, round(pct_1, 6) AS pct_1, round(pct_2, 6) AS pct_2, round(z, 6) AS z, round(p_val, 6) AS p_val, round(p_val_adj, 6) AS p_val_adj"
 
