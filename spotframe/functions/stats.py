@@ -133,8 +133,8 @@ def hyper_lower_sql(k: str, N: str, K: str, n: str) -> str:
     return f"least(1.0::DOUBLE, {_hyper_sum_sql(lo, hi, N, K, n)})"
 
 
-# Portable linear congruential generator (bigint-safe:
-# LCG_A * (id + 1) stays below 2^63 for ids below 4e9).
+# Portable linear congruential generator (bigint-safe: the id is
+# reduced mod 2^31 first, so LCG_A * id stays below 2^63).
 LCG_A = 1103515245
 LCG_B = 12345
 LCG_M = 2147483648
@@ -143,12 +143,13 @@ LCG_M = 2147483648
 def lcg(id_col: Column, rep: Column | int = 0) -> Column:
     """Deterministic pseudo-random integer in [0, 2^31) from a dense id and replicate."""
     rep_c = rep if isinstance(rep, Column) else F.lit(rep)
-    s = F.pmod(id_col.cast("long") * F.lit(LCG_A) + (rep_c.cast("long") + 1) * F.lit(LCG_B), F.lit(LCG_M))
+    idm = F.pmod(id_col.cast("long"), F.lit(LCG_M))
+    s = F.pmod(idm * F.lit(LCG_A) + (rep_c.cast("long") + 1) * F.lit(LCG_B), F.lit(LCG_M))
     return F.pmod(s * F.lit(LCG_A) + F.lit(LCG_B), F.lit(LCG_M))
 
 
 def lcg_sql(id_expr: str, rep: str = "0") -> str:
-    s = f"((({id_expr})::BIGINT * {LCG_A} + (({rep})::BIGINT + 1) * {LCG_B}) % {LCG_M})"
+    s = f"(((({id_expr})::BIGINT % {LCG_M}) * {LCG_A} + (({rep})::BIGINT + 1) * {LCG_B}) % {LCG_M})"
     return f"(({s} * {LCG_A} + {LCG_B}) % {LCG_M})"
 
 

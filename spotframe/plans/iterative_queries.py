@@ -1 +1,184 @@
-"""Placeholder."""
+"""Fixed-iteration operators: signatures and deconvolution, k-means composition clusters,
+factorisation.  Oracles unroll the same fixed number of iterations in SQL.
+
+Driver parameters (FIXTURES.md): reference cells = odd customer keys labelled by market
+segment, query spots = even keys; 5 KL iterations; k = 5 with 5 Lloyd iterations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spotframe.operators import composition as cp
+from spotframe.operators import deconv as dc
+from spotframe.operators import enrich as en
+from spotframe.plans.catalog import finish, register
+from spotframe.plans.oracle_views import with_views
+from spotframe.session import stage
+from spotframe.sources import adapter
+
+KEYS = ["sample", "barcode"]
+KL_ITERS = 5
+K = 5
+LLOYD_ITERS = 5
+N3_REPS = 20
+NMF_RANK = 3
+NMF_ITERS = 5
+
+
+def _ref_query(spark, d):
+    spots = adapter.spots(spark, d)
+    expr = adapter.expr(spark, d)
+    ref = spots.filter(F.col("barcode").cast("long") % 2 == 1).select(*KEYS, F.col("cluster").alias("cell_type"))
+    qry = spots.filter(F.col("barcode").cast("long") % 2 == 0).select(*KEYS)
+    return expr, ref, qry
+
+
+SIG_SQL = """
+ref AS (SELECT sample, barcode, cluster AS cell_type FROM spots WHERE CAST(barcode AS BIGINT) % 2 = 1),
+rdep AS (SELECT e.sample, e.barcode, sum(e.value) AS depth FROM expr e SEMI JOIN ref USING (sample, barcode) GROUP BY 1, 2),
+bm AS (SELECT sample, avg(depth) AS bm FROM rdep GROUP BY 1),
+om AS (SELECT avg(depth) AS om FROM rdep),
+bf AS (SELECT sample, bm / om AS f FROM bm CROSS JOIN om),
+nt AS (SELECT cell_type, count(*) AS n FROM ref GROUP BY 1),
+sig AS (SELECT e.gene, r.cell_type, sum(e.value / bf.f) / max(nt.n) AS sig
+        FROM expr e JOIN ref r USING (sample, barcode) JOIN bf USING (sample) JOIN nt ON nt.cell_type = r.cell_type
+        GROUP BY 1, 2)"""
+
+
+@register("signatures", with_views(SIG_SQL + """
+SELECT gene, cell_type, round(sig, 6) AS sig FROM sig""", ["spots", "expr"]))
+def signatures(spark, d):
+    """Batch-depth-scaled mean expression per gene x cell type of the reference cells."""
+    expr, ref, _ = _ref_query(spark, d)
+    return finish(dc.signatures(expr, ref, "cell_type", "sample"))
+
+
+def _kl_sql(iters: int) -> str:
+    parts = [SIG_SQL + """,
+qd AS (SELECT sample, barcode, gene, value FROM expr WHERE CAST(barcode AS BIGINT) % 2 = 0),
+gi AS (SELECT DISTINCT gene FROM sig INTERSECT SELECT DISTINCT gene FROM qd),
+sg AS (SELECT * FROM sig SEMI JOIN gi USING (gene)),
+dd AS (SELECT * FROM qd SEMI JOIN gi USING (gene)),
+colsum AS (SELECT cell_type, sum(sig) AS gsum FROM sg GROUP BY 1),
+ntp AS (SELECT count(*)::DOUBLE AS n FROM colsum),
+sdep AS (SELECT sample, barcode, sum(value) AS depth FROM dd GROUP BY 1, 2),
+w0 AS (SELECT s.sample, s.barcode, c.cell_type, s.depth / (ntp.n * c.gsum) AS w FROM sdep s CROSS JOIN colsum c CROSS JOIN ntp)"""]
+    for i in range(1, iters + 1):
+        parts.append(f""",
+mu{i} AS (SELECT dd.sample, dd.barcode, dd.gene, sum(w.w * g.sig) AS mu FROM dd JOIN sg g USING (gene)
+          JOIN w{i - 1} w ON w.sample = dd.sample AND w.barcode = dd.barcode AND w.cell_type = g.cell_type GROUP BY 1, 2, 3),
+num{i} AS (SELECT dd.sample, dd.barcode, g.cell_type, sum(g.sig * (dd.value / m.mu)) AS num
+           FROM dd JOIN mu{i} m USING (sample, barcode, gene) JOIN sg g USING (gene) GROUP BY 1, 2, 3),
+w{i} AS (SELECT w.sample, w.barcode, w.cell_type, w.w * coalesce(n.num, 0.0) / c.gsum AS w
+         FROM w{i - 1} w LEFT JOIN num{i} n USING (sample, barcode, cell_type) JOIN colsum c USING (cell_type))""")
+    parts.append(f"\nSELECT sample, barcode, cell_type, round(w, 6) AS w FROM w{iters}")
+    return "".join(parts)
+
+
+def _deconv(spark, d):
+    expr, ref, qry = _ref_query(spark, d)
+    sig = stage(dc.signatures(expr, ref, "cell_type", "sample"))
+    q = stage(expr.join(qry, KEYS, "left_semi"))
+    return q, sig
+
+
+@register("deconvolve", with_views(_kl_sql(KL_ITERS), ["spots", "expr"]))
+def deconvolve(spark, d):
+    """N1 -> F2 -> N2: KL multiplicative-update abundances of the query spots (5 iterations)."""
+    q, sig = _deconv(spark, d)
+    return finish(dc.deconvolve(q, sig, KL_ITERS))
+
+
+@register("abundance_summary")
+def abundance_summary(spark, d):
+    """20 gene-subset replicates of N2 fitted together; q05 / mean / q95 / sd per spot and type."""
+    q, sig = _deconv(spark, d)
+    return finish(dc.abundance_summary(q, sig, KL_ITERS, N3_REPS))
+
+
+def _lloyd_sql(k: int, iters: int) -> str:
+    parts = ["""
+pts AS (SELECT sample, barcode, cell_type, score FROM composition),
+xx AS (SELECT sample, barcode, sum(score * score) AS xx FROM pts GROUP BY 1, 2),
+ks AS (SELECT range::INTEGER AS k FROM range(0, """ + str(k) + """)),
+init AS (SELECT sample, barcode, CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS k FROM
+         (SELECT sample, barcode, md5(sample || '/' || barcode) AS h FROM (SELECT DISTINCT sample, barcode FROM pts) t
+          ORDER BY h LIMIT """ + str(k) + """) s),
+c0 AS (SELECT i.k, p.cell_type, p.score AS c FROM pts p JOIN init i USING (sample, barcode))"""]
+    for i in range(iters + 1):
+        parts.append(f""",
+cc{i} AS (SELECT k, sum(c * c) AS cc FROM c{i} GROUP BY k),
+dot{i} AS (SELECT p.sample, p.barcode, c.k, sum(p.score * c.c) AS dot FROM pts p JOIN c{i} c USING (cell_type) GROUP BY 1, 2, 3),
+dist{i} AS (SELECT x.sample, x.barcode, ks.k, x.xx - 2.0 * coalesce(d.dot, 0.0) + coalesce(cc.cc, 0.0) AS dist
+            FROM xx x CROSS JOIN ks LEFT JOIN cc{i} cc ON cc.k = ks.k
+            LEFT JOIN dot{i} d ON d.sample = x.sample AND d.barcode = x.barcode AND d.k = ks.k),
+a{i} AS (SELECT sample, barcode, k, dist FROM
+         (SELECT *, row_number() OVER (PARTITION BY sample, barcode ORDER BY dist, k) AS rn FROM dist{i}) WHERE rn = 1)""")
+        if i < iters:
+            parts.append(f""",
+nk{i} AS (SELECT k, count(*) AS n_k FROM a{i} GROUP BY k),
+c{i + 1} AS (SELECT a.k, p.cell_type, sum(p.score) / max(nk.n_k) AS c FROM pts p JOIN a{i} a USING (sample, barcode)
+            JOIN nk{i} nk ON nk.k = a.k GROUP BY 1, 2
+            UNION ALL SELECT c.k, c.cell_type, c.c FROM c{i} c WHERE c.k NOT IN (SELECT k FROM nk{i}))""")
+    parts.append(f""",
+sz AS (SELECT k, count(*) AS n FROM a{iters} GROUP BY k),
+lab AS (SELECT k, 'CC' || CAST(row_number() OVER (ORDER BY n DESC, k) AS VARCHAR) AS cc FROM sz)""")
+    return "".join(parts)
+
+
+@register("composition_clusters", with_views(_lloyd_sql(K, LLOYD_ITERS) + f"""
+SELECT a.sample, a.barcode, l.cc, round(a.dist, 6) AS dist FROM a{LLOYD_ITERS} a JOIN lab l USING (k)""",
+                                             ["composition"]))
+def composition_clusters(spark, d):
+    """K1: k-means (k = 5, 5 Lloyd iterations) on spot composition, labels CC1..CC5 by size."""
+    comp = stage(adapter.composition(spark, d))
+    return finish(cp.composition_clusters(comp, K, LLOYD_ITERS).select(*KEYS, "cc", "dist"))
+
+
+@register("cc_enrichment_kmeans", with_views(_lloyd_sql(K, LLOYD_ITERS) + f""",
+lab2 AS (SELECT a.sample, a.barcode, l.cc FROM a{LLOYD_ITERS} a JOIN lab l USING (k)),
+n_cc AS (SELECT cc, count(*)::DOUBLE AS n_cc FROM lab2 GROUP BY 1),
+n_all AS (SELECT count(*)::DOUBLE AS n FROM lab2),
+c AS (SELECT p.*, l.cc FROM pts p JOIN lab2 l USING (sample, barcode)),
+si AS (SELECT cc, cell_type, sum(score) AS s FROM c GROUP BY 1, 2),
+sa AS (SELECT cell_type, sum(score) / max(n_all.n) AS mean_all FROM c CROSS JOIN n_all GROUP BY 1),
+t AS (SELECT si.cc, si.cell_type, si.s / n_cc.n_cc AS mean_in, sa.mean_all FROM si JOIN n_cc USING (cc) JOIN sa USING (cell_type)),
+t2 AS (SELECT *, log2((mean_in + 1e-9) / (mean_all + 1e-9)) AS log2_ratio FROM t)
+SELECT cc, cell_type, round(mean_in, 6) AS mean_in, round(mean_all, 6) AS mean_all, round(log2_ratio, 6) AS log2_ratio,
+       log2_ratio > 0 AS enriched,
+       CAST(row_number() OVER (PARTITION BY cc ORDER BY log2_ratio DESC, cell_type) AS INTEGER) AS rank FROM t2""",
+                                             ["composition"]))
+def cc_enrichment_kmeans(spark, d):
+    """K1 -> K3: enriched cell types of the k-means composition clusters."""
+    comp = stage(adapter.composition(spark, d))
+    lab = stage(cp.composition_clusters(comp, K, LLOYD_ITERS))
+    return finish(en.cc_enrichment(comp, lab, "cc"))
+
+
+@register("elbow")
+def elbow(spark, d):
+    """K2: within-cluster sum of squares for k = 1..6 (3 Lloyd iterations each)."""
+    comp = stage(adapter.composition(spark, d))
+    return finish(cp.elbow(comp, 6, 3))
+
+
+def _nmf(spark, d):
+    comp = stage(adapter.composition(spark, d))
+    W, H = dc.nmf(comp, NMF_RANK, NMF_ITERS)
+    return comp, W, H
+
+
+@register("nmf_fractions")
+def nmf_fractions(spark, d):
+    """N5 -> N6: cell-type fractions per factor (rank 3, 5 multiplicative updates)."""
+    comp, W, H = _nmf(spark, d)
+    t = dc.nmf_tables(comp, W, H)
+    return finish(t["fractions"].select("f", "t", "h", "fraction"))
+
+
+@register("nmf_accuracy")
+def nmf_accuracy(spark, d):
+    """Reconstruction accuracy corr(X, WH) over all spot x type cells."""
+    comp, W, H = _nmf(spark, d)
+    return finish(dc.nmf_tables(comp, W, H)["accuracy"])
