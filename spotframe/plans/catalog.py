@@ -40,5 +40,5 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
     # importing the modules fills REGISTRY
     from spotframe.plans import (  # noqa: F401
         relational_queries, marker_queries, spatial_queries, lr_queries,
-        composition_queries, iterative_queries, transport_queries, model_queries)
+        composition_queries, iterative_queries, transport_queries, model_queries, graph_queries)
     return REGISTRY

@@ -316,9 +316,9 @@ def cci_check(spark, d):
     ia = (c.select(F.col("sender").alias("cell_type"), "n").unionByName(c.select(F.col("receiver").alias("cell_type"), "n"))
           .groupBy("cell_type").agg(F.sum("n").alias("n_interactions")))
     j = fr.join(ia, "cell_type", "left").fillna(0, ["n_interactions"])
-    # cell types are few: the correlation runs over one small group
-    r = j.agg(F.corr(F.col("n_spots").cast("double"), F.col("n_interactions").cast("double")).alias("r"))
-    return finish(j.join(F.broadcast(r), how="inner", on=F.lit(True)).select("cell_type", "n_spots", "n_interactions", "r"))
+    # cell types are few: the correlation runs over one small window
+    r = F.corr(F.col("n_spots").cast("double"), F.col("n_interactions").cast("double")).over(Window.partitionBy())
+    return finish(j.select("cell_type", "n_spots", "n_interactions", r.alias("r")))
 
 
 _PRIMES = lrop.permutation_multipliers(N_PERMS)
