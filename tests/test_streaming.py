@@ -1,0 +1,22 @@
+import os
+
+from spotframe import streaming
+from spotframe.operators import qc
+
+
+def test_streaming_qc_equals_batch(spark, tmp_path):
+    src = str(tmp_path / "in")
+    os.makedirs(src)
+    a = spark.createDataFrame([("S", "x", "g1", 2.0), ("S", "y", "g1", 1.0)], streaming.EXPR_SCHEMA)
+    b = spark.createDataFrame([("S", "x", "g2", 3.0)], streaming.EXPR_SCHEMA)
+    a.write.parquet(os.path.join(src, "a"))
+    b.write.parquet(os.path.join(src, "b"))
+    import glob
+    for f in glob.glob(os.path.join(src, "*", "*.parquet")):
+        os.link(f, os.path.join(src, os.path.basename(os.path.dirname(f)) + "-" + os.path.basename(f)))
+    q = streaming.start_to_table(streaming.qc_counts_stream(spark, src), "qc_stream", str(tmp_path / "ckpt"))
+    q.processAllAvailable()
+    got = {(r["barcode"]): (r["n_count"], r["n_feature"]) for r in spark.sql("SELECT * FROM qc_stream").collect()}
+    q.stop()
+    want = {r["barcode"]: (r["n_count"], r["n_feature"]) for r in qc.qc_counts(a.unionByName(b)).collect()}
+    assert got == want
