@@ -22,6 +22,7 @@ from spotframe.functions.ranks import average_rank
 from spotframe.functions.stats import lcg
 from spotframe.operators.ranking import bh_adjust
 from spotframe.operators.spatial import neighbor_mean
+from spotframe.session import cut_lineage
 
 KEYS = ["sample", "barcode"]
 CATALOGUE_MAX_ROWS = 1_000_000
@@ -113,17 +114,17 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
     gm = gm.withColumn("bin", _bin(bounds, F.col("mean")))
     cat = lr_genes(lr_db).select("gene").distinct()
     cand = gm.join(cat, "gene", "left_anti")
-    cand = (cand.withColumn("j", F.row_number().over(Window.partitionBy("bin").orderBy("gene")) - 1)
-                .withColumn("n_b", F.count("*").over(Window.partitionBy("bin"))))
+    cand = cut_lineage(cand.withColumn("j", F.row_number().over(Window.partitionBy("bin").orderBy("gene")) - 1)
+                       .withColumn("n_b", F.count("*").over(Window.partitionBy("bin"))))
     counts = cand.select("bin", "n_b").distinct()
     ce = ce if ce is not None else complex_expression(expr, lr_db)
     side_mean = ce.groupBy("lr", "side").agg((F.sum("value") / F.lit(float(n_spots))).alias("mean"))
     side_bin = side_mean.withColumn("bin", _bin(bounds, F.col("mean")))
-    lr_bins = side_bin.groupBy("lr").agg(F.max(F.when(F.col("side") == "L", F.col("bin"))).alias("bl"),
-                                         F.max(F.when(F.col("side") == "R", F.col("bin"))).alias("br"))
-    combos = (lr_bins.select("bl", "br").distinct()
-              .join(counts.select(F.col("bin").alias("bl"), F.col("n_b").alias("n_l")), "bl")
-              .join(counts.select(F.col("bin").alias("br"), F.col("n_b").alias("n_r")), "br"))
+    lr_bins = cut_lineage(side_bin.groupBy("lr").agg(F.max(F.when(F.col("side") == "L", F.col("bin"))).alias("bl"),
+                                                     F.max(F.when(F.col("side") == "R", F.col("bin"))).alias("br")))
+    combos = cut_lineage(lr_bins.select("bl", "br").distinct()
+                         .join(counts.select(F.col("bin").alias("bl"), F.col("n_b").alias("n_l")), "bl")
+                         .join(counts.select(F.col("bin").alias("br"), F.col("n_b").alias("n_r")), "br"))
     combo_id = F.col("bl") * F.lit(100) + F.col("br")
     pairs = combos.select("bl", "br", "n_l", "n_r", F.explode(F.sequence(F.lit(0), F.lit(n_pairs - 1))).alias("k"))
     pairs = pairs.select("bl", "br", "k",
@@ -131,9 +132,10 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
                          F.pmod(lcg(F.col("k"), combo_id * 2 + 1), F.col("n_r")).alias("jr"))
     cl = cand.select(F.col("bin").alias("bl"), F.col("j").alias("jl"), F.col("gene").alias("gl"))
     cr = cand.select(F.col("bin").alias("br"), F.col("j").alias("jr"), F.col("gene").alias("gr"))
-    pairs = pairs.join(cl, ["bl", "jl"]).join(cr, ["br", "jr"]).select("bl", "br", "k", "gl", "gr")
+    pairs = cut_lineage(pairs.join(cl, ["bl", "jl"]).join(cr, ["br", "jr"]).select("bl", "br", "k", "gl", "gr"))
     null_genes = pairs.select(F.col("gl").alias("gene")).union(pairs.select(F.col("gr").alias("gene"))).distinct()
-    gv = own_and_neighbors(expr.filter(F.col("value") > 0).join(null_genes, "gene", "left_semi"), edges, ["gene"])
+    gv = cut_lineage(own_and_neighbors(expr.filter(F.col("value") > 0).join(null_genes, "gene", "left_semi"),
+                                       edges, ["gene"]))
     side_l = pairs.join(gv.withColumnRenamed("gene", "gl"), "gl").select(
         *KEYS, "bl", "br", "k", F.col("value").alias("L"), F.col("nbr_mean").alias("mL"))
     side_r = pairs.join(gv.withColumnRenamed("gene", "gr"), "gr").select(
@@ -141,7 +143,7 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
     nk = KEYS + ["bl", "br", "k"]
     null = side_l.join(side_r, nk, "full").fillna(0.0, ["L", "R", "mL", "mR"])
     null = null.select(*KEYS, "bl", "br", _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score"))
-    null = null.filter(F.col("score") > 0)
+    null = cut_lineage(null.filter(F.col("score") > 0))
     obs = scores.join(lr_bins, "lr")
     u = (obs.select(*KEYS, "bl", "br", "lr", "score", F.lit(0).alias("is_null"))
          .unionByName(null.select(*KEYS, "bl", "br", F.lit(None).cast("string").alias("lr"), "score",

@@ -16,6 +16,7 @@ from spotframe.operators import qc
 from spotframe.operators.ranking import top_n_ties
 from spotframe.plans.catalog import finish, register
 from spotframe.plans.oracle_views import with_views
+from spotframe.session import stage
 from spotframe.sources import adapter
 
 KEYS = ["sample", "barcode"]
@@ -24,13 +25,14 @@ MIN_CELLS = 20
 
 
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(log-normalised expr, labels of the kept cells)."""
+    """(log-normalised expr, labels of the kept cells); both materialised once (``stage``)
+    because the median, the group sizes and the marker test all read them."""
     raw = adapter.expr(spark, d)
-    e1 = qc.min_features(raw, MIN_FEATURES)
-    cells = e1.select(*KEYS).distinct()
+    e1 = stage(qc.min_features(raw, MIN_FEATURES))
+    cells = stage(e1.select(*KEYS).distinct())
     e2 = qc.filter_genes(e1, MIN_CELLS)
-    norm = nm.log_normalize(e2, cells=cells)
-    labels = adapter.spots(spark, d).join(cells, KEYS, "left_semi").select(*KEYS, "cluster")
+    norm = stage(nm.log_normalize(e2, cells=cells))
+    labels = stage(adapter.spots(spark, d).join(cells, KEYS, "left_semi").select(*KEYS, "cluster"))
     return norm, labels
 
 
