@@ -216,3 +216,45 @@ def interaction_communities(spark, d):
     und = e.unionByName(e.select("block", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     und = stage(und.groupBy("block", "src", "dst").agg(F.sum("weight").alias("weight")))
     return gr.graph_clusters(und, 1.0, SWEEPS, by=["block"])
+
+
+def _lm_sql(resolution: float, sweeps: int) -> str:
+    """Unrolled SQL twin of graph.local_moving on the unit-weight symmetrised kNN graph."""
+    parts = [KNN_SQL + """,
+ge AS (SELECT DISTINCT src, dst, 1.0::DOUBLE AS weight FROM (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn) t),
+deg AS (SELECT src AS node, sum(weight) AS kv FROM ge GROUP BY 1),
+m2 AS (SELECT sum(weight) AS m2 FROM ge),
+lab0 AS (SELECT node, node AS label FROM deg)"""]
+    g = repr(float(resolution))
+    for s in range(sweeps):
+        parts.append(f""",
+kc{s} AS (SELECT l.label, sum(d.kv) AS kc FROM lab{s} l JOIN deg d USING (node) GROUP BY 1),
+wvc{s} AS (SELECT e.src AS node, l.label AS c, sum(e.weight) AS w FROM ge e JOIN lab{s} l ON l.node = e.dst GROUP BY 1, 2),
+cand{s} AS (SELECT w.node, w.c, cur.label AS own,
+                   w.w - {g} * d.kv * (CASE WHEN w.c = cur.label THEN k.kc - d.kv ELSE k.kc END) / m2.m2 AS gain
+            FROM wvc{s} w JOIN lab{s} cur ON cur.node = w.node JOIN deg d ON d.node = w.node
+            JOIN kc{s} k ON k.label = w.c CROSS JOIN m2),
+best{s} AS (SELECT node, c AS c_best, gain AS g_best FROM
+            (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, c) AS r FROM cand{s}) WHERE r = 1),
+og{s} AS (SELECT node, gain AS g_own FROM cand{s} WHERE c = own),
+al{s} AS (SELECT l.node, -{g} * d.kv * (k.kc - d.kv) / m2.m2 AS g_alone FROM lab{s} l JOIN deg d USING (node)
+          JOIN kc{s} k ON k.label = l.label CROSS JOIN m2),
+lab{s + 1} AS (SELECT l.node,
+                 CASE WHEN (instr('0123456789abcdef', substr(md5(l.node || ':{s}'), 1, 1)) - 1) % 2 = 0
+                           AND b.c_best IS NOT NULL AND b.g_best > coalesce(o.g_own, a.g_alone) AND b.c_best <> l.label
+                      THEN b.c_best ELSE l.label END AS label
+               FROM lab{s} l LEFT JOIN best{s} b USING (node) LEFT JOIN og{s} o USING (node) LEFT JOIN al{s} a USING (node))""")
+    parts.append(f""",
+sz AS (SELECT label, count(*) AS n FROM lab{sweeps} GROUP BY 1),
+ord AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS VARCHAR) AS cluster FROM sz)
+SELECT l.node AS barcode, o.cluster FROM lab{sweeps} l JOIN ord o USING (label)""")
+    return "".join(parts)
+
+
+@register("knn_graph_clusters", with_views(_lm_sql(1.0, SWEEPS), V_E))
+def knn_graph_clusters(spark, d):
+    """G13 -> G15: modularity clusters (resolution 1, 4 sweeps) of the unit-weight symmetrised 10-NN graph."""
+    nn = gr.knn(_emb(spark, d), K)
+    und = nn.select("src", "dst").unionByName(nn.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    e = stage(und.distinct().withColumn("weight", F.lit(1.0)))
+    return gr.graph_clusters(e, 1.0, SWEEPS).withColumnRenamed("node", "barcode")
