@@ -137,3 +137,22 @@ def nmf_tables(x: DataFrame, W: DataFrame, H: DataFrame, key: str = "cell_type",
     j = rec.join(xs, KEYS + ["t"], "left").fillna(0.0, ["x"])
     acc = j.agg(F.corr("x", "xhat").alias("accuracy"))
     return {"fractions": frac, "top_types": topt, "weights": W, "accuracy": acc}
+
+
+def restart_stability(hs: list[DataFrame]) -> DataFrame:
+    """Mean over factors of restart 0 of the best cosine similarity with any factor of each
+    other restart (factor profiles over cell types; H tables are rank x types)."""
+    base = hs[0].select("f", "t", F.col("h").alias("h0"))
+    n0 = base.groupBy("f").agg(F.sqrt(F.sum(F.col("h0") * F.col("h0"))).alias("n0"))
+    outs = []
+    for r, h in enumerate(hs[1:], start=1):
+        o = h.select(F.col("f").alias("g"), "t", F.col("h").alias("h1"))
+        n1 = o.groupBy("g").agg(F.sqrt(F.sum(F.col("h1") * F.col("h1"))).alias("n1"))
+        cos = (base.join(o, "t").groupBy("f", "g").agg(F.sum(F.col("h0") * F.col("h1")).alias("dot"))
+               .join(n0, "f").join(n1, "g").select("f", "g", (F.col("dot") / (F.col("n0") * F.col("n1"))).alias("cos")))
+        best = cos.groupBy("f").agg(F.max("cos").alias("best"))
+        outs.append(best.agg(F.lit(r).alias("restart"), F.avg("best").alias("stability")))
+    res = outs[0]
+    for o in outs[1:]:
+        res = res.unionByName(o)
+    return res

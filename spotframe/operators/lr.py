@@ -141,10 +141,14 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
     side_r = pairs.join(gv.withColumnRenamed("gene", "gr"), "gr").select(
         *KEYS, "bl", "br", "k", F.col("value").alias("R"), F.col("nbr_mean").alias("mR"))
     nk = KEYS + ["bl", "br", "k"]
-    null = side_l.join(side_r, nk, "full").fillna(0.0, ["L", "R", "mL", "mR"])
+    # a null score is positive only when both the ligand side (L or mL) and the receptor side
+    # (R or mR) are present at the spot: the inner join keeps exactly the positive scores
+    null = side_l.join(side_r, nk, "inner")
     null = null.select(*KEYS, "bl", "br", _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score"))
-    null = cut_lineage(null.filter(F.col("score") > 0))
     obs = scores.join(lr_bins, "lr")
+    # only (spot, bin combination) keys with an observed score need their null distribution
+    null = null.filter(F.col("score") > 0).join(obs.select(*KEYS, "bl", "br").distinct(), KEYS + ["bl", "br"],
+                                                "left_semi")
     u = (obs.select(*KEYS, "bl", "br", "lr", "score", F.lit(0).alias("is_null"))
          .unionByName(null.select(*KEYS, "bl", "br", F.lit(None).cast("string").alias("lr"), "score",
                                   F.lit(1).alias("is_null"))))

@@ -11,7 +11,7 @@ G11 anchors = mutual k-nearest-neighbour pairs between two batches; the correcti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.operators.graph import knn
@@ -78,3 +78,51 @@ def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Deterministic subsample of ``n`` rows: smallest md5 of the key (a distributed top-k)."""
     h = F.md5(F.concat_ws("/", *keys))
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+
+
+def harmonize(emb: DataFrame, batch: str, k: int, iters: int, sigma: float = 1.0, theta: float = 2.0,
+              id_col: str = "barcode", vec: str = "vec") -> DataFrame:
+    """Soft-cluster batch correction, fixed iterations.
+
+    Responsibilities r_ck ~ exp(-|z_c - mu_k|^2 / sigma) * (E_kb / O_kb)^theta (diversity penalty from
+    the previous responsibilities; E_kb = total_k * n_b / N), normalised per cell; then
+    z_c <- z_c - sum_k r_ck (mu_{k,b(c)} - mu_k).  Start centroids: the k cells first in md5 order.
+    Centroid tables are k x dims (broadcast); every other table is per cell or per (cell, k)."""
+    from spotframe.session import cut_lineage
+    e = emb.select(F.col(id_col).alias("id"), F.col(batch).alias("b"), F.col(vec).alias("z"))
+    e = cut_lineage(e)
+    n_all = e.count()
+    nb = e.groupBy("b").agg((F.count("*") / F.lit(float(n_all))).alias("share"))
+    first = e.withColumn("_h", F.md5("id")).orderBy("_h").limit(k)
+    mu = first.withColumn("k", F.row_number().over(Window.orderBy("_h")) - 1).select("k", F.col("z").alias("mu"))
+    ks = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")
+    resp = None
+    for _ in range(iters):
+        mu = cut_lineage(mu)
+        ck = e.select("id", "b", "z", ks).join(F.broadcast(mu), "k")
+        d2 = F.aggregate(F.zip_with("z", "mu", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
+        ck = ck.withColumn("logit", -d2 / F.lit(sigma))
+        if resp is not None:
+            o = resp.groupBy("k", "b").agg(F.sum("r").alias("o"))
+            tot = resp.groupBy("k").agg(F.sum("r").alias("t"))
+            pen = o.join(tot, "k").join(F.broadcast(nb), "b").select(
+                "k", "b", (F.lit(theta) * F.log((F.col("t") * F.col("share") + F.lit(1e-12)) / (F.col("o") + F.lit(1e-12)))).alias("pen"))
+            ck = ck.join(F.broadcast(pen), ["k", "b"], "left").withColumn("logit", F.col("logit") + F.coalesce("pen", F.lit(0.0)))
+        w = Window.partitionBy("id")
+        ck = ck.withColumn("r", F.exp(F.col("logit") - F.max("logit").over(w)))
+        ck = ck.withColumn("r", F.col("r") / F.sum("r").over(w))
+        resp = cut_lineage(ck.select("id", "b", "k", "r", "z"))
+        dims = F.posexplode("z").alias("j", "v")
+        rz = resp.select("k", "b", "r", dims)
+        mk = rz.groupBy("k", "j").agg((F.sum(F.col("r") * F.col("v")) / F.sum("r")).alias("m"))
+        mkb = rz.groupBy("k", "b", "j").agg((F.sum(F.col("r") * F.col("v")) / F.sum("r")).alias("mb"))
+        off = mkb.join(mk, ["k", "j"]).select("k", "b", "j", (F.col("mb") - F.col("m")).alias("off"))
+        corr = (resp.select("id", "b", "k", "r").join(off, ["k", "b"])
+                .groupBy("id", "j").agg(F.sum(F.col("r") * F.col("off")).alias("c")))
+        cv = corr.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("j", "c"))).alias("_c"))
+        e = cut_lineage(e.join(cv, "id", "left").select(
+            "id", "b", F.when(F.col("_c").isNull(), F.col("z")).otherwise(
+                F.zip_with("z", F.transform("_c", lambda s: s["c"]), lambda x, y: x - y)).alias("z")))
+        mu = mk.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("_m")).select(
+            "k", F.transform("_m", lambda s: s["m"]).alias("mu"))
+    return e.select(F.col("id").alias(id_col), F.col("b").alias(batch), F.col("z").alias(vec))

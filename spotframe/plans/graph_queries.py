@@ -258,3 +258,13 @@ def knn_graph_clusters(spark, d):
     und = nn.select("src", "dst").unionByName(nn.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = stage(und.distinct().withColumn("weight", F.lit(1.0)))
     return gr.graph_clusters(e, 1.0, SWEEPS).withColumnRenamed("node", "barcode")
+
+
+@register("harmonize_batches")
+def harmonize_batches(spark, d):
+    """Soft-cluster batch correction of the embeddings (k = 5 centroids, 3 iterations);
+    per-batch mean of each corrected coordinate."""
+    e = _emb(spark, d)
+    h = tf.harmonize(e.select("barcode", "sample", "vec"), "sample", 5, 3, sigma=1.0, theta=2.0)
+    return finish(h.select("sample", F.posexplode("vec").alias("dim", "v")).groupBy("sample", "dim").agg(
+        F.avg("v").alias("mean")))

@@ -182,3 +182,11 @@ def nmf_accuracy(spark, d):
     """Reconstruction accuracy corr(X, WH) over all spot x type cells."""
     comp, W, H = _nmf(spark, d)
     return finish(dc.nmf_tables(comp, W, H)["accuracy"])
+
+
+@register("nmf_stability")
+def nmf_stability(spark, d):
+    """N5 -> N6: restart stability (mean best cosine of factors) over 3 restarts."""
+    comp = stage(adapter.composition(spark, d))
+    hs = [dc.nmf(comp, NMF_RANK, NMF_ITERS, restart=r)[1] for r in range(3)]
+    return finish(dc.restart_stability(hs))
