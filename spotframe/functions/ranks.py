@@ -45,3 +45,32 @@ def average_rank(df: DataFrame, keys: list[str], value: str, weight: str | None
          .withColumn(out, F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0))
          .drop("_bucket", "_offset", "_below_local"))
     return d
+
+
+def exact_percentiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | None = None,
+                      buckets: int = 256) -> DataFrame:
+    """Exact linear-interpolation quantiles (keys, prob, percentile) without buffering a group in
+    one task.  From the distributed ranks of ``average_rank``: position p = (n - 1) q; the order
+    statistics at floor(p) and ceil(p) are the distinct values whose [below, below + cnt) covers
+    them; result v_lo + (p - floor(p)) (v_hi - v_lo)."""
+    keys = list(keys or [])
+    k = keys or ["_g"]
+    src = df.select(*keys, F.col(value).alias("_v")) if keys else df.select(F.lit(0).alias("_g"), F.col(value).alias("_v"))
+    r = average_rank(src, k, "_v", buckets=buckets)
+    n = r.groupBy(*k).agg(F.sum("cnt").alias("_n"))
+    r = r.join(n, k).select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("prob"))
+    pos = (F.col("_n") - F.lit(1)).cast("double") * F.col("prob")
+    lo_i, hi_i = F.floor(pos), F.ceil(pos)
+    hit_lo = (F.col("below") <= lo_i) & (lo_i < F.col("below") + F.col("cnt"))
+    hit_hi = (F.col("below") <= hi_i) & (hi_i < F.col("below") + F.col("cnt"))
+    agg = r.groupBy(*k, "prob").agg(F.max(F.when(hit_lo, F.col("_v"))).alias("_lo"),
+                                    F.max(F.when(hit_hi, F.col("_v"))).alias("_hi"), F.first(pos).alias("_p"))
+    res = agg.select(*k, "prob", (F.col("_lo") + (F.col("_p") - F.floor("_p")) * (F.col("_hi") - F.col("_lo"))).alias("percentile"))
+    return res.drop("_g") if not keys else res
+
+
+def exact_percentile(df: DataFrame, value: str, q: float, keys: list[str] | None = None,
+                     buckets: int = 256, out: str = "percentile") -> DataFrame:
+    """Single-probability form of ``exact_percentiles``: (keys, <out>)."""
+    r = exact_percentiles(df, value, [q], keys, buckets)
+    return r.drop("prob").withColumnRenamed("percentile", out)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotframe.functions.ranks import average_rank
+from spotframe.functions.ranks import average_rank, exact_percentile
 from spotframe.functions.stats import lcg
 from spotframe.operators.ranking import bh_adjust
 from spotframe.operators.spatial import neighbor_mean
@@ -188,7 +188,8 @@ def lr_diagnostics(expr: DataFrame, lr_db: DataFrame, n_spots: int, ce: DataFram
     """H5: per LR, expression level (mean of the two sides' non-zero medians) and frequency
     (mean of the two sides' zero-spot shares)."""
     ce = ce if ce is not None else complex_expression(expr, lr_db)
-    side = ce.groupBy("lr", "side").agg(F.median("value").alias("med"), F.count("*").alias("nnz"))
+    med = exact_percentile(ce, "value", 0.5, ["lr", "side"], out="med")       # distributed exact median
+    side = ce.groupBy("lr", "side").agg(F.count("*").alias("nnz")).join(med, ["lr", "side"])
     side = side.withColumn("zero_share", F.lit(1.0) - F.col("nnz") / F.lit(float(n_spots)))
     full = lr_genes(lr_db).select("lr", "side").distinct().join(side, ["lr", "side"], "left").fillna(
         {"med": 0.0, "zero_share": 1.0})

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.functions.ranks import exact_percentile
+
 KEYS = ["sample", "barcode"]
 
 
@@ -19,9 +21,10 @@ def depth(expr: DataFrame) -> DataFrame:
 
 
 def median_depth(cells: DataFrame, expr: DataFrame) -> float:
-    """Exact median of per-cell totals over ``cells`` (cells without counts count as 0)."""
-    d = cells.select(*KEYS).join(depth(expr), KEYS, "left")
-    return float(d.agg(F.median(F.coalesce("depth", F.lit(0.0)))).first()[0])
+    """Exact median of per-cell totals over ``cells`` (cells without counts count as 0).
+    Computed from distributed ranks, so no task ever buffers all cells."""
+    d = cells.select(*KEYS).join(depth(expr), KEYS, "left").select(F.coalesce("depth", F.lit(0.0)).alias("depth"))
+    return float(exact_percentile(d, "depth", 0.5).first()[0])
 
 
 def normalize_total(expr: DataFrame, target: float | None = None, cells: DataFrame | None = None,

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.functions.ranks import exact_percentile, exact_percentiles
+
 KEYS = ["sample", "barcode"]
 MAX_LEVELS = 100_000
 
@@ -109,10 +111,10 @@ def clip_quantile(df: DataFrame, col: str, q: float, by: list[str] | None = None
     """Clip ``col`` above at its exact ``q`` quantile (within ``by`` groups)."""
     by = by or []
     if by:
-        qs = df.groupBy(*by).agg(F.percentile(col, q).alias("_q"))
+        qs = exact_percentile(df, col, q, by, out="_q")
         d = df.join(qs, by)
     else:
-        qv = df.agg(F.percentile(col, q)).first()[0]
+        qv = exact_percentile(df, col, q, out="_q").first()[0]
         d = df.withColumn("_q", F.lit(float(qv)))
     return d.withColumn(col, F.least(F.col(col), F.col("_q"))).drop("_q")
 
@@ -125,13 +127,10 @@ def n_batches(spots: DataFrame, col: str = "sample") -> int:
 def qc_summary(metrics: DataFrame, cols: list[str], by: str = "sample",
                probs: tuple = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Exact quantiles of QC metrics per sample (the data behind violin plots), long form."""
-    parts = []
-    for c in cols:
-        agg = metrics.groupBy(by).agg(F.percentile(F.col(c).cast("double"), list(probs)).alias("_q"))
-        parts.append(agg.select(by, F.lit(c).alias("metric"),
-                                F.posexplode("_q").alias("_i", "value"))
-                     .select(by, "metric", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"), "value"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    long = reduce(lambda a, b: a.unionByName(b),
+                  [metrics.select(by, F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols])
+    res = exact_percentiles(long, "v", list(probs), [by, "metric"])
+    return res.select(by, "metric", "prob", F.col("percentile").alias("value"))
 
 
 def qc_scatter_r(metrics: DataFrame, a: str, b: str, by: str = "sample") -> DataFrame:

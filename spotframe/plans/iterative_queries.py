@@ -97,36 +97,55 @@ def abundance_summary(spark, d):
     return finish(dc.abundance_summary(q, sig, KL_ITERS, N3_REPS))
 
 
-def _lloyd_sql(k: int, iters: int) -> str:
-    parts = ["""
-pts AS (SELECT sample, barcode, cell_type, score FROM composition),
-xx AS (SELECT sample, barcode, sum(score * score) AS xx FROM pts GROUP BY 1, 2),
-ks AS (SELECT range::INTEGER AS k FROM range(0, """ + str(k) + """)),
-init AS (SELECT sample, barcode, CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS k FROM
+def _lloyd_ctes(k: int, iters: int, p: str = "") -> str:
+    """Unrolled Lloyd iterations over ``pts`` / ``xx`` (shared CTEs); names carry prefix ``p``."""
+    parts = [f""",
+{p}ks AS (SELECT range::INTEGER AS k FROM range(0, {k})),
+{p}init AS (SELECT sample, barcode, CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS k FROM
          (SELECT sample, barcode, md5(sample || '/' || barcode) AS h FROM (SELECT DISTINCT sample, barcode FROM pts) t
-          ORDER BY h LIMIT """ + str(k) + """) s),
-c0 AS (SELECT i.k, p.cell_type, p.score AS c FROM pts p JOIN init i USING (sample, barcode))"""]
+          ORDER BY h LIMIT {k}) s),
+{p}c0 AS (SELECT i.k, q.cell_type, q.score AS c FROM pts q JOIN {p}init i USING (sample, barcode))"""]
     for i in range(iters + 1):
         parts.append(f""",
-cc{i} AS (SELECT k, sum(c * c) AS cc FROM c{i} GROUP BY k),
-dot{i} AS (SELECT p.sample, p.barcode, c.k, sum(p.score * c.c) AS dot FROM pts p JOIN c{i} c USING (cell_type) GROUP BY 1, 2, 3),
-dist{i} AS (SELECT x.sample, x.barcode, ks.k, x.xx - 2.0 * coalesce(d.dot, 0.0) + coalesce(cc.cc, 0.0) AS dist
-            FROM xx x CROSS JOIN ks LEFT JOIN cc{i} cc ON cc.k = ks.k
-            LEFT JOIN dot{i} d ON d.sample = x.sample AND d.barcode = x.barcode AND d.k = ks.k),
-a{i} AS (SELECT sample, barcode, k, dist FROM
-         (SELECT *, row_number() OVER (PARTITION BY sample, barcode ORDER BY dist, k) AS rn FROM dist{i}) WHERE rn = 1)""")
+{p}cc{i} AS (SELECT k, sum(c * c) AS cc FROM {p}c{i} GROUP BY k),
+{p}dot{i} AS (SELECT q.sample, q.barcode, c.k, sum(q.score * c.c) AS dot FROM pts q JOIN {p}c{i} c USING (cell_type)
+              GROUP BY 1, 2, 3),
+{p}dist{i} AS (SELECT x.sample, x.barcode, ks.k, x.xx - 2.0 * coalesce(d.dot, 0.0) + coalesce(cc.cc, 0.0) AS dist
+            FROM xx x CROSS JOIN {p}ks ks LEFT JOIN {p}cc{i} cc ON cc.k = ks.k
+            LEFT JOIN {p}dot{i} d ON d.sample = x.sample AND d.barcode = x.barcode AND d.k = ks.k),
+{p}a{i} AS (SELECT sample, barcode, k, dist FROM
+         (SELECT *, row_number() OVER (PARTITION BY sample, barcode ORDER BY dist, k) AS rn FROM {p}dist{i}) WHERE rn = 1)""")
         if i < iters:
             parts.append(f""",
-nk{i} AS (SELECT k, count(*) AS n_k FROM a{i} GROUP BY k),
-c{i + 1} AS (SELECT a.k, p.cell_type, sum(p.score) / max(nk.n_k) AS c FROM pts p JOIN a{i} a USING (sample, barcode)
-            JOIN nk{i} nk ON nk.k = a.k GROUP BY 1, 2
-            UNION ALL SELECT c.k, c.cell_type, c.c FROM c{i} c WHERE c.k NOT IN (SELECT k FROM nk{i}))""")
-    parts.append(f""",
-sz AS (SELECT k, count(*) AS n FROM a{iters} GROUP BY k),
-lab AS (SELECT k, 'CC' || CAST(row_number() OVER (ORDER BY n DESC, k) AS VARCHAR) AS cc FROM sz)""")
+{p}nk{i} AS (SELECT k, count(*) AS n_k FROM {p}a{i} GROUP BY k),
+{p}c{i + 1} AS (SELECT a.k, q.cell_type, sum(q.score) / max(nk.n_k) AS c FROM pts q JOIN {p}a{i} a USING (sample, barcode)
+            JOIN {p}nk{i} nk ON nk.k = a.k GROUP BY 1, 2
+            UNION ALL SELECT c.k, c.cell_type, c.c FROM {p}c{i} c WHERE c.k NOT IN (SELECT k FROM {p}nk{i}))""")
     return "".join(parts)
 
 
+_PTS = """
+pts AS (SELECT sample, barcode, cell_type, score FROM composition),
+xx AS (SELECT sample, barcode, sum(score * score) AS xx FROM pts GROUP BY 1, 2)"""
+
+
+def _lloyd_sql(k: int, iters: int) -> str:
+    return _PTS + _lloyd_ctes(k, iters) + f""",
+sz AS (SELECT k, count(*) AS n FROM a{iters} GROUP BY k),
+lab AS (SELECT k, 'CC' || CAST(row_number() OVER (ORDER BY n DESC, k) AS VARCHAR) AS cc FROM sz)"""
+
+
+ELBOW_K, ELBOW_ITERS = 6, 3
+
+
+def _elbow_sql() -> str:
+    body = _PTS + "".join(_lloyd_ctes(k, ELBOW_ITERS, f"e{k}_") for k in range(1, ELBOW_K + 1))
+    sel = "\nUNION ALL\n".join(
+        f"SELECT CAST({k} AS INTEGER) AS k, round(sum(dist), 6) AS wcss FROM e{k}_a{ELBOW_ITERS}"
+        for k in range(1, ELBOW_K + 1))
+    return body + "\n" + sel
+
+
 @register("composition_clusters", with_views(_lloyd_sql(K, LLOYD_ITERS) + f"""
 SELECT a.sample, a.barcode, l.cc, round(a.dist, 6) AS dist FROM a{LLOYD_ITERS} a JOIN lab l USING (k)""",
                                              ["composition"]))
@@ -156,11 +175,11 @@ def cc_enrichment_kmeans(spark, d):
     return finish(en.cc_enrichment(comp, lab, "cc"))
 
 
-@register("elbow")
+@register("elbow", with_views(_elbow_sql(), ["composition"]))
 def elbow(spark, d):
     """K2: within-cluster sum of squares for k = 1..6 (3 Lloyd iterations each)."""
     comp = stage(adapter.composition(spark, d))
-    return finish(cp.elbow(comp, 6, 3))
+    return finish(cp.elbow(comp, ELBOW_K, ELBOW_ITERS))
 
 
 def _nmf(spark, d):

@@ -260,8 +260,10 @@ SELECT sample, median(n) AS median_depth, count(*) AS n_spots FROM
   (SELECT sample, barcode, sum(value) AS n FROM expr GROUP BY 1, 2) GROUP BY sample""", ["expr"]))
 def median_depth(spark, d):
     """Exact median of spot totals (per sample)."""
+    from spotframe.functions.ranks import exact_percentile
     q = qc.qc_counts(adapter.expr(spark, d))
-    return finish(q.groupBy("sample").agg(F.median("n_count").alias("median_depth"), F.count("*").alias("n_spots")))
+    med = exact_percentile(q, "n_count", 0.5, ["sample"], out="median_depth")
+    return finish(med.join(q.groupBy("sample").agg(F.count("*").alias("n_spots")), "sample"))
 
 
 @register("max_scale", with_views("""

@@ -34,6 +34,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+# Settings for a large cluster (~1000 executors, ~100 TB of long-form counts).  Shuffle
+# partitions start high and AQE coalesces them; skewed join partitions are split; a
+# shared checkpoint folder must be given by the cluster (spark.checkpoint.dir).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.ui.enabled": "false",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point the context at ``spark.checkpoint.dir``; local mode may fall back."""
     sc = spark.sparkContext

@@ -82,3 +82,17 @@ def test_average_expression_includes_zeros(spark):
     lab = spark.createDataFrame([("S", "a", "A"), ("S", "b", "A")], "sample string, barcode string, cluster string")
     r = mk.average_expression(expr, lab).collect()[0]
     assert abs(r["avg_exp"] - 1.5) < 1e-12
+
+
+def test_exact_percentile_matches_numpy(spark):
+    from spotframe.functions.ranks import exact_percentile
+    rng = np.random.default_rng(11)
+    vals = rng.integers(0, 50, size=301).astype(float)
+    keys = rng.integers(0, 3, size=301)
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, vals)], "k int, v double")
+    for q in (0.5, 0.05, 0.992):
+        got = {r["k"]: r["percentile"] for r in exact_percentile(df, "v", q, ["k"], buckets=7).collect()}
+        for k in range(3):
+            assert abs(got[k] - float(np.quantile(vals[keys == k], q))) < 1e-9
+        g = exact_percentile(df, "v", q).collect()[0]["percentile"]
+        assert abs(g - float(np.quantile(vals, q))) < 1e-9
