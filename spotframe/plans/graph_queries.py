@@ -58,6 +58,46 @@ w AS (SELECT a, b, c / ({2.0 * K!r} - c) AS weight FROM t WHERE c / ({2.0 * K!r}
 snn AS (SELECT a AS src, b AS dst, weight FROM w UNION ALL SELECT b, a, weight FROM w)"""
 
 
+UNIT_EDGES = """,
+ge AS (SELECT DISTINCT src, dst, 1.0::DOUBLE AS weight FROM (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn) t)"""
+SNN_EDGES = """,
+ge AS (SELECT src, dst, weight FROM snn)"""
+
+
+def _lm_sql(resolution: float, sweeps: int, base: str = None, edges: str = None, node: str = "barcode") -> str:
+    """Unrolled SQL twin of graph.local_moving + graph_clusters (default: unit-weight symmetrised kNN graph)."""
+    base = KNN_SQL if base is None else base
+    edges = UNIT_EDGES if edges is None else edges
+    parts = [base + edges + """,
+deg AS (SELECT src AS node, sum(weight) AS kv FROM ge GROUP BY 1),
+m2 AS (SELECT sum(weight) AS m2 FROM ge),
+lab0 AS (SELECT node, node AS label FROM deg)"""]
+    g = repr(float(resolution))
+    for s in range(sweeps):
+        parts.append(f""",
+kc{s} AS (SELECT l.label, sum(d.kv) AS kc FROM lab{s} l JOIN deg d USING (node) GROUP BY 1),
+wvc{s} AS (SELECT e.src AS node, l.label AS c, sum(e.weight) AS w FROM ge e JOIN lab{s} l ON l.node = e.dst GROUP BY 1, 2),
+cand{s} AS (SELECT w.node, w.c, cur.label AS own,
+                   w.w - {g} * d.kv * (CASE WHEN w.c = cur.label THEN k.kc - d.kv ELSE k.kc END) / m2.m2 AS gain
+            FROM wvc{s} w JOIN lab{s} cur ON cur.node = w.node JOIN deg d ON d.node = w.node
+            JOIN kc{s} k ON k.label = w.c CROSS JOIN m2),
+best{s} AS (SELECT node, c AS c_best, gain AS g_best FROM
+            (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, c) AS r FROM cand{s}) WHERE r = 1),
+og{s} AS (SELECT node, gain AS g_own FROM cand{s} WHERE c = own),
+al{s} AS (SELECT l.node, -{g} * d.kv * (k.kc - d.kv) / m2.m2 AS g_alone FROM lab{s} l JOIN deg d USING (node)
+          JOIN kc{s} k ON k.label = l.label CROSS JOIN m2),
+lab{s + 1} AS (SELECT l.node,
+                 CASE WHEN (instr('0123456789abcdef', substr(md5(l.node || ':{s}'), 1, 1)) - 1) % 2 = 0
+                           AND b.c_best IS NOT NULL AND b.g_best > coalesce(o.g_own, a.g_alone) AND b.c_best <> l.label
+                      THEN b.c_best ELSE l.label END AS label
+               FROM lab{s} l LEFT JOIN best{s} b USING (node) LEFT JOIN og{s} o USING (node) LEFT JOIN al{s} a USING (node))""")
+    parts.append(f""",
+sz AS (SELECT label, count(*) AS n FROM lab{sweeps} GROUP BY 1),
+ord AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS VARCHAR) AS cluster FROM sz)
+SELECT l.node AS {node}, o.cluster FROM lab{sweeps} l JOIN ord o USING (label)""")
+    return "".join(parts)
+
+
 @register("snn_graph", with_views(SNN_SQL + """
 SELECT src, dst, round(weight, 6) AS weight FROM snn""", V_E))
 def snn_graph(spark, d):
@@ -66,7 +106,7 @@ def snn_graph(spark, d):
     return finish(gr.snn(nn, K, PRUNE))
 
 
-@register("graph_clusters")
+@register("graph_clusters", with_views(_lm_sql(RESOLUTION, SWEEPS, SNN_SQL, SNN_EDGES), V_E))
 def graph_clusters(spark, d):
     """G13 -> G14 -> G15: modularity clusters (resolution 0.8, 4 synchronous sweeps)."""
     nn = stage(gr.knn(_emb(spark, d), K))
@@ -194,7 +234,32 @@ def pca_clusters(spark, d):
     return gr.graph_clusters(stage(gr.snn(nn, K, PRUNE)), RESOLUTION, SWEEPS).withColumnRenamed("node", "spot")
 
 
-@register("regions")
+REGION_BASE = f"""
+ty AS (SELECT DISTINCT cell_type FROM composition),
+sp AS (SELECT DISTINCT sample, barcode FROM composition),
+dv AS (SELECT s.sample || '/' || s.barcode AS barcode, list(coalesce(c.score, 0.0) ORDER BY t.cell_type) AS vec
+       FROM sp s CROSS JOIN ty t LEFT JOIN composition c
+         ON c.sample = s.sample AND c.barcode = s.barcode AND c.cell_type = t.cell_type GROUP BY 1),
+pairs AS (SELECT a.barcode AS src, b.barcode AS dst, list_distance(a.vec, b.vec) AS dist
+          FROM dv a JOIN dv b ON a.barcode <> b.barcode),
+kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pairs)
+       WHERE rank <= {K}),
+nb AS (SELECT src, list_distinct(list(dst) || [src]) AS nset FROM kn GROUP BY src),
+und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM kn),
+t AS (SELECT u.a, u.b, len(list_intersect(x.nset, y.nset))::DOUBLE AS c FROM und u
+      JOIN nb x ON x.src = u.a JOIN nb y ON y.src = u.b),
+w AS (SELECT a, b, c / ({2.0 * K!r} - c) AS weight FROM t WHERE c / ({2.0 * K!r} - c) >= {PRUNE!r}),
+snn AS (SELECT a AS src, b AS dst, weight FROM w UNION ALL SELECT b, a, weight FROM w)"""
+
+
+def _regions_sql() -> str:
+    q = _lm_sql(RESOLUTION, SWEEPS, REGION_BASE, SNN_EDGES, node="spot")
+    # cluster names carry the region prefix
+    return q.replace("CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS VARCHAR) AS cluster",
+                     "'R' || CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS VARCHAR) AS cluster")
+
+
+@register("regions", with_views(_regions_sql(), ["composition"]))
 def regions(spark, d):
     """regions = kNN graph + clustering on the spot abundance (composition) vectors."""
     comp = stage(adapter.composition(spark, d))
@@ -218,39 +283,6 @@ def interaction_communities(spark, d):
     return gr.graph_clusters(und, 1.0, SWEEPS, by=["block"])
 
 
-def _lm_sql(resolution: float, sweeps: int) -> str:
-    """Unrolled SQL twin of graph.local_moving on the unit-weight symmetrised kNN graph."""
-    parts = [KNN_SQL + """,
-ge AS (SELECT DISTINCT src, dst, 1.0::DOUBLE AS weight FROM (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn) t),
-deg AS (SELECT src AS node, sum(weight) AS kv FROM ge GROUP BY 1),
-m2 AS (SELECT sum(weight) AS m2 FROM ge),
-lab0 AS (SELECT node, node AS label FROM deg)"""]
-    g = repr(float(resolution))
-    for s in range(sweeps):
-        parts.append(f""",
-kc{s} AS (SELECT l.label, sum(d.kv) AS kc FROM lab{s} l JOIN deg d USING (node) GROUP BY 1),
-wvc{s} AS (SELECT e.src AS node, l.label AS c, sum(e.weight) AS w FROM ge e JOIN lab{s} l ON l.node = e.dst GROUP BY 1, 2),
-cand{s} AS (SELECT w.node, w.c, cur.label AS own,
-                   w.w - {g} * d.kv * (CASE WHEN w.c = cur.label THEN k.kc - d.kv ELSE k.kc END) / m2.m2 AS gain
-            FROM wvc{s} w JOIN lab{s} cur ON cur.node = w.node JOIN deg d ON d.node = w.node
-            JOIN kc{s} k ON k.label = w.c CROSS JOIN m2),
-best{s} AS (SELECT node, c AS c_best, gain AS g_best FROM
-            (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, c) AS r FROM cand{s}) WHERE r = 1),
-og{s} AS (SELECT node, gain AS g_own FROM cand{s} WHERE c = own),
-al{s} AS (SELECT l.node, -{g} * d.kv * (k.kc - d.kv) / m2.m2 AS g_alone FROM lab{s} l JOIN deg d USING (node)
-          JOIN kc{s} k ON k.label = l.label CROSS JOIN m2),
-lab{s + 1} AS (SELECT l.node,
-                 CASE WHEN (instr('0123456789abcdef', substr(md5(l.node || ':{s}'), 1, 1)) - 1) % 2 = 0
-                           AND b.c_best IS NOT NULL AND b.g_best > coalesce(o.g_own, a.g_alone) AND b.c_best <> l.label
-                      THEN b.c_best ELSE l.label END AS label
-               FROM lab{s} l LEFT JOIN best{s} b USING (node) LEFT JOIN og{s} o USING (node) LEFT JOIN al{s} a USING (node))""")
-    parts.append(f""",
-sz AS (SELECT label, count(*) AS n FROM lab{sweeps} GROUP BY 1),
-ord AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS VARCHAR) AS cluster FROM sz)
-SELECT l.node AS barcode, o.cluster FROM lab{sweeps} l JOIN ord o USING (label)""")
-    return "".join(parts)
-
-
 @register("knn_graph_clusters", with_views(_lm_sql(1.0, SWEEPS), V_E))
 def knn_graph_clusters(spark, d):
     """G13 -> G15: modularity clusters (resolution 1, 4 sweeps) of the unit-weight symmetrised 10-NN graph."""
