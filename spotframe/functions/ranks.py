@@ -25,15 +25,21 @@ def bucket_of(bounds: Column, value: Column) -> Column:
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
-                 buckets: int = 32, out: str = "rank") -> DataFrame:
+                 buckets: int = 32, out: str = "rank", hot_distinct: int = 100_000) -> DataFrame:
     """Distinct (keys, value) rows with ``cnt``, ``below`` (weight of smaller values)
-    and the average-tie rank ``below + (cnt + 1) / 2`` (1-based)."""
+    and the average-tie rank ``below + (cnt + 1) / 2`` (1-based).
+
+    Only hot keys (more than ``hot_distinct`` distinct values) are sliced; every other key is
+    one slice, so the quantile sketches are built for the hot keys alone."""
     w = F.col(weight) if weight else F.lit(1)
     d = df.groupBy(*keys, value).agg(F.sum(w).cast("long").alias("cnt"))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(*keys).agg(F.percentile_approx(value, probs, 10000).alias("_bounds"))
-    d = (d.join(bounds, keys)
-         .withColumn("_bucket", bucket_of(F.col("_bounds"), F.col(value)))
+    nd = d.groupBy(*keys).agg(F.count("*").alias("_nd"))
+    hot = nd.filter(F.col("_nd") > hot_distinct).select(*keys)
+    bounds = (d.join(hot, keys, "left_semi").groupBy(*keys)
+              .agg(F.percentile_approx(value, probs, 10000).alias("_bounds")))
+    d = (d.join(bounds, keys, "left")
+         .withColumn("_bucket", F.coalesce(bucket_of(F.col("_bounds"), F.col(value)), F.lit(0)))
          .drop("_bounds"))
     w_local = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_below_local", F.coalesce(F.sum("cnt").over(w_local), F.lit(0)))
@@ -48,7 +54,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, weight: str | None
 
 
 def exact_percentiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | None = None,
-                      buckets: int = 256) -> DataFrame:
+                      buckets: int = 256, hot_distinct: int = 100_000) -> DataFrame:
     """Exact linear-interpolation quantiles (keys, prob, percentile) without buffering a group in
     one task.  From the distributed ranks of ``average_rank``: position p = (n - 1) q; the order
     statistics at floor(p) and ceil(p) are the distinct values whose [below, below + cnt) covers
@@ -56,7 +62,7 @@ def exact_percentiles(df: DataFrame, value: str, qs: list[float], keys: list[str
     keys = list(keys or [])
     k = keys or ["_g"]
     src = df.select(*keys, F.col(value).alias("_v")) if keys else df.select(F.lit(0).alias("_g"), F.col(value).alias("_v"))
-    r = average_rank(src, k, "_v", buckets=buckets)
+    r = average_rank(src, k, "_v", buckets=buckets, hot_distinct=hot_distinct)
     n = r.groupBy(*k).agg(F.sum("cnt").alias("_n"))
     r = r.join(n, k).select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("prob"))
     pos = (F.col("_n") - F.lit(1)).cast("double") * F.col("prob")
@@ -70,7 +76,7 @@ def exact_percentiles(df: DataFrame, value: str, qs: list[float], keys: list[str
 
 
 def exact_percentile(df: DataFrame, value: str, q: float, keys: list[str] | None = None,
-                     buckets: int = 256, out: str = "percentile") -> DataFrame:
+                     buckets: int = 256, out: str = "percentile", hot_distinct: int = 100_000) -> DataFrame:
     """Single-probability form of ``exact_percentiles``: (keys, <out>)."""
-    r = exact_percentiles(df, value, [q], keys, buckets)
+    r = exact_percentiles(df, value, [q], keys, buckets, hot_distinct)
     return r.drop("prob").withColumnRenamed("percentile", out)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spotframe.functions.ranks import average_rank
 from spotframe.functions.stats import norm_sf_two_sided, round_half_up
+from spotframe.session import cut_lineage
 
 KEYS = ["sample", "barcode"]
 MAX_GROUPS = 100_000
@@ -38,7 +39,7 @@ def _explode_groups(df: DataFrame, sizes: dict[str, int], group: str) -> DataFra
 
 def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", only_pos: bool = False,
                  min_pct: float = 0.0, min_logfc: float = 0.0, max_p: float | None = None,
-                 n_genes: int | None = None, buckets: int = 32) -> DataFrame:
+                 n_genes: int | None = None, buckets: int = 32, hot_distinct: int = 100_000) -> DataFrame:
     """Markers for every group of ``labels`` (sample, barcode, <group>) against the rest.
 
     ``expr`` holds log-normalised non-zero values; cells absent from ``labels`` are ignored.
@@ -51,8 +52,9 @@ def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", onl
     if n_genes is None:
         n_genes = expr.select("gene").distinct().count()
     e = expr.join(lab, KEYS).select("gene", "value", group)
-    vc = e.groupBy("gene", "value", group).agg(F.count("*").alias("cnt"))
-    ranks = average_rank(vc, ["gene"], "value", weight="cnt", buckets=buckets)
+    # both tables feed two consumers (tie terms / rank sums): materialise once
+    vc = cut_lineage(e.groupBy("gene", "value", group).agg(F.count("*").alias("cnt")))
+    ranks = cut_lineage(average_rank(vc, ["gene"], "value", weight="cnt", buckets=buckets, hot_distinct=hot_distinct))
     gstat = ranks.groupBy("gene").agg(
         F.sum("cnt").alias("nnz"),
         F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("ties_nz"),

@@ -70,9 +70,14 @@ def filter_cells(metrics: DataFrame, low_feature: int | None = None, high_featur
 
 
 def min_features(expr: DataFrame, n: int) -> DataFrame:
-    """Restrict ``expr`` to cells with at least ``n`` detected features."""
-    cells = expr.filter(F.col("value") > 0).groupBy(*KEYS).count().filter(F.col("count") >= n)
-    return expr.join(cells.select(*KEYS), KEYS, "left_semi")
+    """Restrict ``expr`` to cells with at least ``n`` detected features.
+
+    One pass: a count over the spot's own rows (a spot holds at most one row per gene, so the
+    window partition is bounded by the gene catalogue)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*KEYS)
+    nf = F.count(F.when(F.col("value") > 0, 1)).over(w)
+    return expr.withColumn("_nf", nf).filter(F.col("_nf") >= n).drop("_nf")
 
 
 def filter_genes(expr: DataFrame, min_cells: int) -> DataFrame:

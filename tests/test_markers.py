@@ -46,7 +46,7 @@ def test_find_markers_matches_dense_rank_sum(spark):
             if dense[i, g] != 0]
     expr = spark.createDataFrame(rows, "sample string, barcode string, gene string, value double")
     lab = spark.createDataFrame([("S", f"c{i}", labels[i]) for i in range(len(labels))], "sample string, barcode string, cluster string")
-    res = mk.find_markers(expr, lab, "cluster", buckets=4).collect()
+    res = mk.find_markers(expr, lab, "cluster", buckets=4, hot_distinct=3).collect()
     assert len(res) == 3 * dense.shape[1]
     for grp in "ABC":
         want = _brute(dense, labels, grp, dense.shape[1])
@@ -63,7 +63,7 @@ def test_average_rank_matches_pandas(spark):
     vals = rng.integers(0, 30, size=500).astype(float)
     keys = rng.integers(0, 3, size=500)
     df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, vals)], "k int, v double")
-    got = {(r["k"], r["v"]): r["rank"] for r in average_rank(df, ["k"], "v", buckets=5).collect()}
+    got = {(r["k"], r["v"]): r["rank"] for r in average_rank(df, ["k"], "v", buckets=5, hot_distinct=10).collect()}
     pdf = pd.DataFrame({"k": keys, "v": vals})
     pdf["r"] = pdf.groupby("k")["v"].rank(method="average")
     for (k, v), r in pdf.groupby(["k", "v"])["r"].first().items():
@@ -91,8 +91,8 @@ def test_exact_percentile_matches_numpy(spark):
     keys = rng.integers(0, 3, size=301)
     df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, vals)], "k int, v double")
     for q in (0.5, 0.05, 0.992):
-        got = {r["k"]: r["percentile"] for r in exact_percentile(df, "v", q, ["k"], buckets=7).collect()}
+        got = {r["k"]: r["percentile"] for r in exact_percentile(df, "v", q, ["k"], buckets=7, hot_distinct=5).collect()}
         for k in range(3):
             assert abs(got[k] - float(np.quantile(vals[keys == k], q))) < 1e-9
-        g = exact_percentile(df, "v", q).collect()[0]["percentile"]
+        g = exact_percentile(df, "v", q, hot_distinct=5).collect()[0]["percentile"]
         assert abs(g - float(np.quantile(vals, q))) < 1e-9
