@@ -132,29 +132,31 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
                          F.pmod(lcg(F.col("k"), combo_id * 2 + 1), F.col("n_r")).alias("jr"))
     cl = cand.select(F.col("bin").alias("bl"), F.col("j").alias("jl"), F.col("gene").alias("gl"))
     cr = cand.select(F.col("bin").alias("br"), F.col("j").alias("jr"), F.col("gene").alias("gr"))
-    pairs = cut_lineage(pairs.join(cl, ["bl", "jl"]).join(cr, ["br", "jr"]).select("bl", "br", "k", "gl", "gr"))
+    # draws repeat the same (gl, gr) when bins are small: score each distinct pair once, keep its multiplicity
+    pairs = cut_lineage(pairs.join(cl, ["bl", "jl"]).join(cr, ["br", "jr"])
+                        .groupBy("bl", "br", "gl", "gr").agg(F.count("*").alias("mult")))
     null_genes = pairs.select(F.col("gl").alias("gene")).union(pairs.select(F.col("gr").alias("gene"))).distinct()
     gv = cut_lineage(own_and_neighbors(expr.filter(F.col("value") > 0).join(null_genes, "gene", "left_semi"),
                                        edges, ["gene"]))
     side_l = pairs.join(gv.withColumnRenamed("gene", "gl"), "gl").select(
-        *KEYS, "bl", "br", "k", F.col("value").alias("L"), F.col("nbr_mean").alias("mL"))
+        *KEYS, "bl", "br", "gl", "gr", "mult", F.col("value").alias("L"), F.col("nbr_mean").alias("mL"))
     side_r = pairs.join(gv.withColumnRenamed("gene", "gr"), "gr").select(
-        *KEYS, "bl", "br", "k", F.col("value").alias("R"), F.col("nbr_mean").alias("mR"))
-    nk = KEYS + ["bl", "br", "k"]
+        *KEYS, "bl", "br", "gl", "gr", F.col("value").alias("R"), F.col("nbr_mean").alias("mR"))
+    nk = KEYS + ["bl", "br", "gl", "gr"]
     # a null score is positive only when both the ligand side (L or mL) and the receptor side
     # (R or mR) are present at the spot: the inner join keeps exactly the positive scores
     null = side_l.join(side_r, nk, "inner")
-    null = null.select(*KEYS, "bl", "br", _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score"))
+    null = null.select(*KEYS, "bl", "br", "mult", _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score"))
     obs = scores.join(lr_bins, "lr")
     # only (spot, bin combination) keys with an observed score need their null distribution
     null = null.filter(F.col("score") > 0).join(obs.select(*KEYS, "bl", "br").distinct(), KEYS + ["bl", "br"],
                                                 "left_semi")
-    u = (obs.select(*KEYS, "bl", "br", "lr", "score", F.lit(0).alias("is_null"))
+    u = (obs.select(*KEYS, "bl", "br", "lr", "score", F.lit(0).cast("long").alias("mult"))
          .unionByName(null.select(*KEYS, "bl", "br", F.lit(None).cast("string").alias("lr"), "score",
-                                  F.lit(1).alias("is_null"))))
+                                  F.col("mult").cast("long"))))
     w = (Window.partitionBy(*KEYS, "bl", "br").orderBy(F.desc("score"))
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("n_ge", F.sum("is_null").over(w)).filter(F.col("is_null") == 0)
+    u = u.withColumn("n_ge", F.sum("mult").over(w)).filter(F.col("lr").isNotNull())
     nn = combos.select("bl", "br", F.when((F.col("n_l") > 0) & (F.col("n_r") > 0), F.lit(n_pairs))
                        .otherwise(F.lit(0)).alias("n_null"))
     res = obs.join(u.select(*KEYS, "lr", "n_ge"), KEYS + ["lr"]).join(nn, ["bl", "br"], "left").fillna(0, ["n_null"])
