@@ -57,14 +57,16 @@ def deconvolve(expr: DataFrame, sig: DataFrame, iters: int, by: list[str] | None
     w = (spot_depth.select(*by, *KEYS, "depth", F.explode(F.array(*[F.lit(t) for t in type_names])).alias("cell_type"))
          .join(colsum, by + ["cell_type"])
          .select(*by, *KEYS, "cell_type", (F.col("depth") / (F.lit(float(n_types)) * F.col("gsum"))).alias("w")))
+    # the counts x signature join does not change across iterations: build it once
+    ds = d.join(sig, by + ["gene"]).select(*by, *KEYS, "gene", "cell_type", "value", "sig")
     if checkpoint:
         w = cut_lineage(w)
+        ds = cut_lineage(ds)
     for _ in range(iters):
-        mu = d.join(sig, by + ["gene"]).join(w, by + KEYS + ["cell_type"]).groupBy(*by, *KEYS, "gene").agg(
+        mu = ds.join(w, by + KEYS + ["cell_type"]).groupBy(*by, *KEYS, "gene").agg(
             F.sum(F.col("w") * F.col("sig")).alias("mu"))
-        ratio = d.join(mu, by + KEYS + ["gene"]).select(*by, *KEYS, "gene", (F.col("value") / F.col("mu")).alias("r"))
-        num = ratio.join(sig, by + ["gene"]).groupBy(*by, *KEYS, "cell_type").agg(
-            F.sum(F.col("sig") * F.col("r")).alias("num"))
+        num = ds.join(mu, by + KEYS + ["gene"]).groupBy(*by, *KEYS, "cell_type").agg(
+            F.sum(F.col("sig") * (F.col("value") / F.col("mu"))).alias("num"))
         w = (w.join(num, by + KEYS + ["cell_type"], "left").join(colsum, by + ["cell_type"])
              .select(*by, *KEYS, "cell_type", (F.col("w") * F.coalesce("num", F.lit(0.0)) / F.col("gsum")).alias("w")))
         if checkpoint:
