@@ -103,11 +103,13 @@ def nmf(x: DataFrame, rank: int, iters: int, restart: int = 0, key: str = "cell_
     xs = x.select(*KEYS, F.col(key).alias("t"), F.col(value).alias("x"))
     tl = sorted(r[0] for r in xs.select("t").distinct().collect())               # bounded: type catalogue
     types = xs.sparkSession.createDataFrame([(t, i + 1) for i, t in enumerate(tl)], "t string, _ti int")
-    spots = xs.select(*KEYS).distinct().withColumn("_si", F.xxhash64(*KEYS))
+    # spot seed: the first 7 hex digits of md5(sample/barcode) (a portable 28-bit integer)
+    seed = F.conv(F.substring(F.md5(F.concat_ws("/", "sample", "barcode")), 1, 7), 16, 10).cast("long")
+    spots = xs.select(*KEYS).distinct().withColumn("_si", seed)
     fac = F.explode(F.sequence(F.lit(0), F.lit(rank - 1))).alias("f")
     H = types.select("t", "_ti", fac).select("f", "t", lcg_unit(F.col("_ti") * 131 + F.col("f"), restart).alias("h"))
     W = spots.select(*KEYS, "_si", fac).select(
-        *KEYS, "f", lcg_unit(F.abs(F.col("_si") % F.lit(2 ** 31)) * 17 + F.col("f"), restart + 1000).alias("w"))
+        *KEYS, "f", lcg_unit(F.col("_si") * 17 + F.col("f"), restart + 1000).alias("w"))
     eps = F.lit(1e-12)
     for _ in range(iters):
         wtx = W.join(xs, KEYS).groupBy("f", "t").agg(F.sum(F.col("w") * F.col("x")).alias("num"))

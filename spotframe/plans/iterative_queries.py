@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spotframe.operators import composition as cp
 from spotframe.operators import deconv as dc
 from spotframe.operators import enrich as en
+from spotframe.functions.stats import LCG_M, lcg_sql
 from spotframe.plans.catalog import finish, register
 from spotframe.plans.oracle_views import with_views
 from spotframe.session import stage
@@ -182,13 +183,71 @@ def elbow(spark, d):
     return finish(cp.elbow(comp, ELBOW_K, ELBOW_ITERS))
 
 
+def _nmf_ctes(rank: int, iters: int, restart: int, p: str) -> str:
+    """Unrolled SQL twin of deconv.nmf (Frobenius multiplicative updates), CTE prefix ``p``."""
+    u = lambda idx, rep: f"(({lcg_sql(idx, str(rep))} + 1)::DOUBLE / {float(LCG_M)!r})"
+    parts = [f""",
+{p}ty AS (SELECT t, row_number() OVER (ORDER BY t) AS ti FROM (SELECT DISTINCT cell_type AS t FROM composition) z),
+{p}sp AS (SELECT DISTINCT sample, barcode, ('0x' || substr(md5(sample || '/' || barcode), 1, 7))::BIGINT AS si FROM composition),
+{p}fs AS (SELECT range AS f FROM range(0, {rank})),
+{p}H0 AS (SELECT fs.f, ty.t, {u('ty.ti * 131 + fs.f', restart)} AS h FROM {p}ty ty CROSS JOIN {p}fs fs),
+{p}W0 AS (SELECT sp.sample, sp.barcode, fs.f, {u('sp.si * 17 + fs.f', restart + 1000)} AS w FROM {p}sp sp CROSS JOIN {p}fs fs)"""]
+    for i in range(1, iters + 1):
+        j = i - 1
+        parts.append(f""",
+{p}wtx{i} AS (SELECT w.f, x.cell_type AS t, sum(w.w * x.score) AS num FROM {p}W{j} w
+             JOIN composition x ON x.sample = w.sample AND x.barcode = w.barcode GROUP BY 1, 2),
+{p}wtw{i} AS (SELECT a.f, b.f AS g, sum(a.w * b.w) AS ww FROM {p}W{j} a
+             JOIN {p}W{j} b ON a.sample = b.sample AND a.barcode = b.barcode GROUP BY 1, 2),
+{p}hd{i} AS (SELECT q.f, h.t, sum(q.ww * h.h) AS den FROM {p}wtw{i} q JOIN {p}H{j} h ON h.f = q.g GROUP BY 1, 2),
+{p}H{i} AS (SELECT h.f, h.t, h.h * coalesce(n.num, 0.0) / (dd.den + 1e-12) AS h FROM {p}H{j} h
+           LEFT JOIN {p}wtx{i} n ON n.f = h.f AND n.t = h.t JOIN {p}hd{i} dd ON dd.f = h.f AND dd.t = h.t),
+{p}xht{i} AS (SELECT x.sample, x.barcode, h.f, sum(x.score * h.h) AS num FROM composition x
+             JOIN {p}H{i} h ON h.t = x.cell_type GROUP BY 1, 2, 3),
+{p}hht{i} AS (SELECT a.f, b.f AS g, sum(a.h * b.h) AS hh FROM {p}H{i} a JOIN {p}H{i} b ON a.t = b.t GROUP BY 1, 2),
+{p}wd{i} AS (SELECT w.sample, w.barcode, q.f, sum(w.w * q.hh) AS den FROM {p}W{j} w JOIN {p}hht{i} q ON q.g = w.f
+            GROUP BY 1, 2, 3),
+{p}W{i} AS (SELECT w.sample, w.barcode, w.f, w.w * coalesce(n.num, 0.0) / (dd.den + 1e-12) AS w FROM {p}W{j} w
+           LEFT JOIN {p}xht{i} n ON n.sample = w.sample AND n.barcode = w.barcode AND n.f = w.f
+           JOIN {p}wd{i} dd ON dd.sample = w.sample AND dd.barcode = w.barcode AND dd.f = w.f)""")
+    return "".join(parts)
+
+
+NMF_FRACTIONS_SQL = "q0 AS (SELECT 1)" + _nmf_ctes(NMF_RANK, NMF_ITERS, 0, "r0_") + f"""
+SELECT CAST(f AS INTEGER) AS f, t, round(h, 6) AS h, round(h / sum(h) OVER (PARTITION BY t), 6) AS fraction FROM r0_H{NMF_ITERS}"""
+
+NMF_ACCURACY_SQL = "q0 AS (SELECT 1)" + _nmf_ctes(NMF_RANK, NMF_ITERS, 0, "r0_") + f""",
+rec AS (SELECT w.sample, w.barcode, h.t, sum(w.w * h.h) AS xhat FROM r0_W{NMF_ITERS} w JOIN r0_H{NMF_ITERS} h ON h.f = w.f
+        GROUP BY 1, 2, 3)
+SELECT round(corr(coalesce(x.score, 0.0), r.xhat), 6) AS accuracy FROM rec r
+LEFT JOIN composition x ON x.sample = r.sample AND x.barcode = r.barcode AND x.cell_type = r.t"""
+
+
+def _stability_sql() -> str:
+    body = "q0 AS (SELECT 1)" + "".join(_nmf_ctes(NMF_RANK, NMF_ITERS, r, f"r{r}_") for r in range(3))
+    body += f""",
+b0 AS (SELECT f, t, h AS h0 FROM r0_H{NMF_ITERS}),
+n0 AS (SELECT f, sqrt(sum(h0 * h0)) AS n0 FROM b0 GROUP BY f)"""
+    sel = []
+    for r in (1, 2):
+        body += f""",
+o{r} AS (SELECT f AS g, t, h AS h1 FROM r{r}_H{NMF_ITERS}),
+n{r} AS (SELECT g, sqrt(sum(h1 * h1)) AS n1 FROM o{r} GROUP BY g),
+c{r} AS (SELECT d.f, d.g, d.dot / (a.n0 * b.n1) AS cos FROM
+         (SELECT b0.f, o.g, sum(b0.h0 * o.h1) AS dot FROM b0 JOIN o{r} o USING (t) GROUP BY 1, 2) d
+         JOIN n0 a ON a.f = d.f JOIN n{r} b ON b.g = d.g),
+best{r} AS (SELECT f, max(cos) AS best FROM c{r} GROUP BY f)"""
+        sel.append(f"SELECT CAST({r} AS INTEGER) AS restart, round(avg(best), 6) AS stability FROM best{r}")
+    return body + "\n" + "\nUNION ALL\n".join(sel)
+
+
 def _nmf(spark, d):
     comp = stage(adapter.composition(spark, d))
     W, H = dc.nmf(comp, NMF_RANK, NMF_ITERS)
     return comp, W, H
 
 
-@register("nmf_fractions")
+@register("nmf_fractions", with_views(NMF_FRACTIONS_SQL, ["composition"]))
 def nmf_fractions(spark, d):
     """N5 -> N6: cell-type fractions per factor (rank 3, 5 multiplicative updates)."""
     comp, W, H = _nmf(spark, d)
@@ -196,14 +255,14 @@ def nmf_fractions(spark, d):
     return finish(t["fractions"].select("f", "t", "h", "fraction"))
 
 
-@register("nmf_accuracy")
+@register("nmf_accuracy", with_views(NMF_ACCURACY_SQL, ["composition"]))
 def nmf_accuracy(spark, d):
     """Reconstruction accuracy corr(X, WH) over all spot x type cells."""
     comp, W, H = _nmf(spark, d)
     return finish(dc.nmf_tables(comp, W, H)["accuracy"])
 
 
-@register("nmf_stability")
+@register("nmf_stability", with_views(_stability_sql(), ["composition"]))
 def nmf_stability(spark, d):
     """N5 -> N6: restart stability (mean best cosine of factors) over 3 restarts."""
     comp = stage(adapter.composition(spark, d))
