@@ -76,9 +76,11 @@ def deconvolve(expr: DataFrame, sig: DataFrame, iters: int, by: list[str] | None
 
 def abundance_summary(expr: DataFrame, sig: DataFrame, iters: int, reps: int = 20, keep_mod: int = 8) -> DataFrame:
     """``reps`` replicates of N2 on gene subsets, run together as one replicate-keyed fit
-    (gene kept in replicate r when lcg(gene hash, r) mod 10 < keep_mod), then exact
+    (gene kept in replicate r when lcg(md5 seed of gene, r) mod 10 < keep_mod), then exact
     q05 / mean / q95 / sd of the abundance per spot and type."""
-    g = sig.select("gene").distinct().withColumn("_gi", F.abs(F.xxhash64("gene") % F.lit(2 ** 31)))
+    # gene seed: first 7 hex digits of md5(gene) (a portable 28-bit integer)
+    g = sig.select("gene").distinct().withColumn(
+        "_gi", F.conv(F.substring(F.md5("gene"), 1, 7), 16, 10).cast("long"))
     keep = (g.select("gene", "_gi", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
             .filter(F.pmod(lcg(F.col("_gi"), F.col("rep")), F.lit(10)) < keep_mod).select("rep", "gene"))
     e = expr.join(keep, "gene")

@@ -91,7 +91,39 @@ def deconvolve(spark, d):
     return finish(dc.deconvolve(q, sig, KL_ITERS))
 
 
-@register("abundance_summary")
+def _kl_rep_sql(iters: int, reps: int, keep_mod: int = 8) -> str:
+    parts = [SIG_SQL + f""",
+qd AS (SELECT sample, barcode, gene, value FROM expr WHERE CAST(barcode AS BIGINT) % 2 = 0),
+gsd AS (SELECT DISTINCT gene, ('0x' || substr(md5(gene), 1, 7))::BIGINT AS gi FROM sig),
+keep AS (SELECT t.rep, g.gene FROM gsd g CROSS JOIN (SELECT range AS rep FROM range(0, {reps})) t
+         WHERE {lcg_sql('g.gi', 't.rep')} % 10 < {keep_mod}),
+sr AS (SELECT k.rep, s.gene, s.cell_type, s.sig FROM sig s JOIN keep k USING (gene)),
+er AS (SELECT k.rep, q.sample, q.barcode, q.gene, q.value FROM qd q JOIN keep k USING (gene)),
+gi AS (SELECT DISTINCT rep, gene FROM sr INTERSECT SELECT DISTINCT rep, gene FROM er),
+sg AS (SELECT * FROM sr SEMI JOIN gi USING (rep, gene)),
+dd AS (SELECT * FROM er SEMI JOIN gi USING (rep, gene)),
+colsum AS (SELECT rep, cell_type, sum(sig) AS gsum FROM sg GROUP BY 1, 2),
+ntp AS (SELECT count(DISTINCT cell_type)::DOUBLE AS n FROM sg),
+sdep AS (SELECT rep, sample, barcode, sum(value) AS depth FROM dd GROUP BY 1, 2, 3),
+w0 AS (SELECT s.rep, s.sample, s.barcode, c.cell_type, s.depth / (ntp.n * c.gsum) AS w
+       FROM sdep s JOIN colsum c USING (rep) CROSS JOIN ntp)"""]
+    for i in range(1, iters + 1):
+        parts.append(f""",
+mu{i} AS (SELECT dd.rep, dd.sample, dd.barcode, dd.gene, sum(w.w * g.sig) AS mu FROM dd JOIN sg g USING (rep, gene)
+          JOIN w{i - 1} w ON w.rep = dd.rep AND w.sample = dd.sample AND w.barcode = dd.barcode AND w.cell_type = g.cell_type
+          GROUP BY 1, 2, 3, 4),
+num{i} AS (SELECT dd.rep, dd.sample, dd.barcode, g.cell_type, sum(g.sig * (dd.value / m.mu)) AS num
+           FROM dd JOIN mu{i} m USING (rep, sample, barcode, gene) JOIN sg g USING (rep, gene) GROUP BY 1, 2, 3, 4),
+w{i} AS (SELECT w.rep, w.sample, w.barcode, w.cell_type, w.w * coalesce(n.num, 0.0) / c.gsum AS w
+         FROM w{i - 1} w LEFT JOIN num{i} n USING (rep, sample, barcode, cell_type) JOIN colsum c USING (rep, cell_type))""")
+    parts.append(f"""
+SELECT sample, barcode, cell_type, round(quantile_cont(w, 0.05), 6) AS q05, round(avg(w), 6) AS mean,
+       round(quantile_cont(w, 0.95), 6) AS q95, round(stddev_samp(w), 6) AS sd
+FROM w{iters} GROUP BY 1, 2, 3""")
+    return "".join(parts)
+
+
+@register("abundance_summary", with_views(_kl_rep_sql(KL_ITERS, N3_REPS), ["spots", "expr"]))
 def abundance_summary(spark, d):
     """20 gene-subset replicates of N2 fitted together; q05 / mean / q95 / sd per spot and type."""
     q, sig = _deconv(spark, d)
