@@ -51,3 +51,21 @@ def test_ridge_matches_numpy(spark):
             assert abs(b[(f, f"f{j}")] - beta[j]) < 1e-8
     r2 = vw.r2(pred, ["sample", "block", "target"]).collect()[0]["r2"]
     assert r2 > 0.99
+
+
+def test_nmf_reconstruction_improves(spark):
+    rng = np.random.default_rng(12)
+    W = rng.uniform(0, 1, (30, 2))
+    H = rng.uniform(0, 1, (2, 5))
+    X = W @ H
+    comp = spark.createDataFrame([("S", f"s{i}", f"t{j}", float(X[i, j])) for i in range(30) for j in range(5)],
+                                 "sample string, barcode string, cell_type string, score double")
+
+    def acc(iters):
+        w, h = dc.nmf(comp, 2, iters)
+        t = dc.nmf_tables(comp, w, h)
+        assert all(r["h"] >= 0 for r in h.collect()) and all(r["w"] >= 0 for r in w.collect())
+        return t["accuracy"].collect()[0]["accuracy"]
+
+    a1, a20 = acc(1), acc(20)
+    assert a20 >= a1 - 1e-9 and a20 > 0.95
