@@ -1,7 +1,7 @@
 """Session construction and lineage cutting.
 
-Iterative operators cut lineage with ``DataFrame.checkpoint`` into the shared
-folder named by ``spark.checkpoint.dir``.  The library never invents a
+Iterative operators cut lineage by writing Parquet into the shared folder named by
+``spark.checkpoint.dir`` and reading it back.  The library never invents a
 checkpoint folder on a cluster: only a local-mode session without the setting
 (tests, local bench) gets a private scratch folder.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,13 +69,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), used inside fixed-iteration loops."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _shared_path(spark: SparkSession, kind: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a hub table of a multi-step flow (reliable checkpoint) so later steps
-    reuse it instead of re-planning and re-running its whole lineage."""
-    return cut_lineage(df)
+    """Write a hub table of a multi-step flow as Parquet into the shared checkpoint folder
+    and read it back.  Later steps prune its columns, plan with its real size and
+    survive lost executors: nothing of its lineage is needed again."""
+    spark = df.sparkSession
+    path = _shared_path(spark, "stage")
+    schema = df.schema
+    df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def unstage(df: DataFrame | None) -> None:
+    """Delete the files behind a ``stage`` result nothing reads any more (loops call this
+    for the state of the iteration before last)."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``stage``, as used inside iterations: a read-back table carries its measured size,
+    whereas a checkpointed plan keeps an estimate that multiplies at every self-join."""
+    return stage(df)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder name under the shared checkpoint folder, for files tasks write."""
+    return _shared_path(spark, kind)
