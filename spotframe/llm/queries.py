@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotframe.llm import best_fit, byte_bpe, exact_dedup, token_files
+from spotframe.llm import best_fit, byte_bpe, chat_windows, exact_dedup, spotsigs, token_files
 from spotframe.session import shared_folder
 
 BYTE_VOCABULARY = 50_257
@@ -25,6 +25,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder, digest_only=True)
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return spotsigs.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit decreasing packing of all documents into sequences of 2048 tokens."""
     return best_fit.pack_documents(_table(spark, sf_dir, "documents"),
@@ -45,6 +50,48 @@ FROM t WINDOW g AS (PARTITION BY body)
 """
 
 
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and conversation -7 into windows; digests read back."""
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_windows.digests(chat_windows.windows(rows))
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+pieces AS (
+  SELECT *, row_number() OVER o - 1 AS pos,
+         5 + length(replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '### ', '\2'), chr(10), '\3'))
+           + length(replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '### ', '\2')) + 8 AS chars
+  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+costs AS (SELECT *, (chars + 3) // 4 AS cost, CASE WHEN (chars + 3) // 4 > 768 THEN 1 ELSE 0 END AS big FROM pieces),
+placed AS (
+  SELECT *, coalesce(sum(cost) OVER b, 0)::BIGINT AS before, coalesce(sum(big) OVER b, 0) AS bigs FROM costs
+  WINDOW b AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+windows AS (
+  SELECT conv_id, bigs, big, before // 768 AS block, min(pos) AS first_at, min(before) AS start, sum(chars) AS chars
+  FROM placed GROUP BY ALL),
+again AS (
+  SELECT w.conv_id, p.chars FROM windows w JOIN placed p ON p.conv_id = w.conv_id AND p.pos < w.first_at
+  WHERE (p.pos = 0 AND p.role = 'system') OR w.start - p.before <= 256),
+formatted AS (
+  SELECT conv_id, sum(chars)::BIGINT AS formatted_chars
+  FROM (SELECT conv_id, chars FROM windows UNION ALL SELECT conv_id, chars FROM again) GROUP BY conv_id),
+said AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS targets
+  FROM pieces GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(targets) AS loss_chars, sha256(targets) AS loss_sha256, formatted_chars
+FROM said JOIN formatted USING (conv_id)
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document with the rank file and decode the ids again."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -57,7 +104,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
+    "op2_spotsigs": (op2_spotsigs, None),
     "op6_best_fit_packing": (op6_best_fit_packing, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op9_chat_windows": (op9_chat_windows, OP9_SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
