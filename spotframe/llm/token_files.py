@@ -6,6 +6,8 @@ Layout under one shared folder:
   little-endian ``uint16`` (vocabularies up to 65,536 ids) or ``uint32``;
 - ``<shard>.idx``: little-endian ``int64``, the token offset in the shard of every
   document and, last, the shard's length;
+- ``<shard>.doc``: little-endian ``int64``, the doc_id of every document (null as the
+  smallest number);
 - ``manifest``: Parquet, one row per shard: ordinal, names, documents, tokens, base.
   A base is the prefix sum of the tokens of all shards before, so base + offset is a
   document's place in the whole corpus;
@@ -39,6 +41,7 @@ from spotframe.llm.common import text_of
 from spotframe.llm.tokenize import by_chars, encoder
 
 SHARD_BYTES = 64 << 20
+NO_ID = -(1 << 63)
 _ROW = "doc_id long, task int, part int, name string, position long, n_tokens long"
 
 
@@ -58,18 +61,20 @@ class _Shard:
         self.name = uuid.uuid4().hex
         self.stem = f"{root}/{self.name}"
         self.out = store.open_output_stream(f"{self.stem}.bin")
-        self.offsets, self.bytes = [0], 0
+        self.offsets, self.docs, self.bytes = [0], [], 0
 
-    def add(self, ids: bytes) -> tuple[int, int]:
+    def add(self, doc: int | None, ids: bytes) -> tuple[int, int]:
         self.out.write(ids)
         self.bytes += len(ids)
+        self.docs.append(NO_ID if doc is None else doc)
         self.offsets.append(self.bytes // self.width)
-        return len(self.offsets) - 2, len(ids) // self.width
+        return len(self.docs) - 1, len(ids) // self.width
 
     def close(self) -> None:
         self.out.close()
-        with self.store.open_output_stream(f"{self.stem}.idx") as out:
-            out.write(np.array(self.offsets, "<i8").tobytes())
+        for kind, numbers in (("idx", self.offsets), ("doc", self.docs)):
+            with self.store.open_output_stream(f"{self.stem}.{kind}") as out:
+                out.write(np.array(numbers, "<i8").tobytes())
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int,
@@ -94,15 +99,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, vocabul
         enc = encoder(tokenizer_path, dtype, keep_space)
         shard, part = None, 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             parts, names, positions, counts = [], [], [], []
             for a, b in by_chars(texts):
-                for ids in enc.encode(texts[a:b]):
+                for doc, ids in zip(doc_ids[a:b], enc.encode(texts[a:b])):
                     if shard is not None and shard.bytes >= shard_bytes:
                         shard.close()
                         shard, part = None, part + 1
                     shard = shard or _Shard(store, root, width)
-                    position, n = shard.add(ids + end)
+                    position, n = shard.add(doc, ids + end)
                     parts.append(part)
                     names.append(shard.name)
                     positions.append(position)
@@ -131,6 +136,7 @@ class TokenShard:
         store, root = _store(folder)
         self.ids = self._map(store, f"{root}/{name}.bin", dtype)
         self.offsets = self._map(store, f"{root}/{name}.idx", "<i8")
+        self.docs = self._map(store, f"{root}/{name}.doc", "<i8")
 
     @staticmethod
     def _map(store, path: str, dtype: str) -> np.ndarray:
@@ -154,8 +160,7 @@ def read_documents(spark: SparkSession, folder: str, digest_only: bool = False)
     of one batch, not of the shard.
     """
     manifest = spark.read.parquet(f"{folder}/manifest")
-    index = spark.read.parquet(f"{folder}/documents")
-    out = "name string, position long, start long, n_tokens long, ids_crc32 long"
+    out = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not digest_only:
         out += ", ids array<long>"
 
@@ -165,7 +170,8 @@ def read_documents(spark: SparkSession, folder: str, digest_only: bool = False)
                 shard = TokenShard(folder, row.name, row.dtype)
                 for at in range(0, len(shard), 4096):
                     some = [shard[i] for i in range(at, min(at + 4096, len(shard)))]
-                    got = {"name": row.name, "position": np.arange(at, at + len(some)),
+                    doc = pd.Series(np.array(shard.docs[at:at + len(some)]))
+                    got = {"doc_id": doc.astype("Int64").mask(doc == NO_ID),
                            "start": row.base + np.asarray(shard.offsets[at:at + len(some)]),
                            "n_tokens": [len(x) for x in some],
                            "ids_crc32": [zlib.crc32(x.astype("<u4")) for x in some]}
@@ -174,5 +180,4 @@ def read_documents(spark: SparkSession, folder: str, digest_only: bool = False)
                     yield pd.DataFrame(got)
 
     shards = manifest.select("name", "base", "dtype").repartition("name")
-    files = shards.mapInPandas(read, out)
-    return index.select("doc_id", "name", "position").join(files, ["name", "position"]).drop("name", "position")
+    return shards.mapInPandas(read, out)
