@@ -9,6 +9,7 @@ checkpoint folder on a cluster: only a local-mode session without the setting
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -69,6 +70,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_library(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it (once per
+    application; a worker that has the package on its own path keeps that one)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spotframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spotframe-lib-"), "spotframe_lib"), "zip",
+                                 os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(target)
+    sc._spotframe_shipped = True
+
+
 def _shared_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
