@@ -38,9 +38,11 @@ def exact_groups(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     text_sha256."""
     salts = max(16, -(-docs.count() // salt_rows))
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("id"),
-                       F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(salts)).alias("salt"),
+                       F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(salts)), F.lit(0)).alias("salt"),
                        normalised().alias("body"))
-    rows = rows.withColumn("digest", F.sha2("body", 256))
+    # no key is null and Spark knows it, so both uses of ``local`` plan the same exchange
+    # and the second reuses the shuffled texts of the first
+    rows = rows.withColumn("digest", F.coalesce(F.sha2("body", 256), F.lit("")))
     local = rows.groupBy("digest", "body", "salt").agg(F.collect_list("id").alias("ids"))
     local = local.withColumn("winner", F.array_max("ids"))
     best = (local.select("digest", "body", F.struct("winner", "salt").alias("part"), F.size("ids").alias("n"))

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotframe.llm import best_fit, byte_bpe, chat_windows, exact_dedup, spotsigs, token_files
-from spotframe.session import shared_folder
+from spotframe.session import shared_folder, ship_library
 
 BYTE_VOCABULARY = 50_257
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_library(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
