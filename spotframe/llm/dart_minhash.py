@@ -218,16 +218,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     texts = signed.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"),
                                                                       F.first("bands").alias("bands"))
     rows = texts.select("rep", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count_distinct("rep").alias("n")).filter("n > 1").select("bucket")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = stage(rows.join(shared, "bucket").distinct().withColumn("class", F.col("rep"))
                  .withColumn("degree", F.lit(0).cast("long")))
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
-    same_text = texts.select(F.col("rep").alias("doc_id"), "digest")
     source = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
               .join(wanted, "doc_id", "left_semi"))
+    # rows that repeat a doc_id with another text are one class: either text stands for it
     units = stage(unit_table(source.dropDuplicates(["doc_id"])))
-    # rows that repeat a doc_id with other texts: one class, so any of the texts stands for it
-    del same_text
     links, labels, pivots = None, None, 1
     while True:
         open_ = (rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotframe.llm import best_fit, byte_bpe, chat_windows, exact_dedup, spotsigs, token_files
+from spotframe.llm import best_fit, byte_bpe, chat_windows, dart_minhash, exact_dedup, license_align, quality_fm, spotsigs, token_files, warc_revisits
 from spotframe.session import shared_folder, ship_library
 
 BYTE_VOCABULARY = 50_257
@@ -31,6 +31,67 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in capture records: every page as a response, and a later revisit request for
+    its uri in another spelling, with the validators a server of that page would send."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("etag"))
+    day = F.lit("2024-01-01").cast("timestamp")
+    at = (F.pmod(F.col("page_id") * 7919, F.lit(86_400)) * 30).cast("long")
+    changed = F.col("page_id") % 5 == 0
+    full = pages.select((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), F.col("url").alias("uri"),
+                        F.timestamp_seconds(F.unix_seconds(day) + at).alias("date"),
+                        F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nExpires: 0\r\nETag: \""), "etag",
+                                 F.lit("\"\r\nServer: a")).alias("http"))
+    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"),
+                         F.concat(F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "^http:", "HTTPS:"), F.lit("#again")).alias("uri"),
+                         F.timestamp_seconds(F.unix_seconds(day) + F.lit(1_000_000) + at).alias("date"),
+                         F.concat(F.lit("HTTP/1.1 304 Not Modified\r\nServer: b\r\nCache-Control: max-age=60\r\nETag: W/\""),
+                                  F.when(changed, F.lit("changed")).otherwise(F.col("etag")), F.lit("\"")).alias("http"))
+    return full.unionByName(again)
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit with the response it stands for and its merged headers."""
+    found = warc_revisits.resolve(warc_records(spark, sf_dir))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "uri", "response_id", "outcome", F.array_join(lines, "\n").alias("headers"))
+
+
+OP3_SQL = r"""
+WITH parts AS (
+  SELECT page_id, md5(html) AS etag, epoch_us(TIMESTAMP '2024-01-01') // 1000000 + (page_id * 7919 % 86400) * 30 AS ts,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+split AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''),
+                                          '^www\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), p -> p <> '')), '&') AS query
+  FROM parts),
+canon AS (
+  SELECT page_id, etag, ts, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS uri FROM split),
+matched AS (
+  SELECT v.page_id, v.uri, CASE WHEN v.page_id % 5 = 0 THEN 'changed' ELSE v.etag END AS tag,
+         max({'ts': r.ts, 'record_id': r.page_id * 2, 'etag': r.etag}) AS found
+  FROM canon v LEFT JOIN canon r ON r.uri = v.uri AND r.ts < v.ts + 1000000 GROUP BY ALL)
+SELECT page_id * 2 + 1 AS record_id, uri, found.record_id AS response_id,
+       CASE WHEN found.etag IS NULL THEN 'unmatched' WHEN found.etag = tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       CASE WHEN found.etag = tag THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10)
+         || 'etag: W/"' || tag || '"' || chr(10) || 'expires: 0' || chr(10) || 'server: a' END AS headers
+FROM matched
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice found in every document, with its coverage and place."""
+    return license_align.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a factorisation machine."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality_fm.score(docs, quality_fm.fit(docs, labels))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit decreasing packing of all documents into sequences of 2048 tokens."""
     return best_fit.pack_documents(_table(spark, sf_dir, "documents"),
@@ -51,6 +112,11 @@ FROM t WINDOW g AS (PARTITION BY body)
 """
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return dart_minhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and conversation -7 into windows; digests read back."""
     said = "\\### Assistant: </turn> ok"
@@ -106,8 +172,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_spotsigs": (op2_spotsigs, None),
+    "op3_warc_revisits": (op3_warc_revisits, OP3_SQL),
+    "op4_license_scan": (op4_license_scan, None),
+    "op5_quality_fm": (op5_quality_fm, None),
     "op6_best_fit_packing": (op6_best_fit_packing, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_dart_minhash": (op8_dart_minhash, None),
     "op9_chat_windows": (op9_chat_windows, OP9_SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
