@@ -95,8 +95,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
             ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in by_chars(texts):
                 rows = []
-                for doc, body in zip(ids_of[a:b], enc.encode(texts[a:b])):
-                    body += end
+                for doc, text in zip(ids_of[a:b], texts[a:b]):
+                    body = enc.encode(text) + end
                     for k in range(0, len(body), span):
                         part = body[k:k + span]
                         rows.append((doc, k // span, k // 4, len(part) // 4, zlib.crc32(part), part))

@@ -65,7 +65,7 @@ split AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''),
                                           '^www\.', ''), ':(80|443)$', '') AS host,
          regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), p -> p <> '')), '&') AS query
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '')), '&') AS query
   FROM parts),
 canon AS (
   SELECT page_id, etag, ts, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS uri FROM split),

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spotframe.llm.common import text_of
-from spotframe.llm.tokenize import by_chars, encoder
+from spotframe.llm.tokenize import encoder
 
 SHARD_BYTES = 64 << 20
 NO_ID = -(1 << 63)
@@ -101,17 +101,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, vocabul
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             parts, names, positions, counts = [], [], [], []
-            for a, b in by_chars(texts):
-                for doc, ids in zip(doc_ids[a:b], enc.encode(texts[a:b])):
-                    if shard is not None and shard.bytes >= shard_bytes:
-                        shard.close()
-                        shard, part = None, part + 1
-                    shard = shard or _Shard(store, root, width)
-                    position, n = shard.add(doc, ids + end)
-                    parts.append(part)
-                    names.append(shard.name)
-                    positions.append(position)
-                    counts.append(n)
+            for doc, text in zip(doc_ids, texts):
+                if shard is not None and shard.bytes >= shard_bytes:
+                    shard.close()
+                    shard, part = None, part + 1
+                shard = shard or _Shard(store, root, width)
+                position, n = shard.add(doc, enc.encode(text) + end)
+                parts.append(part)
+                names.append(shard.name)
+                positions.append(position)
+                counts.append(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("task"), pa.array(parts, pa.int32()),
                  pa.array(names, pa.string()), pa.array(positions, pa.int64()), pa.array(counts, pa.int64())],

@@ -17,7 +17,7 @@ from array import array
 
 import numpy as np
 
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 
 _LOOSE_SPACE = re.compile(r" (?!\S)")
 _UNIT_START = re.compile(r"(?= \S)")
@@ -26,6 +26,18 @@ _LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _WORD_END = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-^`{-~])")
 
 
+class _Made(dict):
+    """A dict that makes a missing value once."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class UnitEncoder:
     """Whole-text encoder over one vocabulary file.
 
@@ -43,31 +55,37 @@ class UnitEncoder:
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids of {path} do not fit {dtype}")
         self.keep_space = keep_space
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._units, self._before = _Made(self._unit), {}
+        self._parts = _Made(self._part)
         self._code = {2: "H", 4: "I"}[self.dtype.itemsize]
         # fixed values: the printable character that byte-level vocabularies write for a byte
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self._alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def units(self, text: str) -> list[str]:
-        if not self.keep_space:
-            return text.split(" ")
-        if _LOOSE_SPACE.search(text):
-            return _UNIT_START.split(text)
+    def units(self, text: str) -> tuple[str, list[str]]:
+        """What stands before the first cut, and the units after it without their space."""
+        if self.keep_space and _LOOSE_SPACE.search(text):
+            first, *rest = _UNIT_START.split(text)
+            return first, [u[1:] for u in rest]
         first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        model, pack = self.tokenizer.model.tokenize, self._pack
-        plain = [p for p in pieces if _LATIN(p)]
-        words = [self._written(p if self.keep_space else p.lower()) for p in plain]
-        got = {p: pack([t.id for t in model(w)]) for p, w in zip(plain, words)}
-        rest = [p for p in pieces if p not in got]
-        got.update(zip(rest, (pack(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
-        return got
+        return first, rest
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit not met lately: as before, or from its words and punctuation runs."""
+        known = self._before.get(unit)
+        return known if known is not None else self._spell(" " + unit if self.keep_space else unit)
+
+    def _spell(self, unit: str) -> bytes:
+        return b"".join(map(self._parts.__getitem__, _WORD_END.split(unit)))
+
+    def _part(self, piece: str) -> bytes:
+        if _LATIN(piece):
+            written = self._written(piece if self.keep_space else piece.lower())
+            ids = [t.id for t in self.tokenizer.model.tokenize(written)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array(self._code, ids).tobytes()
 
     def _written(self, piece: str) -> str:
         """The characters byte-level vocabularies write for the bytes of a piece."""
@@ -75,32 +93,16 @@ class UnitEncoder:
             return piece.replace(" ", self._alphabet[32])
         return piece.encode().decode("latin-1").translate(self._alphabet)
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return array(self._code, ids).tobytes()
-
-    def _learn(self, units: set[str]) -> None:
-        """Ids of units not met before, from the ids of their words and punctuation runs."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text (null: empty) as little-endian unsigned integers."""
+        if len(self._units) > CACHE_UNITS:
+            self._units, self._before = _Made(self._unit), self._units
         if len(self._parts) > CACHE_UNITS:
-            self._parts = {}
-        cut = {u: _WORD_END.split(u) for u in units}
-        self._parts.update(self._encode(list({p for ps in cut.values() for p in ps}.difference(self._parts))))
-        get = self._parts.__getitem__
-        self._new.update((u, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for u, ps in cut.items())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: empty) as little-endian unsigned integers."""
-        cut = [self.units(t) if t else [] for t in texts]
-        todo = set().union(*cut) - self._new.keys()
-        if len(self._new) + len(todo) > CACHE_UNITS:
-            self._old, self._new = self._new, {}
-            todo = set().union(*cut)
-        for u in todo & self._old.keys():
-            self._new[u] = self._old[u]
-        todo -= self._new.keys()
-        if todo:
-            self._learn(todo)
-        get = self._new.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            self._parts = _Made(self._part)
+        if not text:
+            return b""
+        first, rest = self.units(text)
+        return self._spell(first) + b"".join(map(self._units.__getitem__, rest))
 
 
 _ENCODERS: dict[tuple, UnitEncoder] = {}
