@@ -21,9 +21,10 @@ CACHE_UNITS = 600_000
 
 _LOOSE_SPACE = re.compile(r" (?!\S)")
 _UNIT_START = re.compile(r"(?= \S)")
-# letters or digits followed by ASCII punctuation: every pre-tokenizer splits there
 _LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_WORD_END = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-^`{-~])")
+# Latin letters or digits followed by ASCII punctuation: every pre-tokenizer splits there
+# (letters that normalise into a mark at their end are left out)
+_WORD_END = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])")
 
 
 class _Made(dict):
