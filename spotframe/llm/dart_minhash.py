@@ -19,8 +19,9 @@ pairs that share a band and are at least ``SIMILARITY`` alike, however large a b
 a bucket of copies of one text costs one comparison per member.  A pair at the threshold
 shares no band with a probability under 3e-5.
 
-A null text counts as empty, and all empty texts are one class.  Rows that repeat a doc_id
-are in one class.  A row without doc_id has no class (null) and links nothing.  A table
+A null text counts as empty, and all empty texts are one class.  A text is known by the
+smallest doc_id that has it: rows that repeat a doc_id with another text are judged by
+their own text, and two texts known by one doc_id are one class.  A row without doc_id has no class (null) and links nothing.  A table
 without rows gives no rows.
 """
 
@@ -224,7 +225,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
     source = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
               .join(wanted, "doc_id", "left_semi"))
-    # rows that repeat a doc_id with another text are one class: either text stands for it
+    # two texts known by one doc_id are one class: either stands for it
     units = stage(unit_table(source.dropDuplicates(["doc_id"])))
     links, labels, pivots = None, None, 1
     while True:
