@@ -10,14 +10,19 @@ dart of each coordinate is kept.  Where a coordinate stays empty the rank limit
 Two signatures agree in a coordinate with the weighted Jaccard of the documents as
 probability.
 
-Signatures are joined on bands.  Equal texts share one representative.  Within a bucket
-pivots are compared with the members of other classes, exactly and on whole texts, in
-rounds: a link joins classes, a pivot that has met everyone in its bucket leaves it, and a
-bucket is done once a single class is left among the others.  No pair of different classes
-that shares a bucket stays uncompared, so the classes are the connected components of all
-pairs that share a band and are at least ``SIMILARITY`` alike, however large a bucket is;
-a bucket of copies of one text costs one comparison per member.  A pair at the threshold
-shares no band with a probability under 3e-5.
+Signatures are joined on ``BANDS`` bands of ``ROWS`` coordinates.  Equal texts share one
+representative.  A link is a pair of representatives that share a band and whose weighted
+Jaccard, computed exactly on the whole texts, is at least ``SIMILARITY``; classes are the
+connected components of the links.  Only pairs of still different classes are compared:
+
+1. every bucket's first member with all others (copies of one text: one comparison each);
+2. the members with most links so far, ``PIVOTS`` of them, with all others;
+3. what is left, each pair once, in the first band it shares.
+
+Before texts are compared the join itself passes over pairs whose signatures agree in fewer
+coordinates than 4.2 standard deviations below the threshold allow.  A pair at the threshold
+shares no band with a probability under 3e-5 and is passed over with one under 2e-5.  There
+is no bound on the size of a bucket or on a member's partners.
 
 A null text counts as empty, and all empty texts are one class.  A text is known by the
 smallest doc_id that has it: rows that repeat a doc_id with another text are judged by
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.llm.common import text_of
@@ -41,8 +46,9 @@ from spotframe.llm.tokenize import by_chars
 from spotframe.session import stage, unstage
 
 SHINGLE = 5
-COORDINATES, BANDS = 80, 20
+COORDINATES, BANDS, ROWS = 160, 20, 4
 SIMILARITY = 0.8
+PIVOTS = 8
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,9 +130,9 @@ def dart_signatures(doc: np.ndarray, unit: np.ndarray, documents: int,
     return out
 
 
-def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of it."""
-    rows = signatures.shape[1] // bands
+def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit key per band, over the first bands x rows coordinates; the band's number is
+    part of it."""
     with np.errstate(over="ignore"):
         key = np.broadcast_to(mix(np.arange(1, bands + 1).astype(np.uint64)), (len(signatures), bands)).copy()
         for r in range(rows):
@@ -135,26 +141,29 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, shingle: int = SHINGLE, coordinates: int = COORDINATES,
-                    bands: int = BANDS) -> DataFrame:
-    """doc_id, digest of the text, bands (empty for texts without words)."""
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, digest of the text, bands (keys) and marks (low byte of every coordinate); both
+    empty for texts without words."""
+    def lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
+        ends = np.append(0, np.cumsum(np.where(has, values.shape[1], 0)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[has].reshape(-1)))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in by_chars(texts):
                 doc, unit = weighted_units(texts[a:b], shingle)
-                keys = band_keys(dart_signatures(doc, unit, b - a, coordinates), bands)
+                signs = dart_signatures(doc, unit, b - a, coordinates)
                 has = np.bincount(doc, minlength=b - a) > 0
-                sizes = np.where(has, bands, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()),
-                                                 pa.array(keys[has].reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), lists],
-                    names=["doc_id", "digest", "bands"])
+                    [batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a),
+                     lists(band_keys(signs, bands, rows), has), lists(signs.astype(np.uint8).view(np.int8), has)],
+                    names=["doc_id", "digest", "bands", "marks"])
 
     text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"),
-                       text.alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, digest binary, bands array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"),
+                         text.alias("text"))
+    return source.mapInArrow(sign, "doc_id long, digest binary, bands array<long>, marks array<tinyint>")
 
 
 def unit_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -211,51 +220,79 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def least_agreement(similarity: float, coordinates: int) -> int:
+    """Coordinates in which a pair at the threshold agrees but for 4.2 standard deviations."""
+    return max(0, math.ceil(coordinates * similarity - 4.2 * math.sqrt(coordinates * similarity * (1 - similarity))))
+
+
+def _alike(a: Column, b: Column, need: int) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= need
+
+
+def _open_rows(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are still in more than one class."""
+    mixed = (rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+             .filter("low < high").select("bucket"))
+    return rows.join(mixed, "bucket")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
-                           coordinates: int = COORDINATES, bands: int = BANDS) -> DataFrame:
+                           coordinates: int = COORDINATES, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, class_id (smallest doc_id of the
     class), representative (smallest doc_id with the same text)."""
-    signed = stage(signature_table(docs, shingle, coordinates, bands))
-    texts = signed.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"),
-                                                                      F.first("bands").alias("bands"))
-    rows = texts.select("rep", F.explode("bands").alias("bucket"))
+    need = least_agreement(similarity, coordinates)
+    signed = stage(signature_table(docs, shingle, coordinates, bands, rows_per_band))
+    texts = signed.filter("doc_id IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    rows = texts.select("rep", "marks", F.transform("bands", lambda k: F.hash(k)).alias("keys"),
+                        F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = stage(rows.join(shared, "bucket").distinct().withColumn("class", F.col("rep"))
+    rows = stage(rows.join(shared, "bucket").withColumn("class", F.col("rep"))
                  .withColumn("degree", F.lit(0).cast("long")))
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
     source = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
               .join(wanted, "doc_id", "left_semi"))
     # two texts known by one doc_id are one class: either stands for it
     units = stage(unit_table(source.dropDuplicates(["doc_id"])))
-    links, labels, pivots = None, None, 1
-    while True:
-        open_ = (rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-                 .filter("low < high").select("bucket"))
-        rows = stage(rows.join(open_, "bucket"))
-        if rows.isEmpty():
-            break
-        best = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep")
-        chosen = (rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= pivots)
-                  .select("bucket", F.col("rep").alias("pivot"), F.col("class").alias("pivot_class")))
-        chosen = stage(chosen)
-        pairs = (rows.select("bucket", "rep", "class").join(chosen, "bucket")
-                 .filter(F.col("class") != F.col("pivot_class"))
-                 .select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-        # a pair of pivots comes in both orders
-        found = stage(_verified(pairs.distinct(), units, similarity))
+    links = labels = None
+    for pivots in (1, PIVOTS, None):
+        if pivots is None:
+            other = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
+            earlier = F.exists(F.zip_with(F.slice("keys", 1, F.col("band")), F.slice("keys_b", 1, F.col("band")),
+                                          lambda x, y: x == y), lambda same: same)
+            pairs = rows.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("rep") < F.col("rep_b"))
+                              & (F.col("class") != F.col("class_b")) & _alike(F.col("marks"), F.col("marks_b"), need)
+                              & ~earlier).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+        else:
+            best = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep")
+            chosen = (rows.select("bucket", "rep", "class", "marks", "degree")
+                      .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= pivots))
+            chosen = stage(chosen.select(F.col("bucket").alias("at"), F.col("rep").alias("pivot"),
+                                         F.col("class").alias("pivot_class"), F.col("marks").alias("pivot_marks")))
+            pairs = rows.join(chosen, (F.col("bucket") == F.col("at")) & (F.col("class") != F.col("pivot_class"))
+                              & _alike(F.col("marks"), F.col("pivot_marks"), need))
+            pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        found = stage(_verified(pairs, units, similarity))
         links = found if links is None else stage(links.union(found))
         if not found.isEmpty():
             labels = components(links)
+        if pivots is None:
+            break
+        if labels is not None:
             ends = links.select(F.col("a").alias("rep")).union(links.select("b"))
             degree = ends.groupBy("rep").agg(F.count("*").alias("degree"))
             state = labels.select(F.col("node").alias("rep"), F.col("component").alias("class")).join(degree, "rep")
-            rest = rows.select("bucket", "rep").join(state, "rep", "left").select(
-                "bucket", "rep", F.coalesce("class", "rep").alias("class"),
-                F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+            rest = rows.drop("class", "degree").join(state, "rep", "left").withColumns({
+                "class": F.coalesce("class", "rep"), "degree": F.coalesce("degree", F.lit(0).cast("long"))})
         else:
             rest = rows
-        rows = rest.join(chosen.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        pivots *= 8
+        # a pivot has met everyone in its bucket
+        met = chosen.select(F.col("at").alias("bucket"), F.col("pivot").alias("rep"))
+        before, rows = rows, stage(_open_rows(rest.join(met, ["bucket", "rep"], "left_anti")))
+        unstage(before)
+        unstage(chosen)
+        if rows.isEmpty():
+            break
     members = signed.select("doc_id", "digest").join(texts.select("digest", "rep"), "digest", "left")
     members = members.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     if labels is None:

@@ -110,7 +110,7 @@ def test_bands_that_join_strangers_link_nothing(documents):
             copy[k] = f"x{i}{k}"
         rows.append((i, " ".join(copy)))
     for floor in (0.3, 0.5, 0.8):
-        got = dm.near_duplicate_classes(documents(rows), floor, coordinates=40, bands=40).collect()
+        got = dm.near_duplicate_classes(documents(rows), floor, coordinates=40, bands=40, rows_per_band=1).collect()
         assert {r.doc_id: r.class_id for r in got} == brute_classes(rows, floor)
 
 
