@@ -1,4 +1,4 @@
-"""spotframe: spatially resolved expression analytics as Spark DataFrame operators.
+"""spotframe: slide-resolved expression analytics as Spark DataFrame operators.
 
 Data model (all long and sparse, zeros absent):
   expr(sample, barcode, gene, value)              one row per non-zero entry

@@ -156,3 +156,12 @@ def lcg_sql(id_expr: str, rep: str = "0") -> str:
 def lcg_unit(id_col: Column, rep: Column | int = 0) -> Column:
     """LCG mapped into (0, 1]."""
     return (lcg(id_col, rep) + F.lit(1)).cast("double") / F.lit(float(LCG_M))
+
+
+def md5_unit(text: Column) -> Column:
+    """Uniform number in (0, 1] from 52 bits of the md5 of a text."""
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + F.lit(1)).cast("double") / F.lit(float(1 << 52))
+
+
+def md5_unit_sql(text: str) -> str:
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 1)::DOUBLE / {float(1 << 52)!r})"

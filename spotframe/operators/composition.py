@@ -30,27 +30,35 @@ def initial_centroids(x: DataFrame, k: int) -> DataFrame:
 
 def lloyd(x: DataFrame, k: int, iters: int, centroids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """K1 core: returns (assignment (sample, barcode, k, dist), centroids (k, cell_type, c))."""
+    C = centroids if centroids is not None else initial_centroids(x, k)
+    assign, C = lloyd_models(x, C.withColumn("m", F.lit(k)), [k], iters)
+    return assign.drop("m"), C.drop("m")
+
+
+def lloyd_models(x: DataFrame, C: DataFrame, ks: list[int], iters: int) -> tuple[DataFrame, DataFrame]:
+    """Several k-means models at once, each of ``ks`` clusters and named ``m`` by their number:
+    one set of joins per iteration.  Centroid tables have sum(ks) x types rows."""
     x = x.select(*KEYS, "cell_type", "score")
     xx = x.groupBy(*KEYS).agg(F.sum(F.col("score") * F.col("score")).alias("xx"))
-    C = centroids if centroids is not None else initial_centroids(x, k)
-    ks = F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("k")
+    every = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("k")) for m in ks for i in range(m)])).alias("_mk")
+    grid0 = xx.select(*KEYS, "xx", every).select(*KEYS, "xx", "_mk.m", "_mk.k")
     assign = None
     for it in range(iters + 1):
         C = cut_lineage(C)
-        cc = C.groupBy("k").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-        dot = x.join(F.broadcast(C), "cell_type").groupBy(*KEYS, "k").agg(F.sum(F.col("score") * F.col("c")).alias("dot"))
-        grid = xx.select(*KEYS, "xx", ks).join(F.broadcast(cc), "k", "left").join(dot, KEYS + ["k"], "left")
+        cc = C.groupBy("m", "k").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+        dot = x.join(F.broadcast(C), "cell_type").groupBy(*KEYS, "m", "k").agg(F.sum(F.col("score") * F.col("c")).alias("dot"))
+        grid = grid0.join(F.broadcast(cc), ["m", "k"], "left").join(dot, KEYS + ["m", "k"], "left")
         dist = F.col("xx") - F.lit(2.0) * F.coalesce("dot", F.lit(0.0)) + F.coalesce("cc", F.lit(0.0))
-        grid = grid.select(*KEYS, "k", dist.alias("dist"))
-        assign = grid.groupBy(*KEYS).agg(F.min(F.struct("dist", "k")).alias("_b")).select(
-            *KEYS, F.col("_b.k").alias("k"), F.col("_b.dist").alias("dist"))
+        grid = grid.select(*KEYS, "m", "k", dist.alias("dist"))
+        assign = grid.groupBy(*KEYS, "m").agg(F.min(F.struct("dist", "k")).alias("_b")).select(
+            *KEYS, "m", F.col("_b.k").alias("k"), F.col("_b.dist").alias("dist"))
         assign = cut_lineage(assign)
         if it == iters:
             break
-        n_k = assign.groupBy("k").agg(F.count("*").alias("n_k"))
-        new = (x.join(assign.select(*KEYS, "k"), KEYS).groupBy("k", "cell_type").agg(F.sum("score").alias("_s"))
-               .join(F.broadcast(n_k), "k").select("k", "cell_type", (F.col("_s") / F.col("n_k")).alias("c")))
-        kept = C.join(n_k, "k", "left_anti")
+        n_k = assign.groupBy("m", "k").agg(F.count("*").alias("n_k"))
+        new = (x.join(assign.select(*KEYS, "m", "k"), KEYS).groupBy("m", "k", "cell_type").agg(F.sum("score").alias("_s"))
+               .join(F.broadcast(n_k), ["m", "k"]).select("m", "k", "cell_type", (F.col("_s") / F.col("n_k")).alias("c")))
+        kept = C.join(n_k, ["m", "k"], "left_anti").select("m", "k", "cell_type", "c")
         C = new.unionByName(kept)
     return assign, C
 
@@ -69,13 +77,9 @@ def composition_clusters(composition: DataFrame, k: int = 5, iters: int = 10) ->
 
 
 def elbow(composition: DataFrame, kmax: int = 20, iters: int = 10) -> DataFrame:
-    """K2: within-cluster sum of squares for k = 1..kmax."""
-    rows = []
-    spark = composition.sparkSession
-    for k in range(1, kmax + 1):
-        assign, _ = lloyd(composition, k, iters)
-        rows.append(assign.agg(F.lit(k).alias("k"), F.sum("dist").alias("wcss")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """K2: within-cluster sum of squares for k = 1..kmax, all fitted together."""
+    ks = list(range(1, kmax + 1))
+    first = initial_centroids(composition, kmax)      # the start of k clusters is the first k of kmax
+    models = F.explode(F.filter(F.array(*[F.lit(m) for m in ks]), lambda m: m > F.col("k"))).alias("m")
+    assign, _ = lloyd_models(composition, first.select("*", models), ks, iters)
+    return assign.groupBy(F.col("m").alias("k")).agg(F.sum("dist").alias("wcss"))

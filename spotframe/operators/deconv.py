@@ -1,6 +1,6 @@
 """Reference signatures, spot deconvolution and factorisation.
 
-The reference fits Bayesian models; here the same tables come from closed-form
+The same tables that Bayesian models give come from closed-form
 aggregations and fixed-iteration multiplicative updates written as joins and
 group-bys, with a reliable checkpoint after every iteration:
 
@@ -13,10 +13,10 @@ group-bys, with a reliable checkpoint after every iteration:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotframe.functions.stats import lcg, lcg_unit
+from spotframe.functions.stats import lcg_unit, md5_unit
 from spotframe.session import cut_lineage
 
 KEYS = ["sample", "barcode"]
@@ -40,51 +40,51 @@ def signatures(expr: DataFrame, labels: DataFrame, label: str = "cell_type", bat
     return s.join(F.broadcast(n_t), "cell_type").select("gene", "cell_type", (F.col("_s") / F.col("_n")).alias("sig"))
 
 
-def deconvolve(expr: DataFrame, sig: DataFrame, iters: int, by: list[str] | None = None,
-               checkpoint: bool = True) -> DataFrame:
+def deconvolve(expr: DataFrame, sig: DataFrame, iters: int, by: list[str] | None = None) -> DataFrame:
     """(*by, sample, barcode, cell_type, w) non-negative abundances by KL multiplicative updates.
 
     Genes are the intersection of the spot genes and the signature genes (F2), per ``by`` group
-    (``by`` carries e.g. a replicate id so many fits run as one set of joins)."""
+    (``by`` carries e.g. a replicate id so many fits run as one set of joins).  A spot's counts
+    and the signature rows of its genes form one row (bounded by the genes), and all
+    iterations run inside it: one shuffle, whatever their number."""
     by = list(by or [])
     genes = sig.select(*by, "gene").distinct().join(expr.select(*by, "gene").distinct(), by + ["gene"])
     sig = sig.join(genes, by + ["gene"], "left_semi")
     d = expr.join(genes, by + ["gene"], "left_semi").select(*by, *KEYS, "gene", "value")
-    colsum = sig.groupBy(*by, "cell_type").agg(F.sum("sig").alias("gsum"))      # sum_g g_fg (all genes)
-    type_names = sorted(r[0] for r in sig.select("cell_type").distinct().collect())  # bounded catalogue
-    n_types = len(type_names)
-    spot_depth = d.groupBy(*by, *KEYS).agg(F.sum("value").alias("depth"))
-    w = (spot_depth.select(*by, *KEYS, "depth", F.explode(F.array(*[F.lit(t) for t in type_names])).alias("cell_type"))
-         .join(colsum, by + ["cell_type"])
-         .select(*by, *KEYS, "cell_type", (F.col("depth") / (F.lit(float(n_types)) * F.col("gsum"))).alias("w")))
-    # the counts x signature join does not change across iterations: build it once
-    ds = d.join(sig, by + ["gene"]).select(*by, *KEYS, "gene", "cell_type", "value", "sig")
-    if checkpoint:
-        w = cut_lineage(w)
-        ds = cut_lineage(ds)
-    for _ in range(iters):
-        mu = ds.join(w, by + KEYS + ["cell_type"]).groupBy(*by, *KEYS, "gene").agg(
-            F.sum(F.col("w") * F.col("sig")).alias("mu"))
-        num = ds.join(mu, by + KEYS + ["gene"]).groupBy(*by, *KEYS, "cell_type").agg(
-            F.sum(F.col("sig") * (F.col("value") / F.col("mu"))).alias("num"))
-        w = (w.join(num, by + KEYS + ["cell_type"], "left").join(colsum, by + ["cell_type"])
-             .select(*by, *KEYS, "cell_type", (F.col("w") * F.coalesce("num", F.lit(0.0)) / F.col("gsum")).alias("w")))
-        if checkpoint:
-            w = cut_lineage(w)
-    return w
-
-
-def abundance_summary(expr: DataFrame, sig: DataFrame, iters: int, reps: int = 20, keep_mod: int = 8) -> DataFrame:
+    one = F.lit(0).alias("_all")
+    # per by group: the types in order and their column sums
+    sums = (sig.groupBy(*by, "cell_type").agg(F.sum("sig").alias("gsum")).groupBy(*by, one)
+            .agg(F.sort_array(F.collect_list(F.struct("cell_type", "gsum"))).alias("types")))
+    per_gene = (sig.groupBy(*by, one, "gene").agg(F.map_from_entries(F.collect_list(F.struct("cell_type", "sig"))).alias("_m"))
+                .join(sums, by + ["_all"])
+                .select(*by, "gene", F.transform("types", lambda t: F.coalesce(F.col("_m")[t["cell_type"]], F.lit(0.0))).alias("sig")))
+    spots = (d.join(per_gene, by + ["gene"]).groupBy(*by, one, *KEYS)
+             .agg(F.collect_list(F.struct("value", "sig")).alias("genes"), F.sum("value").alias("depth"))
+             .join(sums, by + ["_all"]))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    start = F.transform("types", lambda t: F.col("depth") / (F.size("types") * t["gsum"]))
+
+    def update(w: Column) -> Column:
+        # value / mu of every gene, then its sum with the signature per type
+        ratios = F.transform("genes", lambda g: F.struct(
+            F.coalesce(F.try_divide(g["value"], dot(g["sig"], w)), F.lit(0.0)).alias("q"), g["sig"].alias("sig")))
+        zero = F.transform("types", lambda t: F.lit(0.0))
+        num = F.aggregate(ratios, zero, lambda acc, g: F.zip_with(acc, g["sig"], lambda x, y: x + g["q"] * y))
+        return F.zip_with(F.zip_with(w, num, lambda x, y: x * y), F.col("types"), lambda x, t: x / t["gsum"])
+
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(iters)), start, lambda w, _: update(w)) if iters else start
+    out = spots.select(*by, *KEYS, F.explode(F.arrays_zip(F.col("types.cell_type").alias("cell_type"), fitted.alias("w"))).alias("_t"))
+    return out.select(*by, *KEYS, "_t.cell_type", "_t.w")
+
+
+def abundance_summary(expr: DataFrame, sig: DataFrame, iters: int, reps: int = 20, keep: float = 0.8) -> DataFrame:
     """``reps`` replicates of N2 on gene subsets, run together as one replicate-keyed fit
-    (gene kept in replicate r when lcg(md5 seed of gene, r) mod 10 < keep_mod), then exact
+    (gene kept in replicate r when its md5 uniform of 'gene/r' is at most ``keep``), then exact
     q05 / mean / q95 / sd of the abundance per spot and type."""
-    # gene seed: first 7 hex digits of md5(gene) (a portable 28-bit integer)
-    g = sig.select("gene").distinct().withColumn(
-        "_gi", F.conv(F.substring(F.md5("gene"), 1, 7), 16, 10).cast("long"))
-    keep = (g.select("gene", "_gi", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-            .filter(F.pmod(lcg(F.col("_gi"), F.col("rep")), F.lit(10)) < keep_mod).select("rep", "gene"))
-    e = expr.join(keep, "gene")
-    s = sig.join(keep, "gene")
+    g = sig.select("gene").distinct().select("gene", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    chosen = g.filter(md5_unit(F.concat("gene", F.lit("/"), F.col("rep").cast("string"))) <= keep).select("rep", "gene")
+    e = expr.join(chosen, "gene")
+    s = sig.join(chosen, "gene")
     w = deconvolve(e, s, iters, by=["rep"])
     return w.groupBy(*KEYS, "cell_type").agg(
         F.percentile("w", 0.05).alias("q05"), F.avg("w").alias("mean"),
@@ -101,17 +101,16 @@ def nmf(x: DataFrame, rank: int, iters: int, restart: int = 0, key: str = "cell_
     """X (spots x types, long) ~ W (spots x rank) H (rank x types), Frobenius multiplicative
     updates.  H is small (rank x types) and broadcast; W is distributed by spot.
       H <- H * (W^T X) / (W^T W H),   W <- W * (X H^T) / (W H H^T)
-    Gram matrices are group-by sums; LCG start in (0, 1] keyed by spot / type index and restart."""
+    Gram matrices are group-by sums; start in (0, 1] from an LCG of the type index (H) and the md5 of
+    spot, factor and restart (W)."""
     xs = x.select(*KEYS, F.col(key).alias("t"), F.col(value).alias("x"))
     tl = sorted(r[0] for r in xs.select("t").distinct().collect())               # bounded: type catalogue
     types = xs.sparkSession.createDataFrame([(t, i + 1) for i, t in enumerate(tl)], "t string, _ti int")
-    # spot seed: the first 7 hex digits of md5(sample/barcode) (a portable 28-bit integer)
-    seed = F.conv(F.substring(F.md5(F.concat_ws("/", "sample", "barcode")), 1, 7), 16, 10).cast("long")
-    spots = xs.select(*KEYS).distinct().withColumn("_si", seed)
+    spots = xs.select(*KEYS).distinct()
     fac = F.explode(F.sequence(F.lit(0), F.lit(rank - 1))).alias("f")
     H = types.select("t", "_ti", fac).select("f", "t", lcg_unit(F.col("_ti") * 131 + F.col("f"), restart).alias("h"))
-    W = spots.select(*KEYS, "_si", fac).select(
-        *KEYS, "f", lcg_unit(F.col("_si") * 17 + F.col("f"), restart + 1000).alias("w"))
+    name = F.concat_ws("/", "sample", "barcode", F.col("f").cast("string"), F.lit(str(restart)))
+    W = spots.select(*KEYS, fac).withColumn("w", md5_unit(name))
     eps = F.lit(1e-12)
     for _ in range(iters):
         wtx = W.join(xs, KEYS).groupBy("f", "t").agg(F.sum(F.col("w") * F.col("x")).alias("num"))

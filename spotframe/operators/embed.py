@@ -18,18 +18,33 @@ from pyspark.sql import functions as F
 KEYS = ["sample", "barcode"]
 
 
+def gene_index(spark, genes: list[str]) -> DataFrame:
+    """(gene, i): positions of the selected genes."""
+    return spark.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, i int")
+
+
 def dense_vectors(values: DataFrame, genes: list[str]) -> DataFrame:
     """(sample, barcode, vec array<double>) over ``genes`` (absent = 0)."""
-    idx = F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(i))])
-    v = values.filter(F.col("gene").isin(genes)).select(*KEYS, idx[F.col("gene")].alias("i"), "value")
-    per = v.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("_m"))
     p = len(genes)
+    # one row per selected gene: bounded by the list the caller passed
+    v = values.join(F.broadcast(gene_index(values.sparkSession, genes)), "gene").select(*KEYS, "i", "value")
+    per = v.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("_m"))
     return per.select(*KEYS, F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
                                          lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("vec"))
 
 
-def pca(values: DataFrame, genes: list[str], k: int, cells: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Embedding (sample, barcode, vec), stdev (pc, stdev), loadings (gene, pc, loading)."""
+def pca(values: DataFrame, genes: list[str], k: int, cells: DataFrame | None = None,
+        absent: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Embedding (sample, barcode, vec), stdev (pc, stdev), loadings (gene, pc, loading).
+
+    ``absent`` (gene, zero_z): what an entry without a row is worth, as ``scale_genes``
+    returns it.  It is subtracted from the rows that exist, so absent entries are 0; the
+    shift is constant per gene and centring removes it.
+    MLlib brings a genes x genes matrix to the driver, bounded by the selected genes.
+    """
+    if absent is not None:
+        values = values.join(absent.select("gene", "zero_z"), "gene").select(
+            *KEYS, "gene", (F.col("value") - F.col("zero_z")).alias("value"))
     dv = dense_vectors(values, genes)
     if cells is not None:  # cells without any selected gene are the zero vector
         p = len(genes)

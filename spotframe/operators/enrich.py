@@ -19,10 +19,13 @@ KEYS = ["sample", "barcode"]
 
 
 def prepare_marker_list(markers: DataFrame, prefix: str, group: str = "cluster", min_fc: float | None = None,
-                        max_padj: float | None = None, min_d: float | None = None) -> DataFrame:
-    """Filter (fc, p_adj, d = pct_1 - pct_2), sort by group then fold change, prefix the group name;
-    returns (group, gene)."""
+                        max_padj: float | None = None, min_d: float | None = None,
+                        max_p: float | None = None) -> DataFrame:
+    """Filter (fc, p_adj or raw p, d = pct_1 - pct_2) and prefix the group name; returns
+    (group, gene, avg_log2fc): sort by the last two where the list is written out (E2)."""
     cond = F.lit(True)
+    if max_p is not None:
+        cond = cond & (F.col("p_val") < max_p)
     if min_fc is not None:
         cond = cond & (F.col("avg_log2fc") > min_fc)
     if max_padj is not None:
@@ -30,7 +33,7 @@ def prepare_marker_list(markers: DataFrame, prefix: str, group: str = "cluster",
     if min_d is not None:
         cond = cond & ((F.col("pct_1") - F.col("pct_2")) > min_d)
     m = markers.filter(cond)
-    return m.select(F.concat(F.lit(prefix), F.col(group).cast("string")).alias("group"), "gene")
+    return m.select(F.concat(F.lit(prefix), F.col(group).cast("string")).alias("group"), "gene", "avg_log2fc")
 
 
 def marker_overlap(region: DataFrame, ctype: DataFrame, n_genes: int) -> DataFrame:
@@ -40,9 +43,9 @@ def marker_overlap(region: DataFrame, ctype: DataFrame, n_genes: int) -> DataFra
     t = ctype.select(F.col("group").alias("cell_type"), "gene").distinct()
     rs = r.groupBy("region").agg(F.count("*").alias("n_a"))
     types = t.groupBy("cell_type").agg(F.count("*").alias("n_b"))
-    tl = types.collect()  # bounded: one row per cell type
-    grid = rs.select("region", "n_a", F.explode(F.array(*[F.struct(F.lit(x["cell_type"]).alias("cell_type"),
-                                                                    F.lit(x["n_b"]).cast("long").alias("n_b")) for x in tl])).alias("t"))
+    # the result has a row per (region, cell type): the types travel to the regions as one array
+    one = types.agg(F.collect_list(F.struct("cell_type", "n_b")).alias("_t")).withColumn("_one", F.lit(0))
+    grid = rs.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").select("region", "n_a", F.explode("_t").alias("t"))
     grid = grid.select("region", "n_a", "t.cell_type", "t.n_b")
     ov = r.join(t, "gene").groupBy("region", "cell_type").agg(F.count("*").alias("k"))
     g = grid.join(ov, ["region", "cell_type"], "left").fillna(0, ["k"])

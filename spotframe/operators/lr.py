@@ -18,20 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotframe.functions.ranks import average_rank, exact_percentile
+from spotframe.functions.ranks import exact_percentile
 from spotframe.functions.stats import lcg
 from spotframe.operators.ranking import bh_adjust
-from spotframe.operators.spatial import neighbor_mean
+from spotframe.operators.slide import neighbor_mean
 from spotframe.session import cut_lineage
 
 KEYS = ["sample", "barcode"]
-CATALOGUE_MAX_ROWS = 1_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = CATALOGUE_MAX_ROWS) -> DataFrame:
-    """Broadcast a side only when its row count is proven small; otherwise leave it to a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def lr_genes(lr_db: DataFrame) -> DataFrame:
@@ -45,7 +38,7 @@ def lr_genes(lr_db: DataFrame) -> DataFrame:
 
 def complex_expression(expr: DataFrame, lr_db: DataFrame) -> DataFrame:
     """(sample, barcode, lr, side, value) = min over subunits; rows only where every subunit > 0."""
-    g = sized_broadcast(lr_genes(lr_db))
+    g = lr_genes(lr_db)
     j = expr.filter(F.col("value") > 0).join(g, "gene")
     per = j.groupBy(*KEYS, "lr", "side").agg(F.count("*").alias("_n"), F.min("value").alias("value"),
                                               F.first("n_sub").alias("n_sub"))
@@ -103,7 +96,9 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
               n_pairs: int = 2000, n_bins: int = 10, ce: DataFrame | None = None) -> DataFrame:
     """H2: permutation-style p for every (spot, LR) with a positive score.
 
-    Returns scores with columns bl, br (expression bins), n_ge, n_null, p.
+    Draws of one gene as both partners do not count.  Returns scores with columns bl, br
+    (expression bins), n_ge, n_null (draws that count), p; n_null is 0 and p is 1 where no
+    pair of candidate genes exists in the bins of an LR.
     """
     n_spots = expr.select(*KEYS).distinct().count()
     gm = expr.groupBy("gene").agg((F.sum("value") / F.lit(float(n_spots))).alias("mean"))
@@ -125,40 +120,41 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
     combos = cut_lineage(lr_bins.select("bl", "br").distinct()
                          .join(counts.select(F.col("bin").alias("bl"), F.col("n_b").alias("n_l")), "bl")
                          .join(counts.select(F.col("bin").alias("br"), F.col("n_b").alias("n_r")), "br"))
-    combo_id = F.col("bl") * F.lit(100) + F.col("br")
+    combo_id = F.col("bl") * F.lit(n_bins) + F.col("br")
     pairs = combos.select("bl", "br", "n_l", "n_r", F.explode(F.sequence(F.lit(0), F.lit(n_pairs - 1))).alias("k"))
     pairs = pairs.select("bl", "br", "k",
                          F.pmod(lcg(F.col("k"), combo_id * 2), F.col("n_l")).alias("jl"),
                          F.pmod(lcg(F.col("k"), combo_id * 2 + 1), F.col("n_r")).alias("jr"))
     cl = cand.select(F.col("bin").alias("bl"), F.col("j").alias("jl"), F.col("gene").alias("gl"))
     cr = cand.select(F.col("bin").alias("br"), F.col("j").alias("jr"), F.col("gene").alias("gr"))
-    # draws repeat the same (gl, gr) when bins are small: score each distinct pair once, keep its multiplicity
-    pairs = cut_lineage(pairs.join(cl, ["bl", "jl"]).join(cr, ["br", "jr"])
+    # draws repeat the same (gl, gr) when bins are small: score each distinct pair once, keep its multiplicity;
+    # a gene is no partner of itself
+    pairs = cut_lineage(pairs.join(cl, ["bl", "jl"]).join(cr, ["br", "jr"]).filter(F.col("gl") != F.col("gr"))
                         .groupBy("bl", "br", "gl", "gr").agg(F.count("*").alias("mult")))
     null_genes = pairs.select(F.col("gl").alias("gene")).union(pairs.select(F.col("gr").alias("gene"))).distinct()
     gv = cut_lineage(own_and_neighbors(expr.filter(F.col("value") > 0).join(null_genes, "gene", "left_semi"),
                                        edges, ["gene"]))
+    obs = scores.join(lr_bins, "lr")
+    # only (spot, bin combination) keys with an observed score need their null distribution
+    wanted = cut_lineage(obs.select(*KEYS, "bl", "br").distinct())
     side_l = pairs.join(gv.withColumnRenamed("gene", "gl"), "gl").select(
         *KEYS, "bl", "br", "gl", "gr", "mult", F.col("value").alias("L"), F.col("nbr_mean").alias("mL"))
     side_r = pairs.join(gv.withColumnRenamed("gene", "gr"), "gr").select(
         *KEYS, "bl", "br", "gl", "gr", F.col("value").alias("R"), F.col("nbr_mean").alias("mR"))
-    nk = KEYS + ["bl", "br", "gl", "gr"]
+    nk = KEYS + ["bl", "br"]
+    side_l, side_r = side_l.join(wanted, nk, "left_semi"), side_r.join(wanted, nk, "left_semi")
     # a null score is positive only when both the ligand side (L or mL) and the receptor side
     # (R or mR) are present at the spot: the inner join keeps exactly the positive scores
-    null = side_l.join(side_r, nk, "inner")
-    null = null.select(*KEYS, "bl", "br", "mult", _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score"))
-    obs = scores.join(lr_bins, "lr")
-    # only (spot, bin combination) keys with an observed score need their null distribution
-    null = null.filter(F.col("score") > 0).join(obs.select(*KEYS, "bl", "br").distinct(), KEYS + ["bl", "br"],
-                                                "left_semi")
+    null = side_l.join(side_r, nk + ["gl", "gr"], "inner")
+    null = null.select(*nk, "mult", _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score"))
+    null = null.filter(F.col("score") > 0)
     u = (obs.select(*KEYS, "bl", "br", "lr", "score", F.lit(0).cast("long").alias("mult"))
          .unionByName(null.select(*KEYS, "bl", "br", F.lit(None).cast("string").alias("lr"), "score",
                                   F.col("mult").cast("long"))))
     w = (Window.partitionBy(*KEYS, "bl", "br").orderBy(F.desc("score"))
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     u = u.withColumn("n_ge", F.sum("mult").over(w)).filter(F.col("lr").isNotNull())
-    nn = combos.select("bl", "br", F.when((F.col("n_l") > 0) & (F.col("n_r") > 0), F.lit(n_pairs))
-                       .otherwise(F.lit(0)).alias("n_null"))
+    nn = pairs.groupBy("bl", "br").agg(F.sum("mult").alias("n_null"))
     res = obs.join(u.select(*KEYS, "lr", "n_ge"), KEYS + ["lr"]).join(nn, ["bl", "br"], "left").fillna(0, ["n_null"])
     p = (F.lit(1.0) + F.col("n_ge")) / (F.lit(1.0) + F.col("n_null"))
     return res.withColumn("p", F.when(F.col("n_null") > 0, p).otherwise(F.lit(1.0)))
@@ -235,36 +231,23 @@ def lr_category_counts(categories: DataFrame, spots: DataFrame) -> DataFrame:
     return c.unionByName(neither)
 
 
-def permutation_multipliers(n_reps: int, start: int = 1_000_003) -> list[int]:
-    """The first primes >= ``start`` (rule-generated).  Replicate r uses the first listed
-    prime that does not divide the sample size, so i -> (a i + b) mod n is a bijection."""
-    out, c = [], start
-    while len(out) < n_reps + 16:
-        if all(c % d for d in range(3, int(c ** 0.5) + 1, 2)) and c % 2:
-            out.append(c)
-        c += 2
-    return out
-
-
 def spot_index(spots: DataFrame) -> DataFrame:
-    """Dense 0-based spot index within sample, ordered by array position (skew-safe rank)."""
-    pos = spots.select(*KEYS, (F.col("array_row").cast("long") * F.lit(1_000_000) + F.col("array_col")).alias("pos"))
-    r = average_rank(pos, ["sample"], "pos").select("sample", "pos", F.col("below").alias("i"))
-    n = spots.groupBy("sample").agg(F.count("*").alias("n"))
-    return pos.join(r, ["sample", "pos"]).join(n, "sample").select(*KEYS, "i", "n")
+    """Dense 0-based spot index within sample, by (array_row, array_col, barcode); a sample is
+    one slide, so its spots are bounded by the capture array."""
+    w = Window.partitionBy("sample").orderBy("array_row", "array_col", "barcode")
+    return spots.select(*KEYS, (F.row_number().over(w) - 1).cast("long").alias("i"))
 
 
 def permuted_types(types: DataFrame, spots: DataFrame, n_perms: int) -> DataFrame:
-    """(sample, rep, barcode, cell_type): spot i takes the type set of spot (a_r i + b_r) mod n."""
-    primes = permutation_multipliers(n_perms)
+    """``types`` (sample, barcode, ...) dealt anew within each sample, once per replicate: in
+    replicate r the spot at place i of the order of md5(r/barcode) takes the rows of spot i."""
     idx = spot_index(spots)
-    reps = idx.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("rep"))
-    cands = F.filter(F.array(*[F.lit(p) for p in primes]), lambda p: F.col("n") % p != 0)
-    a = F.element_at(cands, F.col("rep") + 1).cast("long")
-    b = F.pmod(lcg(F.col("rep"), F.lit(7)), F.col("n"))
-    reps = reps.select("sample", "rep", "barcode", F.pmod(a * F.col("i") + b, F.col("n")).alias("j"))
-    src = types.join(idx.select(*KEYS, "i"), KEYS).select("sample", F.col("i").alias("j"), "cell_type")
-    return reps.join(src, ["sample", "j"]).select("sample", "rep", "barcode", "cell_type")
+    reps = idx.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("rep"))
+    draw = F.md5(F.concat(F.col("rep").cast("string"), F.lit("/"), F.col("barcode")))
+    w = Window.partitionBy("sample", "rep").orderBy(draw, "barcode")
+    reps = reps.select("sample", "rep", "barcode", (F.row_number().over(w) - 1).cast("long").alias("i"))
+    src = types.join(idx, KEYS).drop("barcode")
+    return reps.join(src, ["sample", "i"]).drop("i")
 
 
 def _cci_pairs(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataFrame,
@@ -279,20 +262,57 @@ def _cci_pairs(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataF
     return sig.join(nb, KEYS).join(rec, ["sample", "dst", "lr"]).select("sample", "lr", "barcode", "dst")
 
 
+MASK_BITS = 62
+
+
 def cci_permutation(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataFrame,
                     composition: DataFrame, spots: DataFrame, type_cutoff: float, n_perms: int,
                     observed: DataFrame, ce: DataFrame | None = None) -> DataFrame:
     """H8: p = (1 + #{replicates with count >= observed}) / (1 + n_perms) for every observed
-    (sample, lr, sender, receiver) of ``observed`` (output of ``cci_counts``)."""
+    (sample, lr, sender, receiver) of ``observed`` (output of ``cci_counts``).
+
+    The types of a spot travel as bit masks (words of ``MASK_BITS`` types): the masks of the
+    receiving neighbours are or-ed per sending spot before any type is written out, so the
+    widest table has a row per (replicate, LR, spot, word), not per pair of types.
+    """
     pairs = _cci_pairs(stats, expr, edges, lr_db, ce)
     types = composition.filter(F.col("score") > F.lit(type_cutoff)).select(*KEYS, "cell_type")
-    pt = permuted_types(types, spots, n_perms)
-    st = pt.select("sample", "rep", "barcode", F.col("cell_type").alias("sender"))
-    rt = pt.select("sample", "rep", F.col("barcode").alias("dst"), F.col("cell_type").alias("receiver"))
-    t = pairs.join(st, ["sample", "barcode"]).join(rt, ["sample", "rep", "dst"])
-    c = t.groupBy("sample", "rep", "lr", "sender", "receiver").agg(F.countDistinct("barcode").alias("n_rep"))
+    # one row per cell type
+    number = F.row_number().over(Window.orderBy("cell_type")) - 1
+    index = cut_lineage(types.select("cell_type").distinct().select(
+        "cell_type", F.floor(number / MASK_BITS).cast("int").alias("word"), F.expr(
+            f"shiftleft(1L, (row_number() OVER (ORDER BY cell_type) - 1) % {MASK_BITS})").alias("bit")))
+    masks = types.join(index, "cell_type").groupBy(*KEYS, "word").agg(F.bit_or("bit").alias("mask"))
+    dealt = cut_lineage(permuted_types(masks, spots, n_perms))
+    near = (pairs.join(dealt.withColumnRenamed("barcode", "dst"), ["sample", "dst"])
+            .groupBy("sample", "rep", "lr", "barcode", "word").agg(F.bit_or("mask").alias("mask")))
+
+    def written(t: DataFrame, name: str) -> DataFrame:
+        return (t.join(index, "word").filter(F.col("mask").bitwiseAND(F.col("bit")) != 0)
+                .drop("word", "mask", "bit").withColumnRenamed("cell_type", name))
+
+    t = written(near, "receiver").join(written(dealt, "sender"), ["sample", "rep", "barcode"])
     k = ["sample", "lr", "sender", "receiver"]
+    c = t.groupBy(*k, "rep").agg(F.count("*").alias("n_rep"))
     ge = (observed.join(c, k).filter(F.col("n_rep") >= F.col("n"))
           .groupBy(*k).agg(F.count("*").alias("n_ge")))
     res = observed.join(ge, k, "left").fillna(0, ["n_ge"])
     return res.withColumn("p", (F.lit(1.0) + F.col("n_ge")) / F.lit(1.0 + n_perms))
+
+
+def cci_network(cci: DataFrame, min_count: int = 2, by_lr: bool = False) -> DataFrame:
+    """H9: edges sender -> receiver with their count, over all LRs or one network per LR; edges
+    under ``min_count`` are left out."""
+    keys = ["sample", *(["lr"] if by_lr else []), "sender", "receiver"]
+    return cci.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+
+
+def cci_map(cci: DataFrame, by_lr: bool = False, min_total: int = 0) -> DataFrame:
+    """Sender x receiver counts over all samples, over all LRs or per LR; LRs with a total
+    under ``min_total`` are left out."""
+    keys = [*(["lr"] if by_lr else []), "sender", "receiver"]
+    t = cci.groupBy(*keys).agg(F.sum("n").alias("n"))
+    if not by_lr:
+        return t
+    total = t.groupBy("lr").agg(F.sum("n").alias("_t")).filter(F.col("_t") >= min_total)
+    return t.join(total.select("lr"), "lr", "left_semi")

@@ -21,20 +21,19 @@ from spotframe.functions.stats import norm_sf_two_sided, round_half_up
 from spotframe.session import cut_lineage
 
 KEYS = ["sample", "barcode"]
-MAX_GROUPS = 100_000
 
 
-def group_sizes(labels: DataFrame, group: str) -> dict[str, int]:
-    """Bounded metadata: one row per group."""
-    rows = labels.groupBy(group).count().limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {group}")
-    return {r[group]: int(r["count"]) for r in rows}
+def group_sizes(labels: DataFrame, group: str) -> DataFrame:
+    """(<group>, n1): one row per group."""
+    return labels.groupBy(group).agg(F.count("*").alias("n1"))
 
 
-def _explode_groups(df: DataFrame, sizes: dict[str, int], group: str) -> DataFrame:
-    m = F.create_map(*[x for g, n in sorted(sizes.items()) for x in (F.lit(g), F.lit(n))])
-    return df.select("*", F.explode(m).alias(group, "n1"))
+def _explode_groups(df: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+    """Every row of ``df`` once per group: the size table travels as one array, so each row
+    is widened where it lies."""
+    one = sizes.agg(F.collect_list(F.struct(group, "n1")).alias("_groups")).withColumn("_one", F.lit(0))
+    return (df.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")
+            .select("*", F.explode("_groups").alias("_g")).select("*", f"_g.{group}", "_g.n1").drop("_groups", "_g"))
 
 
 def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", only_pos: bool = False,
@@ -43,12 +42,11 @@ def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", onl
     """Markers for every group of ``labels`` (sample, barcode, <group>) against the rest.
 
     ``expr`` holds log-normalised non-zero values; cells absent from ``labels`` are ignored.
-    Output: group, gene, avg_log2fc, pct_1, pct_2, z, p_val, p_val_adj (ordered by group, p,
-    -log2fc, gene).  ``n_genes`` (Bonferroni m) defaults to the genes present in ``expr``.
+    Output: group, gene, avg_log2fc, pct_1, pct_2, z, p_val, p_val_adj; rows come unordered.  ``n_genes`` (Bonferroni m) defaults to the genes present in ``expr``.
     """
     lab = labels.select(*KEYS, F.col(group).cast("string").alias(group))
-    sizes = group_sizes(lab, group)
-    n_all = sum(sizes.values())
+    sizes = cut_lineage(group_sizes(lab, group))
+    n_all = sizes.agg(F.sum("n1")).first()[0] or 0
     if n_genes is None:
         n_genes = expr.select("gene").distinct().count()
     e = expr.join(lab, KEYS).select("gene", "value", group)
@@ -92,14 +90,17 @@ def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", onl
         cond = cond & (F.col("avg_log2fc") > 0)
     if max_p is not None:
         cond = cond & (F.col("p_val") < F.lit(max_p))
-    return out.filter(cond)
+    # one row per gene and group; written out so that no filter repeats the p-value's long formula
+    return cut_lineage(out).filter(cond)
 
 
 def significant(markers: DataFrame, min_fc: float | None = None, max_padj: float | None = None,
                 min_pct1: float | None = None, max_pct2: float | None = None,
-                min_d: float | None = None) -> DataFrame:
-    """Significance predicates on a marker table; d = pct_1 - pct_2."""
+                min_d: float | None = None, max_p: float | None = None) -> DataFrame:
+    """Significance predicates on a marker table; d = pct_1 - pct_2, max_p on the raw p."""
     cond = F.lit(True)
+    if max_p is not None:
+        cond = cond & (F.col("p_val") < max_p)
     if min_fc is not None:
         cond = cond & (F.col("avg_log2fc") > min_fc)
     if max_padj is not None:
@@ -120,8 +121,7 @@ def average_expression(expr: DataFrame, labels: DataFrame, group: str = "cluster
     sizes = lab.groupBy(group).agg(F.count("*").alias("n"))
     e = expr.join(genes.select("gene"), "gene", "left_semi") if genes is not None else expr
     s = e.join(lab, KEYS).groupBy("gene", group).agg(F.sum(F.expm1("value")).alias("_s"))
-    # groups are few: the size table is bounded by the number of groups
-    return s.join(F.broadcast(sizes), group).select("gene", group, (F.col("_s") / F.col("n")).alias("avg_exp"))
+    return s.join(sizes, group).select("gene", group, (F.col("_s") / F.col("n")).alias("avg_exp"))
 
 
 def unlog_expression(expr: DataFrame, digits: int = 6) -> DataFrame:

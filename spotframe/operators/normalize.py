@@ -53,11 +53,13 @@ def gene_moments(expr: DataFrame, n_cells: int, unlog: bool = False) -> DataFram
     """Mean and sample variance per gene over all ``n_cells`` cells, zeros included."""
     v = F.expm1("value") if unlog else F.col("value")
     n = F.lit(float(n_cells))
-    g = expr.groupBy("gene").agg(F.sum(v).alias("s1"), F.sum(v * v).alias("s2"),
-                                 F.count("*").alias("nnz"))
+    g = expr.groupBy("gene").agg(F.count("*").alias("nnz"), F.sum(v).alias("s1"), F.avg(v).alias("_m"),
+                                 F.var_pop(v).alias("_v"))
     mean = F.col("s1") / n
-    var = (F.col("s2") - n * mean * mean) / (n - F.lit(1.0))
-    return g.select("gene", "nnz", mean.alias("mean"), F.greatest(var, F.lit(0.0)).alias("var"), "s1", "s2")
+    # squares about the mean: within the rows that exist, between them and the mean, and the zeros
+    ss = (F.col("_v") * F.col("nnz") + F.col("nnz") * F.pow(F.col("_m") - mean, 2)
+          + (n - F.col("nnz")) * F.pow(mean, 2))
+    return g.select("gene", "nnz", mean.alias("mean"), (ss / (n - F.lit(1.0))).alias("var"))
 
 
 def _det3(m):
@@ -145,3 +147,51 @@ def scale_genes(expr: DataFrame, n_cells: int, genes: DataFrame | None = None, c
     nz = e.join(mom.select("gene", "mean", "sd"), "gene").select(*KEYS, "gene", zc(F.col("value")).alias("value"))
     g = mom.select("gene", "mean", "sd", zc(F.lit(0.0)).alias("zero_z"))
     return nz, g
+
+
+def dense_scaled(nonzero: DataFrame, absent: DataFrame, cells: DataFrame) -> DataFrame:
+    """Every cell of ``cells`` with every gene of ``absent`` (outputs of ``scale_genes`` on
+    selected genes): the z of its entry, or the gene's zero z where it has none.  The genes
+    travel as one array, so each cell is widened where it lies."""
+    genes = absent.agg(F.collect_list(F.struct("gene", "zero_z")).alias("_genes")).withColumn("_one", F.lit(0))
+    grid = (cells.withColumn("_one", F.lit(0)).join(F.broadcast(genes), "_one").drop("_one")
+            .select("*", F.explode("_genes").alias("_g")).select("*", "_g.gene", "_g.zero_z").drop("_genes", "_g"))
+    return (grid.join(nonzero.select(*KEYS, "gene", "value"), [*KEYS, "gene"], "left")
+            .withColumn("value", F.coalesce("value", "zero_z")).drop("zero_z"))
+
+
+def pearson_residuals(expr: DataFrame, depth: DataFrame, theta: float = 100.0, clip: float | None = None,
+                      genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Analytic Pearson residuals of counts under a negative binomial null,
+    r = (x - mu) / sqrt(mu + mu^2 / theta) with mu = gene total * depth / all counts, clipped at
+    +-sqrt(cells) (``clip``).  ``depth``: (sample, barcode, depth) of every cell.
+
+    Returns (entries of ``genes`` that exist with their residual, per gene: total, mean and
+    variance of the residual over all cells).  A zero's residual depends only on the gene and
+    the cell's depth, so zeros are summed over the histogram of distinct depths (bounded by
+    the largest depth) and never written out."""
+    n = depth.count()
+    bound = F.lit(float(clip if clip is not None else math.sqrt(n)))
+    total = float(depth.agg(F.sum("depth")).first()[0] or 0.0)
+    e = expr.join(genes.select("gene"), "gene", "left_semi") if genes is not None else expr
+    sums = e.groupBy("gene").agg(F.sum("value").alias("total"))
+
+    def residual(x):
+        mu = F.col("total") * F.col("depth") / F.lit(total)
+        r = (x - mu) / F.sqrt(mu + mu * mu / F.lit(float(theta)))
+        return F.when(mu > 0, F.least(F.greatest(r, -bound), bound)).otherwise(F.lit(0.0))
+
+    nz = e.join(sums, "gene").join(depth, KEYS)
+    nz = nz.select(*KEYS, "gene", residual(F.col("value")).alias("value"), residual(F.lit(0.0)).alias("_zero"))
+    have = nz.groupBy("gene").agg(F.sum(F.col("value") - F.col("_zero")).alias("_d1"),
+                                  F.sum(F.col("value") * F.col("value") - F.col("_zero") * F.col("_zero")).alias("_d2"))
+    hist = depth.groupBy("depth").agg(F.count("*").alias("n"))
+    hist = hist.agg(F.collect_list(F.struct("depth", "n")).alias("_h")).withColumn("_one", F.lit(0))
+    wide = (sums.withColumn("_one", F.lit(0)).join(F.broadcast(hist), "_one")
+            .select("gene", "total", F.explode("_h").alias("_x")).select("gene", "total", "_x.depth", "_x.n"))
+    zero = residual(F.lit(0.0))
+    all0 = wide.groupBy("gene", "total").agg(F.sum(zero * F.col("n")).alias("_z1"), F.sum(zero * zero * F.col("n")).alias("_z2"))
+    mean = (F.col("_z1") + F.col("_d1")) / F.lit(float(n))
+    var = (F.col("_z2") + F.col("_d2") - F.lit(float(n)) * mean * mean) / F.lit(float(n - 1))
+    stats = all0.join(have, "gene").select("gene", "total", mean.alias("mean"), var.alias("var"))
+    return nz.drop("_zero"), stats

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.functions.ranks import average_rank
+
 
 def top_n_ties(df: DataFrame, by: str | list[str], wt: str, n: int, tie_digits: int | None = 9) -> DataFrame:
     """Top ``n`` rows per group by ``wt`` descending, ties at the cut kept (``rank``).
@@ -23,20 +25,26 @@ def first_k(df: DataFrame, order: list, k: int) -> DataFrame:
 
 
 def make_unique(genes: DataFrame, name: str = "gene_name", order: str = "idx", out: str = "unique_name") -> DataFrame:
-    """E5: 2nd+ occurrence of a name gets '-1', '-2', ... in file order.
-
-    Raises if a generated name collides with an existing one (checked with a bounded query)."""
-    w = Window.partitionBy(name).orderBy(order)
-    rn = F.row_number().over(w) - 1
-    res = genes.withColumn(out, F.when(rn == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), rn.cast("string"))))
-    return res
+    """E5: 2nd+ occurrence of a name gets '-1', '-2', ... in file order; numbers that would make
+    a name the file already has are passed over."""
+    key = "_base"
+    rn = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    taken = (genes.select(F.regexp_extract(F.col(name), r"^(.*)-([1-9][0-9]{0,8})$", 1).alias(key),
+                          F.regexp_extract(F.col(name), r"^(.*)-([1-9][0-9]{0,8})$", 2).alias("_n"))
+             .filter(F.col("_n") != "").groupBy(key).agg(F.collect_set(F.col("_n").cast("int")).alias("_taken")))
+    free = F.array_except(F.sequence(F.lit(1), F.col("_rn") + F.size("_all")), F.col("_all"))
+    return (genes.withColumn("_rn", rn).join(taken, F.col(name) == F.col(key), "left")
+            .withColumn("_all", F.coalesce("_taken", F.array().cast("array<int>")))
+            .withColumn(out, F.when(F.col("_rn") == 0, F.col(name)).otherwise(
+                F.concat(F.col(name), F.lit("-"), F.get(free, F.col("_rn") - 1).cast("string"))))
+            .drop("_rn", key, "_taken", "_all"))
 
 
 def avg_rank(df: DataFrame, by: list[str], col: str, out: str = "avg_rank") -> DataFrame:
-    """Average-tie rank (1-based) of ``col`` within ``by``."""
-    w = Window.partitionBy(*by).orderBy(col)
-    wt = Window.partitionBy(*by, col)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(wt) - 1) / F.lit(2.0))
+    """Average-tie rank (1-based) of ``col`` within ``by``; a large group is ranked in
+    slices (``functions.ranks.average_rank``)."""
+    ranks = average_rank(df, by, col, out=out).select(*by, col, out)
+    return df.join(ranks, [*by, col])
 
 
 def bh_adjust(df: DataFrame, p: str = "p", by: list[str] | None = None, out: str = "p_adj",

@@ -1,4 +1,4 @@
-"""Per-group tables and joins behind the reference's reports
+"""Per-group tables and joins behind the reports
 (SURVEY C1, C2, C4, C5, C13, D3, D4, D9, D10, D14, D16, D17, D18, E6, F1-F6)."""
 
 from __future__ import annotations
@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 from spotframe.functions.ranks import exact_percentile, exact_percentiles
 
 KEYS = ["sample", "barcode"]
-MAX_LEVELS = 100_000
 
 
 def levels(df: DataFrame, col: str) -> list:
-    """Distinct values of a categorical column (bounded metadata, sorted)."""
-    rows = df.select(col).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
-    return sorted(r[0] for r in rows)
+    """Distinct values of a categorical column, sorted: the column names of a wide table."""
+    return sorted(r[0] for r in df.select(col).distinct().collect())
 
 
 def align(expr: DataFrame, anno: DataFrame) -> DataFrame:
@@ -97,7 +93,7 @@ def freq(df: DataFrame, col: str) -> DataFrame:
 def max_scale(composition: DataFrame, key: str = "cell_type", value: str = "score") -> DataFrame:
     """Scale each type's scores to the type maximum (0 maximum -> NULL via try_divide)."""
     m = composition.groupBy(key).agg(F.max(value).alias("_max"))
-    return (composition.join(F.broadcast(m), key)
+    return (composition.join(m, key)
             .withColumn(value, F.try_divide(F.col(value), F.col("_max"))).drop("_max"))
 
 

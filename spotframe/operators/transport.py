@@ -26,8 +26,9 @@ def lr_transport(ce: DataFrame, pairs: DataFrame, r: float, eps: float = 0.1, la
     rho = lam / (lam + eps)
     a = ce.filter(F.col("side") == "L").select("sample", "lr", F.col("barcode").alias("src"), F.col("value").alias("a"))
     b = ce.filter(F.col("side") == "R").select("sample", "lr", F.col("barcode").alias("dst"), F.col("value").alias("b"))
-    a = a.withColumn("a", F.col("a") / F.sum("a").over(Window.partitionBy("sample", "lr")))
-    b = b.withColumn("b", F.col("b") / F.sum("b").over(Window.partitionBy("sample", "lr")))
+    total = lambda t, c: t.groupBy("sample", "lr").agg(F.sum(c).alias("_t"))
+    a = a.join(total(a, "a"), ["sample", "lr"]).withColumn("a", F.col("a") / F.col("_t")).drop("_t")
+    b = b.join(total(b, "b"), ["sample", "lr"]).withColumn("b", F.col("b") / F.col("_t")).drop("_t")
     kern = pairs.select("sample", "src", "dst",
                         F.exp(-F.pow(F.col("d") / F.lit(float(r)), 2) / F.lit(float(eps))).alias("k"))
     e = cut_lineage(kern.join(a, ["sample", "src"]).join(b, ["sample", "lr", "dst"])
@@ -53,16 +54,23 @@ def spot_amounts(flow: DataFrame) -> DataFrame:
 
 
 def pathway_sum(amounts: DataFrame, lr_db: DataFrame) -> DataFrame:
-    """Sent / received per (pathway, spot) plus the all-pathway total (pathway NULL, by rollup)."""
-    t = amounts.join(F.broadcast(lr_db.select("lr", "pathway")), "lr")
-    return t.rollup("sample", "barcode", "pathway").agg(F.sum("sent").alias("sent"), F.sum("received").alias("received")) \
-        .filter(F.col("barcode").isNotNull())
+    """Sent / received per (pathway, spot) plus the all-pathway total (pathway NULL)."""
+    t = amounts.join(lr_db.select("lr", "pathway"), "lr")
+    keys = [F.col(c) for c in ("sample", "barcode", "pathway")]
+    return t.groupingSets([keys, keys[:2]], *keys).agg(F.sum("sent").alias("sent"), F.sum("received").alias("received"))
 
 
-def direction_field(flow: DataFrame, spots: DataFrame, k: int = 5) -> DataFrame:
+def pathway_flow(flow: DataFrame, lr_db: DataFrame) -> DataFrame:
+    """Flow per (pathway, spot pair): the LRs of a pathway added up."""
+    t = flow.join(lr_db.select("lr", "pathway"), "lr")
+    return t.groupBy("sample", "pathway", "src", "dst").agg(F.sum("flow").alias("flow"))
+
+
+def direction_field(flow: DataFrame, spots: DataFrame, k: int = 5, key: str = "lr") -> DataFrame:
     """Per spot, sender vector = sum over the k strongest partners of flow * unit(x_j - x_i),
     normalised and scaled by the spot's total sent flow; receiver vector likewise from incoming
-    flow with the direction reversed.  d = 0 pairs are skipped."""
+    flow with the direction reversed.  d = 0 pairs are skipped.  ``key``: what flows are kept apart
+    by (``lr``, or ``pathway`` on the output of ``pathway_flow``)."""
     pos = spots.select("sample", F.col("barcode").alias("b"), "x", "y")
 
     def side(f: DataFrame, me: str, other: str, sign: float, name: str) -> DataFrame:
@@ -71,16 +79,16 @@ def direction_field(flow: DataFrame, spots: DataFrame, k: int = 5) -> DataFrame:
                    ["sample", other])
         dx, dy = F.col("xo") - F.col("xm"), F.col("yo") - F.col("ym")
         dd = F.sqrt(dx * dx + dy * dy)
-        f = f.filter(dd > 0).select("sample", "lr", F.col(me).alias("barcode"), other, "flow",
+        f = f.filter(dd > 0).select("sample", key, F.col(me).alias("barcode"), other, "flow",
                                     (F.lit(sign) * dx / dd).alias("ux"), (F.lit(sign) * dy / dd).alias("uy"))
-        tot = flow.groupBy("sample", "lr", F.col(me).alias("barcode")).agg(F.sum("flow").alias("total"))
-        w = Window.partitionBy("sample", "lr", "barcode").orderBy(F.desc("flow"), other)
+        tot = flow.groupBy("sample", key, F.col(me).alias("barcode")).agg(F.sum("flow").alias("total"))
+        w = Window.partitionBy("sample", key, "barcode").orderBy(F.desc("flow"), other)
         top = f.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        vec = top.groupBy("sample", "lr", "barcode").agg(F.sum(F.col("flow") * F.col("ux")).alias("vx"),
+        vec = top.groupBy("sample", key, "barcode").agg(F.sum(F.col("flow") * F.col("ux")).alias("vx"),
                                                          F.sum(F.col("flow") * F.col("uy")).alias("vy"))
         n = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
-        out = vec.join(tot, ["sample", "lr", "barcode"]).select(
-            "sample", "lr", "barcode",
+        out = vec.join(tot, ["sample", key, "barcode"]).select(
+            "sample", key, "barcode",
             F.when(n > 0, F.col("vx") / n * F.col("total")).otherwise(F.lit(0.0)).alias("vx"),
             F.when(n > 0, F.col("vy") / n * F.col("total")).otherwise(F.lit(0.0)).alias("vy"))
         return out.withColumn("direction", F.lit(name))

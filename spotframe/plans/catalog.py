@@ -39,6 +39,6 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     # importing the modules fills REGISTRY
     from spotframe.plans import (  # noqa: F401
-        relational_queries, marker_queries, spatial_queries, lr_queries,
+        relational_queries, marker_queries, slide_queries, lr_queries,
         composition_queries, iterative_queries, transport_queries, model_queries, graph_queries)
     return REGISTRY

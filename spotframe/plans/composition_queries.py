@@ -38,7 +38,7 @@ lab2 AS (SELECT 'S' || CAST(c_custkey % 6 AS VARCHAR) AS sample, CAST(c_custkey
          SEMI JOIN raw_cells ON raw_cells.sample = 'S' || CAST(c_custkey % 6 AS VARCHAR)
                              AND raw_cells.barcode = CAST(c_custkey AS VARCHAR)),""" + marker_ctes("r", "lab") + "," + \
     marker_ctes("t", "lab2") + f""",
-rset AS (SELECT DISTINCT 'spatial_' || cluster AS region, gene FROM
+rset AS (SELECT DISTINCT 'region_' || cluster AS region, gene FROM
          (SELECT *, rank() OVER (PARTITION BY cluster ORDER BY round(avg_log2fc, 9) DESC) AS rk FROM rmk2) WHERE rk <= {TOP_N}),
 tset AS (SELECT DISTINCT 'sc_' || cluster AS cell_type, gene FROM
          (SELECT *, rank() OVER (PARTITION BY cluster ORDER BY round(avg_log2fc, 9) DESC) AS rk FROM tmk2) WHERE rk <= {TOP_N}),
@@ -60,25 +60,24 @@ SELECT region, cell_type, k, n_a, n_b, round(expected, 6) AS expected, round(p_u
 def marker_overlap(spark, d):
     """G19 twice -> E1 -> I2 -> I1: region x cell-type marker overlap (hypergeometric tails)."""
     norm, labels = prepared(spark, d)
-    norm = stage(norm)
     cells = labels.select(*KEYS)
     n_genes = norm.select("gene").distinct().count()
     rm = top_n_ties(mk.find_markers(norm, labels, "cluster", n_genes=n_genes), "cluster", "avg_log2fc", TOP_N)
     tm = top_n_ties(mk.find_markers(norm, _type_labels(spark, d, cells), "cluster", n_genes=n_genes),
                     "cluster", "avg_log2fc", TOP_N)
-    res = en.marker_overlap(en.prepare_marker_list(rm, "spatial_"), en.prepare_marker_list(tm, "sc_"), n_genes)
+    res = en.marker_overlap(en.prepare_marker_list(rm, "region_"), en.prepare_marker_list(tm, "sc_"), n_genes)
     return finish(res.select("region", "cell_type", "k", "n_a", "n_b", "expected", "p_upper", "p_lower",
                              "neg_log10_p", "score"))
 
 
 @register("marker_lists", with_views(PREP_SQL + "," + marker_ctes() + """
-SELECT 'spatial_' || cluster AS "group", gene FROM mk2 WHERE avg_log2fc > 0.05 AND p_val_adj < 1.01 AND pct_1 - pct_2 > 0.0""",
+SELECT 'region_' || cluster AS "group", gene, round(avg_log2fc, 6) AS avg_log2fc FROM mk2 WHERE avg_log2fc > 0.05 AND p_val < 0.5 AND pct_1 - pct_2 > 0.0""",
                                      ["spots", "expr"]))
 def marker_lists(spark, d):
-    """Marker list preparation: fold change > 0.05, p_adj < 1.01, d > 0, 'spatial_' prefix."""
+    """Marker list preparation: fold change > 0.05, raw p < 0.5, d > 0, 'region_' prefix."""
     norm, labels = prepared(spark, d)
     m = mk.find_markers(norm, labels, "cluster")
-    return en.prepare_marker_list(m, "spatial_", min_fc=0.05, max_padj=1.01, min_d=0.0)
+    return finish(en.prepare_marker_list(m, "region_", min_fc=0.05, max_p=0.5, min_d=0.0))
 
 
 @register("cc_enrichment", with_views("""

@@ -64,40 +64,57 @@ SNN_EDGES = """,
 ge AS (SELECT src, dst, weight FROM snn)"""
 
 
-def _lm_sql(resolution: float, sweeps: int, base: str = None, edges: str = None, node: str = "barcode") -> str:
-    """Unrolled SQL twin of graph.local_moving + graph_clusters (default: unit-weight symmetrised kNN graph)."""
-    base = KNN_SQL if base is None else base
-    edges = UNIT_EDGES if edges is None else edges
-    parts = [base + edges + """,
-deg AS (SELECT src AS node, sum(weight) AS kv FROM ge GROUP BY 1),
-m2 AS (SELECT sum(weight) AS m2 FROM ge),
-lab0 AS (SELECT node, node AS label FROM deg)"""]
+def _lm_ctes(resolution: float, sweeps: int, ge: str = "ge", p: str = "") -> str:
+    """Unrolled SQL twin of graph.local_moving on edges ``ge``; names carry prefix ``p``."""
+    parts = [f""",
+{p}deg AS (SELECT src AS node, sum(weight) AS kv FROM {ge} GROUP BY 1),
+{p}m2 AS (SELECT sum(weight) AS m2 FROM {ge}),
+{p}lab0 AS (SELECT node, node AS label FROM {p}deg)"""]
     g = repr(float(resolution))
     for s in range(sweeps):
         parts.append(f""",
-kc{s} AS (SELECT l.label, sum(d.kv) AS kc FROM lab{s} l JOIN deg d USING (node) GROUP BY 1),
-wvc{s} AS (SELECT e.src AS node, l.label AS c, sum(e.weight) AS w FROM ge e JOIN lab{s} l ON l.node = e.dst GROUP BY 1, 2),
-cand{s} AS (SELECT w.node, w.c, cur.label AS own,
+{p}kc{s} AS (SELECT l.label, sum(d.kv) AS kc FROM {p}lab{s} l JOIN {p}deg d USING (node) GROUP BY 1),
+{p}wvc{s} AS (SELECT e.src AS node, l.label AS c, sum(e.weight) AS w FROM {ge} e JOIN {p}lab{s} l ON l.node = e.dst
+              WHERE e.src <> e.dst GROUP BY 1, 2),
+{p}cand{s} AS (SELECT w.node, w.c, cur.label AS own,
                    w.w - {g} * d.kv * (CASE WHEN w.c = cur.label THEN k.kc - d.kv ELSE k.kc END) / m2.m2 AS gain
-            FROM wvc{s} w JOIN lab{s} cur ON cur.node = w.node JOIN deg d ON d.node = w.node
-            JOIN kc{s} k ON k.label = w.c CROSS JOIN m2),
-best{s} AS (SELECT node, c AS c_best, gain AS g_best FROM
-            (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, c) AS r FROM cand{s}) WHERE r = 1),
-og{s} AS (SELECT node, gain AS g_own FROM cand{s} WHERE c = own),
-al{s} AS (SELECT l.node, -{g} * d.kv * (k.kc - d.kv) / m2.m2 AS g_alone FROM lab{s} l JOIN deg d USING (node)
-          JOIN kc{s} k ON k.label = l.label CROSS JOIN m2),
-lab{s + 1} AS (SELECT l.node,
+            FROM {p}wvc{s} w JOIN {p}lab{s} cur ON cur.node = w.node JOIN {p}deg d ON d.node = w.node
+            JOIN {p}kc{s} k ON k.label = w.c CROSS JOIN {p}m2 m2),
+{p}best{s} AS (SELECT node, c AS c_best, gain AS g_best FROM
+            (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, c) AS r FROM {p}cand{s}) WHERE r = 1),
+{p}og{s} AS (SELECT node, gain AS g_own FROM {p}cand{s} WHERE c = own),
+{p}al{s} AS (SELECT l.node, -{g} * d.kv * (k.kc - d.kv) / m2.m2 AS g_alone FROM {p}lab{s} l JOIN {p}deg d USING (node)
+          JOIN {p}kc{s} k ON k.label = l.label CROSS JOIN {p}m2 m2),
+{p}lab{s + 1} AS (SELECT l.node,
                  CASE WHEN (instr('0123456789abcdef', substr(md5(l.node || ':{s}'), 1, 1)) - 1) % 2 = 0
                            AND b.c_best IS NOT NULL AND b.g_best > coalesce(o.g_own, a.g_alone) AND b.c_best <> l.label
                       THEN b.c_best ELSE l.label END AS label
-               FROM lab{s} l LEFT JOIN best{s} b USING (node) LEFT JOIN og{s} o USING (node) LEFT JOIN al{s} a USING (node))""")
-    parts.append(f""",
-sz AS (SELECT label, count(*) AS n FROM lab{sweeps} GROUP BY 1),
-ord AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS VARCHAR) AS cluster FROM sz)
-SELECT l.node AS {node}, o.cluster FROM lab{sweeps} l JOIN ord o USING (label)""")
+               FROM {p}lab{s} l LEFT JOIN {p}best{s} b USING (node) LEFT JOIN {p}og{s} o USING (node) LEFT JOIN {p}al{s} a USING (node))""")
     return "".join(parts)
 
 
+def _lm_sql(resolution: float, sweeps: int, base: str = None, edges: str = None, node: str = "barcode",
+            levels: int = 1) -> str:
+    """SQL twin of graph_clusters (default: unit-weight symmetrised kNN graph)."""
+    base = KNN_SQL if base is None else base
+    edges = UNIT_EDGES if edges is None else edges
+    body = base + edges + _lm_ctes(resolution, sweeps) + f""",
+final1 AS (SELECT node, label FROM lab{sweeps})"""
+    ge = "ge"
+    for n in range(2, levels + 1):
+        body += f""",
+ge{n} AS (SELECT a.label AS src, b.label AS dst, sum(e.weight) AS weight FROM {ge} e
+          JOIN {"lab" if n == 2 else f"l{n - 1}_lab"}{sweeps} a ON a.node = e.src
+          JOIN {"lab" if n == 2 else f"l{n - 1}_lab"}{sweeps} b ON b.node = e.dst GROUP BY 1, 2)"""
+        ge = f"ge{n}"
+        body += _lm_ctes(resolution, sweeps, ge, f"l{n}_") + f""",
+final{n} AS (SELECT f.node, u.label FROM final{n - 1} f JOIN l{n}_lab{sweeps} u ON u.node = f.label)"""
+    return body + f""",
+sz AS (SELECT label, count(*) AS n FROM final{levels} GROUP BY 1),
+ord AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS VARCHAR) AS cluster FROM sz)
+SELECT l.node AS {node}, o.cluster FROM final{levels} l JOIN ord o USING (label)"""
+
+
 @register("snn_graph", with_views(SNN_SQL + """
 SELECT src, dst, round(weight, 6) AS weight FROM snn""", V_E))
 def snn_graph(spark, d):
@@ -114,6 +131,14 @@ def graph_clusters(spark, d):
     return gr.graph_clusters(s, RESOLUTION, SWEEPS).withColumnRenamed("node", "barcode")
 
 
+@register("graph_clusters_multilevel", with_views(_lm_sql(RESOLUTION, SWEEPS, SNN_SQL, SNN_EDGES, levels=3), V_E))
+def graph_clusters_multilevel(spark, d):
+    """G13 -> G14 -> G15: modularity clusters over three levels of contracted communities."""
+    nn = stage(gr.knn(_emb(spark, d), K))
+    s = stage(gr.snn(nn, K, PRUNE))
+    return gr.graph_clusters(s, RESOLUTION, SWEEPS, levels=3).withColumnRenamed("node", "barcode")
+
+
 def _ref_qry(spark, d):
     e = _emb(spark, d)
     return e.filter(F.col("sample") == "B0"), e.filter(F.col("sample") == "B1")
@@ -197,11 +222,10 @@ def hash_sample(spark, d):
 
 def _pca(spark, d):
     norm, labels = prepared(spark, d)
-    norm = stage(norm)
     n = labels.count()
     hv = [r["gene"] for r in nm.hvg_vst(norm, n, N_HVG).collect()]   # bounded: N_HVG genes
-    z, _ = nm.scale_genes(norm, n, genes=spark.createDataFrame([(g,) for g in hv], "gene string"))
-    return em.pca(z, sorted(hv), N_PCS, cells=labels), labels
+    z, absent = nm.scale_genes(norm, n, genes=spark.createDataFrame([(g,) for g in hv], "gene string"))
+    return em.pca(z, sorted(hv), N_PCS, cells=labels, absent=absent), labels
 
 
 @register("pca_stdev")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spotframe.operators import composition as cp
 from spotframe.operators import deconv as dc
 from spotframe.operators import enrich as en
-from spotframe.functions.stats import LCG_M, lcg_sql
+from spotframe.functions.stats import LCG_M, lcg_sql, md5_unit_sql
 from spotframe.plans.catalog import finish, register
 from spotframe.plans.oracle_views import with_views
 from spotframe.session import stage
@@ -91,12 +91,12 @@ def deconvolve(spark, d):
     return finish(dc.deconvolve(q, sig, KL_ITERS))
 
 
-def _kl_rep_sql(iters: int, reps: int, keep_mod: int = 8) -> str:
+def _kl_rep_sql(iters: int, reps: int, keep: float = 0.8) -> str:
     parts = [SIG_SQL + f""",
 qd AS (SELECT sample, barcode, gene, value FROM expr WHERE CAST(barcode AS BIGINT) % 2 = 0),
-gsd AS (SELECT DISTINCT gene, ('0x' || substr(md5(gene), 1, 7))::BIGINT AS gi FROM sig),
+gsd AS (SELECT DISTINCT gene FROM sig),
 keep AS (SELECT t.rep, g.gene FROM gsd g CROSS JOIN (SELECT range AS rep FROM range(0, {reps})) t
-         WHERE {lcg_sql('g.gi', 't.rep')} % 10 < {keep_mod}),
+         WHERE {md5_unit_sql("g.gene || '/' || t.rep")} <= {keep}),
 sr AS (SELECT k.rep, s.gene, s.cell_type, s.sig FROM sig s JOIN keep k USING (gene)),
 er AS (SELECT k.rep, q.sample, q.barcode, q.gene, q.value FROM qd q JOIN keep k USING (gene)),
 gi AS (SELECT DISTINCT rep, gene FROM sr INTERSECT SELECT DISTINCT rep, gene FROM er),
@@ -168,7 +168,7 @@ sz AS (SELECT k, count(*) AS n FROM a{iters} GROUP BY k),
 lab AS (SELECT k, 'CC' || CAST(row_number() OVER (ORDER BY n DESC, k) AS VARCHAR) AS cc FROM sz)"""
 
 
-ELBOW_K, ELBOW_ITERS = 6, 3
+ELBOW_K, ELBOW_ITERS = 20, 3
 
 
 def _elbow_sql() -> str:
@@ -210,7 +210,7 @@ def cc_enrichment_kmeans(spark, d):
 
 @register("elbow", with_views(_elbow_sql(), ["composition"]))
 def elbow(spark, d):
-    """K2: within-cluster sum of squares for k = 1..6 (3 Lloyd iterations each)."""
+    """K2: within-cluster sum of squares for k = 1..20 (3 Lloyd iterations each)."""
     comp = stage(adapter.composition(spark, d))
     return finish(cp.elbow(comp, ELBOW_K, ELBOW_ITERS))
 
@@ -220,10 +220,10 @@ def _nmf_ctes(rank: int, iters: int, restart: int, p: str) -> str:
     u = lambda idx, rep: f"(({lcg_sql(idx, str(rep))} + 1)::DOUBLE / {float(LCG_M)!r})"
     parts = [f""",
 {p}ty AS (SELECT t, row_number() OVER (ORDER BY t) AS ti FROM (SELECT DISTINCT cell_type AS t FROM composition) z),
-{p}sp AS (SELECT DISTINCT sample, barcode, ('0x' || substr(md5(sample || '/' || barcode), 1, 7))::BIGINT AS si FROM composition),
+{p}sp AS (SELECT DISTINCT sample, barcode FROM composition),
 {p}fs AS (SELECT range AS f FROM range(0, {rank})),
 {p}H0 AS (SELECT fs.f, ty.t, {u('ty.ti * 131 + fs.f', restart)} AS h FROM {p}ty ty CROSS JOIN {p}fs fs),
-{p}W0 AS (SELECT sp.sample, sp.barcode, fs.f, {u('sp.si * 17 + fs.f', restart + 1000)} AS w FROM {p}sp sp CROSS JOIN {p}fs fs)"""]
+{p}W0 AS (SELECT sp.sample, sp.barcode, fs.f, {md5_unit_sql(f"sp.sample || '/' || sp.barcode || '/' || fs.f || '/{restart}'")} AS w FROM {p}sp sp CROSS JOIN {p}fs fs)"""]
     for i in range(1, iters + 1):
         j = i - 1
         parts.append(f""",
@@ -287,6 +287,24 @@ def nmf_fractions(spark, d):
     return finish(t["fractions"].select("f", "t", "h", "fraction"))
 
 
+@register("nmf_top_types", with_views("q0 AS (SELECT 1)" + _nmf_ctes(NMF_RANK, NMF_ITERS, 0, "r0_") + f""",
+fr AS (SELECT f, t, h / sum(h) OVER (PARTITION BY t) AS fraction FROM r0_H{NMF_ITERS}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY fraction DESC, t) AS r FROM fr)
+SELECT CAST(f AS INTEGER) AS f, t, round(fraction, 6) AS fraction FROM rk WHERE r <= 2""", ["composition"]))
+def nmf_top_types(spark, d):
+    """The two cell types with the largest fraction of every factor."""
+    comp, W, H = _nmf(spark, d)
+    return finish(dc.nmf_tables(comp, W, H, top=2)["top_types"].select("f", "t", "fraction"))
+
+
+@register("nmf_weights", with_views("q0 AS (SELECT 1)" + _nmf_ctes(NMF_RANK, NMF_ITERS, 0, "r0_") + f"""
+SELECT sample, barcode, CAST(f AS INTEGER) AS f, round(w, 6) AS w FROM r0_W{NMF_ITERS}""", ["composition"]))
+def nmf_weights(spark, d):
+    """Weight of every factor at every spot."""
+    comp, W, H = _nmf(spark, d)
+    return finish(dc.nmf_tables(comp, W, H)["weights"].select(*KEYS, "f", "w"))
+
+
 @register("nmf_accuracy", with_views(NMF_ACCURACY_SQL, ["composition"]))
 def nmf_accuracy(spark, d):
     """Reconstruction accuracy corr(X, WH) over all spot x type cells."""

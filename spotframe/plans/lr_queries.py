@@ -1,8 +1,10 @@
 """Ligand-receptor neighbourhood scores, null p-values, FDR, summaries and cell-cell interaction.
 
 Driver parameters (FIXTURES.md): coarse counts (gene = part name), hexagonal
-neighbours, 50 random pairs, 10 expression bins, BH within spot with cut-off 0.2,
-cell-type presence > 0.2, at least 5 scoring / 3 significant spots, 20 permutations.
+neighbours, 50 random pairs (operator default 2000), 10 expression bins, BH within spot
+with cut-off 0.2, cell-type presence > 0.2, at least 5 scoring / 3 significant spots, 20
+permutations (1000 in a full study).  The smaller numbers of pairs and permutations keep
+the SQL twins, which write every (replicate, pair) row, within minutes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from spotframe.functions.stats import lcg_sql
 from spotframe.operators import lr as lrop
 from spotframe.operators.ranking import first_k
-from spotframe.operators.spatial import spot_neighbors
+from spotframe.operators.slide import spot_neighbors
 from spotframe.plans.catalog import finish, register
 from spotframe.session import stage
 from spotframe.plans.oracle_views import with_views
@@ -42,9 +44,12 @@ class LRFlow:
         self.spots = adapter.spots(spark, d)
         self.expr = stage(adapter.expr_coarse(spark, d))
         self.lr_db = stage(adapter.lr_db(spark, d))
-        self.edges = stage(spot_neighbors(self.spots))
         self._memo = {}
 
+    @property
+    def edges(self):
+        return self._get("edges", lambda: spot_neighbors(self.spots))
+
     def _get(self, name, build):
         if name not in self._memo:
             self._memo[name] = stage(build())
@@ -108,7 +113,7 @@ scores AS (SELECT s.* FROM sc1 s SEMI JOIN (SELECT sample, lr FROM sc1 GROUP BY
            USING (sample, lr))"""
 
 _PROBS = ", ".join(repr(i / N_BINS) for i in range(1, N_BINS))
-_CID = "(bl * 100 + br)"
+_CID = f"(bl * {N_BINS} + br)"
 
 NULL_SQL = LR_BASE + f""",
 nsp AS (SELECT count(*)::DOUBLE AS n FROM (SELECT DISTINCT sample, barcode FROM expr_coarse) t),
@@ -129,7 +134,8 @@ pairs0 AS (SELECT c.bl, c.br, c.n_l, c.n_r, t.k FROM combos c CROSS JOIN (SELECT
 pairs1 AS (SELECT bl, br, k, {lcg_sql('k', f'{_CID} * 2')} % n_l AS jl, {lcg_sql('k', f'{_CID} * 2 + 1')} % n_r AS jr
            FROM pairs0),
 pairs AS (SELECT p.bl, p.br, p.k, a.gene AS gl, b.gene AS gr FROM pairs1 p
-          JOIN cand a ON a.bin = p.bl AND a.j = p.jl JOIN cand b ON b.bin = p.br AND b.j = p.jr),
+          JOIN cand a ON a.bin = p.bl AND a.j = p.jl JOIN cand b ON b.bin = p.br AND b.j = p.jr
+          WHERE a.gene <> b.gene),
 ngn AS (SELECT gl AS gene FROM pairs UNION SELECT gr FROM pairs),
 gv0 AS (SELECT sample, barcode, gene, value FROM expr_coarse WHERE value > 0 AND gene IN (SELECT gene FROM ngn)),
 gvnb AS (SELECT ed.sample, ed.src AS barcode, g.gene, sum(g.value) / max(d.deg) AS nbr_mean
@@ -150,7 +156,7 @@ obs AS (SELECT s.*, b.bl, b.br FROM scores s JOIN lrb b USING (lr)),
 nge AS (SELECT o.sample, o.barcode, o.lr, count(n.score) AS n_ge FROM obs o
         LEFT JOIN nulls n ON n.sample = o.sample AND n.barcode = o.barcode AND n.bl = o.bl AND n.br = o.br
                          AND n.score > 0 AND n.score >= o.score GROUP BY 1, 2, 3),
-nn AS (SELECT bl, br, CASE WHEN n_l > 0 AND n_r > 0 THEN {N_PAIRS} ELSE 0 END AS n_null FROM combos),
+nn AS (SELECT bl, br, count(*) AS n_null FROM pairs GROUP BY 1, 2),
 pv AS (SELECT o.sample, o.barcode, o.lr, o.score,
               CASE WHEN coalesce(nn.n_null, 0) > 0 THEN (1.0 + g.n_ge) / (1.0 + nn.n_null) ELSE 1.0 END AS p
        FROM obs o JOIN nge g USING (sample, barcode, lr) LEFT JOIN nn USING (bl, br)),
@@ -277,8 +283,14 @@ def cci_counts(spark, d):
 SELECT sample, sender, receiver, CAST(sum(n) AS BIGINT) AS n FROM cci GROUP BY 1, 2, 3 HAVING sum(n) >= 2""", V_C))
 def cci_network(spark, d):
     """H9: CCI network edges over all LRs, count >= 2."""
-    c = LRFlow(spark, d).cci()
-    return c.groupBy("sample", "sender", "receiver").agg(F.sum("n").alias("n")).filter(F.col("n") >= 2)
+    return lrop.cci_network(LRFlow(spark, d).cci(), 2)
+
+
+@register("cci_network_by_lr", with_views(CCI_SQL + """
+SELECT sample, lr, sender, receiver, CAST(sum(n) AS BIGINT) AS n FROM cci GROUP BY 1, 2, 3, 4 HAVING sum(n) >= 2""", V_C))
+def cci_network_by_lr(spark, d):
+    """H9: one CCI network per LR, count >= 2."""
+    return lrop.cci_network(LRFlow(spark, d).cci(), 2, by_lr=True)
 
 
 @register("lr_cci_map", with_views(CCI_SQL + """,
@@ -286,18 +298,14 @@ t AS (SELECT lr, sender, receiver, CAST(sum(n) AS BIGINT) AS n FROM cci GROUP BY
 SELECT lr, sender, receiver, n FROM t WHERE lr IN (SELECT lr FROM t GROUP BY lr HAVING sum(n) >= 5)""", V_C))
 def lr_cci_map(spark, d):
     """LR x (sender, receiver) counts for LRs with total >= 5."""
-    c = LRFlow(spark, d).cci()
-    t = c.groupBy("lr", "sender", "receiver").agg(F.sum("n").alias("n"))
-    tot = t.groupBy("lr").agg(F.sum("n").alias("_t")).filter(F.col("_t") >= 5)
-    return t.join(tot.select("lr"), "lr", "left_semi")
+    return lrop.cci_map(LRFlow(spark, d).cci(), by_lr=True, min_total=5)
 
 
 @register("cci_map", with_views(CCI_SQL + """
 SELECT sender, receiver, CAST(sum(n) AS BIGINT) AS n FROM cci GROUP BY 1, 2""", V_C))
 def cci_map(spark, d):
     """Cell type x cell type interaction counts over all LRs."""
-    c = LRFlow(spark, d).cci()
-    return c.groupBy("sender", "receiver").agg(F.sum("n").alias("n"))
+    return lrop.cci_map(LRFlow(spark, d).cci())
 
 
 @register("cci_check", with_views(CCI_SQL + f""",
@@ -321,16 +329,12 @@ def cci_check(spark, d):
     return finish(j.select("cell_type", "n_spots", "n_interactions", r.alias("r")))
 
 
-_PRIMES = lrop.permutation_multipliers(N_PERMS)
-
-
 @register("cci_permutation", with_views(CCI_SQL + f""",
-idx AS (SELECT sample, barcode, row_number() OVER (PARTITION BY sample ORDER BY array_row, array_col) - 1 AS i,
-               count(*) OVER (PARTITION BY sample) AS n FROM spots),
-reps AS (SELECT x.sample, x.barcode, x.i, x.n, t.rep FROM idx x CROSS JOIN (SELECT range AS rep FROM range(0, {N_PERMS})) t),
+idx AS (SELECT sample, barcode, row_number() OVER (PARTITION BY sample ORDER BY array_row, array_col, barcode) - 1 AS i
+        FROM spots),
+reps AS (SELECT x.sample, x.barcode, t.rep FROM idx x CROSS JOIN (SELECT range AS rep FROM range(0, {N_PERMS})) t),
 perm AS (SELECT sample, rep, barcode,
-                ((list_filter([{", ".join(str(p) for p in _PRIMES)}], lambda q: n % q <> 0))[rep + 1] * i
-                 + {lcg_sql('rep', '7')} % n) % n AS j FROM reps),
+                row_number() OVER (PARTITION BY sample, rep ORDER BY md5(rep || '/' || barcode), barcode) - 1 AS j FROM reps),
 pty AS (SELECT p.sample, p.rep, p.barcode, t.cell_type FROM perm p JOIN idx x ON x.sample = p.sample AND x.i = p.j
         JOIN ty t ON t.sample = x.sample AND t.barcode = x.barcode),
 pc AS (SELECT p.sample, a.rep, p.lr, a.cell_type AS sender, b.cell_type AS receiver, count(DISTINCT p.barcode) AS n_rep
@@ -366,6 +370,20 @@ def lr_spot_category(spark, d):
     return lrop.lr_category_counts(lrop.lr_spot_category(f.expr, f.lr_db, ce=f.ce()), f.spots)
 
 
+@register("lr_significant_levels", with_views(NULL_SQL + f""",
+w AS (SELECT sample, barcode, lr, coalesce(max(CASE WHEN side = 'L' THEN value END), 0.0) AS lv,
+             coalesce(max(CASE WHEN side = 'R' THEN value END), 0.0) AS rv FROM ce GROUP BY 1, 2, 3)
+SELECT sample, barcode, lr, round(lv, 6) AS ligand_value, round(rv, 6) AS receptor_value,
+       CASE WHEN lv > 0 AND rv > 0 THEN 'both' WHEN lv > 0 THEN 'ligand' ELSE 'receptor' END AS category
+FROM w SEMI JOIN (SELECT sample, barcode, lr FROM bh WHERE p_adj < {CUTOFF}) s USING (sample, barcode, lr)""", V))
+def lr_significant_levels(spark, d):
+    """Ligand and receptor level and category at the significant spots of every LR."""
+    f = LRFlow(spark, d)
+    sig = f.stats().filter("sig").select(*KEYS, "lr")
+    w = lrop.lr_spot_category(f.expr, f.lr_db, ce=f.ce()).join(sig, KEYS + ["lr"], "left_semi")
+    return finish(w.select(*KEYS, "lr", "ligand_value", "receptor_value", "category"))
+
+
 @register("lr_measured", with_views("""
 g AS (SELECT DISTINCT gene FROM expr_coarse WHERE value > 0)
 SELECT lr FROM lr_db WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(ligand || receptor) AS gene) u

@@ -195,7 +195,7 @@ SELECT s.sample, s.barcode, s.cluster, """ + ", ".join(f"round(w.\"{t}\", 6) AS
 FROM spots s LEFT JOIN w USING (sample, barcode)""", ["spots", "composition"]))
 def attach_scores(spark, d):
     """C2 (+ long -> wide at the sink): per-spot class scores left-joined onto metadata."""
-    wide = tb.to_wide(adapter.composition(spark, d), names=CELL_TYPES)
+    wide = tb.to_wide(adapter.composition(spark, d))
     return finish(tb.attach_scores(adapter.spots(spark, d).select(*KEYS, "cluster"), wide))
 
 
@@ -341,14 +341,14 @@ def avg_rank_depth(spark, d):
 
 @register("union_samples", with_views("""
 SELECT sample, count(*) AS n_entries, sum(value) AS total, count(DISTINCT gene) AS n_genes FROM (
-  SELECT sample, barcode, gene, value FROM expr WHERE sample IN ('S0', 'S1', 'S2')
-  UNION ALL SELECT sample, barcode, gene, value FROM expr WHERE sample IN ('S3', 'S4', 'S5')) GROUP BY sample""",
+  SELECT sample, barcode, gene, value FROM expr WHERE sample < 'S3'
+  UNION ALL SELECT sample, barcode, gene, value FROM expr WHERE NOT (sample < 'S3')) GROUP BY sample""",
                                       ["expr"]))
 def union_samples(spark, d):
     """bag union of per-sample tables by column name."""
     e = adapter.expr(spark, d)
-    parts = [e.filter(F.col("sample").isin(["S0", "S1", "S2"])),
-             e.filter(F.col("sample").isin(["S3", "S4", "S5"])).select("value", "gene", "barcode", "sample")]
+    early = F.col("sample") < "S3"
+    parts = [e.filter(early), e.filter(~early).select("value", "gene", "barcode", "sample")]
     u = tb.union_all(parts)
     return finish(u.groupBy("sample").agg(F.count("*").alias("n_entries"), F.sum("value").alias("total"),
                                           F.countDistinct("gene").alias("n_genes")))
@@ -391,8 +391,7 @@ def union_hvgs(spark, d):
     v = e.groupBy("sample", "gene").agg(F.var_samp("value").alias("v"))
     w = Window.partitionBy("sample").orderBy(F.desc_nulls_last("v"), "gene")
     top = v.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 50)
-    samples = ["S0", "S1", "S2", "S3", "S4", "S5"]
-    return tb.union_distinct([top.filter(F.col("sample") == s) for s in samples], "gene")
+    return top.select("gene").distinct()
 
 
 @register("unlog_expression", with_views("""
@@ -404,3 +403,37 @@ def unlog_expression(spark, d):
     from spotframe.operators.markers import unlog_expression as ul
     n = nm.log_normalize(adapter.expr(spark, d), scale=10000.0)
     return ul(n, 4)
+
+
+THETA = 100.0
+PEARSON_SQL = f"""
+dep AS (SELECT sample, barcode, sum(value) AS depth FROM expr GROUP BY 1, 2),
+tot AS (SELECT sum(depth) AS t, count(*)::DOUBLE AS n FROM dep),
+gt AS (SELECT gene, sum(value) AS total FROM expr GROUP BY 1),
+cells AS (SELECT d.sample, d.barcode, g.gene, g.total, g.total * d.depth / tot.t AS mu, sqrt(tot.n) AS clip
+          FROM dep d CROSS JOIN gt g CROSS JOIN tot),
+res AS (SELECT c.sample, c.barcode, c.gene, c.total, e.value,
+               least(greatest((coalesce(e.value, 0.0) - c.mu) / sqrt(c.mu + c.mu * c.mu / {THETA}), -c.clip), c.clip) AS r
+        FROM cells c LEFT JOIN expr e ON e.sample = c.sample AND e.barcode = c.barcode AND e.gene = c.gene)"""
+
+
+def _pearson(spark, d):
+    e = adapter.expr(spark, d)
+    depth = e.groupBy(*KEYS).agg(F.sum("value").alias("depth"))
+    return nm.pearson_residuals(e, depth, THETA)
+
+
+@register("pearson_residuals", with_views(PEARSON_SQL + """
+SELECT sample, barcode, gene, round(r, 6) AS residual FROM res WHERE value IS NOT NULL""", ["expr"]))
+def pearson_residuals(spark, d):
+    """Analytic Pearson residual of every entry that exists."""
+    nz, _ = _pearson(spark, d)
+    return finish(nz.withColumnRenamed("value", "residual"))
+
+
+@register("pearson_variance", with_views(PEARSON_SQL + """
+SELECT gene, round(max(total), 6) AS total, round(avg(r), 6) AS mean, round(var_samp(r), 6) AS var FROM res GROUP BY gene""", ["expr"]))
+def pearson_variance(spark, d):
+    """Mean and variance of every gene's residuals over all cells, zeros in closed form."""
+    _, stats = _pearson(spark, d)
+    return finish(stats)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spotframe.operators import markers as mk
 from spotframe.operators import normalize as nm
-from spotframe.operators import spatial as sp
+from spotframe.operators import slide as sp
 from spotframe.operators.ranking import top_n_ties
 from spotframe.operators.tables import first_distinct
 from spotframe.plans.catalog import finish, register
@@ -182,7 +182,6 @@ WHERE m.avg_log2fc > 0.05 AND m.pct_1 > 0.02""", V_MK))
 def markers_with_avg(spark, d):
     """B12 -> C7: significant markers with the average expression at their (gene, cluster)."""
     norm, labels = prepared(spark, d)
-    norm = stage(norm)
     m = mk.significant(mk.find_markers(norm, labels, "cluster"), min_fc=0.05, min_pct1=0.02)
     avg = mk.average_expression(norm, labels, "cluster")
     return finish(mk.attach_avg(m, avg).select("cluster", "gene", "avg_log2fc", "avg_exp"))
@@ -197,7 +196,6 @@ FROM rk a JOIN rk b USING (gene) GROUP BY 1, 2""", V_MK))
 def cluster_correlation(spark, d):
     """Spearman correlation between clusters over the top-10 marker genes' average expression."""
     norm, labels = prepared(spark, d)
-    norm = stage(norm)
     top = top_n_ties(mk.find_markers(norm, labels, "cluster"), "cluster", "avg_log2fc", 10).select("gene").distinct()
     avg = mk.average_expression(norm, labels, "cluster", genes=top)
     return finish(mk.cluster_correlation(avg, "cluster"))
@@ -217,7 +215,6 @@ SELECT gene, cluster, round(avg_exp, 6) AS avg_exp, round(pct_exp, 6) AS pct_exp
 def dotplot_table(spark, d):
     """Dot-plot data for the top-10 marker genes (mean, percent expressing, clipped z)."""
     norm, labels = prepared(spark, d)
-    norm = stage(norm)
     top = top_n_ties(mk.find_markers(norm, labels, "cluster"), "cluster", "avg_log2fc", 10).select("gene").distinct()
     t = mk.dotplot_table(norm, labels, top, "cluster")
     return finish(t.select("gene", "cluster", "avg_exp", "pct_exp", "avg_exp_scaled"))
@@ -239,21 +236,20 @@ mom0 AS (SELECT n.gene, sum(n.value) AS s1, sum(n.value * n.value) AS s2 FROM no
          WHERE n.gene IN (SELECT gene FROM sel) GROUP BY 1),
 mom AS (SELECT gene, s1 / nc.n AS mean,
                sqrt(greatest((s2 - nc.n * (s1 / nc.n) * (s1 / nc.n)) / (nc.n - 1.0), 0.0)) AS sd FROM mom0 CROSS JOIN nc)
-SELECT n.sample, n.barcode, l.cluster, n.gene,
-       round(CASE WHEN m.sd > 0 THEN least(greatest((n.value - m.mean) / m.sd, -2.5), 2.5) ELSE 0.0 END, 6) AS z
-FROM norm n JOIN mom m USING (gene) JOIN lab l USING (sample, barcode)""", V_MK))
+SELECT l.sample, l.barcode, l.cluster, m.gene,
+       round(CASE WHEN m.sd > 0 THEN least(greatest((coalesce(n.value, 0.0) - m.mean) / m.sd, -2.5), 2.5) ELSE 0.0 END, 6) AS z
+FROM lab l CROSS JOIN mom m LEFT JOIN norm n ON n.sample = l.sample AND n.barcode = l.barcode AND n.gene = m.gene""", V_MK))
 def heatmap_table(spark, d):
-    """Z-scored (clip 2.5) expression of the top-10 markers at the cells that express them,
-    with each cell's cluster (absent entries carry the gene's zero z)."""
+    """Z-scored (clip 2.5) expression of the top-10 markers at every cell, with the cell's
+    cluster; absent entries carry the gene's zero z."""
     norm, labels = prepared(spark, d)
-    norm = stage(norm)
     top = top_n_ties(mk.find_markers(norm, labels, "cluster"), "cluster", "avg_log2fc", 10).select("gene").distinct()
     n = labels.count()
-    nz, _ = nm.scale_genes(norm, n, genes=top, clip=2.5)
-    return finish(nz.join(labels, KEYS).select(*KEYS, "cluster", "gene", F.col("value").alias("z")))
+    nz, absent = nm.scale_genes(norm, n, genes=top, clip=2.5)
+    return finish(nm.dense_scaled(nz, absent, labels).select(*KEYS, "cluster", "gene", F.col("value").alias("z")))
 
 
-# ---- spatial adjacency and views ------------------------------------------------------------
+# ---- slide adjacency and views ------------------------------------------------------------
 
 @register("spot_neighbors", with_views("""
 SELECT a.sample, a.barcode AS src, b.barcode AS dst, 1.0::DOUBLE AS weight FROM spots a JOIN spots b ON a.sample = b.sample
@@ -274,7 +270,7 @@ def spot_pairs_within(spark, d):
     return finish(p)
 
 
-@register("spatial_views", with_views(f"""
+@register("slide_views", with_views(f"""
 ed AS (SELECT a.sample, a.barcode AS src, b.barcode AS dst FROM spots a JOIN spots b ON a.sample = b.sample
        AND ((b.array_row = a.array_row AND abs(b.array_col - a.array_col) = 2)
          OR (abs(b.array_row - a.array_row) = 1 AND abs(b.array_col - a.array_col) = 1))),
@@ -289,6 +285,6 @@ v AS (SELECT sample, barcode, 'intra' AS view, cell_type, score AS value FROM co
       SELECT p.sample, p.src, 'para', c.cell_type, sum(exp(-pow(p.d / {PARA_L}, 2)) * c.score) FROM pr p
       JOIN composition c ON c.sample = p.sample AND c.barcode = p.dst GROUP BY 1, 2, 4)
 SELECT sample, barcode, view, cell_type, round(value, 6) AS value FROM v""", ["spots", "composition"]))
-def spatial_views(spark, d):
+def slide_views(spark, d):
     """Intra / juxta (hexagonal neighbour sum) / para (Gaussian l = 100 within 300) views."""
     return finish(sp.views(adapter.composition(spark, d), adapter.spots(spark, d), PARA_L))

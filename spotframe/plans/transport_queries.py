@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotframe.operators import spatial as sp
+from spotframe.operators import slide as sp
 from spotframe.operators import transport as tr
 from spotframe.plans.catalog import finish, register
 from spotframe.plans.lr_queries import LR_BASE, LRFlow
@@ -113,6 +113,43 @@ def direction_field(spark, d):
                              (F.col("vy") * F.lit(1e6)).alias("vy_ppm")))
 
 
+_PATHWAY_SQL = SINK_SQL + """,
+pflow AS (SELECT f.sample, d.pathway, f.src, f.dst, sum(f.flow) AS flow FROM flow f JOIN lr_db d USING (lr) GROUP BY 1, 2, 3, 4)"""
+
+
+@register("pathway_flow", with_views(_PATHWAY_SQL + """
+SELECT sample, pathway, src, dst, round(flow * 1e6, 6) AS flow_ppm FROM pflow""", V))
+def pathway_flow(spark, d):
+    """Flow per pathway and spot pair."""
+    f, flow = _flow(spark, d)
+    p = tr.pathway_flow(flow, f.lr_db)
+    return finish(p.select("sample", "pathway", "src", "dst", (F.col("flow") * F.lit(1e6)).alias("flow_ppm")))
+
+
+@register("direction_field_pathway", with_views(_PATHWAY_SQL + f""",
+fp AS (SELECT f.*, a.x AS xs, a.y AS ys, b.x AS xd, b.y AS yd FROM pflow f
+       JOIN spots a ON a.sample = f.sample AND a.barcode = f.src JOIN spots b ON b.sample = f.sample AND b.barcode = f.dst),
+dd AS (SELECT *, sqrt((xd - xs) * (xd - xs) + (yd - ys) * (yd - ys)) AS dist FROM fp),
+ends AS (SELECT sample, pathway, src AS barcode, dst AS other, flow, (xd - xs) / dist AS ux, (yd - ys) / dist AS uy, 'sender' AS direction
+         FROM dd WHERE dist > 0
+         UNION ALL SELECT sample, pathway, dst, src, flow, (xd - xs) / dist, (yd - ys) / dist, 'receiver' FROM dd WHERE dist > 0),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample, pathway, barcode, direction ORDER BY flow DESC, other) AS r
+                       FROM ends) WHERE r <= {TOP_K}),
+vec AS (SELECT sample, pathway, barcode, direction, sum(flow * ux) AS vx, sum(flow * uy) AS vy FROM top GROUP BY 1, 2, 3, 4),
+tot AS (SELECT sample, pathway, src AS barcode, 'sender' AS direction, sum(flow) AS total FROM pflow GROUP BY 1, 2, 3
+        UNION ALL SELECT sample, pathway, dst, 'receiver', sum(flow) FROM pflow GROUP BY 1, 2, 3)
+SELECT v.sample, v.pathway, v.barcode, v.direction,
+       round(CASE WHEN sqrt(vx * vx + vy * vy) > 0 THEN vx / sqrt(vx * vx + vy * vy) * t.total ELSE 0.0 END * 1e6, 6) AS vx_ppm,
+       round(CASE WHEN sqrt(vx * vx + vy * vy) > 0 THEN vy / sqrt(vx * vx + vy * vy) * t.total ELSE 0.0 END * 1e6, 6) AS vy_ppm
+FROM vec v JOIN tot t USING (sample, pathway, barcode, direction)""", V))
+def direction_field_pathway(spark, d):
+    """H15 -> H16: sender / receiver direction vectors of every pathway's flow."""
+    f, flow = _flow(spark, d)
+    fld = tr.direction_field(tr.pathway_flow(flow, f.lr_db), f.spots, TOP_K, key="pathway")
+    return finish(fld.select("sample", "pathway", "barcode", "direction", (F.col("vx") * F.lit(1e6)).alias("vx_ppm"),
+                             (F.col("vy") * F.lit(1e6)).alias("vy_ppm")))
+
+
 @register("direction_grid", with_views(_FIELD_SQL + f""",
 g AS (SELECT f.sample, f.lr, f.direction, floor(s.x / {CELL}) AS gx, floor(s.y / {CELL}) AS gy,
              avg(f.vx) AS vx, avg(f.vy) AS vy FROM field f JOIN spots s USING (sample, barcode) GROUP BY 1, 2, 3, 4, 5),

@@ -96,7 +96,9 @@ def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Adjective pairings that turn part names into ligand -> receptor
 # pairs sharing a noun, and the one two-subunit receptor (noun 'ring').  Names
-# with the other adjectives stay outside the catalogue (null-model genes).
+# with the other adjectives stay outside the catalogue (null-model genes).  Same-noun pairs
+# give 16 entries: the SQL twin of the null model writes every (pair, draw, spot) row and
+# needs more than 25 GB at all 64 cold x hot pairs.
 LR_PAIRINGS = [("cold", "hot"), ("blue", "red")]
 COMPLEX_NOUN = "ring"
 COMPLEX_EXTRA_SUBUNIT = "hot bolt"

@@ -1,17 +1,17 @@
-"""Readers for the reference's input formats into the long engine tables.
+"""Readers for the input formats into the long engine tables.
 
 All readers are lazy Spark reads; the only ordering-dependent step, numbering the
-lines of the barcode / feature lists, uses ``RDD.zipWithIndex`` (one count pass per
-partition, then offsets - distributed).
+lines of the barcode / feature lists, adds each partition's offset to the line's
+place in its partition.  Paths are looked up through Hadoop's file systems, so any
+store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 POSITION_SCHEMA = ("barcode string, in_tissue int, array_row int, array_col int, "
                    "pxl_row_in_fullres double, pxl_col_in_fullres double")
@@ -20,10 +20,14 @@ LR_SCHEMA = "ligand string, receptor string, pathway string, annotation string,
 
 def _indexed_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(idx 1-based, columns of a headerless TSV) in file order."""
-    raw = spark.read.text(path)
-    rdd = raw.rdd.zipWithIndex().map(lambda t: (t[1] + 1, t[0][0]))
-    schema = StructType([StructField("idx", LongType()), StructField(name, StringType())])
-    return spark.createDataFrame(rdd, schema)
+    # the id is (partition << 33) + place in the partition, and partitions follow the file
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_id"), F.col("value").alias(name))
+    lines = lines.withColumn("_part", F.shiftright("_id", 33))
+    size = lines.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)    # one row per partition
+    size = size.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_id") - F.shiftleft("_part", 33)
+    return lines.join(size, "_part").select((F.col("_before") + place + 1).alias("idx"), name)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -51,20 +55,21 @@ def read_mtx_entries(spark: SparkSession, path: str) -> DataFrame:
         parts[2].cast("double").alias("value"))
 
 
-def _first_existing(base: str, names: list[str]) -> str:
-    import os
+def _first_existing(spark: SparkSession, base: str, names: list[str]) -> str:
+    """The first of ``names`` that exists under ``base``, in whatever store that is."""
+    conf = spark._jsc.hadoopConfiguration()
     for n in names:
-        p = os.path.join(base, n)
-        if os.path.exists(p):
-            return p
-    return os.path.join(base, names[0])
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{n}")
+        if where.getFileSystem(conf).exists(where):
+            return f"{base}/{n}"
+    raise FileNotFoundError(f"none of {names} under {base}")
 
 
 def read_10x(spark: SparkSession, directory: str, sample: str, gene_key: str = "gene_id") -> DataFrame:
     """A1: 10x triplet directory -> expr (sample, barcode, gene, value); zeros are absent."""
-    mtx = _first_existing(directory, ["matrix.mtx.gz", "matrix.mtx"])
-    feats = read_features(spark, _first_existing(directory, ["features.tsv.gz", "features.tsv", "genes.tsv.gz", "genes.tsv"]))
-    bcs = read_barcodes(spark, _first_existing(directory, ["barcodes.tsv.gz", "barcodes.tsv"]))
+    mtx = _first_existing(spark, directory, ["matrix.mtx.gz", "matrix.mtx"])
+    feats = read_features(spark, _first_existing(spark, directory, ["features.tsv.gz", "features.tsv", "genes.tsv.gz", "genes.tsv"]))
+    bcs = read_barcodes(spark, _first_existing(spark, directory, ["barcodes.tsv.gz", "barcodes.tsv"]))
     e = read_mtx_entries(spark, mtx)
     e = e.join(feats.select(F.col("idx").alias("gene_idx"), F.col(gene_key).alias("gene")), "gene_idx")
     e = e.join(bcs.select(F.col("idx").alias("barcode_idx"), "barcode"), "barcode_idx")
@@ -87,9 +92,8 @@ def read_scale_factors(spark: SparkSession, path: str, sample: str) -> DataFrame
 
 def read_visium(spark: SparkSession, directory: str, sample: str) -> tuple[DataFrame, DataFrame]:
     """A5: counts + positions of one slide: (expr, spots) keyed by (sample, barcode)."""
-    import os
-    expr = read_10x(spark, _first_existing(directory, ["filtered_feature_bc_matrix", "."]), sample)
-    pos = read_positions(spark, _first_existing(os.path.join(directory, "spatial"),
+    expr = read_10x(spark, _first_existing(spark, directory, ["filtered_feature_bc_matrix", "."]), sample)
+    pos = read_positions(spark, _first_existing(spark, f"{directory}/spatial",
                                                 ["tissue_positions.csv", "tissue_positions_list.csv"]), sample)
     spots = pos.select("sample", "barcode", "in_tissue", "array_row", "array_col",
                        F.col("pxl_col_in_fullres").alias("x"), F.col("pxl_row_in_fullres").alias("y"))
@@ -107,6 +111,18 @@ def read_composition(spark: SparkSession, path: str, sample: str, barcode_col: s
     return long.select(F.lit(sample).alias("sample"), "barcode", "cell_type", "score").filter(F.col("score").isNotNull())
 
 
+def read_annotation(spark: SparkSession, path: str, sample: str | None = None, barcode_col: str | None = None,
+                    label_col: str | None = None) -> DataFrame:
+    """Annotation CSV (barcode, label[, sample]) -> (sample, barcode, cluster), labels as text.
+    The barcode is the first column and the label the second unless named; ``sample`` fills
+    in where the file has no such column.  Rows without a label are dropped."""
+    df = spark.read.csv(path, header=True, inferSchema=False)
+    bc, lab = barcode_col or df.columns[0], label_col or df.columns[1]
+    smp = F.col("sample") if "sample" in df.columns else F.lit(sample)
+    out = df.select(smp.alias("sample"), F.trim(F.col(f"`{bc}`")).alias("barcode"), F.col(f"`{lab}`").alias("cluster"))
+    return out.filter(F.col("cluster").isNotNull())
+
+
 def load_counts(spark: SparkSession, path: str, fmt: str, sample: str) -> DataFrame:
     """Format dispatch.  10x directory, long CSV / TSV (barcode, gene, value with header),
     or Parquet long table.  HDF5-based formats are not supported."""

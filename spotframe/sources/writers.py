@@ -1,5 +1,5 @@
 """Sinks: delimited tables, per-sample split output, wide matrices at the
-sink, and Parquet stage bundles that replace the reference's RDS / h5ad files."""
+sink, and Parquet stage bundles."""
 
 from __future__ import annotations
 

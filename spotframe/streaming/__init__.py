@@ -1,8 +1,7 @@
 """Structured Streaming entry points.
 
-The reference has no stream sources, event time or state (SURVEY 2.14); its batch
-operators are plain DataFrame -> DataFrame functions.  The one incremental use kept
-here is per-spot QC over a folder of arriving long-form count files: the running
+The batch operators are plain DataFrame -> DataFrame functions.  The one incremental
+use kept here is per-spot QC over a folder of arriving long-form count files: the running
 totals are a stateful streaming aggregation, so spots whose entries arrive in
 different files are still counted once, exactly like the batch ``qc_counts``.
 """
@@ -22,8 +21,11 @@ def qc_counts_stream(spark: SparkSession, folder: str, fmt: str = "parquet") ->
                                                 F.count(F.when(F.col("value") > 0, 1)).alias("n_feature"))
 
 
-def start_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    """Run a streaming aggregation into a queryable in-memory table (tests / notebooks) with a
-    checkpoint location so the state survives restarts."""
-    return (stream.writeStream.outputMode(mode).format("memory").queryName(name)
+def start_to_files(stream: DataFrame, folder: str, checkpoint: str):
+    """Run a streaming aggregation; every micro-batch replaces the Parquet table of its spots'
+    running totals under ``folder``/batch=<id> (read the largest id).  The checkpoint
+    location lets the state survive restarts."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return (stream.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", checkpoint).start())

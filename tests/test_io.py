@@ -56,3 +56,35 @@ def test_lr_db_and_writers(spark, tmp_path):
     assert {"sample=S0", "sample=S1"} <= set(os.listdir(tmp_path / "by"))
     m = writers.to_matrix(df, "gene", "sample", "value", ["S0", "S1", "S2"]).collect()[0]
     assert (m["S0"], m["S1"], m["S2"]) == (1.0, 2.0, 0.0)
+
+
+def test_annotation_and_visium_bundle(spark, tmp_path):
+    a = tmp_path / "anno.csv"
+    a.write_text("barcode,cluster,sample\nAAAC-1,3,S9\nAAAG-1,Tumour core,S9\nAAAT-1,,S9\n")
+    got = readers.read_annotation(spark, str(a))
+    assert rows(got, "sample", "barcode", "cluster") == [("S9", "AAAC-1", "3"), ("S9", "AAAG-1", "Tumour core")]
+    d = tmp_path / "slide"
+    _write_10x(str(d / "filtered_feature_bc_matrix"))
+    (d / "spatial").mkdir()
+    (d / "spatial" / "tissue_positions.csv").write_text(
+        "barcode,in_tissue,array_row,array_col,pxl_row_in_fullres,pxl_col_in_fullres\nAAAC-1,1,0,2,10.0,20.0\n")
+    expr, spots = readers.read_visium(spark, str(d), "S1")
+    assert expr.count() == 4
+    assert rows(spots, "barcode", "x", "y", "array_col") == [("AAAC-1", 20.0, 10.0, 2)]
+
+
+def test_line_numbers_follow_the_file(spark, tmp_path):
+    p = tmp_path / "barcodes.tsv"
+    p.write_text("".join(f"BC{i}\n" for i in range(1000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = rows(readers.read_barcodes(spark, str(p)), "idx", "barcode")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i + 1, f"BC{i}") for i in range(1000)]
+
+
+def test_write_table_and_matrix(spark, tmp_path):
+    df = spark.createDataFrame([("S0", "g", 1.0), ("S1", "h", 2.0)], "sample string, gene string, value double")
+    writers.write_table(df, str(tmp_path / "t"))
+    assert spark.read.csv(str(tmp_path / "t"), header=True).count() == 2

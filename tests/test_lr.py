@@ -1,6 +1,6 @@
 from spotframe.operators import lr as lrop
-from spotframe.operators import spatial as sp
-from tests.test_spatial import hex_patch
+from spotframe.operators import slide as sp
+from tests.test_slide import hex_patch
 
 
 def _db(spark):
@@ -40,3 +40,43 @@ def test_permutation_is_bijection(spark):
     for rep in range(5):
         got = sorted(r["cell_type"] for r in pt if r["rep"] == rep)
         assert got == sorted(f"T{i}" for i in range(8))
+
+
+def test_permutation_null_is_calibrated(spark):
+    """Types dealt at random are no rarer than their own permutations: p is not skewed low."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    n, side = 144, 12
+    spots = spark.createDataFrame([("S", f"s{r:02d}{c:02d}", r, 2 * c + r % 2) for r in range(side) for c in range(side)],
+                                  "sample string, barcode string, array_row int, array_col int")
+    edges = sp.spot_neighbors(spots)
+    names = [f"s{r:02d}{c:02d}" for r in range(side) for c in range(side)]
+    db = spark.createDataFrame([(f"l{i}", ["L"], ["R"], "p") for i in range(1)],
+                               "lr string, ligand array<string>, receptor array<string>, pathway string")
+    ce = spark.createDataFrame([("S", b, "l0", k, 1.0) for b in names for k in ("L", "R")],
+                               "sample string, barcode string, lr string, side string, value double")
+    stats = spark.createDataFrame([("S", b, "l0", True) for b in names[::2]], "sample string, barcode string, lr string, sig boolean")
+    comp = spark.createDataFrame([("S", b, f"T{rng.integers(6)}", 1.0) for b in names],
+                                 "sample string, barcode string, cell_type string, score double")
+    obs = lrop.cci_counts(stats, None, edges, db, comp, 0.2, 1, ce=ce)
+    res = lrop.cci_permutation(stats, None, edges, db, comp, spots, 0.2, 60, obs, ce=ce).collect()
+    ps = np.array([r["p"] for r in res])
+    assert len(ps) >= 25 and 0.3 < ps.mean() < 0.75 and (ps < 0.1).mean() < 0.3
+    # brute force: the same counts from the dealt types, pair by pair
+    pt = lrop.permuted_types(comp.select("sample", "barcode", "cell_type"), spots, 3).collect()
+    near = {}
+    for e in edges.collect():
+        near.setdefault(e["src"], set()).add(e["dst"])
+    counts = []
+    for rep in range(3):
+        of = {r["barcode"]: r["cell_type"] for r in pt if r["rep"] == rep}
+        c = {}
+        for b in names[::2]:
+            for t in {of[d] for d in near[b] | {b}}:
+                c[of[b], t] = c.get((of[b], t), 0) + 1
+        counts.append(c)
+    few = {(r["sender"], r["receiver"]): r for r in lrop.cci_permutation(
+        stats, None, edges, db, comp, spots, 0.2, 3, obs, ce=ce).collect()}
+    for key, r in few.items():
+        ge = sum(c.get(key, 0) >= r["n"] for c in counts)
+        assert abs(r["p"] - (1 + ge) / 4) < 1e-12

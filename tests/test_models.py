@@ -69,3 +69,15 @@ def test_nmf_reconstruction_improves(spark):
 
     a1, a20 = acc(1), acc(20)
     assert a20 >= a1 - 1e-9 and a20 > 0.95
+
+
+def test_size_estimate_stays_flat_over_iterations(spark):
+    rng = np.random.default_rng(3)
+    X = rng.uniform(0, 1, size=(20, 4))
+    x = spark.createDataFrame([("S", f"s{i}", f"t{j}", float(X[i, j])) for i in range(20) for j in range(4)],
+                              "sample string, barcode string, cell_type string, score double")
+    sizes = []
+    for iters in (1, 3, 6):
+        W, _ = dc.nmf(x, 2, iters)
+        sizes.append(int(W._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert max(sizes) < 100_000 and max(sizes) <= 2 * min(sizes)

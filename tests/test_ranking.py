@@ -20,3 +20,16 @@ def test_bh_monotone_and_capped(spark):
 def test_bh_with_untested_m(spark):
     df = spark.createDataFrame([("s", "a", 0.01, 4)], "spot string, lr string, p double, m long")
     assert rk.bh_adjust(df, "p", ["spot"], m_col="m").collect()[0]["p_adj"] == 0.04
+
+
+def test_make_unique_passes_over_names_the_file_has(spark):
+    g = spark.createDataFrame([("1", "A", 1), ("2", "A", 2), ("3", "B", 3), ("4", "A", 4), ("5", "A-1", 5), ("6", "A-1", 6)],
+                              "gene_id string, gene_name string, idx long")
+    got = rows(rk.make_unique(g), "gene_id", "unique_name")
+    assert got == [("1", "A"), ("2", "A-2"), ("3", "B"), ("4", "A-3"), ("5", "A-1"), ("6", "A-1-1")]
+
+
+def test_avg_rank_shares_ties(spark):
+    df = spark.createDataFrame([("s", v) for v in (3, 1, 1, 2, 3, 3)], "sample string, v long")
+    assert sorted((r["v"], r["avg_rank"]) for r in rk.avg_rank(df, ["sample"], "v").collect()) == \
+        [(1, 1.5), (1, 1.5), (2, 3.0), (3, 5.0), (3, 5.0), (3, 5.0)]

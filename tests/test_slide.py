@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from spotframe.operators import spatial as sp
+from spotframe.operators import slide as sp
 from tests.conftest import rows
 
 

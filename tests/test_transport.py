@@ -1,9 +1,9 @@
 import numpy as np
 
-from spotframe.operators import spatial as sp
+from spotframe.operators import slide as sp
 from spotframe.operators import transfer as tf
 from spotframe.operators import transport as tr
-from tests.test_spatial import hex_patch
+from tests.test_slide import hex_patch
 
 
 def test_sinkhorn_flow_support_and_sign(spark):
