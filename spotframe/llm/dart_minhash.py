@@ -17,10 +17,12 @@ connected components of the links.  Only pairs of still different classes are co
 
 1. every bucket's first member with all others (copies of one text: one comparison each);
 2. the members with most links so far, ``PIVOTS`` of them, with all others;
-3. what is left, each pair once, in the first band it shares.
+3. what is left, in blocks of ``BLOCK`` members: a task compares two blocks of a bucket and
+   gives back links only.  Each pair is compared in the first band it shares, and not at
+   all once the links found on the way have joined its classes.
 
-Before texts are compared the join itself passes over pairs whose signatures agree in fewer
-coordinates than 4.2 standard deviations below the threshold allow.  A pair at the threshold
+Before texts are compared, pairs are passed over whose signatures agree in fewer coordinates
+than 4.2 standard deviations below the threshold allow.  A pair at the threshold
 shares no band with a probability under 3e-5 and is passed over with one under 2e-5.  There
 is no bound on the size of a bucket or on a member's partners.
 
@@ -49,6 +51,7 @@ SHINGLE = 5
 COORDINATES, BANDS, ROWS = 160, 20, 4
 SIMILARITY = 0.8
 PIVOTS = 8
+BLOCK = 512
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -236,6 +239,32 @@ def _open_rows(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
+def _block_links(rows: DataFrame, units: DataFrame, similarity: float, need: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different classes."""
+    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        marks, keys = np.stack(f["marks"]), np.stack(f["keys"])
+        rep, group, part = f["rep"].to_numpy(), f["class"].to_numpy().copy(), f["block"].to_numpy()
+        band, found = int(f["band"].iloc[0]), []
+        first = np.flatnonzero(part == key[1])
+        for n, i in enumerate(first):
+            others = first[n + 1:] if key[1] == key[2] else np.flatnonzero(part == key[2])
+            others = others[(group[others] != group[i]) & ((marks[others] == marks[i]).sum(1) >= need)]
+            others = others[~(keys[others, :band] == keys[i, :band]).any(1)]
+            for j in others:
+                if group[j] != group[i] and weighted_jaccard(f["units"].iat[i], f["units"].iat[j]) >= similarity:
+                    found.append((rep[i], rep[j]))
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(units.withColumnRenamed("doc_id", "rep"), "rep").select(
+        "bucket", "band", "rep", "class", "marks", "keys", "units", "block",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).drop("with")
+    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
                            coordinates: int = COORDINATES, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, class_id (smallest doc_id of the
@@ -244,10 +273,11 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     signed = stage(signature_table(docs, shingle, coordinates, bands, rows_per_band))
     texts = signed.filter("doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    rows = texts.select("rep", "marks", F.transform("bands", lambda k: F.hash(k)).alias("keys"),
-                        F.posexplode("bands").alias("band", "bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = stage(rows.join(shared, "bucket").withColumn("class", F.col("rep"))
+    texts = stage(texts)
+    narrow = texts.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    shared = narrow.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    marks = texts.select("rep", "marks", F.transform("bands", lambda k: F.hash(k)).alias("keys"))
+    rows = stage(narrow.join(shared, "bucket").join(marks, "rep").withColumn("class", F.col("rep"))
                  .withColumn("degree", F.lit(0).cast("long")))
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
     source = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -257,12 +287,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     links = labels = None
     for pivots in (1, PIVOTS, None):
         if pivots is None:
-            other = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-            earlier = F.exists(F.zip_with(F.slice("keys", 1, F.col("band")), F.slice("keys_b", 1, F.col("band")),
-                                          lambda x, y: x == y), lambda same: same)
-            pairs = rows.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("rep") < F.col("rep_b"))
-                              & (F.col("class") != F.col("class_b")) & _alike(F.col("marks"), F.col("marks_b"), need)
-                              & ~earlier).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+            found = _block_links(rows, units, similarity, need)
         else:
             best = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep")
             chosen = (rows.select("bucket", "rep", "class", "marks", "degree")
@@ -272,7 +297,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
             pairs = rows.join(chosen, (F.col("bucket") == F.col("at")) & (F.col("class") != F.col("pivot_class"))
                               & _alike(F.col("marks"), F.col("pivot_marks"), need))
             pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        found = stage(_verified(pairs, units, similarity))
+            found = _verified(pairs, units, similarity)
+        found = stage(found)
         links = found if links is None else stage(links.union(found))
         if not found.isEmpty():
             labels = components(links)
