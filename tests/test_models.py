@@ -81,3 +81,44 @@ def test_size_estimate_stays_flat_over_iterations(spark):
         W, _ = dc.nmf(x, 2, iters)
         sizes.append(int(W._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert max(sizes) < 100_000 and max(sizes) <= 2 * min(sizes)
+
+
+def test_integrate_matches_numpy(spark):
+    from spotframe.operators import transfer as tf
+    rng = np.random.default_rng(12)
+    ref, qry = rng.normal(size=(25, 3)), rng.normal(size=(20, 3)) + 0.7
+    frame = lambda x, p: spark.createDataFrame([(f"{p}{i:02d}", [float(v) for v in r]) for i, r in enumerate(x)],
+                                               "barcode string, vec array<double>")
+    a, b = frame(ref, "a"), frame(qry, "b")
+    pairs = [(r["a_id"], r["b_id"]) for r in tf.mnn_pairs(a, b, 4).collect()]
+    d = np.linalg.norm(ref[:, None] - qry[None], axis=2)
+    near_b, near_a = np.argsort(d, 1)[:, :4], np.argsort(d, 0)[:4]
+    assert set(pairs) == {(f"a{i:02d}", f"b{j:02d}") for i in range(25) for j in near_b[i] if i in near_a[:, j]}
+    anchors = spark.createDataFrame(pairs, "a_id string, b_id string")
+    got = {r["barcode"]: np.array(r["vec"]) for r in tf.integrate(a, b, anchors, 3).collect()}
+    delta = {}
+    for i, j in pairs:
+        delta.setdefault(int(j[1:]), []).append(ref[int(i[1:])] - qry[int(j[1:])])
+    cells = sorted(delta)
+    delta = {j: np.mean(v, 0) for j, v in delta.items()}
+    for q in range(20):
+        # the cell itself counts among its nearest anchor cells
+        dist = sorted((np.linalg.norm(qry[q] - qry[c]), c) for c in cells)[:3]
+        width = dist[-1][0]
+        w = [np.exp(-(x / width) ** 2) if width > 0 else 1.0 for x, _ in dist]
+        want = qry[q] + sum(wi * delta[c] for wi, (_, c) in zip(w, dist)) / sum(w)
+        assert np.abs(got[f"b{q:02d}"] - want).max() < 1e-9
+
+
+def test_interactions_and_slide_means(spark):
+    imp = spark.createDataFrame([("S", "intra", "T", f"p{i}", float(v)) for i, v in enumerate([1.0, 2.0, 6.0])] +
+                                [("R", "intra", "T", "p0", 3.0)],
+                                "sample string, block string, target string, feature string, importance double")
+    z = {(r["sample"], r["feature"]): r["z"] for r in vw.interactions(imp, -9.0).collect()}
+    x = np.array([1.0, 2.0, 6.0])
+    for i in range(3):
+        assert abs(z["S", f"p{i}"] - (x[i] - x.mean()) / x.std(ddof=1)) < 1e-12
+    assert z["R", "p0"] == 0.0
+    assert {r["feature"] for r in vw.interactions(imp, 0.5).collect()} == {"p2"}
+    m = {r["feature"]: (r["importance"], r["n_samples"]) for r in vw.collect_results(imp, ["feature"], "importance").collect()}
+    assert m == {"p0": (2.0, 2), "p1": (2.0, 1), "p2": (6.0, 1)}
