@@ -200,27 +200,39 @@ def _verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFram
     return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of an undirected edge list (a, b): the smallest
-    label of the neighbours, then the label's own label, until nothing changes."""
-    both = stage(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-                 .union(edges.select("b", "a")).distinct())
-    labels = stage(both.groupBy("node").agg(F.min("other").alias("low"))
-                   .select("node", F.least("node", "low").alias("component")))
+def _to_roots(hook: DataFrame) -> DataFrame:
+    """(node, up) with every pointer followed to its end, doubling the reach each time."""
     while True:
-        near = (both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other")
-                .groupBy("node").agg(F.min("theirs").alias("theirs")))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"),
-                                                 F.least("component", "theirs").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
-        new = stage(lower.join(jump, "via").select(
-            "node", F.least("via", "beyond").alias("component"), (F.least("via", "beyond") != F.col("was")).alias("moved")))
-        unstage(labels)
-        labels, moved = new.drop("moved"), new.filter("moved").limit(1).count()
-        labels._stage_path = new._stage_path
+        further = hook.select(F.col("node").alias("up"), F.col("up").alias("beyond"))
+        new = stage(hook.join(further, "up", "left").select(
+            "node", F.coalesce("beyond", "up").alias("up"), F.col("beyond").isNotNull().alias("moved")))
+        unstage(hook)
+        moved, hook = not new.filter("moved").isEmpty(), new.select("node", "up")
+        hook._stage_path = new._stage_path
         if not moved:
-            unstage(both)
-            return labels
+            return hook
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of an undirected edge list (a, b): every node is
+    hooked to its smallest neighbour below it, the trees are contracted, and what is left of
+    the edges joins the contracted nodes, until no edge is left."""
+    between = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    left = stage(between(edges))
+    labels = stage(left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+                   .withColumn("component", F.col("node")))
+    while not left.isEmpty():
+        roots = _to_roots(stage(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))))
+        ends = {c: roots.select(F.col("node").alias(c), F.col("up").alias(f"root_{c}")) for c in ("a", "b", "component")}
+        new = stage(labels.join(ends["component"], "component", "left").select(
+            "node", F.coalesce("root_component", "component").alias("component")))
+        rest = left.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(
+            F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        rest = stage(between(rest))
+        for done in (labels, left, roots):
+            unstage(done)
+        labels, left = new, rest
+    return labels
 
 
 def least_agreement(similarity: float, coordinates: int) -> int:
