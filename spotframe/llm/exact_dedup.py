@@ -65,10 +65,11 @@ def exact_groups(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
 def drop_copies(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``docs`` with one row for each distinct text, all its columns as they were."""
     columns = docs.columns
+    # the id as a struct: a null id equals itself, and one partitioning serves both steps
     kept = exact_groups(docs, salt_rows).filter("kept").select(
-        F.col("doc_id").alias("kept_doc_id"), F.col("text_sha256").alias("kept_digest"))
-    rows = docs.withColumn("own_digest", F.sha2(normalised(), 256))
-    same = rows["doc_id"].eqNullSafe(kept["kept_doc_id"]) & (rows["own_digest"] == kept["kept_digest"])
-    stay = rows.join(kept, same, "left_semi")
+        F.struct("doc_id").alias("own_id"), F.col("text_sha256").alias("own_digest"))
+    rows = docs.withColumns({"own_id": F.struct(F.col("doc_id").cast("long").alias("doc_id")),
+                             "own_digest": F.sha2(normalised(), 256)})
+    stay = rows.join(kept, ["own_id", "own_digest"], "left_semi")
     # only rows that repeat a doc_id and a text remain doubled
-    return stay.dropDuplicates(["doc_id", "own_digest"]).select(*columns)
+    return stay.dropDuplicates(["own_id", "own_digest"]).select(*columns)
