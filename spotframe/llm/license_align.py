@@ -57,6 +57,7 @@ TEMPLATES = {
         fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
         copies""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0""",
+    "All-rights-reserved": "All rights reserved",
 }
 
 

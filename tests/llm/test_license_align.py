@@ -73,3 +73,13 @@ def test_op4_query(llm, documents, tables):
     assert sorted((r.doc_id, r.license, r.coverage, r.first_word, r.last_word) for r in got) == \
         [(50, "CC-BY-NC-4.0", 1.0, 2, 8), (50, "GPL-3.0", 1.0, 10, 21), (50, "MIT", 1.0, 0, 4)]
     assert la.scan_licenses(documents([])).count() == 0
+
+
+def test_lines_as_the_documents_table_writes_them(llm, documents):
+    lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.",
+             "Licensed under CC BY-NC 4.0.", "All rights reserved.",
+             "This work is licensed under the GNU General Public License, version 3."]
+    docs = documents([(i, f"Nt onor. The of it.\n{line}\nLes. All of the rights") for i, line in enumerate(lines)])
+    got = sorted((r.doc_id, r.license, r.coverage) for r in la.scan_licenses(docs).collect())
+    assert got == [(0, "Apache-2.0", 1.0), (1, "MIT", 1.0), (2, "CC-BY-NC-4.0", 1.0),
+                   (3, "All-rights-reserved", 1.0), (4, "GPL-3.0", 1.0)]
