@@ -1,10 +1,10 @@
 """Ligand-receptor neighbourhood scores, null p-values, FDR, summaries and cell-cell interaction.
 
 Driver parameters (FIXTURES.md): coarse counts (gene = part name), hexagonal
-neighbours, 50 random pairs (operator default 2000), 10 expression bins, BH within spot
-with cut-off 0.2, cell-type presence > 0.2, at least 5 scoring / 3 significant spots, 20
-permutations (1000 in a full study).  The smaller numbers of pairs and permutations keep
-the SQL twins, which write every (replicate, pair) row, within minutes.
+neighbours, 2000 random pairs, 10 expression bins, BH within spot with cut-off 0.2,
+cell-type presence > 0.2, at least 5 scoring / 3 significant spots, 20 permutations (1000 in
+a full study).  The smaller number of permutations keeps the SQL twin, which writes every
+(replicate, pair) row, within minutes.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from spotframe.sources import adapter
 
 KEYS = ["sample", "barcode"]
 MIN_SPOTS = 5
-N_PAIRS = 50
+N_PAIRS = 2000
 N_BINS = 10
 CUTOFF = 0.2
 TYPE_CUTOFF = 0.2
@@ -213,7 +213,7 @@ def lr_scores(spark, d):
 @register("lr_null_p", with_views(NULL_SQL + """
 SELECT sample, barcode, lr, round(score, 6) AS score, round(p, 6) AS p FROM pv""", V))
 def lr_null_p(spark, d):
-    """H2: p from 50 expression-matched random gene pairs per bin combination."""
+    """H2: p from 2000 expression-matched random gene pairs per bin combination."""
     return finish(LRFlow(spark, d).pvalues().select(*KEYS, "lr", "score", "p"))
 
 

@@ -1,5 +1,9 @@
+from collections import Counter
+
+from spotframe.functions.stats import LCG_A, LCG_B, LCG_M
 from spotframe.operators import lr as lrop
 from spotframe.operators import slide as sp
+from spotframe.plans import lr_queries
 from tests.test_slide import hex_patch
 
 
@@ -80,3 +84,53 @@ def test_permutation_null_is_calibrated(spark):
     for key, r in few.items():
         ge = sum(c.get(key, 0) >= r["n"] for c in counts)
         assert abs(r["p"] - (1 + ge) / 4) < 1e-12
+
+
+def test_null_of_the_query_by_brute_force(spark):
+    """p from 2000 draws, each taken and scored in a plain loop; a lone LR can pass the BH cut-off."""
+    from __spark_entry__ import SMOKE_DIR
+    f = lr_queries.LRFlow(spark, SMOKE_DIR)
+    db = {r["lr"]: (r["ligand"], r["receptor"]) for r in f.lr_db.collect()}
+    value, near = {}, {}
+    for r in f.expr.collect():
+        value.setdefault((r["sample"], r["barcode"]), {})[r["gene"]] = r["value"]
+    for e in f.edges.collect():
+        near.setdefault((e["sample"], e["src"]), []).append((e["sample"], e["dst"]))
+
+    def level(spot, genes):
+        return min(value.get(spot, {}).get(g, 0.0) for g in genes)
+
+    def score(spot, left, right):
+        around = near.get(spot, [])
+        L, R = level(spot, left), level(spot, right)
+        mL, mR = (sum(level(x, g) for x in around) / max(len(around), 1) for g in (left, right))
+        return 0.5 * (L * (mR > 0) + (L > 0) * mR + R * (mL > 0) + (R > 0) * mL)
+
+    def lcg(i, rep):
+        return ((i * LCG_A + (rep + 1) * LCG_B) % LCG_M * LCG_A + LCG_B) % LCG_M
+
+    def mean(genes):
+        return sum(level(s, genes) for s in value) / len(value)
+
+    means = {g: mean([g]) for g in {g for v in value.values() for g in v}}
+    ordered = sorted(means.values())
+    bounds = [ordered[-(-len(ordered) * i // 10) - 1] for i in range(1, 10)]
+    bin_of = lambda m: sum(b < m for b in bounds)
+    used = {g for sides in db.values() for genes in sides for g in genes}
+    dealt = {}
+    for g in sorted(set(means) - used):
+        dealt.setdefault(bin_of(means[g]), []).append(g)
+    draws = {}
+    for lr, (left, right) in db.items():
+        bl, br = bin_of(mean(left)), bin_of(mean(right))
+        cl, cr, c = dealt.get(bl), dealt.get(br), bl * 10 + br
+        picks = [(cl[lcg(k, 2 * c) % len(cl)], cr[lcg(k, 2 * c + 1) % len(cr)]) for k in range(2000)] if cl and cr else []
+        draws[lr] = Counter((a, b) for a, b in picks if a != b)
+    got = f.pvalues().collect()
+    assert len(got) > 500
+    for r in got:
+        spot, n = (r["sample"], r["barcode"]), draws[r["lr"]]
+        assert abs(score(spot, *db[r["lr"]]) - r["score"]) < 1e-9
+        ge = sum(m for (a, b), m in n.items() if score(spot, [a], [b]) >= r["score"])
+        assert abs(r["p"] - ((1 + ge) / (1 + n.total()) if n else 1.0)) < 1e-12
+    assert min(r["p"] for r in got) * len(db) < lr_queries.CUTOFF
