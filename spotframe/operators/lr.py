@@ -266,15 +266,18 @@ MASK_BITS = 62
 
 
 def cci_permutation(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataFrame,
-                    composition: DataFrame, spots: DataFrame, type_cutoff: float, n_perms: int,
-                    observed: DataFrame, ce: DataFrame | None = None) -> DataFrame:
+                    composition: DataFrame, spots: DataFrame, type_cutoff: float, n_perms: int = 1000,
+                    observed: DataFrame | None = None, ce: DataFrame | None = None) -> DataFrame:
     """H8: p = (1 + #{replicates with count >= observed}) / (1 + n_perms) for every observed
-    (sample, lr, sender, receiver) of ``observed`` (output of ``cci_counts``).
+    (sample, lr, sender, receiver) of ``observed`` (output of ``cci_counts``, made here if
+    not given).
 
     The types of a spot travel as bit masks (words of ``MASK_BITS`` types): the masks of the
     receiving neighbours are or-ed per sending spot before any type is written out, so the
     widest table has a row per (replicate, LR, spot, word), not per pair of types.
     """
+    if observed is None:
+        observed = cci_counts(stats, expr, edges, lr_db, composition, type_cutoff, ce=ce)
     pairs = _cci_pairs(stats, expr, edges, lr_db, ce)
     types = composition.filter(F.col("score") > F.lit(type_cutoff)).select(*KEYS, "cell_type")
     # one row per cell type

@@ -2,9 +2,7 @@
 
 Driver parameters (FIXTURES.md): coarse counts (gene = part name), hexagonal
 neighbours, 2000 random pairs, 10 expression bins, BH within spot with cut-off 0.2,
-cell-type presence > 0.2, at least 5 scoring / 3 significant spots, 20 permutations (1000 in
-a full study).  The smaller number of permutations keeps the SQL twin, which writes every
-(replicate, pair) row, within minutes.
+cell-type presence > 0.2, at least 5 scoring / 3 significant spots, 1000 permutations.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ N_BINS = 10
 CUTOFF = 0.2
 TYPE_CUTOFF = 0.2
 CCI_MIN_SPOTS = 3
-N_PERMS = 20
+N_PERMS = 1000
 MIN_PCT = 0.05
 
 V = ["spots", "expr_coarse", "lr_db"]
@@ -345,7 +343,7 @@ FROM cci c LEFT JOIN pc ON pc.sample = c.sample AND pc.lr = c.lr AND pc.sender =
                        AND pc.n_rep >= c.n
 GROUP BY 1, 2, 3, 4, 5""", V_C))
 def cci_permutation(spark, d):
-    """H8: CCI p from 20 within-sample permutations of the cell-type rows."""
+    """H8: CCI p from 1000 within-sample permutations of the cell-type rows."""
     f = LRFlow(spark, d)
     obs = f.cci()
     res = lrop.cci_permutation(f.stats(), f.expr, f.edges, f.lr_db, f.composition(), f.spots, TYPE_CUTOFF, N_PERMS,

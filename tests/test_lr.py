@@ -134,3 +134,30 @@ def test_null_of_the_query_by_brute_force(spark):
         ge = sum(m for (a, b), m in n.items() if score(spot, [a], [b]) >= r["score"])
         assert abs(r["p"] - ((1 + ge) / (1 + n.total()) if n else 1.0)) < 1e-12
     assert min(r["p"] for r in got) * len(db) < lr_queries.CUTOFF
+
+
+def test_permutations_are_a_thousand(spark):
+    """A unique pair of neighbours in a patch of 144 spots: 1000 permutations by default."""
+    side = 12
+    names = [f"s{r:02d}{c:02d}" for r in range(side) for c in range(side)]
+    spots = spark.createDataFrame([("S", f"s{r:02d}{c:02d}", r, 2 * c + r % 2) for r in range(side) for c in range(side)],
+                                  "sample string, barcode string, array_row int, array_col int")
+    edges = sp.spot_neighbors(spots)
+    db = spark.createDataFrame([("l0", ["L"], ["R"], "p")],
+                               "lr string, ligand array<string>, receptor array<string>, pathway string")
+    ce = spark.createDataFrame([("S", b, "l0", k, 1.0) for b in names for k in ("L", "R")],
+                               "sample string, barcode string, lr string, side string, value double")
+    stats = spark.createDataFrame([("S", b, "l0", True) for b in names], "sample string, barcode string, lr string, sig boolean")
+    rare = {"s0505": "A", "s0506": "B"}
+    comp = spark.createDataFrame([("S", b, rare.get(b, "T"), 1.0) for b in names],
+                                 "sample string, barcode string, cell_type string, score double")
+    res = lrop.cci_permutation(stats, None, edges, db, comp, spots, 0.2, ce=ce).collect()
+    of = {(r["sender"], r["receiver"]): (r["n"], r["p"]) for r in res}
+    near = {(e["src"], e["dst"]) for e in edges.collect()}
+    dealt = lrop.permuted_types(comp.select("sample", "barcode", "cell_type"), spots, 1000)
+    place = {(r["rep"], r["cell_type"]): r["barcode"] for r in dealt.filter("cell_type <> 'T'").collect()}
+    ge = sum((place[k, "A"], place[k, "B"]) in near for k in range(1000))
+    assert of["A", "B"] == (1, (1 + ge) / 1001) and 0 < ge
+    assert of["A", "A"] == (1, 1.0)
+    # the query runs as many
+    assert lr_queries.N_PERMS == 1000
