@@ -1,7 +1,8 @@
 """SpotSigs document fingerprints, in DataFrame operations only.
 
 A spot is an anchor (a common word) with the chain of the next ``CHAIN`` content words;
-anchors in between are passed over.  A document's fingerprint is the set of the hashes of
+anchors in between are passed over.  Of a run of anchors ("of the cat") only the last opens a
+spot.  A document's fingerprint is the set of the hashes of
 its spots, written as sorted hexadecimal.  A text without any anchor takes every content
 word as its own anchor, so each text with words has spots.  Words are runs of letters and
 digits, lower-cased.  Null texts count as empty; texts without words have the empty
