@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotframe.llm import best_fit, byte_bpe, chat_windows, dart_minhash, exact_dedup, license_align, quality_fm, spotsigs, token_files, warc_revisits
+from spotframe.llm import best_fit, byte_bpe, chat_windows, dart_minhash, exact_dedup, license_align, quality_fm, spotsigs, token_files, warc_revisits, whitening
 from spotframe.session import shared_folder, ship_library
 
 BYTE_VOCABULARY = 50_257
@@ -169,6 +169,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(byte_bpe.decode(F.col("ids"), ranks, pattern), 256).alias("decoded_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding, with the covariance's distance from identity."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_spotsigs": (op2_spotsigs, None),
@@ -180,4 +185,5 @@ QUERIES = {
     "op8_dart_minhash": (op8_dart_minhash, None),
     "op9_chat_windows": (op9_chat_windows, OP9_SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op11_whitening": (op11_whitening, None),
 }
