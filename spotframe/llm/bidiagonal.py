@@ -12,8 +12,8 @@ import numpy as np
 
 EPS = np.finfo(float).eps
 TINY = 1e-290
-#: Values closer than this share of themselves are one cluster: their vectors are iterated
-#: and kept orthogonal to each other; all others are orthogonal by their gaps.
+#: Values closer than this share of themselves are one cluster; the vectors of others are
+#: orthogonal by their gaps.
 CLUSTER = 1e-3
 
 
@@ -95,84 +95,99 @@ def dqds(diagonal, above) -> list[float]:
     return sorted(found, reverse=True)
 
 
-class _Twisted:
-    """B'B - value = N D N', twisted at the row where the middle pivot is smallest."""
-
-    def __init__(self, diagonal: np.ndarray, above: np.ndarray, value: float):
-        n = len(diagonal)
-        d, low = diagonal ** 2, above / diagonal[:-1]
-        up, plus, s = np.zeros(n), np.zeros(n), np.empty(n)
-        down, minus, p = np.zeros(n), np.zeros(n), np.empty(n)
-        least = EPS ** 2 * max(value, float(d.max()))
+class _Factors:
+    """The symmetric tridiagonal matrix L D L' with L's subdiagonal ``low``."""
+
+    def __init__(self, d: np.ndarray, low: np.ndarray):
+        self.d, self.low = d, low
+        self.least = EPS ** 2 * float(np.abs(d).max())
+
+    def _pivot(self, x: float) -> float:
+        return x if abs(x) > self.least else math.copysign(self.least, x)
+
+    def below(self, x: float) -> int:
+        """How many eigenvalues lie below x."""
+        count, s, last = 0, -x, len(self.d) - 1
+        for i, d in enumerate(self.d):
+            top = self._pivot(d + s)
+            count += top < 0
+            if i < last:
+                s = d * self.low[i] ** 2 / top * s - x
+        return count
+
+    def value(self, rank: int, near: float, width: float) -> float:
+        """The eigenvalue with ``rank`` others below it, found by bisection around ``near``."""
+        low, high = near - width, near + width
+        while self.below(low) > rank:
+            low -= (width := 2 * width)
+        while self.below(high) <= rank:
+            high += (width := 2 * width)
+        for _ in range(200):
+            middle = (low + high) / 2
+            if high - low <= 2 * EPS * max(abs(low), abs(high)) or not low < middle < high:
+                break
+            low, high = (middle, high) if self.below(middle) <= rank else (low, middle)
+        return (low + high) / 2
 
-        def pivot(x: float) -> float:
-            return x if abs(x) > least else math.copysign(least, x)
-        s[0] = -value
+    def shifted(self, x: float) -> _Factors:
+        """Factors of the matrix less x."""
+        n = len(self.d)
+        d, low, s = np.empty(n), np.empty(n - 1), -x
         for i in range(n):
-            plus[i] = pivot(s[i] + d[i])
+            d[i] = self._pivot(self.d[i] + s)
             if i < n - 1:
-                up[i] = d[i] * low[i] / plus[i]
-                s[i + 1] = up[i] * low[i] * s[i] - value
-        p[n - 1] = d[n - 1] - value
+                low[i] = self.d[i] * self.low[i] / d[i]
+                s = low[i] * self.low[i] * s - x
+        return _Factors(d, low)
+
+    def vector(self, value: float) -> np.ndarray:
+        """Unit eigenvector, from the factorisation of the matrix less its value that is
+        twisted where the middle pivot is smallest."""
+        n = len(self.d)
+        up, down, s, p = np.zeros(n), np.zeros(n), np.empty(n), np.empty(n)
+        s[0], p[n - 1] = -value, self.d[n - 1] - value
+        for i in range(n - 1):
+            up[i] = self.d[i] * self.low[i] / self._pivot(self.d[i] + s[i])
+            s[i + 1] = up[i] * self.low[i] * s[i] - value
         for i in range(n - 2, -1, -1):
-            minus[i + 1] = pivot(d[i] * low[i] ** 2 + p[i + 1])
-            ratio = d[i] / minus[i + 1]
-            down[i] = low[i] * ratio
+            ratio = self.d[i] / self._pivot(self.d[i] * self.low[i] ** 2 + p[i + 1])
+            down[i] = self.low[i] * ratio
             p[i] = p[i + 1] * ratio - value
-        middle = s + p + value
-        self.k = int(np.argmin(np.abs(middle)))
-        self.middle = pivot(float(middle[self.k]))
-        self.up, self.down, self.plus, self.minus = up, down, plus, minus
-
-    def solve(self, y: np.ndarray | None = None) -> np.ndarray:
-        """Solution of (B'B - value) z = y scaled to length 1 (None: the unit vector at the twist)."""
-        n, k = len(self.up), self.k
-        w = np.zeros(n)
-        if y is None:
-            w[k] = 1.0
-        else:
-            w[:] = y
-            for i in range(1, k):
-                w[i] -= self.up[i - 1] * w[i - 1]
-            for i in range(n - 2, k, -1):
-                w[i] -= self.down[i] * w[i + 1]
-            w[k] -= (self.up[k - 1] * w[k - 1] if k else 0) + (self.down[k] * w[k + 1] if k < n - 1 else 0)
-            w[:k] /= self.plus[:k]
-            w[k + 1:] /= self.minus[k + 1:]
-            w[k] /= self.middle
-            w /= np.abs(w).max() or 1.0
+        k = int(np.argmin(np.abs(s + p + value)))
+        z = np.zeros(n)
+        z[k] = 1.0
         for i in range(k - 1, -1, -1):
-            w[i] -= self.up[i] * w[i + 1]
+            z[i] = -up[i] * z[i + 1]
         for i in range(k + 1, n):
-            w[i] -= self.down[i - 1] * w[i - 1]
-        w /= np.abs(w).max()
-        return w / np.linalg.norm(w)
+            z[i] = -down[i - 1] * z[i - 1]
+        z /= np.abs(z).max()
+        return z / np.linalg.norm(z)
+
+
+def _fill(factors: _Factors, values: list[float], rank: int, out: np.ndarray, depth: int = 0) -> None:
+    """Columns of ``out``: vectors of the falling ``values``, the last of which has ``rank``
+    eigenvalues below it.  Those of a cluster come from factors shifted to the cluster's
+    end, where its values lie far apart for their size."""
+    start, n = 0, len(values)
+    for j in range(n):
+        if j + 1 < n and values[j] - values[j + 1] <= CLUSTER * max(abs(values[j]), abs(values[j + 1])) and depth < 12:
+            continue
+        if start == j:
+            out[:, j] = factors.vector(values[j])
+        else:
+            # of the cluster's two ends, the one whose factors grow less
+            ends = (values[j] - 8 * EPS * abs(values[j]), values[start] + 8 * EPS * abs(values[start]))
+            shift, inner = min(((x, factors.shifted(x)) for x in ends), key=lambda f: np.abs(f[1].d).max())
+            lowest = rank + n - 1 - j
+            own = [inner.value(lowest + j - i, values[i] - shift, 8 * EPS * abs(values[j])) for i in range(start, j + 1)]
+            _fill(inner, own, lowest, out[:, start:j + 1], depth + 1)
+        start = j + 1
 
 
 def _vectors(diagonal: np.ndarray, above: np.ndarray, values: list[float]) -> np.ndarray:
     """Unit right singular vectors (columns) of an unreduced bidiagonal, by falling value."""
-    n = len(values)
-    rng = np.random.default_rng(n)
-    out = np.empty((n, n))
-    first = 0       # of the cluster at hand
-    for j, value in enumerate(values):
-        if j and values[j - 1] - value > CLUSTER * values[j - 1]:
-            first = j
-        twisted, others = _Twisted(diagonal, above, value), out[:, first:j]
-        z = twisted.solve()
-        for attempt in range(30 if first < j else 0):
-            size = 1.0
-            for _ in range(2):
-                z = z - others @ (others.T @ z)
-                size *= np.linalg.norm(z)
-                z /= np.linalg.norm(z) or 1.0
-            if attempt > 1 and size > 0.05:
-                break
-            if size < 1e-4:
-                z = rng.normal(size=n)
-                z -= others @ (others.T @ z)
-            z = twisted.solve(z)
-        out[:, j] = z
+    out = np.empty((len(values), len(values)))
+    _fill(_Factors(diagonal ** 2, above / diagonal[:-1]), values, 0, out)
     return out
 
 
@@ -187,8 +202,8 @@ def right_singular(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norm = max(np.abs(diagonal).max(), np.abs(above).max(initial=0.0))
     # what lies under the rounding of the reduction itself: a zero pivot becomes the least
     # one that counts, a zero above splits the matrix
-    small = np.abs(diagonal) < EPS * norm
-    diagonal[small] = EPS * norm
+    small = np.abs(diagonal) < 4 * EPS * norm
+    diagonal[small] = 4 * EPS * norm
     split = np.abs(above) <= 4 * EPS * norm
     bounds = [0, *(np.flatnonzero(split) + 1), n]
     values, vectors = np.empty(n), np.zeros((n, n))

@@ -88,8 +88,8 @@ def _check_solver(r):
     want = np.linalg.svd(r, compute_uv=False)
     n, top = len(r), max(want.max(), 1e-300)
     assert np.abs(np.sqrt(np.maximum(value, 0)) - want).max() <= 1e-13 * top
-    assert np.abs(vector.T @ vector - np.eye(n)).max() < 1e-7
-    assert np.abs(r.T @ (r @ vector) - vector * value).max() <= 1e-7 * top ** 2
+    assert np.abs(vector.T @ vector - np.eye(n)).max() < 1e-8
+    assert np.abs(r.T @ (r @ vector) - vector * value).max() <= 1e-8 * top ** 2
 
 
 def test_solver_on_graded_clustered_and_singular_matrices():
