@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotframe.llm import best_fit, byte_bpe, chat_windows, dart_minhash, exact_dedup, license_align, quality_fm, spotsigs, token_files, warc_revisits, whitening
+from spotframe.llm import best_fit, byte_bpe, chat_windows, dart_minhash, exact_dedup, filter_audit, license_align, quality_fm, spotsigs, token_files, warc_revisits, whitening
 from spotframe.session import shared_folder, ship_library
 
 BYTE_VOCABULARY = 50_257
@@ -174,6 +174,45 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each language, in every order of the filters."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT body, min(doc_id) AS least FROM words GROUP BY body),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+          100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body),
+          regexp_matches(body, '[#$%&*|]'), coalesce(words.doc_id > least, false)] AS fails
+  FROM words JOIN first USING (body) LEFT JOIN marks ON marks.doc_id = words.doc_id),
+kinds AS (SELECT part, good, toxic, fails, count(*) AS n FROM docs GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, s.f AS step, o[s.f] AS f, o[1:s.f - 1] AS before FROM orders, letters s),
+counted AS (
+  SELECT part, o, step, f,
+         sum(CASE WHEN NOT fails[f] AND NOT earlier THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN fails[f] AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN fails[f] AND earlier THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails[f] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN fails[f] AND NOT earlier AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN fails[f] AND NOT earlier AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda i: fails[i])) > 0 AS earlier FROM kinds, steps) GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INTEGER AS step,
+       kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM counted
+"""
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_spotsigs": (op2_spotsigs, None),
@@ -186,4 +225,5 @@ QUERIES = {
     "op9_chat_windows": (op9_chat_windows, OP9_SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
     "op11_whitening": (op11_whitening, None),
+    "op12_filter_audit": (op12_filter_audit, OP12_SQL),
 }
