@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotframe.llm import best_fit, byte_bpe, chat_windows, dart_minhash, exact_dedup, filter_audit, license_align, quality_fm, spotsigs, token_files, warc_revisits, whitening
+from spotframe.llm import best_fit, bit_codes, byte_bpe, chat_windows, dart_minhash, exact_dedup, filter_audit, license_align, quality_fm, spotsigs, token_files, warc_revisits, whitening
 from spotframe.session import shared_folder, ship_library
 
 BYTE_VOCABULARY = 50_257
@@ -213,6 +213,11 @@ FROM counted
 """
 
 
+def op13_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every hundredth one."""
+    return bit_codes.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_spotsigs": (op2_spotsigs, None),
@@ -226,4 +231,5 @@ QUERIES = {
     "op10_byte_bpe": (op10_byte_bpe, None),
     "op11_whitening": (op11_whitening, None),
     "op12_filter_audit": (op12_filter_audit, OP12_SQL),
+    "op13_bit_codes": (op13_bit_codes, None),
 }
