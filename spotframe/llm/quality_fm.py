@@ -9,7 +9,7 @@ binary order of its size in code points as one slot each.  The score is the logi
 
 so the pairwise interactions of all features cost time linear in their number.
 
-The model is fitted in the driver on at most ``SAMPLE`` labelled rows outside the held-out
+The model is fitted in one task on at most ``SAMPLE`` labelled rows outside the held-out
 fold (crc32 of doc_id as text, modulo 5, is 0 there); doc_id, lang, source and labels are
 no inputs of a score.  Rows are taken by a hash of doc_id, so the sample is the same on
 every run.  All documents are scored, on whole texts, where they lie.
@@ -105,6 +105,13 @@ def features(texts: list[str]) -> Features:
     return Features(np.append(0, np.cumsum(np.bincount(doc, minlength=n))), slot, value, stats, size)
 
 
+def joined(parts: list[Features]) -> Features:
+    """The rows of several parts as one."""
+    ends = np.cumsum([0, *(len(p.slot) for p in parts)])
+    start = np.concatenate([p.start[:-1] + e for p, e in zip(parts, ends)] + [ends[-1:]]).astype(np.int64)
+    return Features(start, *(np.concatenate([getattr(p, c) for p in parts]) for c in ("slot", "value", "statistics", "size")))
+
+
 @dataclass
 class FactorisationMachine:
     bias: float
@@ -139,6 +146,19 @@ class FactorisationMachine:
         line = np.add.reduceat(self.linear[slot] * value, start[:-1])
         return self.bias + line + 0.5 * ((sums ** 2).sum(1) - squares), sums
 
+    def packed(self) -> pa.RecordBatch:
+        """One row: bias, linear and factor weights as float32, mean and spread as float64."""
+        weights = np.concatenate([self.linear, self.factors.ravel()]).astype("<f4")
+        scaling = np.concatenate([self.mean, self.spread]).astype("<f8")
+        return pa.RecordBatch.from_arrays([pa.array([float(self.bias)]), pa.array([weights.tobytes()]), pa.array([scaling.tobytes()])],
+                                          names=["bias", "weights", "scaling"])
+
+    @classmethod
+    def unpacked(cls, bias: float, weights: bytes, scaling: bytes) -> FactorisationMachine:
+        w, s = np.frombuffer(weights, "<f4"), np.frombuffer(scaling, "<f8")
+        width = len(w) // (RANK + 1)
+        return cls(bias, w[:width], w[width:].reshape(width, RANK), s[:STATISTICS], s[STATISTICS:])
+
     def probability(self, f: Features) -> np.ndarray:
         if not len(f.size):
             return np.empty(0)
@@ -200,26 +220,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisati
     got = (texts.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
            .select("text", "quality"))
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, label = [], []
         for batch in batches:
-            quality, body = batch.column("quality").to_pylist(), batch.column("text").to_pylist()
-            for a, b in by_chars(body):
-                f = features(body[a:b])
-                cut = pa.array(f.start, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(quality[a:b], pa.int32()), pa.ListArray.from_arrays(cut, pa.array(f.slot)),
-                     pa.ListArray.from_arrays(cut, pa.array(f.value)), pa.array(f.statistics.tolist()),
-                     pa.array(f.size)],
-                    names=["quality", "slot", "value", "statistics", "size"])
-
-    rows = got.mapInArrow(featurise, "quality int, slot array<long>, value array<double>, "
-                                     "statistics array<double>, size long").toPandas()
-    widths = [len(s) for s in rows["slot"]]
-    flat = lambda c, kind: np.concatenate([np.empty(0, kind), *rows[c]]).astype(kind)
-    stats = np.array(rows["statistics"].tolist()).reshape(len(rows), STATISTICS)
-    f = Features(np.append(0, np.cumsum(widths)).astype(np.int64), flat("slot", np.int64), flat("value", np.float64),
-                 stats, rows["size"].to_numpy(np.int64))
-    return train(f, (rows["quality"].to_numpy() > 0).astype(float))
+            body = batch.column("text").to_pylist()
+            parts += [features(body[a:b]) for a, b in by_chars(body)]
+            label += batch.column("quality").to_pylist()
+        if label:
+            yield train(joined(parts), (np.array(label) > 0).astype(float)).packed()
+
+    # the sample lies in one partition and is learned from there; weights alone come back
+    rows = got.mapInArrow(learn, "bias double, weights binary, scaling binary").collect()
+    return FactorisationMachine.unpacked(*rows[0]) if rows else train(features([]), np.empty(0))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
