@@ -13,6 +13,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (Spark looks names up without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def order_bounds(df: DataFrame, column: str, buckets: int) -> list[list]:
     """Approximate quantiles of a numeric column, as at most sqrt(buckets) runs of sorted
     bounds (at most ``buckets`` numbers reach the driver, whatever the table's size)."""

@@ -28,8 +28,9 @@ is no bound on the size of a bucket or on a member's partners.
 
 A null text counts as empty, and all empty texts are one class.  A text is known by the
 smallest doc_id that has it: rows that repeat a doc_id with another text are judged by
-their own text, and two texts known by one doc_id are one class.  A row without doc_id has no class (null) and links nothing.  A table
-without rows gives no rows.
+their own text, and two texts known by one doc_id are one class, with all links of either.
+A row without doc_id has no class (null) and links nothing.  A table without rows gives no
+rows.  Texts are read whole, however long, a few million characters at a time.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotframe.llm.common import text_of
+from spotframe.llm.common import fresh, text_of
 from spotframe.llm.tokenize import by_chars
 from spotframe.session import stage, unstage
 
@@ -170,7 +171,7 @@ def signature_table(docs: DataFrame, shingle: int = SHINGLE, coordinates: int =
 
 
 def unit_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the sorted units of its text (binary, unsigned 64-bit)."""
+    """digest and the sorted units of its text (binary, unsigned 64-bit), of ``docs(digest, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -178,9 +179,9 @@ def unit_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 doc, unit = weighted_units(texts[a:b], shingle)
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
                 body = [unit[cuts[i]:cuts[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(body, pa.binary())],
-                                                 names=["doc_id", "units"])
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, units binary")
+                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(a, b - a), pa.array(body, pa.binary())],
+                                                 names=["digest", "units"])
+    return docs.select("digest", "text").mapInArrow(run, "digest binary, units binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -190,14 +191,16 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
 
 
 def _verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among ``pairs(a, b, text_a, text_b)``, the texts by their digests."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keep = [weighted_jaccard(x, y) >= similarity for x, y in zip(f["units_a"], f["units_b"])]
             yield f.loc[keep, ["a", "b"]]
-    left = units.select(F.col("doc_id").alias("a"), F.col("units").alias("units_a"))
-    right = units.select(F.col("doc_id").alias("b"), F.col("units").alias("units_b"))
+    left = units.select(F.col("digest").alias("text_a"), F.col("units").alias("units_a"))
+    right = units.select(F.col("digest").alias("text_b"), F.col("units").alias("units_b"))
     # the pivot's side last: it alone can be hot, and a skewed sort-merge join is split
-    return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
+    met = pairs.join(right, "text_b").join(left, "text_a").select("a", "b", "units_a", "units_b")
+    return met.mapInPandas(run, "a long, b long")
 
 
 def _to_roots(hook: DataFrame) -> DataFrame:
@@ -252,16 +255,27 @@ def _open_rows(rows: DataFrame) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, units: DataFrame, similarity: float, need: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between members of one bucket that are in different classes."""
-    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between members of one bucket that are in different classes.  Signatures
+    travel first; the units of a member only to the blocks where one may be alike."""
+    def candidates(f: pd.DataFrame, key: tuple, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         marks, keys = np.stack(f["marks"]), np.stack(f["keys"])
-        rep, group, part = f["rep"].to_numpy(), f["class"].to_numpy().copy(), f["block"].to_numpy()
-        band, found = int(f["band"].iloc[0]), []
+        part, band = f["block"].to_numpy(), int(f["band"].iloc[0])
         first = np.flatnonzero(part == key[1])
         for n, i in enumerate(first):
             others = first[n + 1:] if key[1] == key[2] else np.flatnonzero(part == key[2])
             others = others[(group[others] != group[i]) & ((marks[others] == marks[i]).sum(1) >= need)]
-            others = others[~(keys[others, :band] == keys[i, :band]).any(1)]
+            yield i, others[~(keys[others, :band] == keys[i, :band]).any(1)]
+
+    def alike(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        some = np.zeros(len(f), bool)
+        for i, others in candidates(f, key, f["class"].to_numpy()):
+            some[others] = True
+            some[i] |= len(others) > 0
+        return f.loc[some]
+
+    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        rep, group, found = f["rep"].to_numpy(), f["class"].to_numpy().copy(), []
+        for i, others in candidates(f, key, group):
             for j in others:
                 if group[j] != group[i] and weighted_jaccard(f["units"].iat[i], f["units"].iat[j]) >= similarity:
                     found.append((rep[i], rep[j]))
@@ -269,46 +283,45 @@ def _block_links(rows: DataFrame, units: DataFrame, similarity: float, need: int
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(units.withColumnRenamed("doc_id", "rep"), "rep").select(
-        "bucket", "band", "rep", "class", "marks", "keys", "units", "block",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("bucket", "band", "rep", "digest", "class", "marks", "keys", "block",
+                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).drop("with")
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long")
+    left = stage(dealt.groupBy("bucket", "low", "high").applyInPandas(alike, dealt.schema))
+    return left.join(units, "digest").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
-                           coordinates: int = COORDINATES, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, class_id (smallest doc_id of the
-    class), representative (smallest doc_id with the same text)."""
+def _text_classes(docs: DataFrame, similarity: float, shingle: int, coordinates: int, bands: int,
+                  rows_per_band: int) -> DataFrame:
+    """doc_id, digest, class_id, representative of every row of ``docs(doc_id, text)``."""
     need = least_agreement(similarity, coordinates)
     signed = stage(signature_table(docs, shingle, coordinates, bands, rows_per_band))
     texts = signed.filter("doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     texts = stage(texts)
-    narrow = texts.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    # a bucket's members are texts, known by their digests; classes join the doc_ids they go by
+    narrow = texts.select("rep", "digest", F.posexplode("bands").alias("band", "bucket"))
     shared = narrow.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    marks = texts.select("rep", "marks", F.transform("bands", lambda k: F.hash(k)).alias("keys"))
-    rows = stage(narrow.join(shared, "bucket").join(marks, "rep").withColumn("class", F.col("rep"))
+    marks = texts.select("digest", "marks", F.transform("bands", lambda k: F.hash(k)).alias("keys"))
+    rows = stage(narrow.join(shared, "bucket").join(marks, "digest").withColumn("class", F.col("rep"))
                  .withColumn("degree", F.lit(0).cast("long")))
-    wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
-    source = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-              .join(wanted, "doc_id", "left_semi"))
-    # two texts known by one doc_id are one class: either stands for it
-    units = stage(unit_table(source.dropDuplicates(["doc_id"])))
+    wanted = rows.select(F.col("rep").alias("doc_id"), "digest").distinct()
+    source = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(), 256)).alias("digest"),
+                          text_of().alias("text")).join(wanted, ["doc_id", "digest"], "left_semi"))
+    units = stage(unit_table(source.dropDuplicates(["doc_id", "digest"])))
     links = labels = None
     for pivots in (1, PIVOTS, None):
         if pivots is None:
             found = _block_links(rows, units, similarity, need)
         else:
-            best = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep")
-            chosen = (rows.select("bucket", "rep", "class", "marks", "degree")
+            best = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep", "digest")
+            chosen = (rows.select("bucket", "rep", "digest", "class", "marks", "degree")
                       .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= pivots))
-            chosen = stage(chosen.select(F.col("bucket").alias("at"), F.col("rep").alias("pivot"),
+            chosen = stage(chosen.select(F.col("bucket").alias("at"), F.col("rep").alias("pivot"), F.col("digest").alias("text_a"),
                                          F.col("class").alias("pivot_class"), F.col("marks").alias("pivot_marks")))
             pairs = rows.join(chosen, (F.col("bucket") == F.col("at")) & (F.col("class") != F.col("pivot_class"))
                               & _alike(F.col("marks"), F.col("pivot_marks"), need))
-            pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+            pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "text_a", F.col("digest").alias("text_b")).distinct()
             found = _verified(pairs, units, similarity)
         found = stage(found)
         links = found if links is None else stage(links.union(found))
@@ -325,27 +338,36 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
         else:
             rest = rows
         # a pivot has met everyone in its bucket
-        met = chosen.select(F.col("at").alias("bucket"), F.col("pivot").alias("rep"))
-        before, rows = rows, stage(_open_rows(rest.join(met, ["bucket", "rep"], "left_anti")))
+        met = chosen.select(F.col("at").alias("bucket"), F.col("text_a").alias("digest"))
+        before, rows = rows, stage(_open_rows(rest.join(met, ["bucket", "digest"], "left_anti")))
         unstage(before)
         unstage(chosen)
         if rows.isEmpty():
             break
     members = signed.select("doc_id", "digest").join(texts.select("digest", "rep"), "digest", "left")
-    members = members.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    members = members.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
     if labels is None:
-        return members.select("doc_id", F.col("rep").alias("class_id"), F.col("rep").alias("representative"))
+        return members.select("doc_id", "digest", F.col("rep").alias("class_id"), F.col("rep").alias("representative"))
     named = labels.select(F.col("node").alias("rep"), "component")
     return members.join(named, "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("representative"))
+        "doc_id", "digest", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("representative"))
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
+                           coordinates: int = COORDINATES, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, class_id (smallest doc_id of the
+    class), representative (smallest doc_id with the same text)."""
+    return _text_classes(docs, similarity, shingle, coordinates, bands, rows_per_band).drop("digest")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of every class, all its columns as they
-    were; rows without doc_id stay."""
+    """``docs`` with one row of every class, the one of its smallest doc_id (of that id's texts
+    the one with the smallest digest), all columns as they were; rows without doc_id stay."""
     columns = docs.columns
-    ids = docs.select(F.col("doc_id"), "text")
-    stays = near_duplicate_classes(ids, similarity).filter("doc_id = class_id").select(
-        F.col("doc_id").alias("class_doc_id")).distinct()
-    kept = docs.join(stays, docs["doc_id"] == stays["class_doc_id"], "left_semi").select(*columns)
+    classes = _text_classes(docs.select("doc_id", "text"), similarity, SHINGLE, COORDINATES, BANDS, ROWS)
+    own_id, own_text = fresh(columns, "own_id"), fresh(columns, "own_text")
+    stays = (classes.filter("doc_id = class_id").groupBy(F.col("doc_id").alias(own_id))
+             .agg(F.min("digest").alias(own_text)))
+    rows = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_text: F.unhex(F.sha2(text_of(), 256))})
+    kept = rows.join(stays, [own_id, own_text], "left_semi").dropDuplicates([own_id, own_text]).select(*columns)
     return kept.unionByName(docs.filter("doc_id IS NULL"))

@@ -13,8 +13,8 @@ The whole text is a grouping key at both stages; the digest only leads it, so a
 collision cannot merge two texts.
 
 The row with the largest doc_id stays (null is smallest).  Of rows that repeat a doc_id
-and a text one is marked kept.  A table without rows gives no rows; other columns are
-not looked at.
+and a text one is marked kept.  Texts are compared whole, however long.  A table without
+rows gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotframe.llm.common import text_of
+from spotframe.llm.common import fresh, text_of
 
 SALT_ROWS = 20_000
 
@@ -65,11 +65,12 @@ def exact_groups(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
 def drop_copies(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``docs`` with one row for each distinct text, all its columns as they were."""
     columns = docs.columns
+    own_id, own_digest = fresh(columns, "own_id"), fresh(columns, "own_digest")
     # the id as a struct: a null id equals itself, and one partitioning serves both steps
     kept = exact_groups(docs, salt_rows).filter("kept").select(
-        F.struct("doc_id").alias("own_id"), F.col("text_sha256").alias("own_digest"))
-    rows = docs.withColumns({"own_id": F.struct(F.col("doc_id").cast("long").alias("doc_id")),
-                             "own_digest": F.sha2(normalised(), 256)})
-    stay = rows.join(kept, ["own_id", "own_digest"], "left_semi")
+        F.struct("doc_id").alias(own_id), F.col("text_sha256").alias(own_digest))
+    rows = docs.withColumns({own_id: F.struct(F.col("doc_id").cast("long").alias("doc_id")),
+                             own_digest: F.sha2(normalised(), 256)})
+    stay = rows.join(kept, [own_id, own_digest], "left_semi")
     # only rows that repeat a doc_id and a text remain doubled
-    return stay.dropDuplicates(["own_id", "own_digest"]).select(*columns)
+    return stay.dropDuplicates([own_id, own_digest]).select(*columns)

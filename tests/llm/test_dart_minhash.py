@@ -130,3 +130,20 @@ def test_drop_and_query(llm, documents, tables):
     assert dm.drop_near_duplicates(documents([])).count() == 0
     out = queries.op8_dart_minhash(llm, tables(documents=df)).collect()
     assert {r.doc_id: r.class_id for r in out if r.doc_id is not None} == brute_classes(rows)
+
+
+def test_links_of_every_text_of_a_repeated_doc_id(documents):
+    rng = random.Random(6)
+    a, b = ([rng.choice([f"w{i}" for i in range(300)]) for _ in range(80)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "something else")]
+    for some in (rows, rows[::-1]):
+        got = dm.near_duplicate_classes(documents(some)).collect()
+        assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+        assert sorted(r.doc_id for r in dm.drop_near_duplicates(documents(some)).collect()) == [1, 4]
+
+
+def test_drop_keeps_columns_of_clashing_names(llm):
+    rows = [(1, "one two three four five six", "a", "b", "c"), (2, "one two three four five six", "d", "e", "f")]
+    df = llm.createDataFrame(rows, "doc_id int, text string, own_id string, Own_Text string, digest string")
+    assert [tuple(r) for r in dm.drop_near_duplicates(df).collect()] == rows[:1]

@@ -57,3 +57,11 @@ def test_empty_table_and_query(llm, documents, tables):
     assert order(got.collect()) == order(plain(EDGE))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_drop_keeps_columns_of_clashing_names(llm):
+    rows = [(1, "same", "a", "b", "c"), (2, "SAME", "d", "e", "f"), (None, "other", "g", "h", "i")]
+    df = llm.createDataFrame(rows, "doc_id int, text string, own_id string, Own_Digest string, digest string")
+    got = exact_dedup.drop_copies(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows[1:], key=str)
