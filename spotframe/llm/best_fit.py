@@ -21,8 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from spotframe.llm.common import text_of
+from spotframe.llm.common import fresh, text_of
 from spotframe.llm.tokenize import by_chars, encoder
 from spotframe.session import stage
 
@@ -112,19 +113,24 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds sequence_id and offset to every row of ``pieces`` (a column ``length`` of at
-    most ``capacity``; other columns are carried along, so keep them small)."""
+    most ``capacity``; other columns are carried along, so keep them small).  Pieces that
+    have either column already are refused."""
+    for c in pieces.columns:
+        if c.lower() in ("sequence_id", "offset"):
+            raise ValueError(f"pieces already have a column {c}")
     pieces = stage(pieces)
     groups = max(1, -(-pieces.count() // group_rows))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    keys = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
+    keys = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns] or list(pieces.columns)
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    group = fresh(pieces.columns, "packing_group")
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="packing_group").sort_values(keys, ignore_index=True)
+        rows = rows.drop(columns=group).sort_values(keys, ignore_index=True)
         bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=bins + (int(key[0]) << 40), offset=offsets)
 
-    dealt = pieces.withColumn("packing_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
-    return dealt.groupBy("packing_group").applyInPandas(place, schema)
+    dealt = pieces.withColumn(group, F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    return dealt.groupBy(group).applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY,

@@ -1,9 +1,9 @@
 """SpotSigs document fingerprints, in DataFrame operations only.
 
 A spot is an anchor (a common word) with the chain of the next ``CHAIN`` content words;
-anchors in between are passed over.  Of a run of anchors ("of the cat") only the last opens a
-spot.  A document's fingerprint is the set of the hashes of
-its spots, written as sorted hexadecimal.  A text without any anchor takes every content
+anchors in between are passed over.  Every anchor of a run ("of the cat") opens a spot of
+its own.  A document's fingerprint is the set of the hashes of its spots, written as sorted
+hexadecimal.  A text without any anchor takes every content
 word as its own anchor, so each text with words has spots.  Words are runs of letters and
 digits, lower-cased.  Null texts count as empty; texts without words have the empty
 fingerprint, and two empty fingerprints are alike (1.0).
@@ -65,11 +65,17 @@ def spots(text: Column, chain: int = CHAIN) -> Column:
         return _let(F.arrays_zip(units.alias("u"), *named), of_rows)
 
     def of_rows(rows: Column) -> Column:
-        def spot(r: Column) -> Column:
-            rest = [r[f"w{k}"] for k in range(1, chain)]
-            return F.hash(F.substring_index(r["u"], _MARK, -2), *rest)
+        def rest(r: Column) -> list[Column]:
+            return [r[f"w{k}"] for k in range(1, chain)]
+
+        def of_run(r: Column) -> Column:
+            """A spot for each anchor before the unit's content word."""
+            return _let(F.split(r["u"], _MARK), lambda run: F.transform(
+                F.slice(run, F.lit(1), F.size(run) - 1),
+                lambda a: F.hash(F.concat(a, F.lit(_MARK), F.element_at(run, -1)), *rest(r))))
         anchored = F.filter(rows, lambda r: F.contains(r["u"], F.lit(_MARK)))
-        return _let(anchored, lambda some: F.transform(F.when(F.size(some) > 0, some).otherwise(rows), spot))
+        return _let(anchored, lambda some: F.when(F.size(some) > 0, F.flatten(F.transform(some, of_run))).otherwise(
+            F.transform(rows, lambda r: F.hash(r["u"], *rest(r)))))
 
     return F.when(plain == "", F.array().cast("array<int>")).otherwise(
         F.array_sort(F.array_distinct(_let(F.split(glued, " "), of_units))))

@@ -42,6 +42,7 @@ from spotframe.llm.tokenize import encoder
 
 SHARD_BYTES = 64 << 20
 NO_ID = -(1 << 63)
+READERS = 20_000
 _ROW = "doc_id long, task int, part int, name string, position long, n_tokens long"
 
 
@@ -178,5 +179,6 @@ def read_documents(spark: SparkSession, folder: str, digest_only: bool = False)
                         got["ids"] = [x.astype(np.int64) for x in some]
                     yield pd.DataFrame(got)
 
-    shards = manifest.select("name", "base", "dtype").repartition("name")
+    # as many tasks as there are shards, up to ``READERS``; by number, so they stay apart
+    shards = manifest.select("name", "base", "dtype").repartition(max(1, min(READERS, manifest.count())), "name")
     return shards.mapInPandas(read, out)

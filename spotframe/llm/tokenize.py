@@ -4,7 +4,8 @@ Both vocabularies used here split a text before their merges, and no split piece
 holds a non-space character followed by a space.  A text may therefore be cut in front
 of every single space that a non-space follows, and each unit encoded by itself gives
 the same ids as the whole text.  Running prose repeats its units, so each task keeps the
-ids of the units it met (at most ``CACHE_UNITS`` in each of two generations) and calls
+ids of the units it met (``CACHE_BYTES`` in each of two generations, and the units of one
+text more) and calls
 the library only for new ones.  A new run of Latin letters is one piece for the splitter
 of either vocabulary, so it goes to the library's model without being split again.
 """
@@ -17,7 +18,9 @@ from array import array
 
 import numpy as np
 
-CACHE_UNITS = 600_000
+CACHE_BYTES = 160_000_000
+#: what a cached unit takes besides its characters and ids
+_ENTRY = 160
 
 _LOOSE_SPACE = re.compile(r" (?!\S)")
 _UNIT_START = re.compile(r"(?= \S)")
@@ -44,20 +47,22 @@ class UnitEncoder:
 
     ``keep_space``: units keep the space in front of them (byte-level vocabularies);
     otherwise white space never reaches an id and units are what lies between spaces.
-    Strings of special tokens inside a text are ordinary text.
+    A text that holds the string of a special token is encoded whole, as the library does.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", keep_space: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"special tokens of {path} match normalised text")
         self.dtype = np.dtype(dtype)
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids of {path} do not fit {dtype}")
         self.keep_space = keep_space
-        self._units, self._before = _Made(self._unit), {}
-        self._parts = _Made(self._part)
+        self._units, self._before, self._held = _Made(self._unit), {}, 0
+        self._parts, self._held_parts = _Made(self._part), 0
         self._code = {2: "H", 4: "I"}[self.dtype.itemsize]
         # fixed values: the printable character that byte-level vocabularies write for a byte
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -75,7 +80,9 @@ class UnitEncoder:
     def _unit(self, unit: str) -> bytes:
         """Ids of a unit not met lately: as before, or from its words and punctuation runs."""
         known = self._before.get(unit)
-        return known if known is not None else self._spell(" " + unit if self.keep_space else unit)
+        ids = known if known is not None else self._spell(" " + unit if self.keep_space else unit)
+        self._held += _ENTRY + len(unit) + len(ids)
+        return ids
 
     def _spell(self, unit: str) -> bytes:
         return b"".join(map(self._parts.__getitem__, _WORD_END.split(unit)))
@@ -86,6 +93,7 @@ class UnitEncoder:
             ids = [t.id for t in self.tokenizer.model.tokenize(written)]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self._held_parts += _ENTRY + len(piece) + 4 * len(ids)
         return array(self._code, ids).tobytes()
 
     def _written(self, piece: str) -> str:
@@ -96,12 +104,15 @@ class UnitEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text (null: empty) as little-endian unsigned integers."""
-        if len(self._units) > CACHE_UNITS:
-            self._units, self._before = _Made(self._unit), self._units
-        if len(self._parts) > CACHE_UNITS:
-            self._parts = _Made(self._part)
+        if self._held > CACHE_BYTES:
+            self._units, self._before, self._held = _Made(self._unit), self._units, 0
+        if self._held_parts > CACHE_BYTES:
+            self._parts, self._held_parts = _Made(self._part), 0
         if not text:
             return b""
+        for special in self._special:
+            if special in text:
+                return array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         first, rest = self.units(text)
         return self._spell(first) + b"".join(map(self._units.__getitem__, rest))
 

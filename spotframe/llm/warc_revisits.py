@@ -50,7 +50,8 @@ def status(http: Column) -> Column:
 
 def headers(http: Column) -> Column:
     """Map of lower-case names to values; of a repeated field the last counts."""
-    lines = F.slice(F.split(F.coalesce(http, F.lit("")), "\r?\n"), 2, 10_000_000)
+    every = F.split(F.coalesce(http, F.lit("")), "\r?\n")
+    lines = F.slice(every, F.lit(2), F.size(every))
     pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(
         F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"),
         F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
@@ -96,6 +97,7 @@ def resolve(records: DataFrame, buckets: int = 1000) -> DataFrame:
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame, body: str = "body") -> DataFrame:
-    """Resolved revisits with the body of the response they stand for."""
-    bodies = records.select(F.col("record_id").alias("response_id"), F.col(body).alias(body))
+    """Resolved revisits with the body of the response they stand for (of records that repeat
+    an id, the largest body)."""
+    bodies = records.filter(F.col("record_id").isNotNull()).groupBy(F.col("record_id").alias("response_id")).agg(F.max(body).alias(body))
     return resolved.join(bodies, "response_id", "left")

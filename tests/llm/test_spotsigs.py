@@ -13,15 +13,15 @@ def chains(text, chain=3):
     """Spots as tuples of words, by a plain walk."""
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     anchors = set(spotsigs.ANCHORS)
-    units, pending = [], None
+    units, pending = [], []
     for i, w in enumerate(words):
         if w in anchors and i + 1 < len(words):
-            pending = w
+            pending.append(w)
         else:
             units.append((pending, w))
-            pending = None
+            pending = []
     found = [tuple(w for _, w in units[i:i + chain]) for i in range(len(units))]
-    own = {(a, *f) for (a, _), f in zip(units, found) if a}
+    own = {(a, *f) for (run, _), f in zip(units, found) for a in run}
     return own or {(None, *f) for f in found}
 
 
@@ -89,3 +89,10 @@ def test_near_pairs_match_brute_force(documents):
 
 def test_empty_table(documents):
     assert spotsigs.edited_fingerprints(documents([])).count() == 0
+
+
+def test_every_anchor_of_a_run_counts(documents):
+    rows = [(1, "of the cat sat here"), (2, "in the cat sat here"), (3, "the the cat sat here")]
+    got = {r.doc_id: list(r.s) for r in documents(rows).select("doc_id", spotsigs.spots(text_of()).alias("s")).collect()}
+    assert [len(got[i]) for i in (1, 2, 3)] == [2, 2, 1]
+    assert len(set(got[1]) & set(got[2])) == 1 and set(got[3]) == set(got[1]) & set(got[2])

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cases import EDGE
@@ -17,12 +19,12 @@ BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
 def whole(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab Zé ü'.,!%\n\t 12²Ώ  \x1c<|endoftext|>Σİß"), max_size=60))
+@given(st.lists(st.one_of(st.text(st.sampled_from("ab Zé ü'.,!%\n\t 12²Ώ  \x1c<|endoftext|>Σİß"), max_size=20),
+                          st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " "])), max_size=6).map("".join))
 def test_units_encode_as_the_whole_text(text):
     for path, keep in ((BYTE, True), (WORD, False)):
         got = np.frombuffer(encoder(path, "<u4", keep).encode(text), "<u4").tolist()
@@ -48,6 +50,7 @@ def test_files_round_trip_over_many_shards(llm, documents):
     manifest = llm.read.parquet(f"{folder}/manifest").orderBy("base").collect()
     assert len(manifest) > 3
     assert [m.base for m in manifest] == np.cumsum([0, *[m.tokens for m in manifest]])[:-1].tolist()
+    assert token_files.read_documents(llm, folder, True).select(F.spark_partition_id()).distinct().count() > 1
     shard = token_files.TokenShard(folder, manifest[0].name, manifest[0].dtype)
     assert isinstance(shard.ids, np.memmap) and len(shard) == manifest[0].documents
 
@@ -138,3 +141,18 @@ def test_op6_query_is_tight(llm, documents, tables):
     got = queries.op6_best_fit_packing(llm, tables(documents=documents(rows))).collect()
     places = check_packing(got, rows, 2048)
     assert len(places) <= -(-sum(places.values()) // 2048) + 1
+
+
+def test_special_strings_are_special_ids():
+    text = "one  <|endoftext|> two<|endoftext|>"
+    for path, keep, special in ((BYTE, True, 50256), (WORD, False, 49407)):
+        got = np.frombuffer(encoder(path, "<u4", keep).encode(text), "<u4").tolist()
+        assert got == whole(path)(text) and got.count(special) == 2
+
+
+def test_packing_refuses_and_keeps_clashing_columns(llm):
+    pieces = llm.createDataFrame([(1, 5, "a"), (2, 7, "b")], "key long, length long, packing_group string")
+    got = best_fit.pack(pieces, 16).collect()
+    assert sorted((r.key, r.packing_group) for r in got) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError):
+        best_fit.pack(pieces.withColumnRenamed("packing_group", "Offset"))

@@ -68,3 +68,10 @@ def test_repeats_empty_and_query(llm, tables):
     out = queries.op3_warc_revisits(llm, tables(pages=pages)).collect()
     assert sorted((r.response_id, r.outcome) for r in out) == \
         sorted((2 * i, "mismatch" if i % 5 == 0 else "resolved") for i in range(10))
+
+
+def test_bodies_of_repeated_records(llm):
+    resolved = llm.createDataFrame([(10, 1), (11, None)], "record_id long, response_id long")
+    records = llm.createDataFrame([(1, "body"), (1, "body"), (2, "x"), (None, "y")], "record_id long, body string")
+    got = warc_revisits.with_bodies(resolved, records).collect()
+    assert sorted((r.record_id, r.body) for r in got) == [(10, "body"), (11, None)]
