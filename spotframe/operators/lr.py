@@ -15,6 +15,11 @@ Everything stays sparse: only spots with a non-zero score are tested.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ from spotframe.functions.ranks import exact_percentile
 from spotframe.functions.stats import lcg
 from spotframe.operators.ranking import bh_adjust
 from spotframe.operators.slide import neighbor_mean
-from spotframe.session import cut_lineage
+from spotframe.session import cut_lineage, ship_library
 
 KEYS = ["sample", "barcode"]
 
@@ -263,6 +268,35 @@ def _cci_pairs(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataF
 
 
 MASK_BITS = 62
+#: replicates on one array axis
+REPLICATES = 100
+
+
+def _dealt_masks(barcodes: list[str], masks: np.ndarray, reps: range) -> np.ndarray:
+    """(replicates x spots x words): what ``permuted_types`` deals each spot in each replicate."""
+    out = np.empty((len(reps), *masks.shape), masks.dtype)
+    names = [f"/{b}".encode() for b in barcodes]
+    for k, rep in enumerate(reps):
+        head = str(rep).encode()
+        drawn = np.frombuffer(b"".join(hashlib.md5(head + b).digest() for b in names), ">u8").reshape(-1, 2)
+        place = np.empty(len(names), np.int64)
+        place[np.lexsort((drawn[:, 1], drawn[:, 0]))] = np.arange(len(names))
+        out[k] = masks[place]
+    return out
+
+
+def _written_out(masks: np.ndarray, n_types: int) -> np.ndarray:
+    """(replicates x spots x types), 1 where a mask has the type."""
+    bits = np.arange(n_types)
+    return (masks[:, :, bits // MASK_BITS] >> (bits % MASK_BITS) & 1).astype(np.float32)
+
+
+def _replicate_counts(dealt: np.ndarray, src: np.ndarray, dst: np.ndarray, n_types: int) -> np.ndarray:
+    """(replicates x sender types x receiver types) interactions of pairs sorted by src: masks
+    of the receiving spots are or-ed per sending spot, then counted."""
+    first = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+    near = np.bitwise_or.reduceat(dealt[:, dst], first, axis=1)
+    return np.swapaxes(_written_out(dealt[:, src[first]], n_types), 1, 2) @ _written_out(near, n_types)
 
 
 def cci_permutation(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataFrame,
@@ -272,34 +306,71 @@ def cci_permutation(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db:
     (sample, lr, sender, receiver) of ``observed`` (output of ``cci_counts``, made here if
     not given).
 
-    The types of a spot travel as bit masks (words of ``MASK_BITS`` types): the masks of the
-    receiving neighbours are or-ed per sending spot before any type is written out, so the
-    widest table has a row per (replicate, LR, spot, word), not per pair of types.
+    Replicates never become rows: a task takes ``REPLICATES`` of them for one sample, deals the
+    spots' type masks (words of ``MASK_BITS`` types) on an array axis, and meets the
+    sample's LRs one after another, each with its pairs of spots and observed counts.  A
+    sample is one slide, so its spots and their pairs are bounded by the capture array.
     """
     if observed is None:
         observed = cci_counts(stats, expr, edges, lr_db, composition, type_cutoff, ce=ce)
-    pairs = _cci_pairs(stats, expr, edges, lr_db, ce)
     types = composition.filter(F.col("score") > F.lit(type_cutoff)).select(*KEYS, "cell_type")
     # one row per cell type
-    number = F.row_number().over(Window.orderBy("cell_type")) - 1
-    index = cut_lineage(types.select("cell_type").distinct().select(
-        "cell_type", F.floor(number / MASK_BITS).cast("int").alias("word"), F.expr(
-            f"shiftleft(1L, (row_number() OVER (ORDER BY cell_type) - 1) % {MASK_BITS})").alias("bit")))
-    masks = types.join(index, "cell_type").groupBy(*KEYS, "word").agg(F.bit_or("bit").alias("mask"))
-    dealt = cut_lineage(permuted_types(masks, spots, n_perms))
-    near = (pairs.join(dealt.withColumnRenamed("barcode", "dst"), ["sample", "dst"])
-            .groupBy("sample", "rep", "lr", "barcode", "word").agg(F.bit_or("mask").alias("mask")))
-
-    def written(t: DataFrame, name: str) -> DataFrame:
-        return (t.join(index, "word").filter(F.col("mask").bitwiseAND(F.col("bit")) != 0)
-                .drop("word", "mask", "bit").withColumnRenamed("cell_type", name))
-
-    t = written(near, "receiver").join(written(dealt, "sender"), ["sample", "rep", "barcode"])
-    k = ["sample", "lr", "sender", "receiver"]
-    c = t.groupBy(*k, "rep").agg(F.count("*").alias("n_rep"))
-    ge = (observed.join(c, k).filter(F.col("n_rep") >= F.col("n"))
-          .groupBy(*k).agg(F.count("*").alias("n_ge")))
-    res = observed.join(ge, k, "left").fillna(0, ["n_ge"])
+    number = (F.row_number().over(Window.orderBy("cell_type")) - 1).cast("int")
+    index = cut_lineage(types.select("cell_type").distinct().select("cell_type", number.alias("t")))
+    n_types, batches = index.count(), -(-n_perms // REPLICATES)
+    words = max(1, -(-n_types // MASK_BITS))
+    bit = F.expr(f"shiftleft(1L, t % {MASK_BITS})")
+    per_word = [F.coalesce(F.bit_or(F.when(F.floor(F.col("t") / MASK_BITS) == w, bit)), F.lit(0).cast("long")) for w in range(words)]
+    masks = types.join(index, "cell_type").groupBy(*KEYS).agg(F.array(*per_word).alias("mask"))
+    place = cut_lineage(spot_index(spots))
+    blank = F.array(*[F.lit(0).cast("long")] * words)
+    slides = (place.join(masks, KEYS, "left").groupBy("sample")
+              .agg(F.sort_array(F.collect_list(F.struct("i", "barcode", F.coalesce("mask", blank).alias("mask")))).alias("s"))
+              .select("sample", F.lit(0).alias("kind"), F.lit("").alias("lr"), F.col("s.barcode").alias("barcodes"),
+                      F.flatten("s.mask").alias("numbers"), F.array().cast("array<long>").alias("dst")))
+    pairs = _cci_pairs(stats, expr, edges, lr_db, ce)
+    pairs = (pairs.join(place.withColumnRenamed("i", "src"), KEYS)
+             .join(place.select("sample", F.col("barcode").alias("dst"), F.col("i").alias("to")), ["sample", "dst"])
+             .groupBy("sample", "lr").agg(F.sort_array(F.collect_list(F.struct("src", "to"))).alias("p")))
+    named = lambda c: index.select(F.col("cell_type").alias(c), F.col("t").alias(f"t_{c}"))
+    seen = (observed.join(named("sender"), "sender").join(named("receiver"), "receiver").groupBy("sample", "lr")
+            .agg(F.flatten(F.collect_list(F.array(F.col("t_sender").cast("long"), F.col("t_receiver").cast("long"), F.col("n").cast("long"))))
+                 .alias("seen")))
+    tested = pairs.join(seen, ["sample", "lr"]).select(
+        "sample", F.lit(1).alias("kind"), "lr", F.array().cast("array<string>").alias("barcodes"),
+        F.concat(F.array(F.size("p").cast("long")), "p.src", "seen").alias("numbers"), F.col("p.to").alias("dst"))
+
+    def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, dealt = None, None
+        for batch in table:
+            found = []
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in ("sample", "batch", "kind", "lr", "barcodes", "numbers", "dst")}
+                key = (row["sample"].as_py(), row["batch"].as_py())
+                numbers = row["numbers"].values.to_numpy()
+                if row["kind"].as_py() == 0:
+                    first = key[1] * REPLICATES
+                    at, dealt = key, _dealt_masks(row["barcodes"].as_py(), numbers.reshape(-1, words),
+                                                  range(first, min(n_perms, first + REPLICATES)))
+                elif key == at:
+                    n = int(numbers[0])
+                    senders, receivers, least = numbers[n + 1:].reshape(-1, 3).T
+                    counts = _replicate_counts(dealt, numbers[1:n + 1], row["dst"].values.to_numpy(), n_types)
+                    reached = (counts[:, senders, receivers] >= least).sum(0)
+                    found += [(key[0], row["lr"].as_py(), int(a), int(b), int(c)) for a, b, c in zip(senders, receivers, reached)]
+            cols = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()))],
+                                             names=["sample", "lr", "t_sender", "t_receiver", "n_ge"])
+
+    ship_library(spots.sparkSession)
+    groups = max(1, place.select("sample").distinct().count() * batches)
+    every = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch")
+    dealt = slides.unionByName(tested).select("*", every).repartition(groups, "sample", "batch").sortWithinPartitions("sample", "batch", "kind", "lr")
+    ge = (dealt.mapInArrow(run, "sample string, lr string, t_sender int, t_receiver int, n_ge long")
+          .groupBy("sample", "lr", "t_sender", "t_receiver").agg(F.sum("n_ge").alias("n_ge"))
+          .join(named("sender"), "t_sender").join(named("receiver"), "t_receiver")
+          .select("sample", "lr", "sender", "receiver", "n_ge"))
+    res = observed.join(ge, ["sample", "lr", "sender", "receiver"], "left").fillna(0, ["n_ge"])
     return res.withColumn("p", (F.lit(1.0) + F.col("n_ge")) / F.lit(1.0 + n_perms))
 
 
