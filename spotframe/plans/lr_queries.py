@@ -131,9 +131,9 @@ combos AS (SELECT x.bl, x.br, cl.n_b AS n_l, cr.n_b AS n_r FROM (SELECT DISTINCT
 pairs0 AS (SELECT c.bl, c.br, c.n_l, c.n_r, t.k FROM combos c CROSS JOIN (SELECT range AS k FROM range(0, {N_PAIRS})) t),
 pairs1 AS (SELECT bl, br, k, {lcg_sql('k', f'{_CID} * 2')} % n_l AS jl, {lcg_sql('k', f'{_CID} * 2 + 1')} % n_r AS jr
            FROM pairs0),
-pairs AS (SELECT p.bl, p.br, p.k, a.gene AS gl, b.gene AS gr FROM pairs1 p
+pairs AS (SELECT p.bl, p.br, a.gene AS gl, b.gene AS gr, count(*) AS mult FROM pairs1 p
           JOIN cand a ON a.bin = p.bl AND a.j = p.jl JOIN cand b ON b.bin = p.br AND b.j = p.jr
-          WHERE a.gene <> b.gene),
+          WHERE a.gene <> b.gene GROUP BY 1, 2, 3, 4),
 ngn AS (SELECT gl AS gene FROM pairs UNION SELECT gr FROM pairs),
 gv0 AS (SELECT sample, barcode, gene, value FROM expr_coarse WHERE value > 0 AND gene IN (SELECT gene FROM ngn)),
 gvnb AS (SELECT ed.sample, ed.src AS barcode, g.gene, sum(g.value) / max(d.deg) AS nbr_mean
@@ -142,19 +142,19 @@ gvnb AS (SELECT ed.sample, ed.src AS barcode, g.gene, sum(g.value) / max(d.deg)
 gv AS (SELECT coalesce(a.sample, b.sample) AS sample, coalesce(a.barcode, b.barcode) AS barcode,
               coalesce(a.gene, b.gene) AS gene, coalesce(a.value, 0.0) AS value, coalesce(b.nbr_mean, 0.0) AS nbr_mean
        FROM gv0 a FULL JOIN gvnb b ON a.sample = b.sample AND a.barcode = b.barcode AND a.gene = b.gene),
-sl AS (SELECT g.sample, g.barcode, p.bl, p.br, p.k, g.value AS L, g.nbr_mean AS mL FROM pairs p JOIN gv g ON g.gene = p.gl),
-sr AS (SELECT g.sample, g.barcode, p.bl, p.br, p.k, g.value AS R, g.nbr_mean AS mR FROM pairs p JOIN gv g ON g.gene = p.gr),
+sl AS (SELECT g.sample, g.barcode, p.bl, p.br, p.gl, p.gr, p.mult, g.value AS L, g.nbr_mean AS mL FROM pairs p JOIN gv g ON g.gene = p.gl),
+sr AS (SELECT g.sample, g.barcode, p.bl, p.br, p.gl, p.gr, p.mult, g.value AS R, g.nbr_mean AS mR FROM pairs p JOIN gv g ON g.gene = p.gr),
 nl AS (SELECT coalesce(a.sample, b.sample) AS sample, coalesce(a.barcode, b.barcode) AS barcode,
-              coalesce(a.bl, b.bl) AS bl, coalesce(a.br, b.br) AS br,
+              coalesce(a.bl, b.bl) AS bl, coalesce(a.br, b.br) AS br, coalesce(a.mult, b.mult) AS mult,
               coalesce(a.L, 0.0) AS L, coalesce(a.mL, 0.0) AS mL, coalesce(b.R, 0.0) AS R, coalesce(b.mR, 0.0) AS mR
        FROM sl a FULL JOIN sr b ON a.sample = b.sample AND a.barcode = b.barcode AND a.bl = b.bl AND a.br = b.br
-                                AND a.k = b.k),
-nulls AS (SELECT sample, barcode, bl, br, {_score_sql('L', 'R', 'mL', 'mR')} AS score FROM nl),
+                                AND a.gl = b.gl AND a.gr = b.gr),
+nulls AS (SELECT sample, barcode, bl, br, mult, {_score_sql('L', 'R', 'mL', 'mR')} AS score FROM nl),
 obs AS (SELECT s.*, b.bl, b.br FROM scores s JOIN lrb b USING (lr)),
-nge AS (SELECT o.sample, o.barcode, o.lr, count(n.score) AS n_ge FROM obs o
+nge AS (SELECT o.sample, o.barcode, o.lr, coalesce(sum(n.mult), 0) AS n_ge FROM obs o
         LEFT JOIN nulls n ON n.sample = o.sample AND n.barcode = o.barcode AND n.bl = o.bl AND n.br = o.br
                          AND n.score > 0 AND n.score >= o.score GROUP BY 1, 2, 3),
-nn AS (SELECT bl, br, count(*) AS n_null FROM pairs GROUP BY 1, 2),
+nn AS (SELECT bl, br, sum(mult) AS n_null FROM pairs GROUP BY 1, 2),
 pv AS (SELECT o.sample, o.barcode, o.lr, o.score,
               CASE WHEN coalesce(nn.n_null, 0) > 0 THEN (1.0 + g.n_ge) / (1.0 + nn.n_null) ELSE 1.0 END AS p
        FROM obs o JOIN nge g USING (sample, barcode, lr) LEFT JOIN nn USING (bl, br)),
@@ -335,9 +335,14 @@ perm AS (SELECT sample, rep, barcode,
                 row_number() OVER (PARTITION BY sample, rep ORDER BY md5(rep || '/' || barcode), barcode) - 1 AS j FROM reps),
 pty AS (SELECT p.sample, p.rep, p.barcode, t.cell_type FROM perm p JOIN idx x ON x.sample = p.sample AND x.i = p.j
         JOIN ty t ON t.sample = x.sample AND t.barcode = x.barcode),
-pc AS (SELECT p.sample, a.rep, p.lr, a.cell_type AS sender, b.cell_type AS receiver, count(DISTINCT p.barcode) AS n_rep
-       FROM pr p JOIN pty a ON a.sample = p.sample AND a.barcode = p.barcode
-       JOIN pty b ON b.sample = p.sample AND b.rep = a.rep AND b.barcode = p.dst GROUP BY 1, 2, 3, 4, 5)
+tn AS (SELECT cell_type, CAST(1 << (row_number() OVER (ORDER BY cell_type) - 1) AS BIGINT) AS bit FROM (SELECT DISTINCT cell_type FROM ty) t),
+pm AS (SELECT p.sample, p.rep, p.barcode, sum(tn.bit)::BIGINT AS mask FROM pty p JOIN tn USING (cell_type) GROUP BY 1, 2, 3),
+pn AS (SELECT p.sample, b.rep, p.lr, p.barcode, bit_or(b.mask) AS near FROM pr p
+       JOIN pm b ON b.sample = p.sample AND b.barcode = p.dst GROUP BY 1, 2, 3, 4),
+pg AS (SELECT n.sample, n.rep, n.lr, m.mask, n.near, count(*) AS n FROM pn n
+       JOIN pm m ON m.sample = n.sample AND m.rep = n.rep AND m.barcode = n.barcode GROUP BY 1, 2, 3, 4, 5),
+pc AS (SELECT g.sample, g.rep, g.lr, a.cell_type AS sender, b.cell_type AS receiver, sum(g.n) AS n_rep
+       FROM pg g JOIN tn a ON (g.mask & a.bit) <> 0 JOIN tn b ON (g.near & b.bit) <> 0 GROUP BY 1, 2, 3, 4, 5)
 SELECT c.sample, c.lr, c.sender, c.receiver, c.n, round((1.0 + count(pc.n_rep)) / {1.0 + N_PERMS!r}, 6) AS p
 FROM cci c LEFT JOIN pc ON pc.sample = c.sample AND pc.lr = c.lr AND pc.sender = c.sender AND pc.receiver = c.receiver
                        AND pc.n_rep >= c.n

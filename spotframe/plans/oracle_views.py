@@ -43,10 +43,8 @@ ADAPTER_CTES = {
                CASE WHEN r.name = 'hot ring' THEN [r.name, 'hot bolt'] ELSE [r.name] END AS receptor,
                l.noun AS pathway
         FROM (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part) l
-        JOIN (VALUES ('cold', 'hot'), ('blue', 'red')) pr(lig_adj, rec_adj)
-          ON l.adj = pr.lig_adj
-        JOIN (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part) r
-          ON r.adj = pr.rec_adj AND r.noun = l.noun) t""",
+        JOIN (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS adj FROM part) r
+          ON l.adj = 'cold' AND r.adj = 'hot') t""",
     "embedding": """
   SELECT 'B' || CAST(vec_id % 2 AS VARCHAR) AS sample, CAST(vec_id AS VARCHAR) AS barcode,
          CAST(embedding AS DOUBLE[]) AS vec, 'L' || CAST(label AS VARCHAR) AS label

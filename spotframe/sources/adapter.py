@@ -9,7 +9,7 @@ same definitions exist as SQL in ``spotframe.plans.oracle_views`` for DuckDB.
   expr_coarse  same with gene = part name (64 names: dense)
   genes        part: gene_id = part key, gene_name = part name
   composition  share of a spot's counts by part type (6 types)
-  lr_db        ligand / receptor pairs over part names (equi-join on the noun)
+  lr_db        ligand / receptor pairs over part names (cold with hot)
   embedding    embeddings table, sample = vec_id % 2
 """
 
@@ -94,31 +94,28 @@ def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("v") / F.sum("v").over(w)).alias("score"))
 
 
-# Adjective pairings that turn part names into ligand -> receptor
-# pairs sharing a noun, and the one two-subunit receptor (noun 'ring').  Names
-# with the other adjectives stay outside the catalogue (null-model genes).  Same-noun pairs
-# give 16 entries: the SQL twin of the null model writes every (pair, draw, spot) row and
-# needs more than 25 GB at all 64 cold x hot pairs.
-LR_PAIRINGS = [("cold", "hot"), ("blue", "red")]
+# Adjectives of ligand and receptor names (every ligand meets every receptor),
+# and the one two-subunit receptor (noun 'ring').  Names with the other adjectives stay
+# outside the catalogue (null-model genes).
+LIGAND, RECEPTOR = "cold", "hot"
 COMPLEX_NOUN = "ring"
 COMPLEX_EXTRA_SUBUNIT = "hot bolt"
 
 
 def lr_db(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ligand-receptor catalogue derived from the part names.
+    """Ligand-receptor catalogue derived from the part names: every cold name with every hot one.
 
-    lr = '<ligand subunits joined by +>_<receptor subunits joined by +>'.
-    The pair (cold ring -> hot ring) gets the receptor complex [hot ring, hot bolt].
+    lr = '<ligand subunits joined by +>_<receptor subunits joined by +>'; the pathway is the
+    ligand's noun.  The receptor 'hot ring' is the complex [hot ring, hot bolt].
     """
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     names = names.select(F.split("p_name", " ").getItem(0).alias("adj"),
                          F.split("p_name", " ").getItem(1).alias("noun"),
                          F.col("p_name").alias("name"))
-    pairing = spark.createDataFrame(LR_PAIRINGS, "lig_adj string, rec_adj string")
-    lig = names.join(F.broadcast(pairing), names.adj == pairing.lig_adj).select(
-        "noun", "rec_adj", F.col("name").alias("lig"))
-    rec = names.select(F.col("adj").alias("rec_adj"), "noun", F.col("name").alias("rec"))
-    pairs = lig.join(rec, ["noun", "rec_adj"])
+    lig = names.filter(F.col("adj") == LIGAND).select("noun", F.lit(RECEPTOR).alias("adj"), F.col("name").alias("lig"))
+    rec = names.filter(F.col("adj") == RECEPTOR).select("adj", F.col("name").alias("rec"))
+    # the catalogue itself: 8 x 8 names at any size
+    pairs = lig.join(rec, "adj")
     receptor = F.when((F.col("rec") == F.lit("hot " + COMPLEX_NOUN)),
                       F.array(F.col("rec"), F.lit(COMPLEX_EXTRA_SUBUNIT))).otherwise(F.array(F.col("rec")))
     out = pairs.select(F.array(F.col("lig")).alias("ligand"), receptor.alias("receptor"),
