@@ -71,3 +71,13 @@ def test_drop_empty_and_flag(spark):
     spots = spark.createDataFrame([("S", "a"), ("S", "b")], "sample string, barcode string")
     f = qc.flag_members(spots, qc.drop_empty_spots(c))
     assert rows(f, "barcode", "kept") == [("a", 0), ("b", 1)]
+
+
+def test_require_columns_names_what_is_missing(spark):
+    import pytest
+
+    from spotframe.operators import qc
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert qc.require_columns(df, ["a", "b"]) is df
+    with pytest.raises(ValueError, match="missing required columns: c, d"):
+        qc.require_columns(df, ["a", "c", "d"])
