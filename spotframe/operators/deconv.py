@@ -8,16 +8,20 @@ group-bys, with a reliable checkpoint after every iteration:
   N2 Poisson (KL) updates  w_sf <- w_sf * (sum_g g_fg d_sg / mu_sg) / (sum_g g_fg),
      mu_sg = sum_f w_sf g_fg; the numerator runs over non-zero d only; w0 = depth_s / (F sum_g g_fg)
   N3 replicates of N2 on LCG gene subsets (keep g when lcg(g, r) mod 10 < 8): q05 / mean / q95 / sd
-  N5 X ~ W H (Frobenius multiplicative updates) on the spot x type table, LCG start in (0, 1]
+  N5 X ~ W H (Frobenius multiplicative updates) on the spot x type table, LCG start in (0, 1];
+     ``nmf_models`` fits a range of ranks with several restarts in the same passes
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.functions.stats import lcg_unit, md5_unit
-from spotframe.session import cut_lineage
+from spotframe.session import cut_lineage, ship_library, stage
 
 KEYS = ["sample", "barcode"]
 
@@ -161,3 +165,199 @@ def restart_stability(hs: list[DataFrame]) -> DataFrame:
     for o in outs[1:]:
         res = res.unionByName(o)
     return res
+
+
+# Factor tables of all models together may hold this many numbers (8 MB): they travel to every task.
+MAX_FACTOR_ENTRIES = 1 << 20
+SPOT_SWEEPS, FACTOR_SWEEPS = 60, 10
+
+
+def _fit_rows(b: np.ndarray, gram: np.ndarray, w: np.ndarray, sweeps: int) -> np.ndarray:
+    """Non-negative least squares of every row of ``w`` by cyclic coordinate descent:
+    min |x - w H|^2 with b = x H^T and gram = H H^T.  Factors without weight stay 0."""
+    w = w.copy()
+    for _ in range(sweeps):
+        for f in range(w.shape[1]):
+            if gram[f, f] > 0:
+                w[:, f] = np.maximum(0.0, w[:, f] + (b[:, f] - w @ gram[:, f]) / gram[f, f])
+            else:
+                w[:, f] = 0.0
+    return w
+
+
+def spot_weights(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Weights (spots x rank) of the rows of ``x`` for the factors ``h`` (rank x types)."""
+    gram, b = h @ h.T, x @ h.T
+    scale = np.where(np.diag(gram) > 0, np.diag(gram), 1.0)
+    return _fit_rows(b, gram, np.maximum(b, 0.0) / scale / len(h), SPOT_SWEEPS)
+
+
+def _matrix(batch, width: int) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index("x"))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+@dataclass
+class NmfModels:
+    """Fitted factorisations: ``spots`` (sample, barcode, x: scores in the order of ``types``),
+    ``factors`` by (rank, restart) as rank x types matrices whose rows sum to 1, ``fits`` with
+    a dict per model: rank, restart, iterations, loss, accuracy, stability, best."""
+
+    spots: DataFrame
+    types: list
+    factors: dict
+    fits: list
+
+    def table(self) -> DataFrame:
+        """One row per (rank, restart)."""
+        return self.spots.sparkSession.createDataFrame(
+            [tuple(f.values()) for f in self.fits],
+            "rank int, restart int, iterations int, loss double, accuracy double, stability double, best boolean")
+
+    def best(self) -> list:
+        """(rank, restart) of the restart with the smallest loss of every rank."""
+        return [(f["rank"], f["restart"]) for f in self.fits if f["best"]]
+
+    def profiles(self, models: list | None = None) -> DataFrame:
+        """(rank, restart, f, t, h, fraction): factor profiles and each factor's share of a type."""
+        out = []
+        for m in models if models is not None else sorted(self.factors):
+            h = self.factors[m]
+            total = h.sum(axis=0)
+            out += [(*m, f, t, float(h[f, j]), float(h[f, j] / total[j]) if total[j] > 0 else 0.0)
+                    for f in range(len(h)) for j, t in enumerate(self.types)]
+        return self.spots.sparkSession.createDataFrame(
+            out, "rank int, restart int, f int, t string, h double, fraction double")
+
+    def weights(self, models: list | None = None) -> DataFrame:
+        """(sample, barcode, rank, restart, f, w) of every spot, computed where the spot lies."""
+        wanted = [(m, self.factors[m]) for m in (models if models is not None else sorted(self.factors))]
+        width = len(self.types)
+
+        def weigh(batches):
+            import pyarrow as pa
+            for batch in batches:
+                x = _matrix(batch, width)
+                for (rank, restart), h in wanted:
+                    w = spot_weights(x, h)
+                    offsets = np.arange(0, w.size + 1, rank, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), batch.column(1), pa.array(np.full(len(x), rank, np.int32)),
+                         pa.array(np.full(len(x), restart, np.int32)),
+                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(w.ravel()))],
+                        ["sample", "barcode", "rank", "restart", "w"])
+
+        rows = self.spots.select(*KEYS, "x").mapInArrow(
+            weigh, "sample string, barcode string, rank int, restart int, w array<double>")
+        return rows.select(*KEYS, "rank", "restart", F.posexplode("w").alias("f", "w"))
+
+
+def nmf_models(x: DataFrame, ranks=(11, 12), restarts: int = 3, max_iters: int = 100, tol: float = 1e-6,
+               key: str = "cell_type", value: str = "score") -> NmfModels:
+    """N5 over a range of ranks with restarts: X (spots x types) ~ W H, all models in the same passes.
+
+    A pass reads the spots once.  Each task solves the weights of its spots for the current
+    factors of every model that still moves (a convex problem per spot, so no weights are kept
+    between passes) and sums W^T X, W^T W and W^T 1; sums of sums give one small matrix a
+    model, from which the factors are renewed and the loss is read off in closed form:
+    |X|^2 - 2 tr(H (W^T X)^T) + tr(W^T W H H^T).  A model stops when a pass lowers its loss by
+    no more than ``tol`` |X|^2, or after ``max_iters`` passes.
+
+    Only factors travel (ranks x restarts x types numbers; beyond ``MAX_FACTOR_ENTRIES`` the
+    call raises).  Scores are non-negative; rows of one spot and type add up, null scores count
+    as 0, rows without a type are passed over.  Without any row the table of fits is empty."""
+    spark = x.sparkSession
+    ranks = sorted(set(int(r) for r in ranks))
+    models = [(r, s) for r in ranks for s in range(restarts)]
+    cells = (x.filter(F.col(key).isNotNull()).groupBy(*KEYS, F.col(key).alias("t"))
+             .agg(F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).alias("v")))
+    cells = stage(cells)
+    most = MAX_FACTOR_ENTRIES // max(1, sum(ranks) * restarts)
+    types = sorted(r[0] for r in cells.select("t").distinct().limit(most + 1).collect())     # bounded by ``most``
+    if len(types) > most:
+        raise ValueError(f"more than {most} types: the factors of all models would not stay small")
+    order = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
+    spots = stage(cells.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("m"))
+                  .select(*KEYS, F.transform(order, lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("x")))
+    if not types:
+        return NmfModels(spots, types, {}, [])
+    ship_library(spark)
+    width = len(types)
+    factors = {}
+    for r, s in models:
+        h = np.random.default_rng([r, s]).uniform(0.01, 1.0, (r, width))
+        factors[r, s] = h / h.sum(axis=1, keepdims=True)
+    fits = {m: None for m in models}
+    loss: dict = {m: np.inf for m in models}
+    moving = list(models)
+    for iteration in range(1, max_iters + 1):
+        wtx, wtw, w1, x0 = _gram_pass(spots, [factors[m] for m in moving], width)
+        still = []
+        for k, m in enumerate(moving):
+            h = factors[m]
+            cross, recon = float((h * wtx[k]).sum()), float((wtw[k] * (h @ h.T)).sum())
+            now = max(0.0, x0["xx"] - 2.0 * cross + recon)
+            xhat = float(w1[k] @ h.sum(axis=1))
+            cells_n = x0["n"] * width
+            spread = (x0["xx"] - x0["x"] ** 2 / cells_n) * (recon - xhat ** 2 / cells_n)
+            fits[m] = {"rank": m[0], "restart": m[1], "iterations": iteration, "loss": now,
+                       "accuracy": (cross - x0["x"] * xhat / cells_n) / spread ** 0.5 if spread > 0 else None}
+            if loss[m] - now > tol * x0["xx"] and iteration < max_iters:
+                still.append((k, m))
+            loss[m] = now
+        if not still:
+            break
+        for k, m in still:
+            # the same descent by types: rows of H^T with gram W^T W
+            h = _fit_rows(wtx[k].T, wtw[k], factors[m].T, FACTOR_SWEEPS).T
+            total = h.sum(axis=1, keepdims=True)
+            factors[m] = np.where(total > 0, h / np.where(total > 0, total, 1.0), 0.0)
+        moving = [m for _, m in still]
+    for r, s in models:
+        others = [best_cosine(factors[r, s], factors[r, o]) for o in range(restarts) if o != s]
+        fits[r, s]["stability"] = float(np.mean(others)) if others else None
+        fits[r, s]["best"] = (loss[r, s], s) == min((loss[r, o], o) for o in range(restarts))
+    return NmfModels(spots, types, factors, [fits[m] for m in models])
+
+
+def best_cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Mean over the factors of ``a`` of the largest cosine with a factor of ``b``."""
+    def unit(h):
+        n = np.linalg.norm(h, axis=1, keepdims=True)
+        return h / np.where(n > 0, n, 1.0)
+    return float((unit(a) @ unit(b).T).max(axis=1).mean())
+
+
+def _gram_pass(spots: DataFrame, factors: list, width: int):
+    """W^T X, W^T W and W^T 1 of every model, and n, sum and sum of squares of X.  Tasks send
+    one partial sum per entry; Spark adds them up."""
+
+    def partial(batches):
+        import pyarrow as pa
+        sums = [np.zeros((len(h), width + len(h) + 1)) for h in factors]
+        whole = np.zeros(3)
+        for batch in batches:
+            x = _matrix(batch, width)
+            whole += [len(x), x.sum(), (x * x).sum()]
+            for h, s in zip(factors, sums):
+                w = spot_weights(x, h)
+                s[:, :width] += w.T @ x
+                s[:, width:-1] += w.T @ w
+                s[:, -1] += w.sum(axis=0)
+        if whole[0] == 0:
+            return
+        flat = [whole] + [s.ravel() for s in sums]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.full(len(v), k - 1, np.int32) for k, v in enumerate(flat)])),
+             pa.array(np.concatenate([np.arange(len(v), dtype=np.int32) for v in flat])),
+             pa.array(np.concatenate(flat))], ["m", "i", "v"])
+
+    rows = (spots.select("x").mapInArrow(partial, "m int, i int, v double")
+            .groupBy("m", "i").agg(F.sum("v").alias("v")).collect())          # entries of the Gram matrices
+    flat = {k: np.zeros(len(h) * (width + len(h) + 1)) for k, h in enumerate(factors)}
+    flat[-1] = np.zeros(3)
+    for m, i, v in rows:
+        flat[m][i] = v
+    both = [flat[k].reshape(len(h), -1) for k, h in enumerate(factors)]
+    return ([b[:, :width] for b in both], [b[:, width:-1] for b in both], [b[:, -1] for b in both],
+            dict(zip(("n", "x", "xx"), flat[-1].tolist())))

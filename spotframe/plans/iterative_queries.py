@@ -7,6 +7,7 @@ segment, query spots = even keys; 5 KL iterations; k = 5 with 5 Lloyd iterations
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spotframe.operators import composition as cp
@@ -25,6 +26,7 @@ LLOYD_ITERS = 5
 N3_REPS = 20
 NMF_RANK = 3
 NMF_ITERS = 5
+NMF_RANKS, NMF_RESTARTS = (11, 12), 3
 
 
 def _ref_query(spark, d):
@@ -318,3 +320,29 @@ def nmf_stability(spark, d):
     comp = stage(adapter.composition(spark, d))
     hs = [dc.nmf(comp, NMF_RANK, NMF_ITERS, restart=r)[1] for r in range(3)]
     return finish(dc.restart_stability(hs))
+
+
+def _nmf_ranks(spark, d):
+    return dc.nmf_models(adapter.composition(spark, d), NMF_RANKS, NMF_RESTARTS)
+
+
+@register("nmf_ranks")
+def nmf_ranks(spark, d):
+    """N5 -> N6: ranks 11 and 12 with 3 restarts each, fitted until the loss settles: passes, loss, accuracy, stability."""
+    return finish(_nmf_ranks(spark, d).table())
+
+
+@register("nmf_rank_top_types")
+def nmf_rank_top_types(spark, d):
+    """N5 -> N6: the ten most specific cell types of every factor, best restart of every rank."""
+    fit = _nmf_ranks(spark, d)
+    w = Window.partitionBy("rank", "f").orderBy(F.desc("fraction"), "t")
+    t = fit.profiles(fit.best()).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= 10)
+    return finish(t.select("rank", "f", "place", "t", "fraction"))
+
+
+@register("nmf_rank_weights")
+def nmf_rank_weights(spark, d):
+    """N5 -> N6: weight of every factor at every spot, best restart of every rank."""
+    fit = _nmf_ranks(spark, d)
+    return finish(fit.weights(fit.best()).select(*KEYS, "rank", "f", "w"))

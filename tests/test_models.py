@@ -122,3 +122,54 @@ def test_interactions_and_slide_means(spark):
     assert {r["feature"] for r in vw.interactions(imp, 0.5).collect()} == {"p2"}
     m = {r["feature"]: (r["importance"], r["n_samples"]) for r in vw.collect_results(imp, ["feature"], "importance").collect()}
     assert m == {"p0": (2.0, 2), "p1": (2.0, 1), "p2": (6.0, 1)}
+
+
+def _planted(spark, n=120, seed=5):
+    rng = np.random.default_rng(seed)
+    H = np.zeros((3, 9))
+    for f in range(3):
+        H[f, 3 * f:3 * f + 3] = [0.5, 0.3, 0.2]
+    W = rng.uniform(0, 1, (n, 3)) * (rng.uniform(size=(n, 3)) < 0.6)
+    X = W @ H
+    rows = [("S", f"s{i:03d}", f"t{j}", float(X[i, j])) for i in range(n) for j in range(9) if X[i, j] > 0 or j == 0]
+    return X, H, spark.createDataFrame(rows, "sample string, barcode string, cell_type string, score double")
+
+
+def test_nmf_models_find_the_planted_rank(spark):
+    X, H, comp = _planted(spark)
+    fit = dc.nmf_models(comp, ranks=(2, 3), restarts=3, max_iters=60)
+    table = {(r["rank"], r["restart"]): r for r in fit.table().collect()}
+    assert sorted(table) == [(r, s) for r in (2, 3) for s in range(3)]
+    best = dict(fit.best())
+    xx = float((X * X).sum())
+    assert table[3, best[3]]["loss"] < 1e-3 * xx < 0.05 * xx < table[2, best[2]]["loss"]
+    assert dc.best_cosine(H, fit.factors[3, best[3]]) > 0.99
+    # the numbers of the table against the weights and factors themselves
+    for m in fit.factors:
+        h = fit.factors[m]
+        W = np.zeros((len(X), m[0]))
+        for r in fit.weights([m]).collect():
+            W[int(r["barcode"][1:]), r["f"]] = r["w"]
+        assert W.min() >= 0 and h.min() >= 0
+        assert abs(((X - W @ h) ** 2).sum() - table[m]["loss"]) < 1e-9 * xx
+        assert abs(np.corrcoef(X.ravel(), (W @ h).ravel())[0, 1] - table[m]["accuracy"]) < 1e-9
+        # weights solve the convex problem of their spot: gradient 0 where positive, not negative elsewhere
+        grad = (W @ h - X) @ h.T
+        assert np.abs(grad[W > 1e-9]).max() < 1e-6 and grad.min() > -1e-6
+        others = [dc.best_cosine(h, fit.factors[m[0], o]) for o in range(3) if o != m[1]]
+        assert abs(table[m]["stability"] - np.mean(others)) < 1e-12
+    total = {}
+    for r in fit.profiles([(3, best[3])]).collect():
+        total[r["t"]] = total.get(r["t"], 0.0) + r["fraction"]
+    assert all(abs(v - 1.0) < 1e-9 for v in total.values())
+
+
+def test_nmf_models_partitions_repeats_and_empty(spark):
+    X, _, comp = _planted(spark, 40)
+    a = dc.nmf_models(comp.repartition(7), ranks=(3,), restarts=1, max_iters=5)
+    halves = comp.withColumn("score", F.col("score") / 2)
+    odd = spark.createDataFrame([("S", "s000", None, 3.0), ("S", "s001", "t0", None)], comp.schema)
+    b = dc.nmf_models(halves.unionByName(halves).unionByName(odd), ranks=(3,), restarts=1, max_iters=5)
+    assert np.abs(a.factors[3, 0] - b.factors[3, 0]).max() < 1e-9
+    none = dc.nmf_models(comp.limit(0), ranks=(3,), restarts=2)
+    assert none.table().count() == none.profiles().count() == none.weights().count() == 0
