@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spotframe.functions.stats import hyper_lower, hyper_upper
 from spotframe.operators.tables import levels
+from spotframe.session import stage
 
 KEYS = ["sample", "barcode"]
 
@@ -88,6 +89,10 @@ def _pairs_stats(present: DataFrame, lab: DataFrame, item: str, sig: float) -> D
     both = pa.join(pb, KEYS + ["cc"]).filter(F.col("a") < F.col("b")).groupBy("cc", "a", "b").agg(
         F.count("*").alias("k"))
     t = pairs.join(both, ["cc", "a", "b"], "left").fillna(0, ["k"]).join(n_cc, "cc")
+    return _with_tails(t, sig)
+
+
+def _with_tails(t: DataFrame, sig: float) -> DataFrame:
     t = t.select("cc", "a", "b", "k", "n_a", "n_b", "n_total",
                  (F.col("n_a") * F.col("n_b") / F.col("n_total")).alias("expected"),
                  hyper_lower(F.col("k"), F.col("n_total"), F.col("n_a"), F.col("n_b")).alias("p_le"),
@@ -123,6 +128,44 @@ def enriched_lrs(ce: DataFrame, labels: DataFrame, min_expr: float = 1.0, max_p:
     return t.filter(F.col("p_ge") < F.lit(max_p))
 
 
+SPOTS_PER_BUCKET = 1 << 18
+
+
+def presence_bitmaps(present: DataFrame, labels: DataFrame, item: str, group: str = "cc") -> DataFrame:
+    """(cc, item, bucket, word, bits): the spots of every cluster that hold an item, 64 to a word.
+
+    Spots are numbered within hash buckets of about ``SPOTS_PER_BUCKET``, so that no task
+    numbers a whole cluster; repeated rows of a spot and item set the same bit."""
+    lab = labels.select(*KEYS, F.col(group).alias("cc")).distinct()
+    buckets = lab.count() // SPOTS_PER_BUCKET + 1
+    lab = lab.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("cc", "bucket").orderBy(*KEYS)) - 1
+    lab = lab.withColumn("place", place).select(
+        *KEYS, "cc", "bucket", F.expr("place div 64").cast("int").alias("word"),
+        F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
+    rows = present.select(*KEYS, F.col(item).alias("item")).join(lab, KEYS)
+    return rows.groupBy("cc", "item", "bucket", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def cooccurrence_of(present: DataFrame, labels: DataFrame, pairs: DataFrame, item: str, group: str = "cc",
+                    sig: float = 0.05) -> DataFrame:
+    """K8 -> K4 for stated ``pairs(a, b)`` of items: (cc, a, b, k, n_a, n_b, n_total, expected, p_le, p_ge,
+    call) wherever both occur in the cluster.  Intersections are popcounts of and-ed words, so a
+    pair costs a row for 64 spots, and only stated pairs are met, never all pairs of items."""
+    pairs = pairs.select("a", "b").distinct()
+    items = pairs.select(F.explode(F.array("a", "b")).alias(item)).distinct()
+    bits = stage(presence_bitmaps(present.join(items, item, "left_semi"), labels, item, group))
+    count = bits.groupBy("cc", "item").agg(F.sum(F.bit_count("bits")).alias("c"))
+    n_cc = labels.select(*KEYS, F.col(group).alias("cc")).distinct().groupBy("cc").agg(F.count("*").alias("n_total"))
+    side = lambda t, name, *cols: t.select("cc", F.col("item").alias(name), *cols)
+    k = (side(bits, "a", "bucket", "word", F.col("bits").alias("bits_a")).join(pairs, "a")
+         .join(side(bits, "b", "bucket", "word", F.col("bits").alias("bits_b")), ["cc", "b", "bucket", "word"])
+         .groupBy("cc", "a", "b").agg(F.sum(F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))).alias("k")))
+    t = (side(count, "a", F.col("c").alias("n_a")).join(pairs, "a").join(side(count, "b", F.col("c").alias("n_b")), ["cc", "b"])
+         .join(k, ["cc", "a", "b"], "left").fillna(0, ["k"]).join(n_cc, "cc"))
+    return _with_tails(t, sig)
+
+
 def diff_lrs(enr: DataFrame, a: str, b: str, p_in: float = 0.05, p_out: float = 0.1) -> DataFrame:
     """K6: LRs with p < p_in in cluster a and not p < p_out in cluster b (side 'a'), and the reverse."""
     ea = enr.filter(F.col("cc") == a).select("lr", F.col("p_ge").alias("p_a"))

@@ -110,6 +110,92 @@ def hvg_vst(expr: DataFrame, n_cells: int, n: int = 3000) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance_standardized"), "gene")))
 
 
+def quadratic_trend(points: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, c0, c1, c2) of the least squares y ~ c0 + c1 x + c2 x^2 in every group of
+    ``points(*by, x, y)``: nine sums a group, solved as columns.  Null where a group has fewer
+    than three distinct x."""
+    x, y = F.col("x"), F.col("y")
+    sums = points.groupBy(*by).agg(*[F.sum(F.pow(x, i)).alias(f"x{i}") for i in range(5)],
+                                   *[F.sum(y * F.pow(x, i)).alias(f"y{i}") for i in range(3)])
+    a = [[F.col(f"x{i + j}") for j in range(3)] for i in range(3)]
+    b = [F.col(f"y{i}") for i in range(3)]
+    minors = [[[b[i] if j == k else a[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    return sums.select(*by, _det3(a).alias("_d"), *[_det3(m).alias(f"_n{k}") for k, m in enumerate(minors)]).select(
+        *by, *[F.try_divide(F.col(f"_n{k}"), F.col("_d")).alias(f"c{k}") for k in range(3)])
+
+
+def _ten_to_trend(lx):
+    return F.pow(F.lit(10.0), F.col("c0") + F.col("c1") * lx + F.col("c2") * lx * lx)
+
+
+def hvg_vst_by(expr: DataFrame, by: str = "sample", n: int = 3000) -> DataFrame:
+    """G5 inside every sample at once: (sample, gene, variance_standardized, rank) of the ``n`` most
+    variable genes of each.  Every sample has its own cells, moments and trend, all from one
+    grouping by (sample, gene) and one join back for the clipped squares.  Variances are ranked
+    to six digits, equal ones by gene."""
+    cells = expr.select(by, "barcode").distinct().groupBy(by).agg(F.count("*").cast("double").alias("n"))
+    mom = expr.groupBy(by, "gene").agg(F.count("*").alias("nnz"), F.sum("value").alias("s1"),
+                                       F.avg("value").alias("_m"), F.var_pop("value").alias("_v")).join(cells, by)
+    mom = mom.filter(F.col("n") > 1).withColumn("mean", F.col("s1") / F.col("n"))
+    # squares about the mean, as in gene_moments
+    ss = (F.col("_v") * F.col("nnz") + F.col("nnz") * F.pow(F.col("_m") - F.col("mean"), 2)
+          + (F.col("n") - F.col("nnz")) * F.pow("mean", 2))
+    mom = mom.select(by, "gene", "nnz", "n", "mean", (ss / (F.col("n") - 1)).alias("var")).filter(F.col("mean") > 0)
+    trend = quadratic_trend(mom.filter(F.col("var") > 0).select(by, F.log10("mean").alias("x"), F.log10("var").alias("y")), [by])
+    mom = mom.join(trend, by).select(by, "gene", "nnz", "n", "mean", F.sqrt(_ten_to_trend(F.log10("mean"))).alias("sd_hat"))
+    z = F.least((F.col("value") - F.col("mean")) / F.col("sd_hat"), F.sqrt("n"))
+    squares = expr.join(mom.select(by, "gene", "n", "mean", "sd_hat"), [by, "gene"]).groupBy(by, "gene").agg(
+        F.sum(z * z).alias("sz2"))
+    out = mom.join(squares, [by, "gene"]).select(by, "gene", F.round(
+        (F.col("sz2") + (F.col("n") - F.col("nnz")) * F.pow(F.col("mean") / F.col("sd_hat"), 2)) / (F.col("n") - 1), 6)
+        .alias("variance_standardized"))
+    w = Window.partitionBy(by).orderBy(F.desc_nulls_last("variance_standardized"), "gene")     # bounded by the genes
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def integration_features(hvgs: DataFrame, n: int = 3000) -> DataFrame:
+    """Genes variable in any sample, (gene, n_samples, median_rank, rank): by the number of
+    samples that chose them, then by their median rank there, then by name; the first ``n``."""
+    g = hvgs.groupBy("gene").agg(F.count("*").alias("n_samples"), F.median("rank").alias("median_rank"))
+    order = [F.desc("n_samples"), F.asc("median_rank"), F.asc("gene")]
+    return g.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+THETA_RANGE = (0.01, 10_000.0)
+
+
+def fit_theta(expr: DataFrame, depth: DataFrame) -> DataFrame:
+    """(gene, theta): overdispersion of every gene under mu = gene total * depth / all counts.
+
+    By moments, theta = sum mu^2 / (sum (x - mu)^2 - sum mu) over all cells, zeros included:
+    closed form in the gene's sums of x, x^2 and x * depth.  log10 theta of the overdispersed
+    genes is then smoothed by a quadratic in log10 mean, and every gene takes the trend's value,
+    kept inside ``THETA_RANGE`` (the upper end where no trend can be fitted)."""
+    whole = depth.agg(F.count("*").alias("n"), F.sum("depth").alias("t"), F.sum(F.col("depth") * F.col("depth")).alias("t2")).first()
+    n, t, t2 = (float(v or 0.0) for v in whole)
+    g = expr.join(depth, KEYS).groupBy("gene").agg(
+        F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("xx"),
+        F.sum(F.col("value") * F.col("depth")).alias("xd")).filter(F.col("total") > 0)
+    share = F.col("total") / F.lit(t)
+    excess = F.col("xx") - F.lit(2.0) * share * F.col("xd") + share * share * F.lit(t2) - F.col("total")
+    g = g.select("gene", F.log10(F.col("total") / F.lit(n)).alias("x"),
+                 F.when(excess > 0, F.log10(share * share * F.lit(t2) / excess)).alias("y")).withColumn("_one", F.lit(0))
+    trend = quadratic_trend(g.filter(F.col("y").isNotNull()), ["_one"])       # one row
+    low, high = (F.lit(v) for v in THETA_RANGE)
+    return g.join(F.broadcast(trend), "_one", "left").select(
+        "gene", F.coalesce(F.least(F.greatest(_ten_to_trend(F.col("x")), low), high), high).alias("theta"))
+
+
+def pearson_hvgs(expr: DataFrame, depth: DataFrame, n: int = 3000) -> DataFrame:
+    """G4 selection: the ``n`` genes with the largest variance of Pearson residuals under their own
+    smoothed theta: gene, theta, mean, var (to six digits, equal ones by gene), rank."""
+    theta = fit_theta(expr, depth)
+    _, stats = pearson_residuals(expr, depth, theta)
+    out = stats.join(theta, "gene").select("gene", "theta", "mean", F.round("var", 6).alias("var"))
+    order = [F.desc("var"), F.asc("gene")]
+    return out.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def hvg_dispersion(expr: DataFrame, n_cells: int, min_mean: float = 0.0125, max_mean: float = 3.0,
                    min_disp: float = 0.5, bins: int = 20) -> DataFrame:
     """Mean / normalised-dispersion cut-offs on unlogged values (ExpMean / LogVMR style).
@@ -160,11 +246,12 @@ def dense_scaled(nonzero: DataFrame, absent: DataFrame, cells: DataFrame) -> Dat
             .withColumn("value", F.coalesce("value", "zero_z")).drop("zero_z"))
 
 
-def pearson_residuals(expr: DataFrame, depth: DataFrame, theta: float = 100.0, clip: float | None = None,
+def pearson_residuals(expr: DataFrame, depth: DataFrame, theta: float | DataFrame = 100.0, clip: float | None = None,
                       genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Analytic Pearson residuals of counts under a negative binomial null,
     r = (x - mu) / sqrt(mu + mu^2 / theta) with mu = gene total * depth / all counts, clipped at
-    +-sqrt(cells) (``clip``).  ``depth``: (sample, barcode, depth) of every cell.
+    +-sqrt(cells) (``clip``).  ``depth``: (sample, barcode, depth) of every cell; ``theta``: one
+    number or (gene, theta), as ``fit_theta`` gives.
 
     Returns (entries of ``genes`` that exist with their residual, per gene: total, mean and
     variance of the residual over all cells).  A zero's residual depends only on the gene and
@@ -175,10 +262,11 @@ def pearson_residuals(expr: DataFrame, depth: DataFrame, theta: float = 100.0, c
     total = float(depth.agg(F.sum("depth")).first()[0] or 0.0)
     e = expr.join(genes.select("gene"), "gene", "left_semi") if genes is not None else expr
     sums = e.groupBy("gene").agg(F.sum("value").alias("total"))
+    sums = sums.join(theta, "gene") if isinstance(theta, DataFrame) else sums.withColumn("theta", F.lit(float(theta)))
 
     def residual(x):
         mu = F.col("total") * F.col("depth") / F.lit(total)
-        r = (x - mu) / F.sqrt(mu + mu * mu / F.lit(float(theta)))
+        r = (x - mu) / F.sqrt(mu + mu * mu / F.col("theta"))
         return F.when(mu > 0, F.least(F.greatest(r, -bound), bound)).otherwise(F.lit(0.0))
 
     nz = e.join(sums, "gene").join(depth, KEYS)
@@ -188,7 +276,8 @@ def pearson_residuals(expr: DataFrame, depth: DataFrame, theta: float = 100.0, c
     hist = depth.groupBy("depth").agg(F.count("*").alias("n"))
     hist = hist.agg(F.collect_list(F.struct("depth", "n")).alias("_h")).withColumn("_one", F.lit(0))
     wide = (sums.withColumn("_one", F.lit(0)).join(F.broadcast(hist), "_one")
-            .select("gene", "total", F.explode("_h").alias("_x")).select("gene", "total", "_x.depth", "_x.n"))
+            .select("gene", "total", "theta", F.explode("_h").alias("_x"))
+            .select("gene", "total", "theta", "_x.depth", "_x.n"))
     zero = residual(F.lit(0.0))
     all0 = wide.groupBy("gene", "total").agg(F.sum(zero * F.col("n")).alias("_z1"), F.sum(zero * zero * F.col("n")).alias("_z2"))
     mean = (F.col("_z1") + F.col("_d1")) / F.lit(float(n))

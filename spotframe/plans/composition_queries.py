@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from spotframe.functions.stats import hyper_lower_sql, hyper_upper_sql
 from spotframe.operators import enrich as en
+from spotframe.operators import lr as lrop
 from spotframe.operators import markers as mk
 from spotframe.operators.ranking import top_n_ties
+from spotframe.operators.transfer import hash_sample
 from spotframe.plans.catalog import finish, register
 from spotframe.plans.lr_queries import LR_BASE, LRFlow
 from spotframe.plans.marker_queries import PREP_SQL, marker_ctes, prepared
@@ -20,6 +22,7 @@ TOP_N = 50
 PRESENCE = 0.2
 LR_MIN_EXPR = 1.0
 LR_MAX_P = 0.2
+LR_SUBSET = 500
 CLUSTER_A, CLUSTER_B = "BUILDING", "MACHINERY"
 
 
@@ -163,6 +166,26 @@ def enriched_lrs(spark, d):
     return finish(e.select("cc", "lr", "n_a", "n_b", "k", "n_total", "p_ge"))
 
 
+@register("lr_subset_cooccurrence", with_views(ENR_SQL + f""",
+few AS (SELECT lr FROM lr_db ORDER BY md5(lr), lr LIMIT {LR_SUBSET}),
+named AS (SELECT DISTINCT t.cc, array_to_string(d.ligand, '+') AS a, array_to_string(d.receptor, '+') AS b,
+                 CAST(t.k AS BIGINT) AS k, CAST(t.n_a AS BIGINT) AS n_a, CAST(t.n_b AS BIGINT) AS n_b, n_total
+          FROM t JOIN lr_db d USING (lr) SEMI JOIN few USING (lr)),
+h AS (SELECT *, n_a * n_b / n_total::DOUBLE AS expected, {hyper_lower_sql('k', 'n_total', 'n_a', 'n_b')} AS p_le,
+             {hyper_upper_sql('k', 'n_total', 'n_a', 'n_b')} AS p_ge FROM named)
+SELECT cc, a, b, k, n_a, n_b, n_total, round(expected, 6) AS expected, round(p_le, 6) AS p_le, round(p_ge, 6) AS p_ge,
+       CASE WHEN p_ge < 0.05 THEN 'positive' WHEN p_le < 0.05 THEN 'negative' ELSE 'random' END AS call FROM h""", V_LR))
+def lr_subset_cooccurrence(spark, d):
+    """K8 -> K4: ligands and receptors of a hashed sample of 500 LRs (all, where there are fewer), by presence bitmaps."""
+    db = hash_sample(adapter.lr_db(spark, d), ["lr"], LR_SUBSET)
+    ce = lrop.complex_expression(adapter.expr_coarse(spark, d), db).filter(F.col("value") >= LR_MIN_EXPR)
+    names = db.select("lr", F.array_join("ligand", "+").alias("a"), F.array_join("receptor", "+").alias("b"))
+    sides = names.select("lr", F.explode(F.map_from_arrays(F.array(F.lit("L"), F.lit("R")), F.array("a", "b"))).alias("side", "item"))
+    present = ce.join(F.broadcast(sides), ["lr", "side"]).select(*KEYS, "item")       # at most 2 x 500 rows
+    lab = adapter.spots(spark, d).select(*KEYS, F.col("cluster").alias("cc"))
+    return finish(en.cooccurrence_of(present, lab, names, "item"))
+
+
 @register("diff_lrs", with_views(ENR_SQL + f""",
 e AS (SELECT * FROM enr WHERE p_ge < {LR_MAX_P}),
 ea AS (SELECT lr, p_ge AS p_a FROM e WHERE cc = '{CLUSTER_A}'),

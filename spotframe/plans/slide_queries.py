@@ -102,6 +102,73 @@ def hvg_vst(spark, d):
     return finish(nm.hvg_vst(e, n, N_HVG))
 
 
+N_FEATURES = 3000
+
+VST_BY_SQL = f"""
+nc AS (SELECT sample, count(*)::DOUBLE AS n FROM (SELECT DISTINCT sample, barcode FROM expr) t GROUP BY 1),
+mom0 AS (SELECT sample, gene, count(*) AS nnz, sum(value) AS s1, sum(value * value) AS s2 FROM expr GROUP BY 1, 2),
+mom AS (SELECT sample, gene, nnz, n, s1 / n AS mean, greatest((s2 - n * (s1 / n) * (s1 / n)) / (n - 1.0), 0.0) AS var
+        FROM mom0 JOIN nc USING (sample) WHERE n > 1 AND s1 > 0),
+fit AS (SELECT sample, log10(mean) AS x, log10(var) AS y FROM mom WHERE var > 0),
+sums AS (SELECT sample, CAST(count(*) AS DOUBLE) AS x0, sum(x) AS x1, sum(x * x) AS x2, sum(x * x * x) AS x3,
+                sum(x * x * x * x) AS x4, sum(y) AS y0, sum(y * x) AS y1, sum(y * x * x) AS y2 FROM fit GROUP BY 1),
+coef AS (SELECT sample, {_cramer_sql()} FROM sums),
+m2 AS (SELECT mom.*, sqrt(pow(10.0, c0 + c1 * log10(mean) + c2 * log10(mean) * log10(mean))) AS sd_hat
+       FROM mom JOIN coef USING (sample)),
+nz AS (SELECT e.sample, e.gene, sum(pow(least((e.value - m2.mean) / m2.sd_hat, sqrt(m2.n)), 2)) AS sz2
+       FROM expr e JOIN m2 USING (sample, gene) GROUP BY 1, 2),
+vs AS (SELECT m2.sample, m2.gene, round((nz.sz2 + (m2.n - m2.nnz) * pow(m2.mean / m2.sd_hat, 2)) / (m2.n - 1.0), 6) AS v
+       FROM m2 JOIN nz USING (sample, gene)),
+rk AS (SELECT sample, gene, v, row_number() OVER (PARTITION BY sample ORDER BY v DESC NULLS LAST, gene) AS r FROM vs),
+chosen AS (SELECT * FROM rk WHERE r <= {N_FEATURES})"""
+
+
+@register("hvg_vst_by_sample", with_views(VST_BY_SQL + """
+SELECT sample, gene, v AS variance_standardized, CAST(r AS INTEGER) AS rank FROM chosen""", ["expr"]))
+def hvg_vst_by_sample(spark, d):
+    """G5 per sample: the 3000 genes of the largest standardised variance, each sample with its own trend."""
+    return finish(nm.hvg_vst_by(adapter.expr(spark, d), "sample", N_FEATURES))
+
+
+@register("integration_features", with_views(VST_BY_SQL + f""",
+g AS (SELECT gene, count(*) AS n_samples, median(r) AS median_rank FROM chosen GROUP BY 1),
+o AS (SELECT *, CAST(row_number() OVER (ORDER BY n_samples DESC, median_rank, gene) AS INTEGER) AS rank FROM g)
+SELECT gene, n_samples, round(CAST(median_rank AS DOUBLE), 6) AS median_rank, rank FROM o WHERE rank <= {N_FEATURES}""", ["expr"]))
+def integration_features(spark, d):
+    """G5 per sample -> E6: 3000 genes by the number of samples that chose them and their median rank."""
+    return finish(nm.integration_features(nm.hvg_vst_by(adapter.expr(spark, d), "sample", N_FEATURES), N_FEATURES))
+
+
+THETA_SQL = f"""
+dep AS (SELECT sample, barcode, sum(value) AS depth FROM expr GROUP BY 1, 2),
+tot AS (SELECT sum(depth)::DOUBLE AS t, count(*)::DOUBLE AS n, sum(depth * depth)::DOUBLE AS t2 FROM dep),
+gs AS (SELECT e.gene, sum(e.value) AS total, sum(e.value * e.value) AS xx, sum(e.value * d.depth) AS xd
+       FROM expr e JOIN dep d USING (sample, barcode) GROUP BY 1 HAVING sum(e.value) > 0),
+ge AS (SELECT gs.*, log10(total / n) AS x, total / t * (total / t) * t2 AS mu2,
+              xx - 2.0 * (total / t) * xd + (total / t) * (total / t) * t2 - total AS excess FROM gs CROSS JOIN tot),
+gp AS (SELECT *, log10(mu2 / excess) AS y FROM ge WHERE excess > 0),
+sums AS (SELECT CAST(count(*) AS DOUBLE) AS x0, sum(x) AS x1, sum(x * x) AS x2, sum(x * x * x) AS x3,
+                sum(x * x * x * x) AS x4, sum(y) AS y0, sum(y * x) AS y1, sum(y * x * x) AS y2 FROM gp),
+coef AS (SELECT {_cramer_sql()} FROM sums),
+th AS (SELECT gene, total, coalesce(least(greatest(pow(10.0, c0 + c1 * x + c2 * x * x), {nm.THETA_RANGE[0]}), {nm.THETA_RANGE[1]}),
+                                    {nm.THETA_RANGE[1]}) AS theta FROM ge CROSS JOIN coef),
+cells AS (SELECT d.sample, d.barcode, th.gene, th.theta, th.total * d.depth / tot.t AS mu, sqrt(tot.n) AS clip
+          FROM dep d CROSS JOIN th CROSS JOIN tot),
+res AS (SELECT c.gene, c.theta, least(greatest((coalesce(e.value, 0.0) - c.mu) / sqrt(c.mu + c.mu * c.mu / c.theta),
+                                               -c.clip), c.clip) AS r
+        FROM cells c LEFT JOIN expr e ON e.sample = c.sample AND e.barcode = c.barcode AND e.gene = c.gene),
+pv AS (SELECT gene, max(theta) AS theta, avg(r) AS mean, round(var_samp(r), 6) AS var FROM res GROUP BY gene),
+pr AS (SELECT *, CAST(row_number() OVER (ORDER BY var DESC, gene) AS INTEGER) AS rank FROM pv)"""
+
+
+@register("pearson_hvgs", with_views(THETA_SQL + f"""
+SELECT gene, round(theta, 6) AS theta, round(mean, 6) AS mean, var, rank FROM pr WHERE rank <= {N_FEATURES}""", ["expr"]))
+def pearson_hvgs(spark, d):
+    """The 3000 genes of the largest residual variance, overdispersion fitted per gene and smoothed along the mean."""
+    e = adapter.expr(spark, d)
+    return finish(nm.pearson_hvgs(e, nm.depth(e), N_FEATURES))
+
+
 DISP_SQL = _NORM_CTE + """,
 nc AS (SELECT count(*)::DOUBLE AS n FROM (SELECT DISTINCT sample, barcode FROM expr) t),
 mom0 AS (SELECT gene, sum(exp(value) - 1) AS s1, sum((exp(value) - 1) * (exp(value) - 1)) AS s2 FROM norm GROUP BY gene),
