@@ -286,13 +286,30 @@ def _regions_sql() -> str:
 @register("regions", with_views(_regions_sql(), ["composition"]))
 def regions(spark, d):
     """regions = kNN graph + clustering on the spot abundance (composition) vectors."""
+    return gr.graph_clusters(_region_graph(spark, d, K), RESOLUTION, SWEEPS, prefix="R").withColumnRenamed("node", "spot")
+
+
+def _region_graph(spark, d, k):
     comp = stage(adapter.composition(spark, d))
     types = sorted(r[0] for r in comp.select("cell_type").distinct().collect())
     v = em.dense_vectors(comp.select("sample", "barcode", F.col("cell_type").alias("gene"), F.col("score").alias("value")),
                          types)
     emb = stage(v.select(F.concat_ws("/", "sample", "barcode").alias("barcode"), "vec"))
-    nn = stage(gr.knn(emb, K))
-    return gr.graph_clusters(stage(gr.snn(nn, K, PRUNE)), RESOLUTION, SWEEPS, prefix="R").withColumnRenamed("node", "spot")
+    nn = stage(gr.knn(emb, k))
+    return stage(gr.snn(nn, k, PRUNE))
+
+
+@register("regions_settled")
+def regions_settled(spark, d):
+    """Regions at resolution 0.5 on 15 neighbours, moved until nothing gains, every region connected."""
+    return gr.settled_clusters(_region_graph(spark, d, 15), 0.5, prefix="R")[0].withColumnRenamed("node", "spot")
+
+
+@register("graph_clusters_settled")
+def graph_clusters_settled(spark, d):
+    """G13 -> G14 -> G15 at resolution 0.4, moved until nothing gains, every cluster connected."""
+    nn = stage(gr.knn(_emb(spark, d), K))
+    return gr.settled_clusters(gr.snn(nn, K, PRUNE), 0.4)[0].withColumnRenamed("node", "barcode")
 
 
 @register("interaction_communities")

@@ -51,3 +51,54 @@ def test_kmeans_planted(spark):
     lab = {r["barcode"]: r["cc"] for r in cp.composition_clusters(comp, 2, 5).collect()}
     assert len({lab[f"a{i}"] for i in range(30)}) == 1 and len({lab[f"b{i}"] for i in range(30)}) == 1
     assert lab["a0"] != lab["b0"]
+
+
+def _both_ways(spark, pairs):
+    rows = [(a, b, w) for a, b, w in pairs] + [(b, a, w) for a, b, w in pairs]
+    return spark.createDataFrame(rows, "src string, dst string, weight double")
+
+
+def _q(pairs, cl, gamma):
+    m2 = 2 * sum(w for *_, w in pairs)
+    inner = sum(2 * w for a, b, w in pairs if cl[a] == cl[b]) / m2
+    k = {}
+    for a, b, w in pairs:
+        k[cl[a]] = k.get(cl[a], 0) + w
+        k[cl[b]] = k.get(cl[b], 0) + w
+    return inner - gamma * sum((v / m2) ** 2 for v in k.values())
+
+
+def _parts(pairs, nodes):
+    left, found = set(nodes), []
+    while left:
+        todo, part = [left.pop()], set()
+        while todo:
+            v = todo.pop()
+            part.add(v)
+            near = {b if a == v else a for a, b, _ in pairs if v in (a, b)} & left
+            left -= near
+            todo += near
+        found.append(part)
+    return found
+
+
+def test_settled_clusters_are_connected_and_never_worse(spark):
+    rng = np.random.default_rng(31)
+    pairs = [(f"n{g}{i}", f"n{g}{j}", float(rng.uniform(0.5, 1))) for g in range(5) for i in range(8) for j in range(i + 1, 8)
+             if rng.random() < 0.7] + [(f"n{g}0", f"n{(g + 1) % 5}1", 0.3) for g in range(5)]
+    out, trace = gr.settled_clusters(_both_ways(spark, pairs), 1.0)
+    cl = {r["node"]: r["cluster"] for r in out.collect()}
+    assert set(cl) == {v for a, b, _ in pairs for v in (a, b)}
+    assert all(b >= a for a, b in zip(trace, trace[1:])) and abs(_q(pairs, cl, 1.0) - trace[-1]) < 1e-9
+    for c in set(cl.values()):
+        assert len(_parts(pairs, [v for v in cl if cl[v] == c])) == 1
+    planted = {v: v[1] for v in cl}
+    assert trace[-1] >= _q(pairs, planted, 1.0) - 1e-9
+    assert gr.settled_clusters(_both_ways(spark, pairs).limit(0))[0].count() == 0
+
+
+def test_connected_parts_of_a_torn_community(spark):
+    pairs = [("a", "b", 1.0), ("b", "c", 1.0), ("x", "y", 1.0), ("c", "x", 1.0), ("y", "y2", 1.0)]
+    lab = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("x", "1"), ("y", "1"), ("y2", "1")], "node string, label string")
+    got = {r["node"]: r["label"] for r in gr.connected_parts(_both_ways(spark, pairs), lab).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "x": "x", "y": "x", "y2": "x"}
