@@ -299,19 +299,6 @@ def _region_graph(spark, d, k):
     return stage(gr.snn(nn, k, PRUNE))
 
 
-@register("regions_settled")
-def regions_settled(spark, d):
-    """Regions at resolution 0.5 on 15 neighbours, moved until nothing gains, every region connected."""
-    return gr.settled_clusters(_region_graph(spark, d, 15), 0.5, prefix="R")[0].withColumnRenamed("node", "spot")
-
-
-@register("graph_clusters_settled")
-def graph_clusters_settled(spark, d):
-    """G13 -> G14 -> G15 at resolution 0.4, moved until nothing gains, every cluster connected."""
-    nn = stage(gr.knn(_emb(spark, d), K))
-    return gr.settled_clusters(gr.snn(nn, K, PRUNE), 0.4)[0].withColumnRenamed("node", "barcode")
-
-
 @register("interaction_communities")
 def interaction_communities(spark, d):
     """J5 -> J6: communities of the predictor-target graph with standardised importance >= 0.5 (per view)."""
