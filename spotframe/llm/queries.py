@@ -119,9 +119,9 @@ def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and conversation -7 into windows; digests read back."""
-    said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
-                                  "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                           role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_windows.digests(chat_windows.windows(rows))
 
@@ -131,21 +131,27 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+written AS (
+  SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '### ', '\2'), chr(10), '\3')
+            || chr(10) || replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '### ', '\2') || '</turn>' || chr(10) AS piece
+  FROM turns),
 pieces AS (
-  SELECT *, row_number() OVER o - 1 AS pos,
-         5 + length(replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '### ', '\2'), chr(10), '\3'))
-           + length(replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '### ', '\2')) + 8 AS chars
-  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-costs AS (SELECT *, (chars + 3) // 4 AS cost, CASE WHEN (chars + 3) // 4 > 768 THEN 1 ELSE 0 END AS big FROM pieces),
+  SELECT *, length(piece) AS chars, strlen(piece) AS cost, row_number() OVER o - 1 AS pos
+  FROM written WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+heads AS (SELECT conv_id, CASE WHEN role = 'system' THEN cost ELSE 0 END AS head FROM pieces WHERE pos = 0),
+costs AS (
+  SELECT *, CASE WHEN cost > span THEN 1 ELSE 0 END AS big
+  FROM (SELECT *, greatest(1, floor((2048 - 512 - head) / 2)::BIGINT) AS span FROM pieces JOIN heads USING (conv_id))),
 placed AS (
   SELECT *, coalesce(sum(cost) OVER b, 0)::BIGINT AS before, coalesce(sum(big) OVER b, 0) AS bigs FROM costs
   WINDOW b AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 windows AS (
-  SELECT conv_id, bigs, big, before // 768 AS block, min(pos) AS first_at, min(before) AS start, sum(chars) AS chars
+  SELECT conv_id, bigs, big, before // span AS block, min(pos) AS first_at, min(before) AS start, sum(chars) AS chars,
+         least(512, any_value(span), 2048 - any_value(head) - sum(cost)) AS room
   FROM placed GROUP BY ALL),
 again AS (
   SELECT w.conv_id, p.chars FROM windows w JOIN placed p ON p.conv_id = w.conv_id AND p.pos < w.first_at
-  WHERE (p.pos = 0 AND p.role = 'system') OR w.start - p.before <= 256),
+  WHERE (p.pos = 0 AND p.role = 'system') OR w.start - p.before <= w.room),
 formatted AS (
   SELECT conv_id, sum(chars)::BIGINT AS formatted_chars
   FROM (SELECT conv_id, chars FROM windows UNION ALL SELECT conv_id, chars FROM again) GROUP BY conv_id),
