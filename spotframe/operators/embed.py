@@ -1,21 +1,30 @@
 """PCA embedding and component choice.
 
-G8 runs MLlib PCA on dense vectors over the selected (variable) genes only: the
-accepted bounded densification.  Components get a fixed sign (largest absolute
-loading positive).  G9 fits log stdev = a + b log pc by regr_slope / regr_intercept
+G8 works on sparse rows over the selected (variable) genes: a cell is never wider than its
+non-zeros outside a block of ``BLOCK`` cells inside a task.  Tasks add up outer products of
+their blocks, with a column of ones for the sums; only the upper triangle of that Gram matrix
+leaves a task, is added up row by row, and is centred in closed form.  Its genes x genes
+matrix is the one thing on the driver, bounded by the selected genes.  Components get a fixed
+sign (largest absolute loading positive).  G9 fits log stdev = a + b log pc by regr_slope / regr_intercept
 and picks the first PC whose fitted drop to the next is below 1 % of the total
 fitted drop, clamped to [5, 20].
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.session import stage
+
 KEYS = ["sample", "barcode"]
+BLOCK = 512          # cells made dense at a time inside a task
 
 
 def gene_index(spark, genes: list[str]) -> DataFrame:
@@ -33,38 +42,94 @@ def dense_vectors(values: DataFrame, genes: list[str]) -> DataFrame:
                                          lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("vec"))
 
 
+def sparse_rows(values: DataFrame, genes: list[str], cells: DataFrame | None = None) -> DataFrame:
+    """(sample, barcode, at array<int>, x array<double>): entries of the selected genes by their
+    position.  With ``cells``, one row for each of them, empty where a cell has no entry."""
+    # one row per selected gene: bounded by the list the caller passed
+    v = values.join(F.broadcast(gene_index(values.sparkSession, genes)), "gene")
+    per = v.groupBy(*KEYS).agg(F.collect_list(F.struct("i", "value")).alias("_e"))
+    if cells is not None:
+        per = cells.select(*KEYS).join(per, KEYS, "left")
+    return per.select(*KEYS, F.coalesce("_e.i", F.array().cast("array<int>")).alias("at"),
+                      F.coalesce("_e.value", F.array().cast("array<double>")).alias("x"))
+
+
+def _gram(rows: DataFrame, p: int) -> np.ndarray:
+    """Sum over all rows of the outer product of (entries, 1) with itself."""
+    block = BLOCK
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p + 1, p + 1))
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                at, x = part.column("at"), part.column("x")
+                row = np.repeat(np.arange(len(part)), np.diff(at.offsets.to_numpy()))
+                dense = np.zeros((len(part), p + 1))
+                np.add.at(dense, (row, at.flatten().to_numpy()), x.flatten().to_numpy())
+                dense[:, p] = 1.0
+                total += dense.T @ dense
+        if total[p, p]:
+            for start in range(0, p + 1, 256):
+                some = range(start, min(start + 256, p + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([total[i, i:] for i in some], pa.list_(pa.float64()))], ["i", "g"])
+
+    parts = rows.select("at", "x").mapInArrow(blocks, "i int, g array<double>")
+    sums = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("g")).alias("g"))
+    full = np.zeros((p + 1, p + 1))
+    for r in sums.select("i", vector_to_array("g").alias("g")).toArrow().to_batches():   # p + 1 rows
+        g = r.column("g")
+        for i, lo, hi in zip(r.column("i").to_numpy(), g.offsets.to_numpy(), g.offsets.to_numpy()[1:]):
+            full[i, i:] = full[i:, i] = g.values.to_numpy()[lo:hi]
+    return full
+
+
+def _project(rows: DataFrame, comp: np.ndarray, shift: np.ndarray) -> DataFrame:
+    """(sample, barcode, vec): every row times ``comp`` less ``shift``.  The factors travel to
+    the tasks: genes x components numbers."""
+    block, (p, k) = BLOCK, comp.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                at, x = part.column("at"), part.column("x")
+                row = np.repeat(np.arange(len(part)), np.diff(at.offsets.to_numpy()))
+                dense = np.zeros((len(part), p))
+                np.add.at(dense, (row, at.flatten().to_numpy()), x.flatten().to_numpy())
+                vec = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * k, (dense @ comp - shift).ravel())
+                yield pa.RecordBatch.from_arrays([part.column("sample"), part.column("barcode"), vec], ["sample", "barcode", "vec"])
+
+    return rows.select(*KEYS, "at", "x").mapInArrow(run, "sample string, barcode string, vec array<double>")
+
+
 def pca(values: DataFrame, genes: list[str], k: int, cells: DataFrame | None = None,
         absent: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Embedding (sample, barcode, vec), stdev (pc, stdev), loadings (gene, pc, loading).
+    """Embedding (sample, barcode, vec), stdev (pc, stdev), loadings (gene, pc, loading); at
+    most as many components as genes.
 
     ``absent`` (gene, zero_z): what an entry without a row is worth, as ``scale_genes``
     returns it.  It is subtracted from the rows that exist, so absent entries are 0; the
-    shift is constant per gene and centring removes it.
-    MLlib brings a genes x genes matrix to the driver, bounded by the selected genes.
+    shift is constant per gene and centring removes it.  Entries that repeat add up.
     """
+    spark, p = values.sparkSession, len(genes)
     if absent is not None:
         values = values.join(absent.select("gene", "zero_z"), "gene").select(
             *KEYS, "gene", (F.col("value") - F.col("zero_z")).alias("value"))
-    dv = dense_vectors(values, genes)
-    if cells is not None:  # cells without any selected gene are the zero vector
-        p = len(genes)
-        dv = cells.select(*KEYS).join(dv, KEYS, "left").select(
-            *KEYS, F.coalesce("vec", F.array_repeat(F.lit(0.0), p)).alias("vec"))
-    vv = dv.select(*KEYS, array_to_vector("vec").alias("x"))
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol="x", outputCol="xc").fit(vv)
-    xc = scaler.transform(vv)
-    model = PCA(k=k, inputCol="xc", outputCol="pc").fit(xc)
-    comp = model.pc.toArray()                                  # p x k, on the driver (p = selected genes)
-    signs = np.where(comp[np.abs(comp).argmax(axis=0), range(comp.shape[1])] < 0, -1.0, 1.0)
-    comp = comp * signs
-    proj = model.transform(xc).select(*KEYS, vector_to_array("pc").alias("_v"))
-    emb = proj.select(*KEYS, F.zip_with("_v", F.array(*[F.lit(float(s)) for s in signs]), lambda a, b: a * b).alias("vec"))
-    sd = emb.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.stddev_samp("v").alias("stdev"))
-    stdev = sd.select((F.col("i") + 1).alias("pc"), "stdev")
-    spark = values.sparkSession
-    load = spark.createDataFrame([(g, j + 1, float(comp[i, j])) for i, g in enumerate(genes) for j in range(k)],
-                                 "gene string, pc int, loading double")
-    return {"embedding": emb, "stdev": stdev, "loadings": load}
+    rows = stage(sparse_rows(values, genes, cells))
+    gram = _gram(rows, p)
+    n = max(gram[p, p], 1.0)
+    mean = gram[p, :p] / n
+    var, comp = np.linalg.eigh((gram[:p, :p] - n * np.outer(mean, mean)) / max(n - 1.0, 1.0))
+    k = min(k, p)
+    var, comp = var[::-1][:k], comp[:, ::-1][:, :k]
+    comp = np.ascontiguousarray(comp * np.where(comp[np.abs(comp).argmax(axis=0), range(k)] < 0, -1.0, 1.0))
+    stdev = spark.createDataFrame([(j + 1, float(s)) for j, s in enumerate(np.sqrt(np.maximum(var, 0.0)))], "pc int, stdev double")
+    load = spark.createDataFrame([(g, c.tolist()) for g, c in zip(genes, comp)], "gene string, v array<double>")
+    load = load.select("gene", F.posexplode("v").alias("j", "loading")).select(
+        "gene", (F.col("j") + 1).alias("pc"), "loading")
+    return {"embedding": _project(rows, comp, mean @ comp), "stdev": stdev, "loadings": load}
 
 
 def choose_pcs(stdev: DataFrame, lo: int = 5, hi: int = 20, frac: float = 0.01) -> DataFrame:

@@ -26,8 +26,8 @@ K_ANCHOR = 20
 PRUNE = 1.0 / 15
 RESOLUTION = 0.8
 SWEEPS = 4
-N_HVG = 200
-N_PCS = 20
+N_HVG = 3000
+N_PCS = 100
 V_E = ["embedding"]
 
 KNN_SQL = f"""
@@ -230,7 +230,7 @@ def _pca(spark, d):
 
 @register("pca_stdev")
 def pca_stdev(spark, d):
-    """G5 -> G7 -> G8: standard deviation of the first 20 principal components (200 variable genes)."""
+    """G5 -> G7 -> G8: standard deviation of the first 100 principal components (3000 variable genes)."""
     res, _ = _pca(spark, d)
     return finish(res["stdev"])
 
@@ -251,9 +251,11 @@ def top_loadings(spark, d):
 
 @register("pca_clusters")
 def pca_clusters(spark, d):
-    """G8 -> G13 -> G14 -> G15: spot clusters from the PCA embedding."""
+    """G8 -> G9 -> G13 -> G14 -> G15: spot clusters from the chosen components of the PCA embedding."""
     res, _ = _pca(spark, d)
-    emb = stage(res["embedding"].select(F.concat_ws("/", "sample", "barcode").alias("barcode"), "vec"))
+    chosen = em.choose_pcs(res["stdev"]).first()["n_chosen"]         # one number
+    emb = stage(res["embedding"].select(F.concat_ws("/", "sample", "barcode").alias("barcode"),
+                                        F.slice("vec", 1, chosen).alias("vec")))
     nn = stage(gr.knn(emb, K))
     return gr.graph_clusters(stage(gr.snn(nn, K, PRUNE)), RESOLUTION, SWEEPS).withColumnRenamed("node", "spot")
 
