@@ -35,6 +35,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.session import stage
+
 BUDGET, HISTORY = 2048, 512
 RUN = 256
 HEAD, END = "### ", "</turn>"
@@ -99,7 +101,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     turns = turns.withColumn("piece", F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit("\n"),
                                                F.col("body"), F.lit(f"{END}\n")))
     turns = turns.withColumn("cost", F.greatest(cost(F.col("piece")), F.lit(1)).cast("long"))
-    rows = _positions(_with_span(turns, budget, history))
+    # read by four branches below: written once, in the shared folder
+    rows = stage(_positions(_with_span(turns, budget, history)))
     # windows sort as their turns do: by longer turns passed, then block, a longer turn last
     rows = rows.withColumn("block", F.floor(F.col("before") / F.col("span"))) \
                .withColumn("window", F.struct("bigs", "big", "block"))
