@@ -22,6 +22,24 @@ def test_knn_exact_vs_numpy(spark):
         assert [x for _, x in sorted(got[f"c{i:03d}"])] == [n for _, n in order]
 
 
+def test_knn_by_angle_vs_numpy(spark):
+    rng = np.random.default_rng(6)
+    pts = np.vstack([rng.normal(0, 1, (50, 6)) + 1, 40 * rng.normal(0, 1, (50, 6)), np.zeros((1, 6))])
+    unit = pts[:-1] / np.linalg.norm(pts[:-1], axis=1, keepdims=True)
+    d = 1 - unit @ unit.T
+    got = {}
+    for r in gr.knn(_emb(spark, pts), 5, bin_occupancy=8, metric="cosine").collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["dist"]))
+    assert set(got) == {f"c{i:03d}" for i in range(100)}          # the zero vector has no direction
+    for i in range(100):
+        want = sorted((d[i, j], f"c{j:03d}") for j in range(100) if j != i)[:5]
+        assert [x for _, x, _ in sorted(got[f"c{i:03d}"])] == [n for _, n in want]
+        assert max(abs(a[2] - b[0]) for a, b in zip(sorted(got[f"c{i:03d}"]), want)) < 1e-12
+    q, r = _emb(spark, pts[:3], "q"), _emb(spark, pts[3:])
+    near = {x["src"]: x["dst"] for x in gr.knn(q, 1, ref=r, bin_occupancy=8, metric="cosine").collect()}
+    assert near == {f"q{i:03d}": f"c{int(d[i, 3:].argmin()):03d}" for i in range(3)}
+
+
 def test_clustering_recovers_planted_blocks(spark):
     rng = np.random.default_rng(2)
     pts = np.vstack([rng.normal(0, 0.3, (40, 4)), rng.normal(5, 0.3, (40, 4))])

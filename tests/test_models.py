@@ -173,3 +173,46 @@ def test_nmf_models_partitions_repeats_and_empty(spark):
     assert np.abs(a.factors[3, 0] - b.factors[3, 0]).max() < 1e-9
     none = dc.nmf_models(comp.limit(0), ranks=(3,), restarts=2)
     assert none.table().count() == none.profiles().count() == none.weights().count() == 0
+
+
+def _planted_views(spark):
+    """T0 follows its juxta view, T1 its own intra neighbour type T2; 120 spots of one slide."""
+    rng = np.random.default_rng(12)
+    intra, juxta, para = (rng.normal(size=(120, 3)) for _ in range(3))
+    intra[:, 0] = 2.0 * juxta[:, 0] + 0.1 * rng.normal(size=120)
+    intra[:, 1] = -1.5 * intra[:, 2] + 0.1 * rng.normal(size=120)
+    rows = [("S", f"b{i}", v, f"T{j}", float(x[i, j])) for v, x in (("intra", intra), ("juxta", juxta), ("para", para))
+            for i in range(120) for j in range(3)]
+    views = spark.createDataFrame(rows, "sample string, barcode string, view string, cell_type string, value double")
+    spots = views.select("sample", "barcode").distinct()
+    return intra, vw.view_models(views, spots, ["T0", "T1", "T2"], n_folds=5)
+
+
+def test_contributions_and_gain_of_planted_views(spark):
+    intra, got = _planted_views(spark)
+    share = {(r["target"], r["view"]): r["contribution"] for r in got["contributions"].collect()}
+    for t in ("T0", "T1", "T2"):
+        assert abs(sum(share[t, v] for v in ("intra", "juxta", "para")) - 1) < 1e-9
+        assert all(share[t, v] >= 0 for v in ("intra", "juxta", "para"))
+    r2 = {(r["target"], r["block"]): r["r2"] for r in got["view_r2"].collect()}
+    meta = {r["target"]: r["r2"] for r in got["meta_r2"].collect()}
+    gain = {r["target"]: r for r in got["gain"].collect()}
+    for t in ("T0", "T1", "T2"):
+        assert abs(gain[t]["r2_intra"] - r2[t, "intra"]) < 1e-12 and abs(gain[t]["r2_multi"] - meta[t]) < 1e-12
+        assert abs(gain[t]["gain"] - (meta[t] - r2[t, "intra"])) < 1e-12
+    # T0 is known from its neighbours only: the other views add what intra cannot say
+    assert r2["T0", "intra"] < 0.3 < 0.9 < r2["T0", "juxta"] and gain["T0"]["gain"] > 0.6
+    # T1 is known inside the spot: nothing to gain
+    assert r2["T1", "intra"] > 0.9 and abs(gain["T1"]["gain"]) < 0.05 and share["T1", "intra"] > 0.8
+
+
+def test_interaction_communities_of_planted_importances(spark):
+    from spotframe.operators import graph as gr
+    pairs = [("v", a, b, 1.0) for g in (["A", "B", "C"], ["D", "E", "F"]) for a in g for b in g if a < b] + [("v", "C", "D", 0.1)]
+    pairs += [("w", a, b, 1.0) for a, b in (("A", "D"), ("B", "E"))]
+    rows = pairs + [(v, b, a, z) for v, a, b, z in pairs]
+    e = spark.createDataFrame(rows, "block string, src string, dst string, weight double")
+    got = {(r["block"], r["node"]): r["cluster"] for r in gr.graph_clusters(e, 1.0, 8, by=["block"]).collect()}
+    parts = {v: {frozenset(n for (b, n), c in got.items() if b == v and c == x) for (b, _), x in got.items() if b == v} for v in "vw"}
+    assert parts["v"] == {frozenset("ABC"), frozenset("DEF")}
+    assert parts["w"] == {frozenset("AD"), frozenset("BE")}
