@@ -95,9 +95,10 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     return F.when(high == 0, F.lit(1.0)).when(low < F.lit(floor) * high, F.lit(0.0)).otherwise(exact)
 
 
-def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 2000) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 2000, chain: int | None = None) -> DataFrame:
     """Adds next_<column>: the value in the following row by (doc_id, text), null doc_id
-    first; after the last row comes the first.
+    first; after the last row comes the first.  With ``chain`` the spots of every row and
+    its follower are added too, computed once a row and again for the head of a bucket.
 
     Rows are dealt into ordered buckets of about ``bucket_rows`` by quantiles of doc_id;
     only the first row of every bucket travels to the bucket before it.
@@ -111,6 +112,9 @@ def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 2000) -> D
     least = least.select(F.col("bucket").alias("head_bucket"), F.col("key").alias("head_key"))
     heads = rows.join(F.broadcast(least), (F.col("bucket") == F.col("head_bucket")) & (F.col("key") == F.col("head_key")))
     heads = heads.groupBy("bucket").agg(F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("head"))
+    if chain:
+        heads = heads.withColumn("head", F.col("head").withField("spots", spots(F.col("head.text"), chain)))
+        rows, columns = rows.withColumn("spots", spots(F.col("text"), chain)), [*columns, "spots"]
     order = Window.orderBy("bucket")
     around = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("bucket", F.coalesce(F.lead("head").over(order), F.first("head").over(around)).alias("after"))
@@ -127,7 +131,7 @@ def edited_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """Fingerprints of every text and of its edit (the last quarter of its code points
     replaced by the beginning of the next document), with their likeness."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = with_next(rows.withColumn("spots", spots(F.col("text"), chain)), ["text", "spots"])
+    rows = with_next(rows, ["text"], chain=chain)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots",
