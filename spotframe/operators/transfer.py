@@ -11,6 +11,8 @@ G11 anchors = mutual k-nearest-neighbour pairs between two batches; the correcti
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +60,12 @@ def integrate(ref: DataFrame, qry: DataFrame, anchors: DataFrame, n_anchor: int
     width = nn.groupBy("src").agg(F.max("dist").alias("width"))
     w = F.when(F.col("width") > 0, F.exp(-(F.col("dist") / F.col("width")) * (F.col("dist") / F.col("width")))).otherwise(F.lit(1.0))
     t = nn.join(width, "src").join(mean_delta.withColumnRenamed("b_id", "dst"), "dst").withColumn("w", w)
-    t = t.select("src", "w", F.posexplode("delta").alias("i", "d"))
-    corr = t.groupBy("src", "i").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("c"))
-    cv = corr.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("_c"))
+    moved = array_to_vector(F.transform("delta", lambda d: F.col("w") * d))
+    cv = t.groupBy("src").agg(vector_to_array(Summarizer.sum(moved)).alias("_s"), F.sum("w").alias("_w"))
+    cv = cv.select("src", F.transform("_s", lambda s: s / F.col("_w")).alias("_c"))
     out = qry.select(F.col(id_col).alias("src"), F.col(vec).alias("v")).join(cv, "src", "left")
     fixed = F.when(F.col("_c").isNull(), F.col("v")).otherwise(
-        F.zip_with("v", F.transform("_c", lambda s: s["c"]), lambda x, y: x + y))
+        F.zip_with("v", "_c", lambda x, y: x + y))
     return out.select(F.col("src").alias(id_col), fixed.alias(vec))
 
 

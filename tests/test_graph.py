@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from spotframe.operators import composition as cp
 from spotframe.operators import graph as gr
@@ -120,3 +121,24 @@ def test_connected_parts_of_a_torn_community(spark):
     lab = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("x", "1"), ("y", "1"), ("y2", "1")], "node string, label string")
     got = {r["node"]: r["label"] for r in gr.connected_parts(_both_ways(spark, pairs), lab).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "x": "x", "y": "x", "y2": "x"}
+
+
+def test_knn_meets_blocks_without_writing_pairs(spark):
+    rng = np.random.default_rng(8)
+    pts = rng.integers(0, 3, (90, 3)).astype(float)              # many equal vectors and equal distances
+    emb = _emb(spark, np.vstack([pts, pts[:1]]))
+    twice = emb.unionByName(emb.filter("barcode = 'c004'")).withColumn("g", F.lit("x"))
+    odd = spark.createDataFrame([("n0", None, "x"), (None, [0.0, 0.0, 0.0], "x"), ("n1", [0.0, 0.0, 0.0], None)],
+                                "barcode string, vec array<double>, g string")
+    got = {}
+    for r in gr.knn(twice.unionByName(odd), 4, by=["g"], bin_occupancy=16).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["dist"]))
+    names = [f"c{i:03d}" for i in range(91)] + ["c004"]
+    all_ = np.vstack([pts, pts[:1], pts[4:5]])
+    d = np.sqrt(((all_[:, None, :] - all_[None, :, :]) ** 2).sum(-1))
+    assert set(got) == set(names)
+    for i, src in enumerate(names[:-1]):
+        rows = [(d[i, j], dst) for j, dst in enumerate(names) if dst != src] * names.count(src)
+        assert [(x, n) for _, n, x in sorted(got[src])] == sorted(rows)[:4]
+    plan = gr.knn(emb, 4)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
