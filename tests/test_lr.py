@@ -161,3 +161,35 @@ def test_permutations_are_a_thousand(spark):
     assert of["A", "A"] == (1, 1.0)
     # the query runs as many
     assert lr_queries.N_PERMS == 1000
+
+
+def test_null_scores_never_become_rows(spark):
+    genes = ["A", "B", *"cdefgh"]
+    e = spark.createDataFrame([("S", f"s{i}", g, float(1 + (i * 7 + j * 3) % 5)) for i in range(12) for j, g in enumerate(genes)
+                               if (i + j) % 3], "sample string, barcode string, gene string, value double")
+    edges = spark.createDataFrame([("S", f"s{i}", f"s{(i + d) % 12}") for i in range(12) for d in (1, 11)],
+                                  "sample string, src string, dst string")
+    db = spark.createDataFrame([("A_B", ["A"], ["B"], "p")], "lr string, ligand array<string>, receptor array<string>, pathway string")
+    scores = lrop.lr_scores(e, edges, db, min_spots=1)
+    got = lrop.lr_null_p(e, edges, db, scores, n_pairs=50, n_bins=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "gl#" not in plan        # spots never meet draws in a join
+    value = {(r["barcode"], r["gene"]): r["value"] for r in e.collect()}
+
+    def score(i, a, b):
+        own = [value.get((f"s{i}", g), 0.0) for g in (a, b)]
+        near = [(value.get((f"s{(i + 1) % 12}", g), 0.0) + value.get((f"s{(i - 1) % 12}", g), 0.0)) / 2 for g in (a, b)]
+        return 0.5 * (own[0] * (near[1] > 0) + (own[0] > 0) * near[1] + own[1] * (near[0] > 0) + (own[1] > 0) * near[0])
+    rows = got.collect()
+    assert len(rows) == sum(score(i, "A", "B") > 0 for i in range(12)) > 0
+    for r in rows:
+        assert r["score"] == score(int(r["barcode"][1:]), "A", "B")
+        assert 0 <= r["n_ge"] <= r["n_null"] <= 50 and abs(r["p"] - (1 + r["n_ge"]) / (1 + r["n_null"])) < 1e-12
+
+
+def test_distinct_genes_of_every_pairing(spark, tmp_path):
+    from spotframe.plans.lr_queries import lr_genes_distinct
+    names = ["cold bolt", "hot nut", "hot ring", "blue gear", "red gear", "red plate", "green gear"]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["gene"] for r in lr_genes_distinct(spark, str(tmp_path)).collect()}
+    assert got == {*names, "hot bolt"} - {"green gear"}
