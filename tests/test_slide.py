@@ -39,3 +39,13 @@ def test_views_juxta_sum(spark):
     v = sp.views(comp, spots, para_l=100.0)
     j = {r["barcode"]: r["value"] for r in v.filter("view = 'juxta'").collect()}
     assert j["s0"] == 6.0 and "s7" not in j
+
+
+def test_spot_tables_never_go_through_the_driver(spark):
+    from spotframe.operators import slide
+    spots = spark.createDataFrame([("S", f"s{i}", i // 3, 2 * (i % 3) + i // 3 % 2, 50.0 * (i % 3), 86.6 * (i // 3)) for i in range(9)],
+                                  "sample string, barcode string, array_row int, array_col int, x double, y double")
+    comp = spots.selectExpr("sample", "barcode", "'T' as cell_type", "1.0D as score")
+    joined = slide.views(comp, spots, 100.0)
+    assert joined.filter("view = 'intra'").count() == 9
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
