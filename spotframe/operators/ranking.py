@@ -31,13 +31,19 @@ def make_unique(genes: DataFrame, name: str = "gene_name", order: str = "idx", o
     rn = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
     taken = (genes.select(F.regexp_extract(F.col(name), r"^(.*)-([1-9][0-9]{0,8})$", 1).alias(key),
                           F.regexp_extract(F.col(name), r"^(.*)-([1-9][0-9]{0,8})$", 2).alias("_n"))
-             .filter(F.col("_n") != "").groupBy(key).agg(F.collect_set(F.col("_n").cast("int")).alias("_taken")))
-    free = F.array_except(F.sequence(F.lit(1), F.col("_rn") + F.size("_all")), F.col("_all"))
-    return (genes.withColumn("_rn", rn).join(taken, F.col(name) == F.col(key), "left")
-            .withColumn("_all", F.coalesce("_taken", F.array().cast("array<int>")))
+             .filter(F.col("_n") != "").select(key, F.col("_n").cast("int").alias("_n")).distinct())
+    # before the j-th smallest taken number t lie t - j free ones; of free numbers that lie before the same count of
+    # taken ones, [from, to) in their own order, each is its place plus that count
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_n"))
+    after = taken.select(key, (F.col("_n") - place).alias("_from"), place.alias("_shift"))
+    after = after.groupBy(key, "_from").agg(F.max("_shift").alias("_shift"))
+    upto = F.lead("_from", 1, (1 << 31) - 1).over(Window.partitionBy(key).orderBy("_from"))
+    after = after.withColumn("_to", upto)
+    hit = (F.col(name) == F.col(key)) & (F.col("_rn") > F.col("_from")) & (F.col("_rn") <= F.col("_to"))
+    return (genes.withColumn("_rn", rn).join(after, hit, "left")
             .withColumn(out, F.when(F.col("_rn") == 0, F.col(name)).otherwise(
-                F.concat(F.col(name), F.lit("-"), F.get(free, F.col("_rn") - 1).cast("string"))))
-            .drop("_rn", key, "_taken", "_all"))
+                F.concat(F.col(name), F.lit("-"), (F.col("_rn") + F.coalesce("_shift", F.lit(0))).cast("string"))))
+            .drop("_rn", key, "_from", "_shift", "_to"))
 
 
 def avg_rank(df: DataFrame, by: list[str], col: str, out: str = "avg_rank") -> DataFrame:

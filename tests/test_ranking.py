@@ -33,3 +33,15 @@ def test_avg_rank_shares_ties(spark):
     df = spark.createDataFrame([("s", v) for v in (3, 1, 1, 2, 3, 3)], "sample string, v long")
     assert sorted((r["v"], r["avg_rank"]) for r in rk.avg_rank(df, ["sample"], "v").collect()) == \
         [(1, 1.5), (1, 1.5), (2, 3.0), (3, 5.0), (3, 5.0), (3, 5.0)]
+
+
+def test_make_unique_counts_past_taken_numbers_without_writing_them_out(spark):
+    names = ["A"] * 40 + [f"A-{n}" for n in (1, 2, 5, 6, 9, 20, 21, 300)] + ["B"] * 3 + [None, None]
+    g = spark.createDataFrame([(str(i), n, i) for i, n in enumerate(names)], "gene_id string, gene_name string, idx long")
+    u = rk.make_unique(g)
+    want, free = {}, [n for n in range(1, 100) if f"A-{n}" not in names]
+    for i, n in enumerate(names):
+        before = names[:i].count(n)
+        want[str(i)] = n if before == 0 or n is None else f"{n}-{free[before - 1] if n == 'A' else before}"
+    assert {r["gene_id"]: r["unique_name"] for r in u.collect()} == want
+    assert "sequence(" not in u._jdf.queryExecution().toString()      # as many numbers a row as the name has copies
