@@ -1,8 +1,8 @@
 """Composition clustering of spots: Lloyd k-means on the long
 spot x cell-type table, fixed iterations, deterministic start.
 
-  distance(s, c) = |x_s|^2 - 2 x_s . c + |c|^2  (dot products by a join on cell type
-                   with the broadcast centroid table: k x types rows)
+  distance(s, c) = |x_s|^2 - 2 x_s . c + |c|^2  (every spot against the centroid table of
+                   k x types numbers, inside the task that holds the spot)
   start          the k spots first in md5(sample || '/' || barcode) order
   ties           smallest centroid index; an empty cluster keeps its centroid
   labels         CC1..CCk renumbered by cluster size (desc), then index
@@ -10,10 +10,16 @@ spot x cell-type table, fixed iterations, deterministic start.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from spotframe.session import cut_lineage
+from spotframe.session import cut_lineage, ship_library
 
 KEYS = ["sample", "barcode"]
 
@@ -35,32 +41,87 @@ def lloyd(x: DataFrame, k: int, iters: int, centroids: DataFrame | None = None)
     return assign.drop("m"), C.drop("m")
 
 
+#: numbers in one block of spots x clusters made dense inside a task
+DISTANCE_CELLS = 1 << 20
+
+
+def _nearest(batch: pa.RecordBatch, cents: np.ndarray, cc: np.ndarray, starts: list[int]) -> Iterator[tuple]:
+    """(first row, spot vectors, nearest cluster of every model, its distance) for blocks of the batch's
+    spots; types add up in their own order, so that equal centroids stay equally far."""
+    step, n_types = max(1, DISTANCE_CELLS // max(1, len(cc))), cents.shape[1]
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        t, n = part.column("t"), part.num_rows
+        x = np.zeros((n, n_types))
+        np.add.at(x, (np.repeat(np.arange(n), pc.list_value_length(t).to_numpy()), t.flatten().to_numpy()),
+                  part.column("s").flatten().to_numpy())
+        dot = np.zeros((n, len(cc)))
+        for k in range(n_types):
+            dot += x[:, k, None] * cents[:, k]
+        dist = part.column("xx").to_numpy(zero_copy_only=False)[:, None] - 2.0 * dot + cc
+        k = np.stack([dist[:, a:b].argmin(1) for a, b in zip(starts, starts[1:])], 1)
+        yield start, x, k, np.take_along_axis(dist, k + np.array(starts[:-1]), 1)
+
+
 def lloyd_models(x: DataFrame, C: DataFrame, ks: list[int], iters: int) -> tuple[DataFrame, DataFrame]:
-    """Several k-means models at once, each of ``ks`` clusters and named ``m`` by their number:
-    one set of joins per iteration.  Centroid tables have sum(ks) x types rows."""
-    x = x.select(*KEYS, "cell_type", "score")
-    xx = x.groupBy(*KEYS).agg(F.sum(F.col("score") * F.col("score")).alias("xx"))
-    every = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("k")) for m in ks for i in range(m)])).alias("_mk")
-    grid0 = xx.select(*KEYS, "xx", every).select(*KEYS, "xx", "_mk.m", "_mk.k")
-    assign = None
-    for it in range(iters + 1):
-        C = cut_lineage(C)
-        cc = C.groupBy("m", "k").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-        dot = x.join(F.broadcast(C), "cell_type").groupBy(*KEYS, "m", "k").agg(F.sum(F.col("score") * F.col("c")).alias("dot"))
-        grid = grid0.join(F.broadcast(cc), ["m", "k"], "left").join(dot, KEYS + ["m", "k"], "left")
-        dist = F.col("xx") - F.lit(2.0) * F.coalesce("dot", F.lit(0.0)) + F.coalesce("cc", F.lit(0.0))
-        grid = grid.select(*KEYS, "m", "k", dist.alias("dist"))
-        assign = grid.groupBy(*KEYS, "m").agg(F.min(F.struct("dist", "k")).alias("_b")).select(
-            *KEYS, "m", F.col("_b.k").alias("k"), F.col("_b.dist").alias("dist"))
-        assign = cut_lineage(assign)
-        if it == iters:
-            break
-        n_k = assign.groupBy("m", "k").agg(F.count("*").alias("n_k"))
-        new = (x.join(assign.select(*KEYS, "m", "k"), KEYS).groupBy("m", "k", "cell_type").agg(F.sum("score").alias("_s"))
-               .join(F.broadcast(n_k), ["m", "k"]).select("m", "k", "cell_type", (F.col("_s") / F.col("n_k")).alias("c")))
-        kept = C.join(n_k, ["m", "k"], "left_anti").select("m", "k", "cell_type", "c")
-        C = new.unionByName(kept)
-    return assign, C
+    """Several k-means models at once, each of ``ks`` clusters and named ``m`` by their number.
+    A spot is one row with its scores in a list; a task measures its spots against every centroid
+    and hands on sums per cluster and type.  Centroid tables have sum(ks) x types numbers.  The
+    centroids returned leave out zeros."""
+    spark = x.sparkSession
+    types = sorted(r[0] for r in x.select("cell_type").distinct().dropna().collect())      # cell types
+    index = spark.createDataFrame([(c, i) for i, c in enumerate(types)], "cell_type string, t int")
+    entry = F.when(F.col("t").isNotNull() & F.col("score").isNotNull() & F.col("sample").isNotNull()
+                   & F.col("barcode").isNotNull(), F.struct("t", "score"))
+    spots = cut_lineage(x.join(F.broadcast(index), "cell_type", "left").groupBy(*KEYS)
+                        .agg(F.sum(F.col("score") * F.col("score")).cast("double").alias("xx"), F.collect_list(entry).alias("_e"))
+                        .select(*KEYS, "xx", F.col("_e.t").alias("t"), F.col("_e.score").cast("array<double>").alias("s")))
+    starts = np.append(0, np.cumsum(ks)).tolist()
+    of, at = dict(zip(ks, starts)), {c: i for i, c in enumerate(types)}
+    cents, cc = np.zeros((starts[-1], len(types))), np.zeros(starts[-1])
+    for r in C.dropna(subset=["cell_type", "c"]).collect():                                # sum(ks) x types
+        cents[of[r["m"]] + r["k"], at[r["cell_type"]]] += r["c"]
+        cc[of[r["m"]] + r["k"]] += r["c"] * r["c"]
+    ship_library(spark)
+
+    def sums_of(cents: np.ndarray, cc: np.ndarray):
+        def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((starts[-1], cents.shape[1] + 1))
+            for batch in table:
+                for _, v, k, _ in _nearest(batch, cents, cc, starts):
+                    v = np.append(v, np.ones((len(v), 1)), 1)
+                    for m, first in enumerate(starts[:-1]):
+                        own = np.zeros((len(v), starts[m + 1] - first))
+                        own[np.arange(len(v)), k[:, m]] = 1.0
+                        total[first:starts[m + 1]] += own.T @ v
+            p, t = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(t, pa.int32()), pa.array(total[p, t])], names=["p", "t", "s"])
+        return run
+
+    def named(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in table:
+            for start, _, k, dist in _nearest(batch, cents, cc, starts):
+                part, n = batch.slice(start, len(k)), len(ks)
+                ends = pa.array(np.arange(0, k.size + 1, n), pa.int32())
+                gone = np.repeat(part.column("xx").is_null().to_numpy(zero_copy_only=False), n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("sample"), part.column("barcode"), pa.ListArray.from_arrays(ends, pa.array(k.ravel(), pa.int32())),
+                     pa.ListArray.from_arrays(ends, pa.array(dist.ravel(), mask=gone))], names=["sample", "barcode", "k", "dist"])
+
+    for _ in range(iters):
+        total = np.zeros((starts[-1], len(types) + 1))
+        for r in spots.mapInArrow(sums_of(cents, cc), "p int, t int, s double").groupBy("p", "t").agg(F.sum("s").alias("s")).collect():
+            total[r["p"], r["t"]] = r["s"]
+        # an empty cluster keeps its centroid
+        some = total[:, -1] > 0
+        cents, cc = cents.copy(), cc.copy()
+        cents[some] = total[some, :-1] / total[some, -1:]
+        cc[some] = (cents[some] ** 2).sum(1)
+    schema = StructType([*(spots.schema[c] for c in KEYS), StructField("k", ArrayType(IntegerType())), StructField("dist", ArrayType(DoubleType()))])
+    found = cut_lineage(spots.mapInArrow(named, schema)).withColumn("m", F.array(*[F.lit(m) for m in ks]))
+    assign = found.select(*KEYS, F.explode(F.arrays_zip("m", "k", "dist")).alias("_z")).select(*KEYS, "_z.m", "_z.k", "_z.dist")
+    left = [(m, k, c, float(cents[of[m] + k, i])) for m in ks for k in range(m) for i, c in enumerate(types) if cents[of[m] + k, i]]
+    return assign, spark.createDataFrame(left, "m int, k int, cell_type string, c double")
 
 
 def relabel_by_size(assign: DataFrame, prefix: str = "CC") -> DataFrame:

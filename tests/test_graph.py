@@ -72,6 +72,36 @@ def test_kmeans_planted(spark):
     assert lab["a0"] != lab["b0"]
 
 
+def test_elbow_by_brute_force_and_in_the_spots_task(spark):
+    import hashlib
+    rng = np.random.default_rng(4)
+    x = rng.dirichlet([0.6] * 4, 60)
+    comp = spark.createDataFrame([("S", f"s{i}", f"T{t}", float(v)) for i, r in enumerate(x) for t, v in enumerate(r)],
+                                 "sample string, barcode string, cell_type string, score double")
+    order = sorted(range(60), key=lambda i: hashlib.md5(f"S/s{i}".encode()).hexdigest())
+    want = {}
+    for k in range(1, 7):
+        c = x[order[:k]]
+        for it in range(4):
+            d = ((x[:, None] - c) ** 2).sum(2)
+            at = d.argmin(1)
+            if it < 3:
+                c = np.array([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(k)])
+        want[k] = d.min(1).sum()
+    got = {r["k"]: r["wcss"] for r in cp.elbow(comp, 6, 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_distances_to_centroids_never_become_rows(spark, monkeypatch):
+    """One staged row per spot and model at most: spots x clusters stay inside the tasks."""
+    comp = spark.createDataFrame([("S", f"s{i}", f"T{t}", float(i % 7 + t)) for i in range(50) for t in range(3)],
+                                 "sample string, barcode string, cell_type string, score double")
+    held = []
+    monkeypatch.setattr(cp, "cut_lineage", lambda df, f=cp.cut_lineage: held.append(f(df)) or held[-1])
+    assert cp.elbow(comp, 5, 2).count() == 5
+    assert max(d.count() for d in held) <= 50
+
+
 def _both_ways(spark, pairs):
     rows = [(a, b, w) for a, b, w in pairs] + [(b, a, w) for a, b, w in pairs]
     return spark.createDataFrame(rows, "src string, dst string, weight double")
