@@ -89,9 +89,17 @@ def log_choose_sql(n: str, k: str) -> str:
     return f"(lgamma(({n})::DOUBLE + 1) - lgamma(({k})::DOUBLE + 1) - lgamma(({n})::DOUBLE - ({k})::DOUBLE + 1))"
 
 
+def hyper_terms(lo: Column, hi: Column, N: Column, K: Column, n: Column) -> tuple[Column, Column]:
+    """[lo, hi] without the outer terms that are 0.0 as doubles."""
+    # P(|X - mean| >= d) <= 2 exp(-2 d^2 / m) for m = min(n, K, N - n, N - K) (Hoeffding, over the
+    # symmetries of the distribution): past d = 20 sqrt(m) a term is under exp(-799), which is 0.0 as a double
+    mean = F.coalesce(F.try_divide(n.cast("double") * K.cast("double"), N.cast("double")), F.lit(0.0))
+    reach = F.lit(20.0) * F.sqrt(F.greatest(F.least(n, K, N - n, N - K).cast("double"), F.lit(0.0))) + F.lit(1.0)
+    return F.greatest(lo, F.floor(mean - reach)).cast("int"), F.least(hi, F.ceil(mean + reach)).cast("int")
+
+
 def _hyper_sum(lo: Column, hi: Column, N: Column, K: Column, n: Column) -> Column:
-    lo = lo.cast("int")
-    hi = hi.cast("int")
+    lo, hi = hyper_terms(lo, hi, N, K, n)
     base = log_choose(N, n)
     summed = F.aggregate(
         F.sequence(lo, hi), F.lit(0.0),

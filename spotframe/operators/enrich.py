@@ -110,6 +110,10 @@ def cooccurrence(composition: DataFrame, labels: DataFrame, threshold: float, gr
     return _pairs_stats(present, lab, "cell_type", sig)
 
 
+#: tasks that share the tails of ``enriched_lrs``
+TAIL_TASKS = 64
+
+
 def enriched_lrs(ce: DataFrame, labels: DataFrame, min_expr: float = 1.0, max_p: float = 0.2,
                  group: str = "cc") -> DataFrame:
     """K5: per cluster and LR, co-occurrence of ligand (complex level >= min_expr) and receptor
@@ -124,8 +128,10 @@ def enriched_lrs(ce: DataFrame, labels: DataFrame, min_expr: float = 1.0, max_p:
     nb = rec.groupBy("cc", "lr").agg(F.count("*").alias("n_b"))
     k = lig.join(rec, KEYS + ["cc", "lr"]).groupBy("cc", "lr").agg(F.count("*").alias("k"))
     t = na.join(nb, ["cc", "lr"]).join(k, ["cc", "lr"], "left").fillna(0, ["k"]).join(n_cc, "cc")
-    t = t.withColumn("p_ge", hyper_upper(F.col("k"), F.col("n_total"), F.col("n_a"), F.col("n_b")))
-    return t.filter(F.col("p_ge") < F.lit(max_p))
+    t = t.repartition(TAIL_TASKS).withColumn(
+        "p_ge", hyper_upper(F.col("k"), F.col("n_total"), F.col("n_a"), F.col("n_b")))
+    # one row per cluster and LR, dealt out since each is a long sum; written out so that no filter repeats it
+    return stage(t).filter(F.col("p_ge") < F.lit(max_p))
 
 
 SPOTS_PER_BUCKET = 1 << 18

@@ -52,3 +52,20 @@ def test_round_half_up(spark):
     df = spark.createDataFrame([(0.0465,), (0.0475,), (1.0,)], "x double").select(stats.round_half_up(F.col("x"), 3).alias("r"))
     got = [r["r"] for r in df.collect()]
     assert got == [float(np.floor(0.0465 * 1000 + 0.5) / 1000), float(np.floor(0.0475 * 1000 + 0.5) / 1000), 1.0]
+
+
+def test_hypergeometric_tail_sums_only_terms_that_count(spark):
+    N, K, n = 2_000_000, 900_000, 400_000
+    df = spark.createDataFrame([(k,) for k in (179_000, 180_000, 180_500, 182_000, 250_000)], "k int")
+    col = [F.lit(v) for v in (N, K, n)]
+    lo, hi = stats.hyper_terms(F.lit(0), F.least(*col[1:]), *col)
+    got = df.select("k", stats.hyper_upper(F.col("k"), *col).alias("up"), stats.hyper_lower(F.col("k"), *col).alias("lo"),
+                    (hi - lo).alias("terms")).collect()
+    lg = np.vectorize(math.lgamma)
+    x = np.arange(160_000, 200_000, dtype=float)      # every term above 1e-300
+    choose = lambda a, b: lg(a + 1.0) - lg(b + 1.0) - lg(a - b + 1.0)
+    term = np.exp(choose(float(K), x) + choose(float(N - K), n - x) - choose(float(N), float(n)))
+    for r in got:
+        assert r["terms"] < 30_000
+        assert abs(r["up"] - min(1.0, term[x >= r["k"]].sum())) < 1e-6
+        assert abs(r["lo"] - min(1.0, term[x <= r["k"]].sum())) < 1e-6
