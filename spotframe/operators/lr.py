@@ -101,7 +101,7 @@ def lr_scores(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, min_spots: in
     s = w.select(*KEYS, "lr", "L", "R", "mL", "mR",
                  _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score")).filter(F.col("score") > 0)
     cnt = s.groupBy("sample", "lr").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_spots)
-    return s.join(cnt.select("sample", "lr"), ["sample", "lr"], "left_semi")
+    return s.join(F.broadcast(cnt.select("sample", "lr")), ["sample", "lr"], "left_semi")    # samples x LRs
 
 
 def _bin(bounds: list[float], c: Column) -> Column:
@@ -215,7 +215,7 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
 def lr_significance(stats: DataFrame, n_lr: DataFrame, cutoff: float) -> DataFrame:
     """H3: BH across LRs within each spot (m = LRs retained in the sample), -log10(p_adj),
     score kept only when significant.  ``n_lr``: (sample, m)."""
-    s = stats.join(n_lr, "sample")
+    s = stats.join(F.broadcast(n_lr), "sample")      # one row per sample
     s = bh_adjust(s, "p", KEYS, "p_adj", m_col="m")
     return (s.withColumn("neg_log10_p_adj", -F.log10("p_adj"))
              .withColumn("sig", F.col("p_adj") < F.lit(cutoff))
@@ -258,7 +258,7 @@ def cci_counts(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataF
     c = t.groupBy("sample", "lr", "sender", "receiver").agg(F.countDistinct("barcode").alias("n"))
     sig = stats.filter("sig")
     keep = sig.groupBy("sample", "lr").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_spots)
-    return c.join(keep.select("sample", "lr"), ["sample", "lr"], "left_semi")
+    return c.join(F.broadcast(keep.select("sample", "lr")), ["sample", "lr"], "left_semi")
 
 
 def lr_spot_category(expr: DataFrame, lr_db: DataFrame, ce: DataFrame | None = None) -> DataFrame:

@@ -56,12 +56,15 @@ class LRFlow:
     def ce(self):
         return self._get("ce", lambda: lrop.complex_expression(self.expr, self.lr_db))
 
+    # tables of a row per spot and LR keep the columns that a later step or a result reads
     def scores(self):
-        return self._get("scores", lambda: lrop.lr_scores(self.expr, self.edges, self.lr_db, MIN_SPOTS, ce=self.ce()))
+        return self._get("scores", lambda: lrop.lr_scores(self.expr, self.edges, self.lr_db, MIN_SPOTS, ce=self.ce())
+                         .select(*KEYS, "lr", "score"))
 
     def pvalues(self):
         return self._get("pvalues", lambda: lrop.lr_null_p(self.expr, self.edges, self.lr_db, self.scores(),
-                                                           N_PAIRS, N_BINS, ce=self.ce()))
+                                                           N_PAIRS, N_BINS, ce=self.ce())
+                         .select(*KEYS, "lr", "score", "p"))
 
     def stats(self):
         def build():

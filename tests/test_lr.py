@@ -193,3 +193,21 @@ def test_distinct_genes_of_every_pairing(spark, tmp_path):
     spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = {r["gene"] for r in lr_genes_distinct(spark, str(tmp_path)).collect()}
     assert got == {*names, "hot bolt"} - {"green gear"}
+
+
+def test_spot_tables_of_the_flow_keep_what_is_read(spark, tmp_path):
+    """Tables of a row per spot and LR are not shuffled by sample and LR, nor with columns nobody reads."""
+    names = ["cold bolt", "hot ring", "hot bolt", "blue bolt", "red ring", "red bolt"]
+    tables = {"part": ([(i, n) for i, n in enumerate(names)], "p_partkey long, p_name string"),
+              "customer": ([(i, "A") for i in range(120)], "c_custkey long, c_mktsegment string"),
+              "orders": ([(i, i) for i in range(120)], "o_orderkey long, o_custkey long"),
+              "lineitem": ([(i, p, float(1 + (i * p) % 5)) for i in range(120) for p in range(6) if (i + p) % 3],
+                           "l_orderkey long, l_partkey long, l_quantity double")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    flow = lr_queries.LRFlow(spark, str(tmp_path))
+    assert flow.scores().count() > 0
+    assert flow.scores().columns == ["sample", "barcode", "lr", "score"]
+    assert flow.pvalues().columns == ["sample", "barcode", "lr", "score", "p"]
+    plan = lrop.lr_scores(flow.expr, flow.edges, flow.lr_db, 5, ce=flow.ce())._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in next(line for line in plan.splitlines() if "LeftSemi" in line)
