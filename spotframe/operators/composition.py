@@ -47,7 +47,8 @@ DISTANCE_CELLS = 1 << 20
 
 def _nearest(batch: pa.RecordBatch, cents: np.ndarray, cc: np.ndarray, starts: list[int]) -> Iterator[tuple]:
     """(first row, spot vectors, nearest cluster of every model, its distance) for blocks of the batch's
-    spots; types add up in their own order, so that equal centroids stay equally far."""
+    spots; types add up in their own order, so that equal centroids stay equally far.  The last column,
+    of rows without a type, meets no centroid."""
     step, n_types = max(1, DISTANCE_CELLS // max(1, len(cc))), cents.shape[1]
     for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)
@@ -56,7 +57,7 @@ def _nearest(batch: pa.RecordBatch, cents: np.ndarray, cc: np.ndarray, starts: l
         np.add.at(x, (np.repeat(np.arange(n), pc.list_value_length(t).to_numpy()), t.flatten().to_numpy()),
                   part.column("s").flatten().to_numpy())
         dot = np.zeros((n, len(cc)))
-        for k in range(n_types):
+        for k in range(n_types - 1):
             dot += x[:, k, None] * cents[:, k]
         dist = part.column("xx").to_numpy(zero_copy_only=False)[:, None] - 2.0 * dot + cc
         k = np.stack([dist[:, a:b].argmin(1) for a, b in zip(starts, starts[1:])], 1)
@@ -71,15 +72,16 @@ def lloyd_models(x: DataFrame, C: DataFrame, ks: list[int], iters: int) -> tuple
     spark = x.sparkSession
     types = sorted(r[0] for r in x.select("cell_type").distinct().dropna().collect())      # cell types
     index = spark.createDataFrame([(c, i) for i, c in enumerate(types)], "cell_type string, t int")
-    entry = F.when(F.col("t").isNotNull() & F.col("score").isNotNull() & F.col("sample").isNotNull()
-                   & F.col("barcode").isNotNull(), F.struct("t", "score"))
+    types = [*types, None]       # rows without a type count in a centroid's length alone
+    entry = F.when(F.col("score").isNotNull() & F.col("sample").isNotNull() & F.col("barcode").isNotNull(),
+                   F.struct(F.coalesce("t", F.lit(len(types) - 1)).alias("t"), "score"))
     spots = cut_lineage(x.join(F.broadcast(index), "cell_type", "left").groupBy(*KEYS)
                         .agg(F.sum(F.col("score") * F.col("score")).cast("double").alias("xx"), F.collect_list(entry).alias("_e"))
                         .select(*KEYS, "xx", F.col("_e.t").alias("t"), F.col("_e.score").cast("array<double>").alias("s")))
     starts = np.append(0, np.cumsum(ks)).tolist()
     of, at = dict(zip(ks, starts)), {c: i for i, c in enumerate(types)}
     cents, cc = np.zeros((starts[-1], len(types))), np.zeros(starts[-1])
-    for r in C.dropna(subset=["cell_type", "c"]).collect():                                # sum(ks) x types
+    for r in C.dropna(subset=["c"]).collect():                                            # sum(ks) x types
         cents[of[r["m"]] + r["k"], at[r["cell_type"]]] += r["c"]
         cc[of[r["m"]] + r["k"]] += r["c"] * r["c"]
     ship_library(spark)
