@@ -3,7 +3,8 @@
 
 ``find_markers`` is a zero-aware Wilcoxon rank-sum test for every (gene, group)
 at once.  Zeros form one tie block of rank (z + 1) / 2; the non-zero ranks come
-from the skew-safe ``average_rank``.  Per (gene, group):
+from one window by gene, or from the skew-safe ``average_rank`` where a gene has
+more than ``hot_distinct`` rows.  Per (gene, group):
 
   R1 = sum(rank of non-zeros in group) + z1 (z + 1) / 2,  U = R1 - n1 (n1 + 1) / 2
   sigma^2 = n1 n2 / 12 ((N + 1) - sum(t^3 - t) / (N (N - 1)))
@@ -36,6 +37,15 @@ def _explode_groups(df: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
             .select("*", F.explode("_groups").alias("_g")).select("*", f"_g.{group}", "_g.n1").drop("_groups", "_g"))
 
 
+def _ranked_by_gene(counts: DataFrame) -> DataFrame:
+    """Rows of ``counts`` (gene, value, ..., cnt) with ``tie`` (weight of their value) and the average-tie
+    rank of ``average_rank``, from one shuffle by gene; for genes whose rows fit one task."""
+    up_to = F.sum("cnt").over(Window.partitionBy("gene").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tie = F.sum("cnt").over(Window.partitionBy("gene", "value"))
+    d = counts.filter(F.col("gene").isNotNull()).repartition("gene").withColumn("_up_to", up_to).withColumn("tie", tie)
+    return d.withColumn("rank", (F.col("_up_to") - F.col("tie")) + (F.col("tie") + F.lit(1)) / F.lit(2.0)).drop("_up_to")
+
+
 def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", only_pos: bool = False,
                  min_pct: float = 0.0, min_logfc: float = 0.0, max_p: float | None = None,
                  n_genes: int | None = None, buckets: int = 32, hot_distinct: int = 100_000) -> DataFrame:
@@ -52,13 +62,22 @@ def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", onl
     e = expr.join(lab, KEYS).select("gene", "value", group)
     # both tables feed two consumers (tie terms / rank sums): materialise once
     vc = cut_lineage(e.groupBy("gene", "value", group).agg(F.count("*").alias("cnt")))
-    ranks = cut_lineage(average_rank(vc, ["gene"], "value", weight="cnt", buckets=buckets, hot_distinct=hot_distinct))
-    gstat = ranks.groupBy("gene").agg(
-        F.sum("cnt").alias("nnz"),
-        F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("ties_nz"),
-        F.sum(F.col("cnt") * F.expm1("value")).alias("s_all"))
-    per = (vc.join(ranks.select("gene", "value", "rank"), ["gene", "value"])
-           .groupBy("gene", group)
+    if vc.groupBy("gene").count().filter(F.col("count") > hot_distinct).isEmpty():
+        ranked = cut_lineage(_ranked_by_gene(vc))
+        # rows of one value share its tie block t: t^3 - t is the sum of cnt (t^2 - 1) over them
+        gstat = ranked.groupBy("gene").agg(
+            F.sum("cnt").alias("nnz"),
+            F.sum(F.col("cnt") * (F.pow(F.col("tie").cast("double"), 2) - F.lit(1.0))).alias("ties_nz"),
+            F.sum(F.col("cnt") * F.expm1("value")).alias("s_all"))
+        ranked = ranked.filter(F.col("value").isNotNull())
+    else:
+        ranks = cut_lineage(average_rank(vc, ["gene"], "value", weight="cnt", buckets=buckets, hot_distinct=hot_distinct))
+        gstat = ranks.groupBy("gene").agg(
+            F.sum("cnt").alias("nnz"),
+            F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("ties_nz"),
+            F.sum(F.col("cnt") * F.expm1("value")).alias("s_all"))
+        ranked = vc.join(ranks.select("gene", "value", "rank"), ["gene", "value"])
+    per = (ranked.groupBy("gene", group)
            .agg(F.sum("cnt").alias("nnz1"), F.sum(F.col("cnt") * F.col("rank")).alias("r_nz1"),
                 F.sum(F.col("cnt") * F.expm1("value")).alias("s1")))
     grid = _explode_groups(gstat, sizes, group)

@@ -58,6 +58,24 @@ def test_find_markers_matches_dense_rank_sum(spark):
             assert abs(r["p_val_adj"] - min(1.0, r["p_val"] * dense.shape[1])) < 1e-12
 
 
+def test_markers_of_small_genes_rank_in_one_window(spark, monkeypatch):
+    """Genes under ``hot_distinct`` rows need no sliced ranks, and get what the sliced ranks give."""
+    dense, labels = _fixture(5)
+    rows = [("S", f"c{i}", f"g{g}", float(dense[i, g])) for i in range(dense.shape[0]) for g in range(dense.shape[1])
+            if dense[i, g] != 0] + [("S", "c1", None, 1.0), ("S", "c1", "g9", None)]
+    expr = spark.createDataFrame(rows, "sample string, barcode string, gene string, value double")
+    lab = spark.createDataFrame([("S", f"c{i}", labels[i]) for i in range(len(labels))], "sample string, barcode string, cluster string")
+    got = lambda **k: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                             for r in mk.find_markers(expr, lab, "cluster", **k).collect())
+    sliced = got(buckets=4, hot_distinct=3)
+
+    def never(*a, **k):
+        raise AssertionError("sliced ranks")
+
+    monkeypatch.setattr(mk, "average_rank", never)
+    assert got() == sliced and len(sliced) == 3 * dense.shape[1]
+
+
 def test_average_rank_matches_pandas(spark):
     rng = np.random.default_rng(1)
     vals = rng.integers(0, 30, size=500).astype(float)
