@@ -29,8 +29,7 @@ V = ["spots", "expr_coarse", "lr_db"]
 def _flow(spark, d):
     f = LRFlow(spark, d)
     pairs = stage(sp.spot_pairs_within(f.spots, RADIUS, include_self=True))
-    flow = stage(tr.lr_transport(f.ce(), pairs, RADIUS, EPS, LAM, ITERS))
-    return f, flow
+    return f, tr.lr_transport(f.ce(), pairs, RADIUS, EPS, LAM, ITERS, spots=f.spots)
 
 
 def _sinkhorn_sql() -> str:
@@ -77,7 +76,7 @@ FROM amt a JOIN lr_db d USING (lr) GROUP BY ROLLUP (a.sample, a.barcode, d.pathw
 def pathway_sum(spark, d):
     """Sent / received per pathway and spot, with the all-pathway total (pathway NULL)."""
     f, flow = _flow(spark, d)
-    p = tr.pathway_sum(tr.spot_amounts(flow), f.lr_db)
+    p = tr.pathway_sum(tr.spot_amounts(stage(flow)), f.lr_db)
     return finish(p.select("sample", "barcode", "pathway", (F.col("sent") * F.lit(1e6)).alias("sent_ppm"),
                            (F.col("received") * F.lit(1e6)).alias("received_ppm")))
 
