@@ -28,7 +28,6 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from spotframe.functions.ranks import exact_percentile
 from spotframe.functions.stats import lcg
 from spotframe.operators.ranking import bh_adjust
-from spotframe.operators.slide import neighbor_mean
 from spotframe.session import cut_lineage, ship_library
 
 KEYS = ["sample", "barcode"]
@@ -75,11 +74,16 @@ def _score(L: Column, R: Column, mL: Column, mR: Column) -> Column:
     return F.lit(0.5) * (L * ind(mR) + ind(L) * mR + R * ind(mL) + ind(R) * mL)
 
 
-def own_and_neighbors(values: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """(sample, barcode, *key, value, nbr_mean), both sides zero-filled, sparse on their union."""
-    nb = neighbor_mean(values.select(*KEYS, *key, "value"), edges, key)
-    return (values.select(*KEYS, *key, "value").join(nb, KEYS + key, "full")
-            .fillna(0.0, ["value", "nbr_mean"]))
+def own_and_neighbors(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per spot with its own entries of ``values`` (sample, barcode, i, value), arrays i and
+    value, and those of all its neighbours one after another, arrays near_i and near_value; deg
+    is the number of neighbours.  Only whole spots are shuffled."""
+    own = values.groupBy(*KEYS).agg(F.collect_list(F.struct("i", "value")).alias("_e")).select(*KEYS, "_e.i", "_e.value")
+    entries = F.when(F.col("i").isNotNull(), F.struct("i", "value"))
+    near = (edges.select("sample", "src", "dst").join(own.withColumnRenamed("barcode", "dst").hint("merge"), ["sample", "dst"], "left")
+            .groupBy("sample", F.col("src").alias("barcode")).agg(F.count("*").alias("deg"), F.collect_list(entries).alias("_n")))
+    near = near.select(*KEYS, "deg", F.flatten("_n.i").alias("near_i"), F.flatten("_n.value").alias("near_value"))
+    return own.join(near.hint("merge"), KEYS, "full")
 
 
 def lr_scores(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, min_spots: int = 5,
@@ -89,15 +93,21 @@ def lr_scores(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, min_spots: in
     ce = ce if ce is not None else complex_expression(expr, lr_db)
     # one LR speaks for every distinct list of subunits: neighbours are averaged once for each list
     sides = _lr_sides(lr_db)
-    first = sides.groupBy("subunits").agg(F.min(F.struct("lr", "side")).alias("_f")).select("subunits", "_f.lr", "_f.side")
-    own = ce.join(F.broadcast(first), ["lr", "side"]).select(*KEYS, "subunits", "value")      # the catalogue's sides
-    v = own_and_neighbors(own, edges, ["subunits"])
-    spot = v.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.to_json("subunits"), F.struct("value", "nbr_mean")))).alias("_m"))
-    pairs = lr_db.select("lr", F.to_json("ligand").alias("_l"), F.to_json("receptor").alias("_r"))
-    at = lambda side, c: F.coalesce(F.col("_m")[F.col(side)][c], F.lit(0.0)).alias
-    w = spot.crossJoin(F.broadcast(pairs)).select(*KEYS, "lr", at("_l", "value")("L"), at("_r", "value")("R"),
-                                                  at("_l", "nbr_mean")("mL"), at("_r", "nbr_mean")("mR"))
+    lists = sides.groupBy("subunits").agg(F.min(F.struct("lr", "side")).alias("_f")).select("subunits", "_f.lr", "_f.side")
+    lists = cut_lineage(lists.withColumn("i", F.row_number().over(Window.orderBy("lr", "side"))))     # the catalogue's lists
+    own = ce.join(F.broadcast(lists), ["lr", "side"]).select(*KEYS, "i", "value")
+    v = own_and_neighbors(own, edges)
+    near = v.select(*KEYS, "deg", F.explode(F.arrays_zip("near_i", "near_value")).alias("_n"))
+    near = near.groupBy(*KEYS, F.col("_n.near_i").alias("i")).agg((F.sum("_n.near_value") / F.max("deg")).alias("nbr_mean"))
+    near = near.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("i", "nbr_mean"))).alias("_near"))
+    spot = v.select(*KEYS, F.map_from_arrays("i", "value").alias("_own")).join(near.hint("merge"), KEYS, "left")
+    place = lists.select("subunits", "i")
+    pairs = cut_lineage(lr_db.select("lr", "ligand", "receptor")
+                        .join(place.select(F.col("subunits").alias("ligand"), F.col("i").alias("_l")), "ligand")
+                        .join(place.select(F.col("subunits").alias("receptor"), F.col("i").alias("_r")), "receptor").select("lr", "_l", "_r"))
+    at = lambda side, m: F.coalesce(F.col(m)[F.col(side)], F.lit(0.0)).alias
+    w = spot.crossJoin(F.broadcast(pairs)).select(*KEYS, "lr", at("_l", "_own")("L"), at("_r", "_own")("R"),
+                                                  at("_l", "_near")("mL"), at("_r", "_near")("mR"))
     s = w.select(*KEYS, "lr", "L", "R", "mL", "mR",
                  _score(F.col("L"), F.col("R"), F.col("mL"), F.col("mR")).alias("score")).filter(F.col("score") > 0)
     cnt = s.groupBy("sample", "lr").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_spots)
@@ -114,12 +124,16 @@ NULL_CELLS = 1 << 20
 
 def _null_hits(spots: pa.RecordBatch, draws: dict, n_genes: int) -> pa.Array:
     """Per spot, for each of its observed scores, the draws of its bin combination that score as much."""
-    n, i = len(spots), spots.column("i")
-    own, near = np.zeros((n, n_genes)), np.zeros((n, n_genes))
-    spot = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(i), 0).to_numpy())
-    gene = i.flatten().to_numpy()
-    own[spot, gene] = spots.column("value").flatten().to_numpy()
-    near[spot, gene] = spots.column("nbr_mean").flatten().to_numpy()
+    n = len(spots)
+
+    def dense(i: str, value: str) -> np.ndarray:
+        i = spots.column(i)
+        spot = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(i), 0).to_numpy())
+        at = spot * n_genes + i.flatten().to_numpy()
+        return np.bincount(at, spots.column(value).flatten().to_numpy(), n * n_genes).reshape(n, n_genes)
+
+    own = dense("i", "value")
+    near = dense("near_i", "near_value") / np.maximum(pc.fill_null(spots.column("deg"), 1).to_numpy(), 1)[:, None]
     score = spots.column("score")
     width = pc.list_value_length(score).to_numpy()
     who, score = np.repeat(np.arange(n), width), score.flatten().to_numpy()
@@ -184,13 +198,12 @@ def lr_null_p(expr: DataFrame, edges: DataFrame, lr_db: DataFrame, scores: DataF
     draws = {c: np.array(d, np.int64).T for c, d in draws.items()}
     genes = expr.sparkSession.createDataFrame(list(index.items()), "gene string, i int")
     # a spot's genes and observed scores are one row each; null scores never become rows
-    gv = own_and_neighbors(expr.filter(F.col("value") > 0).join(F.broadcast(genes), "gene"), edges, ["i"])
-    gv = gv.groupBy(*KEYS).agg(F.collect_list(F.struct("i", "value", "nbr_mean")).alias("_e"))
+    gv = own_and_neighbors(expr.filter(F.col("value") > 0).join(F.broadcast(genes), "gene"), edges)
     obs = scores.join(lr_bins, "lr").dropna(subset=KEYS)
     rest = [c for c in obs.columns if c not in KEYS]
     asked = obs.groupBy(*KEYS).agg(F.collect_list(F.struct(*rest)).alias("_o"))
     asked = asked.select(*KEYS, "_o", F.col("_o.bl").alias("bl"), F.col("_o.br").alias("br"), F.col("_o.score").alias("score"))
-    t = asked.join(gv, KEYS, "left").select(*KEYS, "_o", "bl", "br", "score", "_e.i", "_e.value", "_e.nbr_mean")
+    t = asked.join(gv.hint("merge"), KEYS, "left").select(*KEYS, "_o", "bl", "br", "score", "i", "value", "deg", "near_i", "near_value")
     n_genes = max(1, len(index))
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
