@@ -165,8 +165,8 @@ pr AS (SELECT *, CAST(row_number() OVER (ORDER BY var DESC, gene) AS INTEGER) AS
 SELECT gene, round(theta, 6) AS theta, round(mean, 6) AS mean, var, rank FROM pr WHERE rank <= {N_FEATURES}""", ["expr"]))
 def pearson_hvgs(spark, d):
     """The 3000 genes of the largest residual variance, overdispersion fitted per gene and smoothed along the mean."""
-    e = adapter.expr(spark, d)
-    return finish(nm.pearson_hvgs(e, nm.depth(e), N_FEATURES))
+    e = stage(adapter.expr(spark, d))
+    return finish(nm.pearson_hvgs(e, stage(nm.depth(e)), N_FEATURES))
 
 
 DISP_SQL = _NORM_CTE + """,
