@@ -37,12 +37,14 @@ def _explode_groups(df: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
             .select("*", F.explode("_groups").alias("_g")).select("*", f"_g.{group}", "_g.n1").drop("_groups", "_g"))
 
 
-def _ranked_by_gene(counts: DataFrame) -> DataFrame:
-    """Rows of ``counts`` (gene, value, ..., cnt) with ``tie`` (weight of their value) and the average-tie
+def _ranked_by_gene(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (gene, value, <group>, cnt) of ``rows`` with ``tie`` (weight of their value) and the average-tie
     rank of ``average_rank``, from one shuffle by gene; for genes whose rows fit one task."""
     up_to = F.sum("cnt").over(Window.partitionBy("gene").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     tie = F.sum("cnt").over(Window.partitionBy("gene", "value"))
-    d = counts.filter(F.col("gene").isNotNull()).repartition("gene").withColumn("_up_to", up_to).withColumn("tie", tie)
+    count = F.sum("cnt") if "cnt" in rows.columns else F.count("*")
+    d = rows.filter(F.col("gene").isNotNull()).repartition("gene").groupBy("gene", "value", group).agg(count.alias("cnt"))
+    d = d.withColumn("_up_to", up_to).withColumn("tie", tie)
     return d.withColumn("rank", (F.col("_up_to") - F.col("tie")) + (F.col("tie") + F.lit(1)) / F.lit(2.0)).drop("_up_to")
 
 
@@ -60,10 +62,12 @@ def find_markers(expr: DataFrame, labels: DataFrame, group: str = "cluster", onl
     if n_genes is None:
         n_genes = expr.select("gene").distinct().count()
     e = expr.join(lab, KEYS).select("gene", "value", group)
-    # both tables feed two consumers (tie terms / rank sums): materialise once
-    vc = cut_lineage(e.groupBy("gene", "value", group).agg(F.count("*").alias("cnt")))
-    if vc.groupBy("gene").count().filter(F.col("count") > hot_distinct).isEmpty():
-        ranked = cut_lineage(_ranked_by_gene(vc))
+    # tables that feed two consumers (tie terms / rank sums) are materialised once; equal rows are counted
+    # ahead of the ranks only where a gene has many
+    many = lambda t: not t.groupBy("gene").count().filter(F.col("count") > hot_distinct).isEmpty()
+    vc = cut_lineage(e.groupBy("gene", "value", group).agg(F.count("*").alias("cnt"))) if many(expr) else None
+    if vc is None or not many(vc):
+        ranked = cut_lineage(_ranked_by_gene(e if vc is None else vc, group))
         # rows of one value share its tie block t: t^3 - t is the sum of cnt (t^2 - 1) over them
         gstat = ranked.groupBy("gene").agg(
             F.sum("cnt").alias("nnz"),

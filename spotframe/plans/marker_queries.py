@@ -26,8 +26,9 @@ MIN_CELLS = 20
 
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(log-normalised expr, labels of the kept cells); both materialised once (``stage``)
-    because the median, the group sizes and the marker test all read them."""
-    raw = adapter.expr(spark, d)
+    because the median, the group sizes and the marker test all read them; so are the raw counts,
+    which both sides of the cell filter read."""
+    raw = stage(adapter.expr(spark, d))
     e1 = stage(qc.min_features(raw, MIN_FEATURES))
     cells = stage(e1.select(*KEYS).distinct())
     e2 = qc.filter_genes(e1, MIN_CELLS)
