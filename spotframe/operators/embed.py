@@ -1,9 +1,9 @@
 """PCA embedding and component choice.
 
-G8 works on sparse rows over the selected (variable) genes: a cell is never wider than its
-non-zeros outside a block of ``BLOCK`` cells inside a task.  Tasks add up outer products of
-their blocks, with a column of ones for the sums; only the upper triangle of that Gram matrix
-leaves a task, is added up row by row, and is centred in closed form.  Its genes x genes
+G8 works on sparse rows over the selected (variable) genes.  Tasks add up the outer products of
+their cells, pair by pair of a cell's entries, so the work follows the entries; only cells with
+many entries are made dense, ``BLOCK`` at a time.  Only the upper triangle of that Gram matrix,
+with the sums as a last column, leaves a task, is added up row by row, and is centred in closed form.  Its genes x genes
 matrix is the one thing on the driver, bounded by the selected genes.  Components get a fixed
 sign (largest absolute loading positive).  G9 fits log stdev = a + b log pc by regr_slope / regr_intercept
 and picks the first PC whose fitted drop to the next is below 1 % of the total
@@ -21,10 +21,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotframe.session import stage
+from spotframe.session import ship_library, stage
 
 KEYS = ["sample", "barcode"]
 BLOCK = 512          # cells made dense at a time inside a task
+DENSE = 24           # a cell with more than a DENSE-th of the genes is made dense
+PAIRS = 1 << 20      # pairs of entries written out at a time inside a task
 
 
 def gene_index(spark, genes: list[str]) -> DataFrame:
@@ -54,21 +56,48 @@ def sparse_rows(values: DataFrame, genes: list[str], cells: DataFrame | None = N
                       F.coalesce("_e.value", F.array().cast("array<double>")).alias("x"))
 
 
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, x, size): the entries of all rows of a batch, one row's after the other's, and how many each row has."""
+    at, x = batch.column("at"), batch.column("x")
+    return at.flatten().to_numpy(), x.flatten().to_numpy(), np.diff(at.offsets.to_numpy())
+
+
+def _add_pairs(total: np.ndarray, at: np.ndarray, x: np.ndarray, size: np.ndarray) -> None:
+    """Add every row's outer product with itself, ``PAIRS`` products at a time."""
+    rows = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size.astype(np.int64) ** 2) // PAIRS)) + 1, [len(size)]])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for lo, hi in zip(rows, rows[1:]):
+        n, some = size[lo:hi], slice(ends[lo], ends[hi])
+        others = np.repeat(n, n)                                   # per entry: the entries of its row
+        left = np.repeat(np.arange(len(others)), others)
+        skip = np.cumsum(others) - others - np.repeat(np.cumsum(n) - n, n)
+        right = np.arange(len(left)) - np.repeat(skip, others)
+        np.add.at(total.reshape(-1), at[some][left].astype(np.int64) * len(total) + at[some][right], x[some][left] * x[some][right])
+
+
+def _add_dense(total: np.ndarray, at: np.ndarray, x: np.ndarray, size: np.ndarray) -> None:
+    """The same by matrix products of ``BLOCK`` rows."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for lo in range(0, len(size), BLOCK):
+        n = size[lo:lo + BLOCK]
+        some = slice(ends[lo], ends[lo + len(n)])
+        dense = np.zeros((len(n), len(total)))
+        np.add.at(dense, (np.repeat(np.arange(len(n)), n), at[some]), x[some])
+        total += dense.T @ dense
+
+
 def _gram(rows: DataFrame, p: int) -> np.ndarray:
     """Sum over all rows of the outer product of (entries, 1) with itself."""
-    block = BLOCK
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((p + 1, p + 1))
         for batch in batches:
-            for start in range(0, batch.num_rows, block):
-                part = batch.slice(start, block)
-                at, x = part.column("at"), part.column("x")
-                row = np.repeat(np.arange(len(part)), np.diff(at.offsets.to_numpy()))
-                dense = np.zeros((len(part), p + 1))
-                np.add.at(dense, (row, at.flatten().to_numpy()), x.flatten().to_numpy())
-                dense[:, p] = 1.0
-                total += dense.T @ dense
+            at, x, size = _entries(batch)
+            many = size > p // DENSE
+            of = np.repeat(many, size)
+            _add_dense(total, at[of], x[of], size[many])
+            _add_pairs(total, at[~of], x[~of], size[~many])
+            total[:p, p] += np.bincount(at, x, p)
+            total[p, p] += batch.num_rows
         if total[p, p]:
             for start in range(0, p + 1, 256):
                 some = range(start, min(start + 256, p + 1))
@@ -88,17 +117,17 @@ def _gram(rows: DataFrame, p: int) -> np.ndarray:
 def _project(rows: DataFrame, comp: np.ndarray, shift: np.ndarray) -> DataFrame:
     """(sample, barcode, vec): every row times ``comp`` less ``shift``.  The factors travel to
     the tasks: genes x components numbers."""
-    block, (p, k) = BLOCK, comp.shape
+    k = comp.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, block):
-                part = batch.slice(start, block)
-                at, x = part.column("at"), part.column("x")
-                row = np.repeat(np.arange(len(part)), np.diff(at.offsets.to_numpy()))
-                dense = np.zeros((len(part), p))
-                np.add.at(dense, (row, at.flatten().to_numpy()), x.flatten().to_numpy())
-                vec = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * k, (dense @ comp - shift).ravel())
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                at, x, size = _entries(part)
+                genes, at = np.unique(at, return_inverse=True)     # only genes that occur in the block
+                dense = np.zeros((len(part), len(genes)))
+                np.add.at(dense, (np.repeat(np.arange(len(part)), size), at), x)
+                vec = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * k, (dense @ comp[genes] - shift).ravel())
                 yield pa.RecordBatch.from_arrays([part.column("sample"), part.column("barcode"), vec], ["sample", "barcode", "vec"])
 
     return rows.select(*KEYS, "at", "x").mapInArrow(run, "sample string, barcode string, vec array<double>")
@@ -114,6 +143,7 @@ def pca(values: DataFrame, genes: list[str], k: int, cells: DataFrame | None = N
     shift is constant per gene and centring removes it.  Entries that repeat add up.
     """
     spark, p = values.sparkSession, len(genes)
+    ship_library(spark)
     if absent is not None:
         values = values.join(absent.select("gene", "zero_z"), "gene").select(
             *KEYS, "gene", (F.col("value") - F.col("zero_z")).alias("value"))
