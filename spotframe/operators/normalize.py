@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.functions.ranks import exact_percentile
+from spotframe.session import stage
 
 KEYS = ["sample", "barcode"]
 
@@ -20,19 +21,21 @@ def depth(expr: DataFrame) -> DataFrame:
     return expr.groupBy(*KEYS).agg(F.sum("value").alias("depth"))
 
 
-def median_depth(cells: DataFrame, expr: DataFrame) -> float:
-    """Exact median of per-cell totals over ``cells`` (cells without counts count as 0).
-    Computed from distributed ranks, so no task ever buffers all cells."""
-    d = cells.select(*KEYS).join(depth(expr), KEYS, "left").select(F.coalesce("depth", F.lit(0.0)).alias("depth"))
+def median_depth(cells: DataFrame, expr: DataFrame, depths: DataFrame | None = None) -> float:
+    """Exact median of per-cell totals (``depths``, if at hand) over ``cells`` (cells without
+    counts count as 0).  Computed from distributed ranks, so no task ever buffers all cells."""
+    d = cells.select(*KEYS).join(depths if depths is not None else depth(expr), KEYS, "left").select(F.coalesce("depth", F.lit(0.0)).alias("depth"))
     return float(exact_percentile(d, "depth", 0.5).first()[0])
 
 
 def normalize_total(expr: DataFrame, target: float | None = None, cells: DataFrame | None = None,
                     log: bool = False) -> DataFrame:
-    """G2 (and G1 with ``log``): v / depth * target; target defaults to the median depth."""
-    if target is None:
-        target = median_depth(cells if cells is not None else expr.select(*KEYS).distinct(), expr)
+    """G2 (and G1 with ``log``): v / depth * target; target defaults to the median depth, for
+    which the depths are written once."""
     d = depth(expr)
+    if target is None:
+        d = stage(d)
+        target = median_depth(cells if cells is not None else expr.select(*KEYS).distinct(), expr, d)
     v = F.col("value") / F.col("depth") * F.lit(float(target))
     if log:
         v = F.log1p(v)
@@ -85,7 +88,7 @@ def hvg_vst(expr: DataFrame, n_cells: int, n: int = 3000) -> DataFrame:
     (normal equations from 9 sums, solved on the driver: a 3 x 3 system).
     z = (v - mean) / sd_hat clipped above at sqrt(N); zeros contribute (-mean / sd_hat)^2 each.
     """
-    mom = gene_moments(expr, n_cells)
+    mom = stage(gene_moments(expr, n_cells))                     # the trend and the variances read them
     fit = mom.filter(F.col("var") > 0).select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
     sums = fit.agg(F.count("*").alias("x0"), F.sum("x").alias("x1"), F.sum(F.col("x") * F.col("x")).alias("x2"),
                    F.sum(F.col("x") * F.col("x") * F.col("x")).alias("x3"),

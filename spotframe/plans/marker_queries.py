@@ -27,11 +27,12 @@ MIN_CELLS = 20
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(log-normalised expr, labels of the kept cells); both materialised once (``stage``)
     because the median, the group sizes and the marker test all read them; so are the raw counts,
-    which both sides of the cell filter read."""
+    which both sides of the cell filter read, and the counts of the kept genes, which the depths and
+    the normalisation read."""
     raw = stage(adapter.expr(spark, d))
     e1 = stage(qc.min_features(raw, MIN_FEATURES))
     cells = stage(e1.select(*KEYS).distinct())
-    e2 = qc.filter_genes(e1, MIN_CELLS)
+    e2 = stage(qc.filter_genes(e1, MIN_CELLS))
     norm = stage(nm.log_normalize(e2, cells=cells))
     labels = stage(adapter.spots(spark, d).join(cells, KEYS, "left_semi").select(*KEYS, "cluster"))
     return norm, labels
