@@ -39,7 +39,8 @@ def normalize_total(expr: DataFrame, target: float | None = None, cells: DataFra
     v = F.col("value") / F.col("depth") * F.lit(float(target))
     if log:
         v = F.log1p(v)
-    return expr.join(d, KEYS).select(*KEYS, "gene", v.alias("value"))
+    # one row per cell: small in its files, but it grows with the cells and would fill the driver as rows
+    return expr.join(d.hint("merge"), KEYS).select(*KEYS, "gene", v.alias("value"))
 
 
 def log_normalize(expr: DataFrame, scale: float | None = None, cells: DataFrame | None = None) -> DataFrame:
