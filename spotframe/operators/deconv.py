@@ -279,17 +279,44 @@ MAX_FACTOR_ENTRIES = 1 << 20
 SPOT_SWEEPS, FACTOR_SWEEPS = 60, 10
 
 
+# rows of a descent at once (they stay in the processor's cache), and factors that share one product
+FIT_ROWS, FIT_FACTORS = 1 << 14, 4
+
+
 def _fit_rows(b: np.ndarray, gram: np.ndarray, w: np.ndarray, sweeps: int) -> np.ndarray:
     """Non-negative least squares of every row of ``w`` by cyclic coordinate descent:
-    min |x - w H|^2 with b = x H^T and gram = H H^T.  Factors without weight stay 0."""
-    w = w.copy()
-    for _ in range(sweeps):
-        for f in range(w.shape[1]):
-            if gram[f, f] > 0:
-                w[:, f] = np.maximum(0.0, w[:, f] + (b[:, f] - w @ gram[:, f]) / gram[f, f])
-            else:
-                w[:, f] = 0.0
-    return w
+    min |x - w H|^2 with b = x H^T and gram = H H^T.  Factors without weight stay 0.
+
+    A factor's rows lie one after another.  What a block of ``FIT_FACTORS`` factors takes from weights
+    that are known before it is one product; inside the block they follow each other."""
+    n, rank = w.shape
+    diag = np.diag(gram)
+    inv = np.divide(1.0, diag, out=np.zeros(rank), where=diag > 0)
+    pull = -(gram * inv[:, None])
+    np.fill_diagonal(pull, 0.0)
+    blocks = []
+    for start in range(0, rank, FIT_FACTORS):
+        stop = min(rank, start + FIT_FACTORS)
+        before = pull[start:stop].copy()
+        for f in range(start, stop):
+            before[f - start, start:f] = 0.0            # these are renewed first
+        blocks.append((start, stop, before))
+    out = np.empty((n, rank))
+    for rows in np.array_split(np.arange(n), -(-n // FIT_ROWS)) if n else []:
+        part = slice(rows[0], rows[-1] + 1)
+        free, now = np.ascontiguousarray((b[part] * inv).T), np.ascontiguousarray(w[part].T)
+        room, step = np.empty((FIT_FACTORS, len(rows))), np.empty(len(rows))
+        for _ in range(sweeps):
+            for start, stop, before in blocks:
+                to = room[:stop - start]
+                np.matmul(before, now, out=to)
+                to += free[start:stop]
+                for f in range(start, stop):
+                    if f > start:
+                        to[f - start] += np.dot(pull[f, start:f], now[start:f], out=step)
+                    np.maximum(to[f - start], 0.0, out=now[f])
+        out[part] = now.T
+    return out
 
 
 def spot_weights(x: np.ndarray, h: np.ndarray) -> np.ndarray:

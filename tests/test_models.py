@@ -84,6 +84,31 @@ def test_ridge_matches_numpy(spark):
     assert r2 > 0.99
 
 
+def test_descent_works_on_blocks_of_factors(monkeypatch):
+    rng = np.random.default_rng(3)
+    h = rng.uniform(0.01, 1.0, (11, 6))
+    h[4] = 0.0
+    x = rng.dirichlet(np.ones(6), 53)
+
+    def one_by_one(b, gram, w, sweeps):
+        w = w.copy()
+        for _ in range(sweeps):
+            for f in range(w.shape[1]):
+                w[:, f] = np.maximum(0.0, w[:, f] + (b[:, f] - w @ gram[:, f]) / gram[f, f]) if gram[f, f] > 0 else 0.0
+        return w
+
+    b, gram, start = x @ h.T, h @ h.T, rng.uniform(0, 1, (53, 11))
+    assert np.allclose(dc._fit_rows(b, gram, start, 25), one_by_one(b, gram, start, 25), atol=1e-12)
+    monkeypatch.setattr(dc, "FIT_ROWS", 10)
+    assert np.allclose(dc._fit_rows(b, gram, start, 25), one_by_one(b, gram, start, 25), atol=1e-12)
+    assert dc._fit_rows(b[:0], gram, start[:0], 2).shape == (0, 11)
+    products, real = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *a, **k: products.append(1) or real(*a, **k))
+    monkeypatch.setattr(dc, "FIT_ROWS", 1 << 14)
+    dc._fit_rows(b, gram, start, 1)
+    assert len(products) == 3                                   # 11 factors in blocks of 4
+
+
 def test_nmf_reconstruction_improves(spark):
     rng = np.random.default_rng(12)
     W = rng.uniform(0, 1, (30, 2))
