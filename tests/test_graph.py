@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spotframe.operators import composition as cp
@@ -172,3 +173,27 @@ def test_knn_meets_blocks_without_writing_pairs(spark):
         assert [(x, n) for _, n, x in sorted(got[src])] == sorted(rows)[:4]
     plan = gr.knn(emb, 4)._jdf.queryExecution().toString()
     assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_knn_meets_only_blocks_within_reach(spark):
+    rng = np.random.default_rng(21)
+    pts = np.vstack([c + rng.normal(scale=0.05, size=(64, 4)) for c in rng.uniform(-9, 9, (8, 4))] + [np.zeros((3, 4)), np.full((1, 4), 99.0)])
+    emb = _emb(spark, pts)
+    names = [f"c{i:03d}" for i in range(len(pts))]
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    got = {}
+    for r in gr.knn(emb, 5, bin_occupancy=32).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["dist"]))
+    for i, src in enumerate(names):
+        want = sorted((d[i, j], n) for j, n in enumerate(names) if j != i)[:5]
+        assert [n for _, n, _ in sorted(got[src])] == [n for _, n in want]
+        assert np.allclose([x for _, _, x in sorted(got[src])], [x for x, _ in want])
+    rows = emb.select(F.col("barcode").alias("id"), "vec", F.lit(4).alias("_width"), F.lit(1).cast("long").alias("m"))
+    met = gr.block_pairs(rows, rows, ["_width"], 5, True, len(pts), len(pts), 32)
+    blocks = met.select("cell", "block").distinct().count()
+    assert blocks > 8 and met.count() < blocks * blocks / 3
+    far = gr._Nearest(pa.array(["a"]), np.zeros(2), 1, False, np.array([1.0]))
+    far.meet(pa.array(["b"]), pa.array([1]), np.array([3.0, 0.0]))
+    assert far.rows() is None
+    far.meet(pa.array(["c"]), pa.array([1]), np.array([1.0, 0.0]))
+    assert far.rows().num_rows == 1
