@@ -267,7 +267,7 @@ def cci_counts(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataF
     types = composition.filter(F.col("score") > F.lit(type_cutoff)).select(*KEYS, "cell_type")
     st = types.select(*KEYS, F.col("cell_type").alias("sender"))
     rt = types.select("sample", F.col("barcode").alias("dst"), F.col("cell_type").alias("receiver"))
-    t = pairs.join(st, KEYS).join(rt, ["sample", "dst"])
+    t = pairs.join(st.hint("merge"), KEYS).join(rt.hint("merge"), ["sample", "dst"])
     c = t.groupBy("sample", "lr", "sender", "receiver").agg(F.countDistinct("barcode").alias("n"))
     sig = stats.filter("sig")
     keep = sig.groupBy("sample", "lr").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_spots)
@@ -321,10 +321,12 @@ def _cci_pairs(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db: DataF
     ce = ce if ce is not None else complex_expression(expr, lr_db)
     lig = ce.filter(F.col("side") == "L").select(*KEYS, "lr")
     rec = ce.filter(F.col("side") == "R").select("sample", F.col("barcode").alias("dst"), "lr")
-    sig = stats.filter("sig").select(*KEYS, "lr").join(lig, KEYS + ["lr"], "left_semi")
+    # tables of a row per spot and LR look small in their files; as rows they would fill the driver
+    sig = stats.filter("sig").select(*KEYS, "lr").join(lig.hint("merge"), KEYS + ["lr"], "left_semi")
     nb = edges.select("sample", F.col("src").alias("barcode"), "dst").unionByName(
         sig.select("sample", "barcode", F.col("barcode").alias("dst")).distinct())
-    return sig.join(nb, KEYS).join(rec, ["sample", "dst", "lr"]).select("sample", "lr", "barcode", "dst")
+    return (sig.join(nb.hint("merge"), KEYS).join(rec.hint("merge"), ["sample", "dst", "lr"])
+            .select("sample", "lr", "barcode", "dst"))
 
 
 MASK_BITS = 62
@@ -384,13 +386,13 @@ def cci_permutation(stats: DataFrame, expr: DataFrame, edges: DataFrame, lr_db:
     masks = types.join(index, "cell_type").groupBy(*KEYS).agg(F.array(*per_word).alias("mask"))
     place = cut_lineage(spot_index(spots))
     blank = F.array(*[F.lit(0).cast("long")] * words)
-    slides = (place.join(masks, KEYS, "left").groupBy("sample")
+    slides = (place.join(masks.hint("merge"), KEYS, "left").groupBy("sample")
               .agg(F.sort_array(F.collect_list(F.struct("i", "barcode", F.coalesce("mask", blank).alias("mask")))).alias("s"))
               .select("sample", F.lit(0).alias("kind"), F.lit("").alias("lr"), F.col("s.barcode").alias("barcodes"),
                       F.flatten("s.mask").alias("numbers"), F.array().cast("array<long>").alias("dst")))
     pairs = _cci_pairs(stats, expr, edges, lr_db, ce)
-    pairs = (pairs.join(place.withColumnRenamed("i", "src"), KEYS)
-             .join(place.select("sample", F.col("barcode").alias("dst"), F.col("i").alias("to")), ["sample", "dst"])
+    pairs = (pairs.join(place.withColumnRenamed("i", "src").hint("merge"), KEYS)
+             .join(place.select("sample", F.col("barcode").alias("dst"), F.col("i").alias("to")).hint("merge"), ["sample", "dst"])
              .groupBy("sample", "lr").agg(F.sort_array(F.collect_list(F.struct("src", "to"))).alias("p")))
     named = lambda c: index.select(F.col("cell_type").alias(c), F.col("t").alias(f"t_{c}"))
     seen = (observed.join(named("sender"), "sender").join(named("receiver"), "receiver").groupBy("sample", "lr")

@@ -4,6 +4,7 @@ from spotframe.functions.stats import LCG_A, LCG_B, LCG_M
 from spotframe.operators import lr as lrop
 from spotframe.operators import slide as sp
 from spotframe.plans import lr_queries
+from spotframe.sources import adapter
 from tests.test_slide import hex_patch
 
 
@@ -211,3 +212,25 @@ def test_spot_tables_of_the_flow_keep_what_is_read(spark, tmp_path):
     assert flow.pvalues().columns == ["sample", "barcode", "lr", "score", "p"]
     plan = lrop.lr_scores(flow.expr, flow.edges, flow.lr_db, 5, ce=flow.ce())._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in next(line for line in plan.splitlines() if "LeftSemi" in line)
+
+
+def test_spot_tables_stay_out_of_the_driver(spark, tmp_path):
+    spots = [("S", f"b{i}") for i in range(4)]
+    stats = spark.createDataFrame([(*s, "l_r", True) for s in spots], "sample string, barcode string, lr string, sig boolean")
+    edges = spark.createDataFrame([("S", "b0", "b1"), ("S", "b1", "b0")], "sample string, src string, dst string")
+    ce = spark.createDataFrame([(*s, "l_r", side, 1.0) for s in spots[:2] for side in "LR"],
+                               "sample string, barcode string, lr string, side string, value double")
+    comp = spark.createDataFrame([(*s, "t", 1.0) for s in spots], "sample string, barcode string, cell_type string, score double")
+    pairs = lrop._cci_pairs(stats, None, edges, None, ce)
+    assert sorted((r["barcode"], r["dst"]) for r in pairs.collect()) == [("b0", "b0"), ("b0", "b1"), ("b1", "b0"), ("b1", "b1")]
+    for name, df in (("orders", spark.createDataFrame([(1, 7), (2, 8)], "o_orderkey long, o_custkey long")),
+                     ("lineitem", spark.createDataFrame([(1, 3, 2.0), (2, 3, 1.0)], "l_orderkey long, l_partkey long, l_quantity double")),
+                     ("part", spark.createDataFrame([(3, "hot ring")], "p_partkey long, p_name string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    coarse, fine = adapter.expr_coarse(spark, str(tmp_path)), adapter.expr(spark, str(tmp_path))
+    assert sorted((r["barcode"], r["gene"], r["value"]) for r in coarse.collect()) == [("7", "hot ring", 2.0), ("8", "hot ring", 1.0)]
+    for df in (pairs, coarse, fine, lrop.cci_counts(stats, None, edges, None, comp, 0.2, ce=ce).select("n")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        kept = [line for line in joins if "strategy=merge" in line or "strategy=broadcast" in line]      # no join is left to a guess
+        assert joins and kept == joins, plan
